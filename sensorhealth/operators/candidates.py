@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip_unit, is_finite
@@ -77,11 +77,15 @@ def with_status(candidates: DataFrame, penalty: float) -> DataFrame:
     )
 
 
-def valid_candidates(candidates: DataFrame, penalty: float) -> DataFrame:
+def is_valid(penalty: float) -> Column:
     keep = F.col("status") == "valid"
     for c in OBJECTIVES:
         keep = keep & is_finite(F.col(c)) & (F.col(c) < penalty)
-    return candidates.filter(keep)
+    return keep
+
+
+def valid_candidates(candidates: DataFrame, penalty: float) -> DataFrame:
+    return candidates.filter(is_valid(penalty))
 
 
 def _undominated(points: np.ndarray) -> np.ndarray:
@@ -135,7 +139,7 @@ def winner(
 ) -> DataFrame:
     """Front member closest to the ideal point, with deterministic tie-breaks and counts.
 
-    ``candidates`` are all ledger rows with ``status``; ``keys`` names the study columns.
+    ``candidates`` are all ledger rows flagged ``_valid``; ``keys`` names the study columns.
     """
     keys = list(keys)
     total = sum(params.winner_weights)

@@ -69,7 +69,8 @@ def _grow(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
         depth.append(level + float(expected_depth(len(rows))) if is_leaf else 0.0)
         if not is_leaf:
             f = int(rng.choice(usable))
-            at = rng.uniform(low[f], high[f])
+            # Strictly below the maximum, so that both sides keep at least one row.
+            at = min(rng.uniform(low[f], high[f]), np.nextafter(high[f], -np.inf))
             feature[node], cut[node] = f, at
             goes_left = rows[:, f] <= at
             pending.append((rows[~goes_left], level + 1, node, 1))
@@ -134,7 +135,17 @@ def score_forest(
     keys = list(keys)
     sliced = rows.select(*keys, us, features).withColumn("_slice", floor_div(F.col(us), width))
     needed = sliced.select(*keys, "_slice").distinct()
-    models = needed.join(forest, keys)
+    # The cogroup needs distinct column names on its two sides.
+    own = [f"_m_{k}" for k in (*keys, "_slice")]
+    models = needed.join(forest, keys).select(
+        *[F.col(k).alias(o) for k, o in zip((*keys, "_slice"), own, strict=True)],
+        "sample",
+        "feature",
+        "cut",
+        "below",
+        "above",
+        "depth",
+    )
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{us} bigint", f"{output} double"])
 
@@ -160,6 +171,6 @@ def score_forest(
 
     return (
         sliced.groupBy(*keys, "_slice")
-        .cogroup(models.groupBy(*keys, "_slice"))
+        .cogroup(models.groupBy(*own))
         .applyInPandas(score, schema)
     )

@@ -62,17 +62,46 @@ def local_segments(timeline: DataFrame, length: int) -> DataFrame:
     )
 
 
-def cycles_without_windows(cycles: DataFrame, segments: DataFrame) -> DataFrame:
-    """Trainable cycles whose local rows hold no complete window."""
-    totals = segments.groupBy("asset_id", "cycle_id").agg(F.sum("windows").alias("windows"))
+def local_windows(cycles: DataFrame, segments: DataFrame) -> DataFrame:
+    """Local segments and complete windows of every cycle after the first event."""
+    totals = segments.groupBy("asset_id", "cycle_id").agg(
+        F.count(F.lit(1)).alias("segments"), F.sum("windows").alias("windows")
+    )
     return (
-        cycles.filter("update_possible AND cycle_id > 0")
-        .select("asset_id", "cycle_id")
+        cycles.filter("cycle_id > 0")
         .join(totals, ["asset_id", "cycle_id"], "left")
-        .filter("coalesce(windows, 0) < 1")
+        .select(
+            "asset_id",
+            "cycle_id",
+            "update_possible",
+            F.coalesce("segments", F.lit(0)).alias("segments"),
+            F.coalesce("windows", F.lit(0)).alias("windows"),
+        )
+    )
+
+
+def cycles_without_windows(cycles: DataFrame, segments: DataFrame) -> DataFrame:
+    """Trainable cycles whose local rows hold no complete window: nothing can be refitted there."""
+    return (
+        local_windows(cycles, segments)
+        .filter("update_possible AND windows < 1")
+        .drop("update_possible")
     )
 
 
+def refittable(cycles: DataFrame, segments: DataFrame) -> DataFrame:
+    """Cycles where ``update_possible`` also requires a complete local window.
+
+    One series with such a cycle is an input error; in a fleet the asset keeps its previous model
+    and the cycle is reported by ``cycles_without_windows``.
+    """
+    found = local_windows(cycles, segments).select("asset_id", "cycle_id", "windows")
+    return cycles.join(found, ["asset_id", "cycle_id"], "left").withColumn(
+        "update_possible",
+        F.col("update_possible") & ((F.col("cycle_id") == 0) | (F.col("windows") > 0)),
+    ).drop("windows")
+
+
 def split_segments(segments: DataFrame, params: StudyParams) -> DataFrame:
     """Train and validation windows of each usable local segment.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import MINUTE_US, StudyParams
+from ..session import materialize
 from .calendar import MAINTENANCE, interval_join, score_intervals, update_intervals, with_phase
 from .runs import is_anchor, label_runs
 from .slices import floor_div
@@ -67,10 +68,11 @@ def label_populations(
     phased = with_phase(rows, events, params.pre_maintenance_minutes).withColumn(
         "baseline", in_baseline(params)
     )
-    baseline = (
+    baseline = materialize(
         phased.filter("baseline")
         .groupBy("asset_id")
-        .agg(F.count(F.lit(1)).alias("baseline_rows"), F.max("us").alias("baseline_end_us"))
+        .agg(F.count(F.lit(1)).alias("baseline_rows"), F.max("us").alias("baseline_end_us")),
+        "baseline",
     )
     # Without any baseline row cycle 0 has no start, as a null start matches no row.
     intervals = score_intervals(cycles, baseline.select("asset_id", "baseline_end_us"))

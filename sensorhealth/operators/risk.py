@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.grids import level
 from ..functions.scalars import f1, share
 from ..params import MINUTE_US, StudyParams
+from ..session import materialize
 from .calendar import interval_join
 from .runs import label_runs, median_gap
 from .slices import carried, floor_div, with_neighbour
@@ -37,10 +38,13 @@ def segmented_risk(
     sliced = rows.withColumn("_slice", floor_div(F.col(us), width)).withColumn(
         "_sel", F.when(F.col(risk).isNotNull(), F.lit(0))
     )
-    gaps = median_gap(sliced, keys, us, "_slice")
-    labelled = label_runs(
-        sliced.join(gaps, list(keys), "left"), keys, us, "_slice", {"risk": "_sel"}
-    ).drop("gap_us", "_sel", "_slice")
+    gaps = materialize(median_gap(sliced, keys, us, "_slice"), "gaps")
+    labelled = materialize(
+        label_runs(
+            sliced.join(gaps, list(keys), "left"), keys, us, "_slice", {"risk": "_sel"}
+        ).drop("gap_us", "_sel", "_slice"),
+        "risk-runs",
+    )
     series = [*keys, "risk_run"]
     hit = (F.col(risk) >= params.exceedance_quantile).cast("bigint")
     reach = params.risk_window_minutes * MINUTE_US

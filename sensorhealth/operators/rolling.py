@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import AGGREGATIONS
@@ -189,3 +189,18 @@ def apply_scaler(
         for c in df.columns
     ]
     return df.join(wide, list(keys)).select(*scaled)
+
+
+SCALER_SCHEMA = "1.0"
+
+
+def save_scaler(scaler: DataFrame, path: str) -> None:
+    scaler.withColumn("schema_version", F.lit(SCALER_SCHEMA)).write.mode("overwrite").parquet(path)
+
+
+def load_scaler(spark: SparkSession, path: str) -> DataFrame:
+    """Frozen scaler; parameters written under another schema version are refused."""
+    table = spark.read.parquet(path)
+    if table.filter(F.col("schema_version") != SCALER_SCHEMA).take(1):
+        raise ValueError("unsupported scaler schema version")
+    return table

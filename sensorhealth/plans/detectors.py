@@ -19,6 +19,7 @@ from ..operators.lineage import (
     baseline_windows,
     local_segments,
     model_lineage,
+    refittable,
     replay_windows,
     split_policy,
     split_segments,
@@ -67,9 +68,12 @@ class Detectors:
 
     def windowed(self, rows: DataFrame, run: str, score: str) -> DataFrame:
         """Mean of a row score over the sequence window that ends at each row."""
+        return self.windowed_by(rows, MODEL, run, score)
+
+    def windowed_by(self, rows: DataFrame, keys: list[str], run: str, score: str) -> DataFrame:
         return over_sequence(
             rows,
-            MODEL,
+            keys,
             "us",
             "slice",
             self.study.slice_us,
@@ -120,7 +124,11 @@ class Detectors:
     # Lineage and training populations -------------------------------------------------------------
 
     def lineage(self, workflow: str, strategy: str) -> DataFrame:
-        return model_lineage(self.study.cycles, {workflow: strategy})
+        return model_lineage(self.refit_plan, {workflow: strategy})
+
+    @cached_property
+    def refit_plan(self) -> DataFrame:
+        return materialize(refittable(self.study.cycles, self.segments), "refits")
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -160,7 +168,7 @@ class Detectors:
         )
 
     def refit_cycles(self) -> DataFrame:
-        return self.study.cycles.filter("update_possible").select(
+        return self.refit_plan.filter("update_possible").select(
             "asset_id", F.col("cycle_id").alias("model_cycle")
         )
 
@@ -288,13 +296,13 @@ class Detectors:
         )
 
     def reconstruction_rows(self, rows: DataFrame, models: DataFrame) -> DataFrame:
-        fitted = rows.join(models.select(*MODEL, "mean", "components"), MODEL)
-        return row_errors(
-            fitted.withColumn(
-                "_fit", reconstruct(F.col("features"), F.col("mean"), F.col("components"))
-            ),
-            "features",
-        ).drop("_fit", "mean", "components")
+        return self.row_errors_of(rows.join(models.select(*MODEL, "mean", "components"), MODEL))
+
+    def row_errors_of(self, fitted: DataFrame) -> DataFrame:
+        rebuilt = reconstruct(F.col("features"), F.col("mean"), F.col("components"))
+        return row_errors(fitted.withColumn("_fit", rebuilt), "features").drop(
+            "_fit", "mean", "components", "features"
+        )
 
     def component_scores(self, workflow: str, strategy: str) -> tuple[DataFrame, DataFrame]:
         lineage = self.lineage(workflow, strategy)
@@ -314,8 +322,8 @@ class Detectors:
         )
         evaluation = self.reconstruction_rows(source.join(models, ["asset_id", "cycle_id"]), fitted)
         name = F.lit(workflow).alias("workflow_id")
-        scored_c = self.windowed(calibration.drop("features"), "base_run", "row_mse")
-        scored_e = self.windowed(evaluation.drop("features"), "src_run", "row_mse")
+        scored_c = self.windowed(calibration, "base_run", "row_mse")
+        scored_e = self.windowed(evaluation, "src_run", "row_mse")
         return (
             scored_c.filter("calibration").select(name, *COLUMNS[1:]),
             scored_e.filter(

@@ -138,7 +138,9 @@ class Evaluation:
 
     @cached_property
     def eligible(self) -> DataFrame:
-        return ev.warned(self.intervals, self.study.events, self.params.lead_minutes)
+        return materialize(
+            ev.warned(self.intervals, self.study.events, self.params.lead_minutes), "eligible"
+        )
 
     @property
     def event_limit(self) -> int:
@@ -146,11 +148,13 @@ class Evaluation:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return ev.interval_counts(self.intervals, self.grid)
+        return materialize(ev.interval_counts(self.intervals, self.grid), "counts")
 
     @cached_property
     def matches(self) -> DataFrame:
-        return ev.greedy_match(self.eligible, self.listed, ev.KEYS, self.event_limit)
+        return materialize(
+            ev.greedy_match(self.eligible, self.listed, ev.KEYS, self.event_limit), "matches"
+        )
 
     @cached_property
     def event_scores(self) -> DataFrame:
@@ -170,7 +174,7 @@ class Evaluation:
 
     @cached_property
     def ttd(self) -> DataFrame:
-        return ev.time_to_detection(self.alarms, self.listed, self.params)
+        return materialize(ev.time_to_detection(self.alarms, self.listed, self.params), "ttd")
 
     @cached_property
     def ttd_summary(self) -> DataFrame:
@@ -209,7 +213,9 @@ class Evaluation:
 
     @cached_property
     def islands(self) -> DataFrame:
-        return ev.alarm_islands(self.timed, self.eligible, self.study.slice_us)
+        return materialize(
+            ev.alarm_islands(self.timed, self.eligible, self.study.slice_us), "islands"
+        )
 
     @cached_property
     def island_summary(self) -> DataFrame:
