@@ -16,13 +16,13 @@ from ..session import checkpoint_root
 from . import query, tidy
 from .oracle import FEATURES, L, P, sql
 
-NODES = ["feature", "cut", "below", "above", "depth"]
+NODES = ["feature", "cut", "depth"]
 
 
 @query("m1_forest_fit")
 def m1(p):
     forest = p.detectors.forest(STATIC)
-    return forest.select(*MODEL, "tree", "sample", F.size("feature").alias("nodes"))
+    return forest.select(*MODEL, "tree", "sample", F.size(F.filter("feature", lambda f: f >= 0)).alias("cuts"))
 
 
 @query("m1_forest_fit_vectors")
@@ -34,7 +34,7 @@ def m1_vectors(p):
     forest = fit_forest(
         rows, ["label"], "vec_id", "features", trees=P.trees, tree_rows=P.tree_rows, seed=P.seed
     )
-    return forest.select("label", "tree", "sample", F.size("feature").alias("nodes"))
+    return forest.select("label", "tree", "sample", F.size(F.filter("feature", lambda f: f >= 0)).alias("cuts"))
 
 
 @query("m2_forest_score")

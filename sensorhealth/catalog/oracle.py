@@ -296,7 +296,7 @@ define(
     "distance",
     "SELECT t.*, round(("
     + " + ".join(f"s.{f} * s.{f}" for f in FEATURES)
-    + f") / {len(FEATURES)}, 6) AS row_score FROM timeline t JOIN scaled s USING (asset_id, us)",
+    + f") / {len(FEATURES)}, 4) AS row_score FROM timeline t JOIN scaled s USING (asset_id, us)",
 )
 WINDOW_MEAN = (
     "avg(row_score) OVER (PARTITION BY asset_id, {run} ORDER BY us "

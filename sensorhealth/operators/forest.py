@@ -1,9 +1,9 @@
-"""Isolation forest: sampling and scoring are distributed, one tree is one small group."""
+"""Isolation forest: sampling and scoring are distributed, a few trees are one small group."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,8 @@ from .slices import floor_div
 EULER = 0.5772156649015329
 MIN_ROWS = 2
 HASH_SPAN = float(1 << 62)
+TREES_PER_GROUP = 10
+ROWS_PER_BLOCK = 4096
 
 
 def expected_depth(n):
@@ -51,31 +53,41 @@ def sample_trees(
     )
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
-    """Isolate the rows of ``x`` by random cuts; nodes are numbered as they are made."""
-    limit = math.ceil(math.log2(max(len(x), 2)))
-    feature, cut, left, right, depth = [], [], [], [], []
-    pending = [(x, 0, None, None)]
-    while pending:
-        rows, level, parent, side = pending.pop()
-        node = len(feature)
-        if parent is not None:
-            (left if side == 0 else right)[parent] = node
-        low, high = rows.min(axis=0), rows.max(axis=0)
-        usable = np.flatnonzero(high > low)
-        is_leaf = level >= limit or len(rows) <= 1 or usable.size == 0
-        for column, value in ((feature, -1), (cut, 0.0), (left, node), (right, node)):
-            column.append(value)
-        depth.append(level + float(expected_depth(len(rows))) if is_leaf else 0.0)
-        if not is_leaf:
-            f = int(rng.choice(usable))
-            # Strictly below the maximum, so that both sides keep at least one row.
-            at = min(rng.uniform(low[f], high[f]), np.nextafter(high[f], -np.inf))
-            feature[node], cut[node] = f, at
-            goes_left = rows[:, f] <= at
-            pending.append((rows[~goes_left], level + 1, node, 1))
-            pending.append((rows[goes_left], level + 1, node, 0))
-    return [np.asarray(c) for c in (feature, cut, left, right, depth)]
+def _grow(x: np.ndarray, tree: np.ndarray, trees: int, limit: int, rng) -> list[np.ndarray]:
+    """Isolate the rows of several trees by random cuts, one level of all trees at a time.
+
+    Nodes are laid out by position: node ``i`` has the children ``2i + 1`` and ``2i + 2``. A leaf
+    has feature -1 and the depth it stands for.
+    """
+    size = 2 ** (limit + 1) - 1
+    feature = np.full((trees, size), -1, dtype=np.int32)
+    cut, depth = np.zeros((trees, size)), np.zeros((trees, size))
+    node = np.zeros(len(x), dtype=np.int64)
+    for level in range(limit + 1):
+        place = tree * size + node
+        order = np.argsort(place, kind="stable")
+        x, tree, node, place = x[order], tree[order], node[order], place[order]
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        count = np.diff(np.r_[first, len(place)])
+        low, high = np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)
+        usable = high > low
+        cuttable = usable.any(axis=1) & (count > 1) & (level < limit)
+        chosen = np.where(usable, rng.random(usable.shape), -1.0).argmax(axis=1)
+        at = np.arange(len(first))
+        lo, hi = low[at, chosen], high[at, chosen]
+        # Strictly below the maximum, so that both sides keep at least one row.
+        value = np.minimum(lo + rng.random(len(first)) * (hi - lo), np.nextafter(hi, -np.inf))
+        where = (tree[first], node[first])
+        feature[where] = np.where(cuttable, chosen, -1)
+        cut[where] = np.where(cuttable, value, 0.0)
+        depth[where] = np.where(cuttable, 0.0, level + expected_depth(count))
+        inside = np.repeat(at, count)
+        right = x[np.arange(len(x)), chosen[inside]] > value[inside]
+        keep = cuttable[inside]
+        x, tree, node = x[keep], tree[keep], (2 * node + 1 + right)[keep]
+        if not len(x):
+            break
+    return [feature, cut, depth]
 
 
 def fit_forest(
@@ -95,27 +107,58 @@ def fit_forest(
     keys = list(keys)
     sampled = sample_trees(
         rows.select(*keys, row_id, features), keys, row_id, trees, tree_rows, seed
-    )
+    ).withColumn("_block", F.floor(F.col("tree") / TREES_PER_GROUP))
+    limit = math.ceil(math.log2(max(tree_rows, 2)))
+    names = [*keys, "tree", "sample", "feature", "cut", "depth"]
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["_size"].iloc[0] < MIN_ROWS:
-            return pd.DataFrame(columns=columns)
-        chosen = pdf.sort_values(["_rank", row_id]).head(tree_rows).sort_values(row_id)
+            return pd.DataFrame(columns=names)
+        ranked = pdf.sort_values(["tree", "_rank", row_id])
+        chosen = ranked.groupby("tree").head(tree_rows).sort_values(["tree", row_id])
         x = np.stack(chosen[features].to_numpy()).astype(float)
-        tree = int(pdf["tree"].iloc[0])
-        nodes = _grow(x, np.random.default_rng([seed, tree]))
-        out = {k: [pdf[k].iloc[0]] for k in keys} | {"tree": [tree], "sample": [len(x)]}
-        return pd.DataFrame(out | {n: [a.tolist()] for n, a in zip(node_names, nodes, strict=True)})
+        numbers, tree, sample = np.unique(
+            chosen["tree"].to_numpy(), return_inverse=True, return_counts=True
+        )
+        rng = np.random.default_rng([seed, int(numbers[0])])
+        nodes = _grow(x, tree, len(numbers), limit, rng)
+        out = {k: [pdf[k].iloc[0]] * len(numbers) for k in keys}
+        out |= {"tree": numbers, "sample": sample}
+        return pd.DataFrame(out | {n: list(a) for n, a in zip(names[-3:], nodes, strict=True)})
 
-    node_names = ["feature", "cut", "below", "above", "depth"]
-    columns = [*keys, "tree", "sample", *node_names]
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(
         [f"{k} {types[k]}" for k in keys]
         + ["tree int", "sample int", "feature array<int>", "cut array<double>"]
-        + ["below array<int>", "above array<int>", "depth array<double>"]
+        + ["depth array<double>"]
+    )
+    return (
+        spread_work(sampled, *keys, "_block").groupBy(*keys, "_block").applyInPandas(grow, schema)
     )
-    return sampled.groupBy(*keys, "tree").applyInPandas(grow, schema)
+
+
+def spread_work(df: DataFrame, *columns: str) -> DataFrame:
+    """Keep all cores busy where the rows are few but the work per row is heavy."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *columns)
+
+
+def _mean_depth(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: np.ndarray):
+    """Mean leaf depth of every row over all trees, a block of rows at a time."""
+    out = np.empty(len(x))
+    tree = np.arange(len(feature))[None, :]
+    for start in range(0, len(x), ROWS_PER_BLOCK):
+        part = x[start : start + ROWS_PER_BLOCK]
+        row = np.arange(len(part))[:, None]
+        node = np.zeros((len(part), len(feature)), dtype=np.int64)
+        while True:
+            f = feature[tree, node]
+            inner = f >= 0
+            if not inner.any():
+                break
+            right = part[row, np.maximum(f, 0)] > cut[tree, node]
+            node = np.where(inner, 2 * node + 1 + right, node)
+        out[start : start + len(part)] = depth[tree, node].mean(axis=1)
+    return out
 
 
 def score_forest(
@@ -142,8 +185,6 @@ def score_forest(
         "sample",
         "feature",
         "cut",
-        "below",
-        "above",
         "depth",
     )
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -154,23 +195,14 @@ def score_forest(
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
         x = np.stack(left[features].to_numpy()).astype(float)
-        total = np.zeros(len(x))
-        row = np.arange(len(x))
-        for t in right.itertuples(index=False):
-            feature, cut = np.asarray(t.feature), np.asarray(t.cut)
-            below, above = np.asarray(t.below), np.asarray(t.above)
-            node = np.zeros(len(x), dtype=int)
-            while (feature[node] >= 0).any():
-                f = np.maximum(feature[node], 0)
-                node = np.where(x[row, f] <= cut[node], below[node], above[node])
-            total += np.asarray(t.depth)[node]
-        mean = total / len(right)
-        sample = float(right["sample"].iloc[0])
-        left[output] = 2.0 ** (-mean / float(expected_depth(sample))) - 0.5
+        nodes = [np.stack(right[c].to_numpy()) for c in ("feature", "cut", "depth")]
+        scale = float(expected_depth(float(right["sample"].iloc[0])))
+        left[output] = 2.0 ** (-_mean_depth(x, *nodes) / scale) - 0.5
         return left[names]
 
     return (
-        sliced.groupBy(*keys, "_slice")
-        .cogroup(models.groupBy(*own))
+        spread_work(sliced, *keys, "_slice")
+        .groupBy(*keys, "_slice")
+        .cogroup(spread_work(models, *own).groupBy(*own))
         .applyInPandas(score, schema)
     )

@@ -101,7 +101,7 @@ class Detectors:
             "calibration",
             "evaluation",
             F.lit(0).alias("model_cycle"),
-            F.round(total / len(self.study.features_list), 6).alias("row_score"),
+            F.round(total / len(self.study.features_list), 4).alias("row_score"),
         )
 
     def distance_scores(self) -> tuple[DataFrame, DataFrame]:
