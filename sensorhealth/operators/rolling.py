@@ -4,30 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..params import AGGREGATIONS
 from .slices import carried, with_halo
 
 
-def rolling_aggregate(channel: str, aggregation: str, frame) -> Column:
-    """One framed aggregate; nulls are skipped, as in a rolling frame with one required row."""
+def window_sums(channel: str, frame, centre: Column) -> dict[str, Column]:
+    """Framed sums that the moment features share; powers are taken around ``centre``.
+
+    Plain sums are far cheaper to re-aggregate per frame than central moments, and a centre close
+    to the data keeps the powers from cancelling.
+    """
+    x = F.col(channel)
+    y = x - centre
+    return {
+        f"_n_{channel}": F.count(x).over(frame),
+        f"_s_{channel}": F.sum(x).over(frame),
+        f"_s1_{channel}": F.sum(y).over(frame),
+        f"_s2_{channel}": F.sum(y * y).over(frame),
+        f"_s3_{channel}": F.sum(y * y * y).over(frame),
+        f"_lo_{channel}": F.min(x).over(frame),
+        f"_hi_{channel}": F.max(x).over(frame),
+    }
+
+
+# Which shared sums each aggregation reads.
+NEEDS = {
+    "mean": ("n", "s"),
+    "median": ("mid",),
+    "std": ("n", "s1", "s2", "lo", "hi"),
+    "skew": ("n", "s1", "s2", "s3", "lo", "hi"),
+    "min": ("lo",),
+    "max": ("hi",),
+}
+
+
+def rolling_aggregate(channel: str, aggregation: str) -> Column:
+    """One feature from the shared sums; nulls are skipped and one observation suffices.
+
+    The sample standard deviation needs two observations, the bias-adjusted skewness three; both
+    are 0 where all observations are equal.
+    """
+    part = lambda name: F.col(f"_{name}_{channel}")
     if aggregation == "mean":
-        return F.avg(channel).over(frame)
+        return F.when(part("n") > 0, part("s") / part("n"))
     if aggregation == "median":
-        return F.percentile(F.col(channel), F.lit(0.5)).over(frame)
-    if aggregation == "std":
-        return F.stddev_samp(channel).over(frame)
-    if aggregation == "skew":
-        n = F.count(channel).over(frame)
-        flat = F.min(channel).over(frame) == F.max(channel).over(frame)
-        shape = F.skewness(channel).over(frame) * F.sqrt(n * (n - 1)) / (n - 2)
-        return F.when(n >= 3, F.when(flat, F.lit(0.0)).otherwise(shape))
+        return part("mid")
     if aggregation == "min":
-        return F.min(channel).over(frame)
+        return part("lo")
     if aggregation == "max":
-        return F.max(channel).over(frame)
+        return part("hi")
+    n = part("n").cast("double")
+    flat = part("lo") == part("hi")
+    shift = part("s1") / n
+    squares = part("s2") - part("s1") * shift
+    if aggregation == "std":
+        spread = F.sqrt(F.greatest(F.lit(0.0), squares / (n - 1)))
+        return F.when(n >= 2, F.when(flat, F.lit(0.0)).otherwise(spread))
+    if aggregation == "skew":
+        cubes = part("s3") - 3 * shift * part("s2") + 2 * n * shift * shift * shift
+        shape = (cubes / n) / F.pow(squares / n, 1.5) * F.sqrt(n * (n - 1)) / (n - 2)
+        return F.when(
+            n >= 3, F.when(flat, F.lit(0.0)).otherwise(F.when(squares > 0, shape))
+        )
     raise ValueError(f"unknown rolling aggregation {aggregation!r}")
 
 
@@ -53,25 +97,53 @@ def rolling_features(
     """
     narrow = df.select(*keys, us, slice_col, *others, *channels)
     copies = with_halo(narrow, us, slice_col, width, F.lit(window_us - 1))
-    frame = Window.partitionBy(*keys, slice_col).orderBy(us).rangeBetween(-(window_us - 1), 0)
-    return (
-        copies.select(
-            *keys,
-            us,
-            slice_col,
-            "_halo",
-            *others,
-            *[
-                rolling_aggregate(c, a, frame).alias(f"{c}__{a}")
-                for c in channels
-                for a in aggregations
-            ],
+    whole = Window.partitionBy(*keys, slice_col)
+    frame = whole.orderBy(us).rangeBetween(-(window_us - 1), 0)
+    needed = {part for a in aggregations for part in NEEDS[a]}
+    sums = {
+        name: column
+        for c in channels
+        for name, column in window_sums(c, frame, F.col(f"_centre_{c}")).items()
+        if name.removesuffix(f"_{c}").removeprefix("_") in needed
+    }
+    centred = copies.select("*", *[F.avg(c).over(whole).alias(f"_centre_{c}") for c in channels])
+    rolled = centred.select(*copies.columns, *[c.alias(n) for n, c in sums.items()])
+    if "median" in aggregations:
+        # Same grouping as the windows above, so this adds no shuffle.
+        schema = T.StructType(
+            [*rolled.schema, *[T.StructField(f"_mid_{c}", T.DoubleType()) for c in channels]]
+        )
+        rolled = rolled.groupBy(*keys, slice_col).applyInArrow(
+            rolling_medians(us, channels, window_us), schema
         )
-        .filter(~F.col("_halo"))
-        .drop("_halo")
+    return rolled.filter(~F.col("_halo")).select(
+        *keys,
+        us,
+        slice_col,
+        *others,
+        *[rolling_aggregate(c, a).alias(f"{c}__{a}") for c in channels for a in aggregations],
     )
 
 
+def rolling_medians(us: str, channels: Sequence[str], window_us: int):
+    """Per slice: rolling medians of the channels as extra columns.
+
+    A framed ``percentile`` sorts every frame anew; keeping the frame ordered while it moves makes
+    the cost per row logarithmic in the rows of a window.
+    """
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by(us)
+        values = table.select(list(channels)).to_pandas()
+        values.index = pd.to_datetime(table[us].to_numpy(), unit="us")
+        medians = values.rolling(pd.Timedelta(window_us, "us"), min_periods=1).median()
+        for c in channels:
+            table = table.append_column(f"_mid_{c}", pa.array(medians[c], from_pandas=True))
+        return table
+
+    return add
+
+
 def forward_fill(
     df: DataFrame, keys: Sequence[str], us: str, slice_col: str, columns: Sequence[str]
 ) -> DataFrame:

@@ -57,3 +57,8 @@ def prepared(spark: SparkSession, directory: str) -> Prepared:
     if key not in _known or _known[key][0] != mark:
         _known[key] = (mark, fresh)
     return _known[key][1]
+
+
+def forget() -> None:
+    """Drop every prepared study, so that the next query starts from the input tables."""
+    _known.clear()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,12 +80,18 @@ def require_channels(df: DataFrame, channels: Sequence[str]) -> None:
         raise ValueError(f"input is missing required channels: {missing}")
 
 
+def number(expression: str) -> Column:
+    """Double, or null where the text is no number or reads as NaN."""
+    value = F.expr(f"try_cast({expression} AS DOUBLE)")
+    return F.when(~F.isnan(value), value)
+
+
 def coerce_channels(df: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Numeric coercion; unreadable values become missing."""
     require_channels(df, channels)
     return df.select(
         *[
-            F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) if c in channels else F.col(c)
+            number(f"`{c}`").alias(c) if c in channels else F.col(c)
             for c in df.columns
         ]
     )
@@ -134,8 +140,8 @@ def sensor_adapter(events: DataFrame) -> DataFrame:
         (F.col("user_id") % 8).alias("asset_id"),
         "ts",
         micros("ts").alias("us"),
-        "value",
-        F.expr("try_cast(get_json_object(props, '$.k') AS DOUBLE)").alias("k"),
+        number("value").alias("value"),
+        number("get_json_object(props, '$.k')").alias("k"),
         (F.col("event_type") == "error").cast("double").alias("is_error"),
     )
 
