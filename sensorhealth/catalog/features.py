@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import rolling
-from ..operators.slices import floor_div
 from ..params import AGGREGATIONS
 from ..session import materialize
 from . import query, tidy
@@ -14,9 +11,8 @@ from .oracle import FEATURES, P, SENSOR_BINARY, SENSOR_CHANNELS, sql
 
 def one_aggregation(p, aggregation: str):
     s = p.study
-    blocks = s.base.withColumn("slice", floor_div(F.col("us"), s.block_us))
     rolled = rolling.rolling_features(
-        blocks, ["asset_id"], "us", "slice", s.block_us, s.channels, P.rolling_us, [aggregation]
+        s.base, ["asset_id"], "us", "slice", s.slice_us, s.channels, P.rolling_us, [aggregation]
     )
     return tidy(rolled.drop("slice"))
 
@@ -39,10 +35,9 @@ SPREADS = [f for f in FEATURES if f.endswith(("__std", "__skew"))]
 
 def rolled_spreads(p):
     s = p.study
-    blocks = s.base.withColumn("slice", floor_div(F.col("us"), s.block_us))
     return materialize(
         rolling.rolling_features(
-            blocks, ["asset_id"], "us", "slice", s.block_us, s.channels, P.rolling_us, ["std", "skew"]
+            s.base, ["asset_id"], "us", "slice", s.slice_us, s.channels, P.rolling_us, ["std", "skew"]
         ),
         "spreads",
     )
@@ -54,14 +49,15 @@ def rounded(columns, table: str) -> str:
 
 @query("f7_forward_fill", sql(rounded(SPREADS, "forward")))
 def f7(p):
-    filled = rolling.forward_fill(rolled_spreads(p), ["asset_id"], "us", "slice", SPREADS)
+    filled = rolling.fill_series(
+        rolled_spreads(p), ["asset_id"], "us", "slice", SPREADS, backward=False
+    )
     return tidy(filled.select("asset_id", "us", *SPREADS))
 
 
 @query("f8_back_fill", sql(rounded(SPREADS, "feats")))
 def f8(p):
-    filled = rolling.forward_fill(rolled_spreads(p), ["asset_id"], "us", "slice", SPREADS)
-    full = rolling.back_fill(filled, ["asset_id"], "us", SPREADS)
+    full = rolling.fill_series(rolled_spreads(p), ["asset_id"], "us", "slice", SPREADS)
     return tidy(full.select("asset_id", "us", *SPREADS))
 
 

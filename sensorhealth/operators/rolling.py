@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,29 +12,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import AGGREGATIONS
-from .slices import carried, with_halo
+from .slices import carried, floor_div
 
 
-def window_sums(channel: str, frame, centre: Column) -> dict[str, Column]:
-    """Framed sums that the moment features share; powers are taken around ``centre``.
+PARTS = ("n", "s", "s1", "s2", "s3", "lo", "hi")
 
-    Plain sums are far cheaper to re-aggregate per frame than central moments, and a centre close
-    to the data keeps the powers from cancelling.
+
+def channel_parts(channel: str, frame, centre: Column) -> list[Column]:
+    """Mergeable aggregates of one channel over a frame, in ``PARTS`` order.
+
+    Powers are taken around ``centre``, the mean of the series, to keep them from cancelling.
     """
     x = F.col(channel)
     y = x - centre
-    return {
-        f"_n_{channel}": F.count(x).over(frame),
-        f"_s_{channel}": F.sum(x).over(frame),
-        f"_s1_{channel}": F.sum(y).over(frame),
-        f"_s2_{channel}": F.sum(y * y).over(frame),
-        f"_s3_{channel}": F.sum(y * y * y).over(frame),
-        f"_lo_{channel}": F.min(x).over(frame),
-        f"_hi_{channel}": F.max(x).over(frame),
-    }
+    zero = F.lit(0.0)
+    return [
+        F.count(x).over(frame).cast("double"),
+        F.coalesce(F.sum(x).over(frame), zero),
+        F.coalesce(F.sum(y).over(frame), zero),
+        F.coalesce(F.sum(y * y).over(frame), zero),
+        F.coalesce(F.sum(y * y * y).over(frame), zero),
+        F.min(x).over(frame),
+        F.max(x).over(frame),
+    ]
 
 
-# Which shared sums each aggregation reads.
+# Which parts each aggregation reads.
 NEEDS = {
     "mean": ("n", "s"),
     "median": ("mid",),
@@ -45,7 +49,7 @@ NEEDS = {
 
 
 def rolling_aggregate(channel: str, aggregation: str) -> Column:
-    """One feature from the shared sums; nulls are skipped and one observation suffices.
+    """One feature from the merged parts; nulls are skipped and one observation suffices.
 
     The sample standard deviation needs two observations, the bias-adjusted skewness three; both
     are 0 where all observations are equal.
@@ -59,7 +63,7 @@ def rolling_aggregate(channel: str, aggregation: str) -> Column:
         return part("lo")
     if aggregation == "max":
         return part("hi")
-    n = part("n").cast("double")
+    n = part("n")
     flat = part("lo") == part("hi")
     shift = part("s1") / n
     squares = part("s2") - part("s1") * shift
@@ -90,33 +94,105 @@ def rolling_features(
     aggregations: Sequence[str] = AGGREGATIONS,
     others: Sequence[str] = (),
 ) -> DataFrame:
-    """Time-left-open rolling aggregates ``(t - window, t]``, computed per slice with a halo.
+    """Time-left-open rolling aggregates ``(t - window, t]``, linear in the rows.
 
-    Rows are copied at most ``ceil(window / width)`` times, so ``width`` should not be smaller
-    than the window. ``others`` are passed through.
+    Time is cut into blocks as long as the window, so a window is the tail of one block and the
+    head of the next. Heads are running aggregates. Every row also leaves a mark at
+    ``t + window``, where it drops out of the window, that holds what then remains of its block;
+    the latest mark before a row is the tail of its window. Heads and tails are merged, never
+    subtracted, and no frame is evaluated row by row, however many rows a window holds.
+
+    Work is spread by ``slice_col``, a whole number of blocks close to ``width`` microseconds;
+    ``others`` are passed through.
     """
-    narrow = df.select(*keys, us, slice_col, *others, *channels)
-    copies = with_halo(narrow, us, slice_col, width, F.lit(window_us - 1))
-    whole = Window.partitionBy(*keys, slice_col)
-    frame = whole.orderBy(us).rangeBetween(-(window_us - 1), 0)
-    needed = {part for a in aggregations for part in NEEDS[a]}
-    sums = {
-        name: column
-        for c in channels
-        for name, column in window_sums(c, frame, F.col(f"_centre_{c}")).items()
-        if name.removesuffix(f"_{c}").removeprefix("_") in needed
-    }
-    centred = copies.select("*", *[F.avg(c).over(whole).alias(f"_centre_{c}") for c in channels])
-    rolled = centred.select(*copies.columns, *[c.alias(n) for n, c in sums.items()])
-    if "median" in aggregations:
-        # Same grouping as the windows above, so this adds no shuffle.
-        schema = T.StructType(
-            [*rolled.schema, *[T.StructField(f"_mid_{c}", T.DoubleType()) for c in channels]]
+    blocks = max(1, width // window_us)
+    used = [p for p in PARTS if any(p in NEEDS[a] for a in aggregations)]
+    centres = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_centre_{c}") for c in channels])
+    rows = (
+        df.select(*keys, us, *others, *channels)
+        .withColumn("_block", floor_div(F.col(us), window_us))
+        .withColumn(slice_col, floor_div(F.col("_block"), blocks))
+        .join(centres, list(keys))
+        .repartition(*keys, slice_col)
+    )
+    block = Window.partitionBy(*keys, slice_col, "_block")
+    head = block.orderBy(us).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = block.orderBy(F.col(us).desc())
+    tail = rest.rowsBetween(Window.unboundedPreceding, -1)
+
+    def parts(frame) -> Column:
+        chosen = [
+            part
+            for c in channels
+            for name, part in zip(PARTS, channel_parts(c, frame, F.col(f"_centre_{c}")), strict=True)
+            if name in used
+        ]
+        return F.array(*chosen) if chosen else F.expr("cast(array() as array<double>)")
+
+    staged = rows.select(
+        *keys,
+        us,
+        *others,
+        *channels,
+        "_block",
+        parts(head).alias("_head"),
+        parts(tail).alias("_tail"),
+        (F.row_number().over(rest) == 1).alias("_closing"),
+    )
+
+    def mark(shift: int, at: Column, kind: int, part: str) -> Column:
+        return F.struct(
+            (F.col("_block") + shift).alias("_block"),
+            at.alias("_at"),
+            F.lit(kind).alias("_kind"),
+            F.col(part).alias("_part"),
         )
+
+    opening = (F.col("_block") + 1) * window_us
+    marks = F.array(
+        mark(0, F.col(us), ROW, "_head"),
+        mark(1, F.col(us) + window_us, LEAVES, "_tail"),
+        F.when(F.col("_closing"), mark(1, opening, OPENS, "_head")),
+    )
+    placed = staged.select(
+        *keys, *others, *channels, F.explode(F.array_compact(marks)).alias("_m")
+    ).select(
+        *keys,
+        *[F.when(F.col("_m._kind") == ROW, F.col(c)).alias(c) for c in others],
+        *[F.when(F.col("_m._kind") != OPENS, F.col(c)).alias(c) for c in channels],
+        "_m.*",
+        floor_div(F.col("_m._block"), blocks).alias(slice_col),
+    )
+    so_far = (
+        Window.partitionBy(*keys, slice_col, "_block")
+        .orderBy("_at", "_kind")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    latest = F.last(F.when(F.col("_kind") != ROW, F.col("_part")), ignorenulls=True).over(so_far)
+    rolled = placed.repartition(*keys, slice_col).withColumn("_old", latest)
+    medians = []
+    if "median" in aggregations:
+        # Same grouping as the window above, so this adds no shuffle.
+        medians = [f"_mid_{c}" for c in channels]
+        schema = T.StructType([*rolled.schema, *[T.StructField(m, T.DoubleType()) for m in medians]])
         rolled = rolled.groupBy(*keys, slice_col).applyInArrow(
-            rolling_medians(us, channels, window_us), schema
+            rolling_medians(channels, window_us, blocks), schema
         )
-    return rolled.filter(~F.col("_halo")).select(
+    merged = rolled.filter(F.col("_kind") == ROW).select(
+        *keys,
+        F.col("_at").alias(us),
+        slice_col,
+        *others,
+        *medians,
+        *[
+            merge_part(name, F.get("_part", F.lit(i * len(used) + j)), F.get("_old", F.lit(i * len(used) + j))).alias(
+                f"_{name}_{c}"
+            )
+            for i, c in enumerate(channels)
+            for j, name in enumerate(used)
+        ],
+    )
+    return merged.select(
         *keys,
         us,
         slice_col,
@@ -125,66 +201,86 @@ def rolling_features(
     )
 
 
-def rolling_medians(us: str, channels: Sequence[str], window_us: int):
+# Order of marks at the same instant: the opening of a block, rows that leave, rows that enter.
+OPENS, LEAVES, ROW = -1, 0, 1
+
+
+def merge_part(name: str, head: Column, tail: Column) -> Column:
+    if name == "lo":
+        return F.least(head, tail)
+    if name == "hi":
+        return F.greatest(head, tail)
+    return head + F.coalesce(tail, F.lit(0.0))
+
+
+def rolling_medians(channels: Sequence[str], window_us: int, blocks: int):
     """Per slice: rolling medians of the channels as extra columns.
 
     A framed ``percentile`` sorts every frame anew; keeping the frame ordered while it moves makes
-    the cost per row logarithmic in the rows of a window.
+    the cost per row logarithmic in the rows of a window. Rows of the block before the slice are
+    present as their leaving marks.
     """
 
     def add(table: pa.Table) -> pa.Table:
-        table = table.sort_by(us)
-        values = table.select(list(channels)).to_pandas()
-        values.index = pd.to_datetime(table[us].to_numpy(), unit="us")
-        medians = values.rolling(pd.Timedelta(window_us, "us"), min_periods=1).median()
+        kind = table["_kind"].to_numpy()
+        first_block = (table["_block"].to_numpy() // blocks) * blocks == table["_block"].to_numpy()
+        entered = table["_at"].to_numpy() - np.where(kind == ROW, 0, window_us)
+        use = np.flatnonzero((kind == ROW) | ((kind == LEAVES) & first_block))
+        use = use[np.argsort(entered[use], kind="stable")]
+        values = table.select(list(channels)).take(use).to_pandas()
+        values.index = pd.to_datetime(entered[use], unit="us")
+        rolled = values.rolling(pd.Timedelta(window_us, "us"), min_periods=1).median()
         for c in channels:
-            table = table.append_column(f"_mid_{c}", pa.array(medians[c], from_pandas=True))
+            column = np.full(len(kind), np.nan)
+            column[use] = rolled[c].to_numpy()
+            table = table.append_column(f"_mid_{c}", pa.array(column, from_pandas=True))
         return table
 
     return add
 
 
-def forward_fill(
-    df: DataFrame, keys: Sequence[str], us: str, slice_col: str, columns: Sequence[str]
+def fill_series(
+    df: DataFrame,
+    keys: Sequence[str],
+    us: str,
+    slice_col: str,
+    columns: Sequence[str],
+    *,
+    backward: bool = True,
 ) -> DataFrame:
-    """Last known value of each column, carried across slices."""
+    """Forward fill across slices, then (with ``backward``) back fill.
+
+    After a forward fill only rows before the first known value of a series are still empty, so
+    back filling needs that one value per series and no reversed window.
+    """
     local = (
         Window.partitionBy(*keys, slice_col)
         .orderBy(us)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    border = carried(
-        df,
-        keys,
-        slice_col,
-        {f"_{c}": F.max_by(c, F.when(F.col(c).isNotNull(), F.col(us))) for c in columns},
-        {f"_{c}": (lambda w, e, c=c: F.last(f"_{c}", ignorenulls=True).over(e)) for c in columns},
-    )
+    known = {c: F.when(F.col(c).isNotNull(), F.col(us)) for c in columns}
+    summary = {f"_l_{c}": F.max_by(c, known[c]) for c in columns}
+    carry = {
+        f"_l_{c}": (lambda w, e, c=c: F.last(f"_l_{c}", ignorenulls=True).over(e)) for c in columns
+    }
+    if backward:
+        summary |= {f"_f_{c}": F.min_by(c, known[c]) for c in columns}
+        carry |= {
+            f"_f_{c}": (
+                lambda w, e, c=c: F.first(f"_f_{c}", ignorenulls=True).over(
+                    w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+                )
+            )
+            for c in columns
+        }
+    border = carried(df, keys, slice_col, summary, carry)
     filled = df.select(
         *[c for c in df.columns if c not in columns],
         *[F.last(c, ignorenulls=True).over(local).alias(c) for c in columns],
     )
+    sources = lambda c: [c, f"_l_{c}", *([f"_f_{c}"] if backward else [])]
     return filled.join(border, [*keys, slice_col], "left").select(
-        *[
-            F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in columns else F.col(c)
-            for c in df.columns
-        ]
-    )
-
-
-def back_fill(df: DataFrame, keys: Sequence[str], us: str, columns: Sequence[str]) -> DataFrame:
-    """Fill what a forward fill leaves: only rows before the first known value of a series.
-
-    That value is one number per key, so no reversed window is needed.
-    """
-    first = df.groupBy(*keys).agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(us))).alias(f"_{c}") for c in columns]
-    )
-    return df.join(first, list(keys), "left").select(
-        *[
-            F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in columns else F.col(c)
-            for c in df.columns
-        ]
+        *[F.coalesce(*sources(c)).alias(c) if c in columns else F.col(c) for c in df.columns]
     )
 
 

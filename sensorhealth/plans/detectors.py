@@ -34,7 +34,7 @@ from ..operators.reconstruction import (
 )
 from ..operators.runs import label_runs, over_sequence
 from ..session import materialize
-from .study import Study
+from .study import LABELS, Study
 
 MODEL = ["asset_id", "model_cycle"]
 COLUMNS = ["workflow_id", "asset_id", "model_cycle", "us", "anomaly_score"]
@@ -50,13 +50,8 @@ class Detectors:
     @cached_property
     def rows(self) -> DataFrame:
         """Scaled features as one array next to the population labels."""
-        labels = [
-            c
-            for c in self.study.timeline.columns
-            if c not in ("ts", "slice", "base_ord", *self.study.channels)
-        ]
         return self.study.scaled.select(
-            *labels, "slice", F.array(*self.study.features_list).alias("features")
+            "asset_id", "us", "slice", *LABELS, F.array(*self.study.features_list).alias("features")
         )
 
     def anchor_rows(self, labels: list[str]) -> tuple[DataFrame, DataFrame]:

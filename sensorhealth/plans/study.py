@@ -16,10 +16,9 @@ from ..operators.calendar import cycle_plan
 from ..operators.populations import label_populations, series_stats
 from ..operators.rolling import (
     apply_scaler,
-    back_fill,
     feature_names,
+    fill_series,
     fit_scaler,
-    forward_fill,
     rolling_features,
 )
 from ..operators.runs import median_gap
@@ -31,6 +30,23 @@ from ..sources.telemetry import SENSOR_BINARY, SENSOR_CHANNELS, sensor_adapter
 
 ASSET = ["asset_id"]
 GROUP_ROWS = 200_000
+# Timeline columns that scaling and scoring read next to the features.
+LABELS = [
+    "gap_us",
+    "phase",
+    "baseline",
+    "baseline_train",
+    "cycle_id",
+    "update_cycle",
+    "base_run",
+    "base_pos",
+    "src_run",
+    "src_pos",
+    "upd_run",
+    "upd_pos",
+    "calibration",
+    "evaluation",
+]
 
 
 class Study:
@@ -68,11 +84,6 @@ class Study:
     def sliced(self) -> DataFrame:
         return self.base.withColumn("slice", floor_div(F.col("us"), self.slice_us))
 
-    @cached_property
-    def block_us(self) -> int:
-        """Slice width for frames that look back one rolling window."""
-        return max(self.slice_us, self.params.rolling_us)
-
     @cached_property
     def stats(self) -> DataFrame:
         """Per asset: first and last row, row count and median sampling gap."""
@@ -106,22 +117,20 @@ class Study:
     def with_features(self, rows: DataFrame) -> DataFrame:
         """Filled rolling features next to every other column of ``rows``."""
         others = [c for c in rows.columns if c not in ("slice", *ASSET, "us", *self.channels)]
-        blocks = rows.withColumn("slice", floor_div(F.col("us"), self.block_us))
         rolled = materialize(
             rolling_features(
-                blocks,
+                rows,
                 ASSET,
                 "us",
                 "slice",
-                self.block_us,
+                self.slice_us,
                 self.channels,
                 self.params.rolling_us,
                 others=others,
             ),
             "rolled",
         )
-        forward = forward_fill(rolled, ASSET, "us", "slice", self.features_list)
-        filled = back_fill(forward, ASSET, "us", self.features_list).drop("slice")
+        filled = fill_series(rolled, ASSET, "us", "slice", self.features_list).drop("slice")
         return filled.withColumn("slice", floor_div(F.col("us"), self.slice_us))
 
     @cached_property
@@ -132,7 +141,8 @@ class Study:
     @cached_property
     def feature_table(self) -> DataFrame:
         """Labelled timeline with features."""
-        return materialize(self.with_features(self.timeline), "features")
+        rows = self.timeline.select(*ASSET, "us", *LABELS, *self.channels)
+        return materialize(self.with_features(rows), "features")
 
     @cached_property
     def scaler(self) -> DataFrame:

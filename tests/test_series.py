@@ -140,8 +140,7 @@ def test_fills_cross_slices(spark, width):
     frame = random_series(7).drop(columns="flag")
     frame["y"] = frame["x"].where(frame["x"] > 6.5)
     rows = sliced(spark, frame, width).withColumn("y", F.when(~F.isnan("y"), F.col("y")))
-    forward = rolling.forward_fill(rows, ["asset_id"], "us", "slice", ["y"])
-    got = rolling.back_fill(forward, ["asset_id"], "us", ["y"]).toPandas()
+    got = rolling.fill_series(rows, ["asset_id"], "us", "slice", ["y"]).toPandas()
     got = got.sort_values(["asset_id", "us"])
     expected = frame.groupby("asset_id")["y"].transform(lambda s: s.ffill().bfill())
     np.testing.assert_allclose(got["y"], expected)

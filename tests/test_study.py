@@ -291,7 +291,7 @@ def test_greedy_match_against_a_naive_loop(spark, seed):
 
 def test_prepared_populations(study):
     assert len(study.features_list) == 90
-    rows = study.feature_table
+    rows = study.timeline
     counts = rows.agg(
         F.count_if("baseline_train").alias("train"),
         F.count_if(F.col("evaluation") & F.col("post_train")).alias("overlap"),
