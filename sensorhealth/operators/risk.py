@@ -104,12 +104,13 @@ def threshold_sweep(
     thresholds: Sequence[float],
     params: StudyParams,
     width: int,
+    event_limit: int,
 ) -> DataFrame:
     """Alarm counts and event scores per workflow, asset and threshold.
 
     ``predictions`` has ``workflow_id, asset_id, us, maintenance_risk`` and ``linked`` (the
     previous timeline row is also an evaluated row of the same run); ``grid`` lists every
-    ``workflow_id, asset_id``.
+    ``workflow_id, asset_id``; no asset has more than ``event_limit`` events.
 
     A row opens an alarm interval for the thresholds between its predecessor's risk and its own,
     and closes one likewise towards its successor. Rows are therefore reduced to how many
@@ -148,49 +149,77 @@ def threshold_sweep(
         )
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    theta = F.posexplode(F.array(*[F.lit(t) for t in thresholds])).alias("_i", "theta")
-    listed = grid.select(*keys, theta)
-    reached = F.col("_k") > F.col("_i")
-    opens = F.when(reached & (F.col("_kp") <= F.col("_i")), F.col("_rows")).otherwise(0)
-    closes = F.when(reached & (F.col("_kn") <= F.col("_i")), F.col("_rows")).otherwise(0)
-    full = listed.join(shape, keys, "left")
-    totals = full.groupBy(*keys, "theta").agg(
-        F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_points"),
-        F.coalesce(F.sum(F.when(reached, F.col("_rows"))), F.lit(0)).alias("alarm_points"),
-        F.coalesce(F.sum(opens), F.lit(0)).alias("intervals"),
-    )
-    ordinals = events.select("asset_id", "ordinal")
-    spans = (
-        full.join(ordinals, "asset_id")
-        .groupBy(*keys, "theta", "ordinal")
-        .agg(
-            F.coalesce(
-                F.sum(F.when(F.col("_closed") < F.col("ordinal"), closes)), F.lit(0)
-            ).alias("before"),
-            F.coalesce(
-                F.sum(F.when(F.col("_opened") < F.col("ordinal"), opens)), F.lit(0)
-            ).alias("hi"),
+    # Levels are 1-based positions in the grid; a row contributes to the levels it reaches.
+    def levels(above: str, kind: str, slot: Column) -> Column:
+        return F.when(
+            F.col("_k") > F.col(above),
+            F.transform(
+                F.sequence(F.col(above) + 1, F.col("_k")),
+                lambda i: F.struct(
+                    i.alias("level"), F.lit(kind).alias("kind"), slot.alias("slot")
+                ),
+            ),
+        )
+
+    contributions = F.flatten(
+        F.array_compact(
+            F.array(
+                levels("_none", "point", F.lit(0)),
+                levels("_kp", "open", F.col("_opened")),
+                levels("_kn", "close", F.col("_closed")),
+            )
         )
-        .groupBy(*keys, "theta")
-        .agg(F.array_sort(F.collect_list(F.struct("ordinal", "before", "hi"))).alias("_spans"))
     )
-    matched = F.expr(
-        """aggregate(_spans, struct(cast(0 as bigint) as last, cast(0 as bigint) as tp),
-             (a, s) -> if(greatest(s.before + 1, a.last + 1) <= s.hi,
-                          struct(greatest(s.before + 1, a.last + 1) as last, a.tp + 1 as tp),
-                          a),
-             a -> a.tp)"""
+    spread = (
+        shape.withColumn("_none", F.lit(0))
+        .select(*keys, "_rows", F.explode(contributions).alias("c"))
+        .select(*keys, "_rows", "c.*")
     )
-    return totals.join(spans, [*keys, "theta"], "left").select(
-        *keys,
-        "theta",
-        F.coalesce(matched, F.lit(0)).alias("tp"),
-        (F.col("intervals") - F.coalesce(matched, F.lit(0))).alias("fp"),
-        (F.coalesce(F.size("_spans"), F.lit(0)) - F.coalesce(matched, F.lit(0)))
-        .cast("bigint")
-        .alias("fn"),
-        "alarm_points",
-        "total_points",
+
+    def total(kind: str, before: int | None = None) -> Column:
+        chosen = F.col("kind") == kind
+        if before is not None:
+            chosen = chosen & (F.col("slot") < before)
+        return F.coalesce(F.sum(F.when(chosen, F.col("_rows"))), F.lit(0))
+
+    spans = [
+        F.struct(total("close", j).alias("before"), total("open", j).alias("hi"))
+        for j in range(1, event_limit + 1)
+    ]
+    per_level = spread.groupBy(*keys, "level").agg(
+        total("point").alias("alarm_points"),
+        total("open").alias("intervals"),
+        F.array(*spans).alias("_spans"),
+    )
+    points = shape.groupBy(*keys).agg(F.sum("_rows").alias("total_points"))
+    expected = events.groupBy("asset_id").agg(F.count(F.lit(1)).alias("_events"))
+    theta = F.posexplode(F.array(*[F.lit(t) for t in thresholds])).alias("_i", "theta")
+    listed = grid.select(*keys, theta).withColumn("level", F.col("_i") + 1)
+    matched = F.coalesce(
+        F.expr(
+            """aggregate(slice(_spans, 1, cast(_events as int)),
+                 struct(cast(0 as bigint) as last, cast(0 as bigint) as tp),
+                 (a, s) -> if(greatest(s.before + 1, a.last + 1) <= s.hi,
+                              struct(greatest(s.before + 1, a.last + 1) as last, a.tp + 1 as tp),
+                              a),
+                 a -> a.tp)"""
+        ),
+        F.lit(0),
+    )
+    zero = F.lit(0).cast("bigint")
+    return (
+        listed.join(expected, "asset_id", "left")
+        .join(per_level, [*keys, "level"], "left")
+        .join(points, keys, "left")
+        .select(
+            *keys,
+            "theta",
+            matched.alias("tp"),
+            (F.coalesce("intervals", zero) - matched).alias("fp"),
+            (F.coalesce("_events", zero) - matched).alias("fn"),
+            F.coalesce("alarm_points", zero).alias("alarm_points"),
+            F.coalesce("total_points", zero).alias("total_points"),
+        )
     )
 
 

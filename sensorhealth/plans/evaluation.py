@@ -114,6 +114,7 @@ class Evaluation:
             self.thresholds,
             self.params,
             self.study.slice_us,
+            self.event_limit,
         )
 
     @cached_property

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.candidates import LEDGER_KEY
@@ -12,8 +12,15 @@ from ..operators.candidates import LEDGER_KEY
 
 def new_candidates(ledger: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows whose key is not in the ledger; the first row of a repeated key wins."""
-    first = Window.partitionBy(*LEDGER_KEY).orderBy("created_at", "id")
-    once = incoming.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
+    # Copies of a key are merged before the shuffle, however many there are.
+    rest = [c for c in incoming.columns if c not in LEDGER_KEY]
+    first = F.min_by(F.struct(*rest), F.struct("created_at", "id"))
+    once = (
+        incoming.groupBy(*LEDGER_KEY)
+        .agg(first.alias("_row"))
+        .select(*LEDGER_KEY, "_row.*")
+        .select(*incoming.columns)
+    )
     return once.join(ledger.select(*LEDGER_KEY), list(LEDGER_KEY), "left_anti")
 
 

@@ -210,7 +210,7 @@ def test_sweep_and_operating_point(spark):
     thetas = grids.theta_list(params.theta_grid, ())
     assert thetas == [0.1, 0.5, 0.9]
     sweep = fleet_sweep(
-        threshold_sweep(rows, grid, event, thetas, params, 7 * MINUTE_US), params
+        threshold_sweep(rows, grid, event, thetas, params, 7 * MINUTE_US, 1), params
     )
     selected = operating_point(sweep, params)
     best = selected.collect()[0]
@@ -250,7 +250,7 @@ def test_sweep_counts_match_a_naive_loop(spark, seed):
     )
     grid = spark.createDataFrame([("w", 0)], "workflow_id string, asset_id bigint")
     thetas = grids.theta_list(params.theta_grid, params.extra_thresholds)
-    got = threshold_sweep(rows, grid, event, thetas, params, 11 * MINUTE_US).collect()
+    got = threshold_sweep(rows, grid, event, thetas, params, 11 * MINUTE_US, 6).collect()
     assert len(got) == len(thetas)
     for r in got:
         intervals, previous = [], False
