@@ -62,7 +62,7 @@ AUROC = """SELECT workflow_id, cycle_id, count(*) FILTER (phase = 1) AS positive
                       END END) AS normal_high_risk_rate
            FROM (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY workflow_id, cycle_id,
                         maintenance_risk) - 1) / 2 AS rk
-                 FROM predictions WINDOW w AS (PARTITION BY workflow_id, cycle_id
+                 FROM predictions WHERE maintenance_risk IS NOT NULL WINDOW w AS (PARTITION BY workflow_id, cycle_id
                                                ORDER BY maintenance_risk))
            GROUP BY workflow_id, cycle_id""".format(limit=P.alarm_burden_threshold)
 

@@ -50,7 +50,7 @@ def m3(p):
     p.detectors.forest(STATIC).write.partitionBy("model_cycle").parquet(path)
     forest = p.spark.read.parquet(path).select(*MODEL, "tree", "sample", *NODES)
     calibration, _ = p.detectors.model_rows(p.detectors.lineage("iforest_static", STATIC), ["features"])
-    scored = score_forest(calibration, forest, MODEL, "us", "features", p.study.group_us)
+    scored = score_forest(calibration.filter("features IS NOT NULL"), forest, MODEL, "us", "features", p.study.group_us)
     return tidy(scored)
 
 

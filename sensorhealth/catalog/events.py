@@ -41,11 +41,12 @@ def e3(p):
     "e4_population_minutes",
     sql(
         """SELECT asset_id, evaluation_rows, round(sample_minutes, 6) AS sample_minutes,
-                  round(evaluated_minutes, 6) AS evaluated_minutes FROM minutes"""
+                  round(evaluated_minutes, 4) AS evaluated_minutes FROM minutes"""
     ),
 )
 def e4(p):
-    return tidy(ev.evaluated_minutes(p.study.timeline, p.study.stats))
+    minutes = ev.evaluated_minutes(p.study.timeline, p.study.stats)
+    return tidy(minutes.withColumn("evaluated_minutes", F.round("evaluated_minutes", 4)))
 
 
 @query(

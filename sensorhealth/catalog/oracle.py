@@ -320,12 +320,15 @@ define(
             SELECT *, {WINDOW_MEAN.format(run='src_run')} AS m FROM distance
             WHERE src_run IS NOT NULL) WHERE evaluation""",
 )
+define("cal_ref", "SELECT * FROM cal WHERE anomaly_score IS NOT NULL")
 define(
     "risked",
     """SELECT e.workflow_id, e.asset_id, e.cycle_id, e.us, any_value(e.phase) AS phase,
               any_value(e.anomaly_score) AS anomaly_score,
-              count(*) FILTER (c.anomaly_score <= e.anomaly_score) / count(*)::DOUBLE AS risk_score
-       FROM evs e JOIN cal c USING (workflow_id, asset_id) GROUP BY ALL""",
+              CASE WHEN any_value(e.anomaly_score) IS NOT NULL AND count(c.us) > 0 THEN
+                count(*) FILTER (c.anomaly_score <= e.anomaly_score) / count(c.us)::DOUBLE END
+              AS risk_score
+       FROM evs e LEFT JOIN cal_ref c USING (workflow_id, asset_id) GROUP BY ALL""",
 )
 define(
     "risk_gaps",
@@ -343,10 +346,11 @@ labelled_runs(
 define(
     "predictions",
     f"""SELECT workflow_id, asset_id, cycle_id, us, phase, anomaly_score, risk_score,
+               CASE WHEN risk_run IS NOT NULL THEN
                avg(CASE WHEN risk_score >= {P.exceedance_quantile} THEN 1.0 ELSE 0.0 END) OVER (
                    PARTITION BY workflow_id, asset_id, cycle_id, risk_run ORDER BY us
                    RANGE BETWEEN {P.risk_window_minutes * MINUTE_US - 1} PRECEDING AND CURRENT ROW)
-               AS maintenance_risk
+               END AS maintenance_risk
         FROM risk_runs""",
 )
 

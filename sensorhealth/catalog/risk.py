@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.calibration import empirical_risk, reference_problems, reference_summary
-from ..operators.contract import population_differences
+from ..operators.contract import check_summary, population_differences
 from ..operators.risk import (
     alarm_flags,
     exceeds,
@@ -21,21 +21,36 @@ from .oracle import P, sql
 
 @query(
     "c1_cdf_fit",
-    sql("SELECT workflow_id, asset_id, us, anomaly_score FROM cal"),
+    sql("SELECT workflow_id, asset_id, us, anomaly_score FROM cal_ref"),
 )
 def c1(p):
+    return p.distance.reference.select("workflow_id", "asset_id", "us", "anomaly_score")
+
+
+@query(
+    "c1_reference_checks",
+    sql(
+        """SELECT 'short_reference' AS check_name, count(*) AS violations FROM (
+             SELECT workflow_id, asset_id FROM cal_ref GROUP BY ALL HAVING count(*) < 2)
+           UNION ALL
+           SELECT 'unscored_anchor', (SELECT count(*) FROM cal WHERE anomaly_score IS NULL)"""
+    ),
+)
+def c1_checks(p):
+    """Calibrators with fewer than two scores, and reference anchors without a finite score."""
     reference = p.distance.reference
-    if reference_problems(reference, CALIBRATOR).take(1):
-        raise ValueError("a calibrator has fewer than two finite scores")
     anchors = p.study.timeline.filter("calibration").select(
         F.explode(F.array(*[F.lit(w) for w in p.distance.workflows])).alias("workflow_id"),
         "asset_id",
         "us",
     )
     keys = ["workflow_id", "asset_id", "us"]
-    if population_differences(anchors, reference, keys).take(1):
-        raise ValueError("calibration scores do not cover the fixed reference population")
-    return reference.select(*keys, "anomaly_score")
+    return check_summary(
+        {
+            "short_reference": reference_problems(reference, CALIBRATOR),
+            "unscored_anchor": population_differences(anchors, reference, keys),
+        }
+    )
 
 
 @query(
@@ -54,7 +69,7 @@ def c2(p):
         """SELECT workflow_id, asset_id, count(*) AS reference_count,
                   round(min(anomaly_score), 6) AS minimum_score,
                   round(max(anomaly_score), 6) AS maximum_score
-           FROM cal GROUP BY workflow_id, asset_id"""
+           FROM cal_ref GROUP BY workflow_id, asset_id"""
     ),
 )
 def c3(p):
@@ -67,7 +82,7 @@ def c3(p):
     "c4_exceedance",
     sql(
         f"""SELECT workflow_id, asset_id, us, CASE WHEN risk_score >= {P.exceedance_quantile} THEN 1.0
-                   ELSE 0.0 END AS exceedance FROM risked"""
+                   WHEN risk_score IS NOT NULL THEN 0.0 END AS exceedance FROM risked"""
     ),
 )
 def c4(p):

@@ -45,7 +45,8 @@ def empirical_risk(
     known = reference_scores(reference, score).select(*keys, score, F.lit(1).alias("_ref"))
     asked = queries.filter(is_finite(F.col(score))).select(*keys, score, F.lit(0).alias("_ref"))
     totals = running_totals(known.unionByName(asked), keys, score, {"ref": F.col("_ref")})
-    ranked = totals.select(
+    # A key without any reference score has no distribution and leaves its queries undefined.
+    ranked = totals.filter("all_ref > 0").select(
         *keys, score, clip_unit(F.col("upto_ref") / F.col("all_ref")).alias(risk)
     )
     return queries.join(ranked, [*keys, score], "left")

@@ -21,7 +21,8 @@ LEDGER_KEY = ("study_id", "search_contract_fingerprint", "architecture_hash")
 def auroc(rows: DataFrame, keys: Sequence[str], score: str, positive: str) -> DataFrame:
     """Tie-averaged rank AUROC per key, with class counts; null when a class is missing."""
     hit = F.col(positive).cast("bigint")
-    totals = running_totals(rows, keys, score, {"pos": hit, "neg": F.lit(1) - hit})
+    scored = rows.filter(is_finite(F.col(score)))
+    totals = running_totals(scored, keys, score, {"pos": hit, "neg": F.lit(1) - hit})
     below = F.col("upto_neg") - F.col("n_neg") / 2
     summed = totals.groupBy(*keys).agg(
         F.max("all_pos").alias("positive_windows"),
@@ -36,7 +37,7 @@ def auroc(rows: DataFrame, keys: Sequence[str], score: str, positive: str) -> Da
 
 def high_risk_rate(rows: DataFrame, keys: Sequence[str], score: str, positive: str, limit: float):
     """Share of normal rows at or above the burden threshold."""
-    return rows.groupBy(*keys).agg(
+    return rows.filter(is_finite(F.col(score))).groupBy(*keys).agg(
         F.avg(
             F.when(~F.col(positive), (F.col(score) >= limit).cast("double"))
         ).alias("normal_high_risk_rate")

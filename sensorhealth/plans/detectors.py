@@ -49,10 +49,17 @@ class Detectors:
 
     @cached_property
     def rows(self) -> DataFrame:
-        """Scaled features as one array next to the population labels."""
-        return self.study.scaled.select(
-            "asset_id", "us", "slice", *LABELS, F.array(*self.study.features_list).alias("features")
+        """Scaled features as one array next to the population labels.
+
+        After filling, a feature is missing for a whole asset or not at all. Such assets have no
+        feature vector: they train no model and their anchors keep an undefined score.
+        """
+        vector = F.array(*self.study.features_list)
+        complete = F.forall(vector, lambda x: x.isNotNull())
+        scaled = self.study.scaled.select(
+            "asset_id", "us", "slice", *LABELS, F.when(complete, vector).alias("features")
         )
+        return materialize(scaled, "vectors")
 
     def anchor_rows(self, labels: list[str]) -> tuple[DataFrame, DataFrame]:
         calibration = self.rows.filter("calibration").select("asset_id", "us", *labels)
@@ -174,10 +181,11 @@ class Detectors:
 
         All models of all assets are fitted by the same job: the model cycle is a key column.
         """
-        base = self.rows.filter("baseline_train").select("asset_id", "us", "features")
+        known = self.rows.filter("features IS NOT NULL")
+        base = known.filter("baseline_train").select("asset_id", "us", "features")
         if strategy == STATIC:
             return base.withColumn("model_cycle", F.lit(0))
-        local = self.rows.filter("update_cycle IS NOT NULL").select(
+        local = known.filter("update_cycle IS NOT NULL").select(
             "asset_id", "us", "features", F.col("update_cycle").alias("model_cycle")
         )
         return base.join(self.refit_cycles(), "asset_id").unionByName(
@@ -214,13 +222,15 @@ class Detectors:
         lineage = self.lineage(workflow, strategy)
         forest = self.forest(strategy)
         calibration, evaluation = self.model_rows(lineage, ["features"])
-        score = lambda df: score_forest(
-            df, forest, MODEL, "us", "features", self.study.group_us
-        ).withColumn("workflow_id", F.lit(workflow))
-        scored = score(evaluation).join(
-            evaluation.select(*MODEL, "us", "cycle_id", "phase"), [*MODEL, "us"]
-        )
-        return score(calibration).select(*COLUMNS), scored.select(*COLUMNS, "cycle_id", "phase")
+        name = F.lit(workflow).alias("workflow_id")
+
+        def score(anchors: DataFrame, *more: str) -> DataFrame:
+            known = anchors.filter("features IS NOT NULL")
+            scored = score_forest(known, forest, MODEL, "us", "features", self.study.group_us)
+            whole = anchors.select(*MODEL, "us", *more).join(scored, [*MODEL, "us"], "left")
+            return whole.select(name, *COLUMNS[1:], *more)
+
+        return score(calibration), score(evaluation, "cycle_id", "phase")
 
     # Linear reconstruction ------------------------------------------------------------------------
 
@@ -281,7 +291,7 @@ class Detectors:
     def components(self, strategy: str) -> DataFrame:
         return materialize(
             fit_components(
-                self.component_training(strategy),
+                self.component_training(strategy).filter("features IS NOT NULL"),
                 MODEL,
                 "features",
                 len(self.study.features_list),
@@ -291,7 +301,9 @@ class Detectors:
         )
 
     def reconstruction_rows(self, rows: DataFrame, models: DataFrame) -> DataFrame:
-        return self.row_errors_of(rows.join(models.select(*MODEL, "mean", "components"), MODEL))
+        return self.row_errors_of(
+            rows.join(models.select(*MODEL, "mean", "components"), MODEL, "left")
+        )
 
     def row_errors_of(self, fitted: DataFrame) -> DataFrame:
         rebuilt = reconstruct(F.col("features"), F.col("mean"), F.col("components"))
