@@ -1,9 +1,12 @@
-"""Session settings and lineage cuts."""
+"""Session settings, the shared folder, lineage cuts and shipping the package to workers."""
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,17 +20,27 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a scratch folder only in local mode with none set."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    """The shared folder that the session names in ``spark.checkpoint.dir``."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="sensorhealth-")
-        context.setCheckpointDir(root)
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return root
 
 
+def local_scratch(spark: SparkSession) -> SparkSession:
+    """For entry points and tests: a scratch folder where a local session names none."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and context.master.startswith("local[") or not named and context.master == "local":
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sensorhealth-"))
+    return spark
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{checkpoint_root(spark)}/sensorhealth/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing a columnar table to the shared folder and reading it back.
 
@@ -35,6 +48,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     only for tables that really are below the session's threshold.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/sensorhealth/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    top, data = os.path.dirname(package), io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, top))
+    target = os.path.join(tempfile.mkdtemp(prefix="ship-"), "sensorhealth_package.zip")
+    with open(target, "wb") as f:
+        f.write(data.getvalue())
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
+    return spark
