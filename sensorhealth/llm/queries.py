@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship
-from . import chat, pseudonyms, quality, urls, warc
+from . import chat, lexicon, packing, pseudonyms, quality, urls, warc
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +78,49 @@ def _op2(spark: SparkSession, directory: str) -> DataFrame:
     return warc.inventory(spark, path)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_digests(decoded: DataFrame) -> DataFrame:
+    """Digests of ids and of the text they decode to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        for batch in batches:
+            ids, texts = batch.column(1), batch.column(2)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(ids), 0), dtype=np.int64)
+            ends = np.cumsum([0, *sizes])
+            flat = np.asarray(ids.flatten())
+            if len(flat):
+                names += map(str, range(len(names), int(flat.max()) + 1))
+            told = [
+                ",".join(map(names.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(sizes),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in told]),
+                    pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts.cast(pa.binary())]),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return decoded.select("doc_id", "ids", "text").mapInArrow(
+        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    )
+
+
+@query("op3_bpe_lexicon")
+def _op3(spark: SparkSession, directory: str) -> DataFrame:
+    docs, tokenizer = table(spark, directory, "documents"), tokenizer_path()
+    encoded = lexicon.encode(docs, lexicon.share_lexicon(docs, tokenizer), tokenizer)
+    return token_digests(lexicon.decode(encoded, tokenizer))
+
+
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
 
@@ -124,3 +171,8 @@ def _op6(spark: SparkSession, directory: str) -> DataFrame:
 @query("op7_pseudonyms")
 def _op7(spark: SparkSession, directory: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, directory, "documents"))
+
+
+@query("op9_packing")
+def _op9(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack_documents(table(spark, directory, "documents"), tokenizer_path())
