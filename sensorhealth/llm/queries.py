@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship
-from . import chat, lexicon, packing, pseudonyms, quality, urls, warc
+from . import chat, lexicon, packing, pseudonyms, quality, simhash, urls, warc
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,10 @@ def _op7(spark: SparkSession, directory: str) -> DataFrame:
 @query("op9_packing")
 def _op9(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(table(spark, directory, "documents"), tokenizer_path())
+
+
+@query("op10_simhash")
+def _op10(spark: SparkSession, directory: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, directory, "documents")).select(
+        "doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id"
+    )
