@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship
-from . import chat, lexicon, packing, pseudonyms, quality, simhash, urls, warc
+from . import chat, language, lexicon, packing, pseudonyms, quality, simhash, urls, warc
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +173,15 @@ def _op7(spark: SparkSession, directory: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, directory, "documents"))
 
 
+@query("op8_language_id")
+def _op8(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    held = language.held_out(F.col("doc_id"))
+    return language.label(docs, language.fit(docs.filter(~held))).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query("op9_packing")
 def _op9(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(table(spark, directory, "documents"), tokenizer_path())
