@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship
-from . import chat, language, lexicon, packing, pseudonyms, quality, simhash, urls, warc
+from . import chat, language, lexicon, packing, pseudonyms, quality, simhash, urls, vectors, warc
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +121,11 @@ def _op3(spark: SparkSession, directory: str) -> DataFrame:
     return token_digests(lexicon.decode(encoded, tokenizer))
 
 
+@query("op4_adaptive_scan")
+def _op4(spark: SparkSession, directory: str) -> DataFrame:
+    return vectors.nearest(table(spark, directory, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
 
