@@ -14,6 +14,12 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Texts travel to Python workers in batches of few rows, as one row may be large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body names it."""
     return F.transform(F.array(value), body)[0]
