@@ -10,8 +10,8 @@ at the lowest estimated cost of probes and candidates. Every fingerprint then pr
 candidates are verified by their Hamming distance.
 
 Buckets larger than ``bucket_rows`` are not joined with themselves: they are dealt into blocks, every
-two blocks meet in a task of bounded size, and only links that span the connected rows are emitted, not
-all pairs. Components come from rounds of minimum labels over links, in tables of the shared folder.
+two blocks meet in a task of bounded size, and each row is only connected to the first row that links
+reach within the two, not to all of its partners. Components come from rounds of minimum labels over links, in tables of the shared folder.
 
 Defined results: null, empty and word-free texts have fingerprint zero and are linked like any other;
 fewer words than a shingle are one shingle; repeated rows get equal rows; a null id is left out of the
@@ -201,7 +201,7 @@ def probes(fp: Column, parts: list[Part]) -> Column:
 
 
 def _links_in(rows: np.ndarray, others: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that span the connected rows of two blocks, without all of their pairs."""
+    """Links between two blocks or, where they are dense, each row with the first row they reach."""
     near = np.bitwise_count(rows[:, None] ^ others[None, :]) <= radius
     if near.sum() <= len(rows) + len(others):
         i, j = np.nonzero(near)
@@ -224,7 +224,7 @@ def _links_in(rows: np.ndarray, others: np.ndarray, radius: int) -> list[tuple[i
 
 
 def links(prints: DataFrame, parts: list[Part], radius: int, bucket_rows: int, block_rows: int) -> DataFrame:
-    """(a, b): fingerprints within the radius; all pairs of small buckets, spanning links of large ones."""
+    """(a, b): all links of small buckets, and connections that links make in large ones."""
     probed = prints.select("fp", F.explode(probes(F.col("fp"), parts)).alias("_p")).select(
         "fp", F.col("_p.part").alias("part"), F.col("_p.value").alias("value"), F.col("_p.own").alias("own")
     )
