@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship
 from . import chat, language, lexicon, packing, pseudonyms, quality, simhash, urls, vectors, warc
-from .tables import table
+from .tables import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +18,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, oracle: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, directory: str) -> DataFrame:
-            return fn(ship(spark), directory)
+            return fn(small_batches(ship(spark)), directory)
 
         QUERIES[name] = run
         if oracle is not None:
@@ -84,41 +80,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_digests(decoded: DataFrame) -> DataFrame:
-    """Digests of ids and of the text they decode to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[str] = []
-        for batch in batches:
-            ids, texts = batch.column(1), batch.column(2)
-            sizes = np.asarray(pc.fill_null(pc.list_value_length(ids), 0), dtype=np.int64)
-            ends = np.cumsum([0, *sizes])
-            flat = np.asarray(ids.flatten())
-            if len(flat):
-                names += map(str, range(len(names), int(flat.max()) + 1))
-            told = [
-                ",".join(map(names.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in told]),
-                    pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts.cast(pa.binary())]),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return decoded.select("doc_id", "ids", "text").mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    )
-
-
 @query("op3_bpe_lexicon")
 def _op3(spark: SparkSession, directory: str) -> DataFrame:
     docs, tokenizer = table(spark, directory, "documents"), tokenizer_path()
     encoded = lexicon.encode(docs, lexicon.share_lexicon(docs, tokenizer), tokenizer)
-    return token_digests(lexicon.decode(encoded, tokenizer))
+    decoded = lexicon.decode(encoded, tokenizer)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 @query("op4_adaptive_scan")
