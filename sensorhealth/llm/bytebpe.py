@@ -14,7 +14,7 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +45,7 @@ class Vocabulary:
     """Tokens, special tokens and merging of one tokenizer file."""
 
     def __init__(self, path: str):
-        import tiktoken
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         model, back = told["model"], byte_characters()
@@ -62,14 +60,26 @@ class Vocabulary:
             i: bytes(back[c] for c in t) for t, i in model["vocab"].items() if t not in self.specials
         }
         ranks = {t: i for i, t in self.tokens.items()}
-        self.merger = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ranks = ranks
         self.line_end = ranks[b"\n"]
         self.tokens |= {i: t.encode() for t, i in self.specials.items()}
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
 
+    @cached_property
+    def merger(self):
+        import tiktoken
+
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.path)
+        own.no_truncation()
+        own.no_padding()
+        return own
+
     def merge(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text without special tokens."""
         if len(text) > _LONG or _LATER.search(text):
@@ -116,7 +126,7 @@ class Encoder:
     """Ids of whole texts by their units. ``resolve`` gives the ids of many new units at once."""
 
     def __init__(
-        self, vocab: Vocabulary, resolve: Callable[[list[str]], list[bytes]] | None = None, most: int = 400_000
+        self, vocab: Vocabulary, resolve: Callable[[list[str]], list[bytes]] | None = None, most: int = 200_000
     ):
         self.vocab, self.most = vocab, most
         self.resolve = resolve or vocab.merge_units
