@@ -74,7 +74,7 @@ def g4(p):
     return tidy(p.distance.summary)
 
 
-POSITION = "list_position(['distance_row', 'distance_window'], workflow_id)::BIGINT AS position"
+POSITION = f"list_position({list(WORKFLOWS)}, workflow_id)::BIGINT AS position"
 
 
 @query("g5_workflow_comparison", sql(f"SELECT {SUMMARY}, {POSITION} FROM summary"))
@@ -165,7 +165,7 @@ def g8(p):
              AS t(check_name, violations)
            UNION ALL
            SELECT 'calibration_populations_' || asset_id, count(DISTINCT f)
-           FROM (SELECT workflow_id, asset_id, sum(us)::VARCHAR AS f FROM cal GROUP BY ALL) GROUP BY asset_id"""
+           FROM (SELECT workflow_id, asset_id, model_cycle, sum(us)::VARCHAR AS f FROM cal GROUP BY ALL) GROUP BY asset_id"""
     ),
 )
 def g9(p):

@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import candidates as cand
+from ..operators.reconstruction import SMAPE_EPSILON
 from ..plans.search import evaluate_candidates
 from ..sources import ledger as ledgers
 from . import query, tidy
-from .oracle import P, sql
+from .oracle import FEATURES, L, P, sql
 
 STUDY = ["study_id", "search_contract_fingerprint"]
 
@@ -27,7 +28,7 @@ def candidate_ledger(p):
     numbers = F.struct(F.col("line_count"), (F.col("id") * 10).alias("parameter_count"))
     return lines.select(
         "id",
-        F.lit("study").alias("study_id"),
+        F.concat(F.lit("study_"), (F.col("id") % 3).cast("string")).alias("study_id"),
         F.lit("contract").alias("search_contract_fingerprint"),
         F.md5(F.col("id").cast("string")).alias("architecture_hash"),
         *cand.OBJECTIVES,
@@ -67,6 +68,38 @@ AUROC = """SELECT workflow_id, cycle_id, count(*) FILTER (phase = 1) AS positive
            GROUP BY workflow_id, cycle_id""".format(limit=P.alarm_burden_threshold)
 
 
+SMAPE = " + ".join(
+    f"2.0 * abs(s.{f} - m.m_{f}) / (abs(s.{f}) + abs(m.m_{f}) + {SMAPE_EPSILON})" for f in FEATURES
+)
+
+
+@query(
+    "h1_mean_candidate",
+    sql(
+        f"""SELECT 'linear_0' AS workflow_id, positive_windows + negative_windows AS search_windows,
+                   positive_windows, negative_windows, round(smoothed_auroc, 6) AS smoothed_auroc,
+                   round(2 * smoothed_auroc - 1, 6) AS smoothed_rank_gap,
+                   round(CASE WHEN smoothed_auroc IS NULL THEN 1.0 ELSE greatest(0.0, least(1.0,
+                         1 - smoothed_auroc)) END, 6) AS obj_pdm,
+                   round(CASE WHEN smoothed_auroc IS NULL THEN 1.0 ELSE normal_high_risk_rate END, 6)
+                   AS obj_alarm_burden,
+                   CASE WHEN smoothed_auroc IS NULL THEN '{cand.MISSING_CLASS}' END AS pdm_invalid_reason,
+                   (SELECT round(sum(window_sum) / (count(*) * {L * len(FEATURES)}), 6) FROM (
+                      SELECT src_pos, sum(row_smape) OVER (PARTITION BY asset_id, src_run ORDER BY us
+                             ROWS BETWEEN {L - 1} PRECEDING AND CURRENT ROW) AS window_sum
+                      FROM (SELECT t.asset_id, t.us, t.src_run, t.src_pos, {SMAPE} AS row_smape
+                            FROM timeline t JOIN scaled s USING (asset_id, us)
+                            JOIN mix_mean m ON m.asset_id = t.asset_id AND m.model_cycle = 0
+                            WHERE t.cycle_id = 0)) WHERE src_pos >= {L}) AS obj_error,
+                   'valid' AS status
+            FROM ({AUROC}) WHERE workflow_id = 'mean_per_maintenance' AND cycle_id = 0"""
+    ),
+)
+def h1_mean(p):
+    """The candidate without components, whose objectives have a closed form."""
+    return tidy(evaluate_candidates(p.detectors, [0]))
+
+
 def labelled(p):
     return p.distance.predictions.withColumn("_positive", F.col("phase") == 1)
 
@@ -127,10 +160,10 @@ def h6(p):
     return cand.valid_candidates(rows, P.invalid_penalty).select("id", "obj_error")
 
 
-@query("h7_pareto_front", sql("SELECT id, obj_error, obj_pdm, obj_alarm_burden FROM front"))
+@query("h7_pareto_front", sql("SELECT study_id, id, obj_error, obj_pdm, obj_alarm_burden FROM front"))
 def h7(p):
     valid = cand.valid_candidates(candidate_ledger(p), P.invalid_penalty)
-    return cand.pareto_front(valid).select("id", *cand.OBJECTIVES)
+    return cand.pareto_front(valid, STUDY).select("study_id", "id", *cand.OBJECTIVES)
 
 
 def weighted() -> str:
@@ -145,23 +178,30 @@ def weighted() -> str:
     "h8_winner",
     sql(
         f"""SELECT study_id, search_contract_fingerprint, id, obj_error, obj_pdm, obj_alarm_burden,
-                   round(distance, 6) AS distance, (SELECT count(*) FROM ledger) AS candidate_count,
-                   (SELECT count(*) FROM valid_candidates) AS valid_candidate_count,
-                   (SELECT count(*) FROM front) AS pareto_candidate_count
-            FROM (SELECT *, min(distance) OVER () AS best FROM (
+                   round(distance, 6) AS distance,
+                   (SELECT count(*) FROM ledger l WHERE l.study_id = b.study_id) AS candidate_count,
+                   (SELECT count(*) FROM valid_candidates v WHERE v.study_id = b.study_id)
+                   AS valid_candidate_count,
+                   (SELECT count(*) FROM front f WHERE f.study_id = b.study_id)
+                   AS pareto_candidate_count
+            FROM (SELECT *, min(distance) OVER (PARTITION BY study_id) AS best FROM (
                     SELECT *, sqrt({weighted()}) AS distance FROM (
                       SELECT *, """
-        + ", ".join(f"min({c}) OVER () AS lo_{c}, max({c}) OVER () AS hi_{c}" for c in cand.OBJECTIVES)
-        + """ FROM front)))
+        + ", ".join(
+            f"min({c}) OVER (PARTITION BY study_id) AS lo_{c}, max({c}) OVER (PARTITION BY study_id) AS hi_{c}"
+            for c in cand.OBJECTIVES
+        )
+        + """ FROM front))) b
             WHERE distance - best <= 1e-12
-            ORDER BY obj_alarm_burden, obj_pdm, obj_error, created_at, id LIMIT 1"""
+            QUALIFY row_number() OVER (PARTITION BY study_id
+                ORDER BY obj_alarm_burden, obj_pdm, obj_error, created_at, id) = 1"""
     ),
 )
 def h8(p):
     everything = candidate_ledger(p)
     valid = cand.valid_candidates(everything, P.invalid_penalty)
     counted = everything.withColumn("_valid", cand.is_valid(P.invalid_penalty))
-    return tidy(cand.winner(counted, cand.pareto_front(valid), STUDY, P))
+    return tidy(cand.winner(counted, cand.pareto_front(valid, STUDY), STUDY, P))
 
 
 @query(

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators.contract import check_summary, population_differences
 from ..operators.forest import fit_forest, score_forest
 from ..operators.lineage import PER_MAINTENANCE, STATIC, model_lineage
-from ..operators.reconstruction import SMAPE_EPSILON, mean_smape, row_errors, windows_holding
+from ..operators.reconstruction import (
+    SMAPE_EPSILON,
+    fit_components,
+    mean_smape,
+    row_errors,
+    windows_holding,
+)
 from ..plans.detectors import MODEL, STRATEGIES, workflow_scores
 from ..plans.evaluation import Evaluation
-from ..session import checkpoint_root
+from ..session import scratch_path
 from . import query, tidy
 from .oracle import FEATURES, L, P, sql
 
@@ -25,6 +29,34 @@ def m1(p):
     return forest.select(*MODEL, "tree", "sample", F.size(F.filter("feature", lambda f: f >= 0)).alias("cuts"))
 
 
+SAMPLE = f"least({P.tree_rows}, n)::BIGINT AS sample"
+TREES = f"unnest(range({P.trees}))::BIGINT AS tree"
+
+
+@query(
+    "m1_forest_trees",
+    sql(
+        f"""SELECT asset_id, 0::BIGINT AS model_cycle, {TREES}, {SAMPLE}
+            FROM (SELECT asset_id, count(*) AS n FROM timeline WHERE baseline_train
+                  AND asset_id IN (SELECT asset_id FROM complete) GROUP BY asset_id HAVING count(*) > 1)"""
+    ),
+)
+def m1_trees(p):
+    """Every model's trees and the rows that each of them was grown on."""
+    return tidy(p.detectors.forest(STATIC).select(*MODEL, "tree", "sample"))
+
+
+@query(
+    "m1_vector_trees",
+    sql(
+        f"""SELECT label::BIGINT AS label, {TREES}, {SAMPLE}
+            FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label HAVING count(*) > 1)"""
+    ),
+)
+def m1_vector_trees(p):
+    return tidy(m1_vectors(p).select("label", "tree", "sample"))
+
+
 @query("m1_forest_fit_vectors")
 def m1_vectors(p):
     """One forest per label over the embedding vectors."""
@@ -43,15 +75,63 @@ def m2(p):
     return tidy(evaluation)
 
 
+@query(
+    "m2_forest_population",
+    sql(
+        """SELECT t.asset_id, t.us, t.cycle_id::BIGINT AS cycle_id, t.phase::BIGINT AS phase,
+                  c.asset_id IS NOT NULL AS scored, true AS in_range
+           FROM timeline t LEFT JOIN complete c USING (asset_id) WHERE t.evaluation"""
+    ),
+)
+def m2_population(p):
+    """Every anchor once; a score between -0.5 and 0.5 exactly where there is a feature vector."""
+    _, evaluation = p.detectors.forest_scores("iforest_static", STATIC)
+    score = F.col("anomaly_score")
+    return tidy(
+        evaluation.select(
+            "asset_id", "us", "cycle_id", "phase", score.isNotNull().alias("scored"),
+            F.coalesce(score.between(-0.5, 0.5), F.lit(True)).alias("in_range"),
+        )
+    )
+
+
 @query("m3_forest_reload")
 def m3(p):
     """Calibration anchors scored with a forest written and read back."""
-    path = f"{checkpoint_root(p.spark)}/sensorhealth/forest-{uuid.uuid4().hex}"
-    p.detectors.forest(STATIC).write.partitionBy("model_cycle").parquet(path)
-    forest = p.spark.read.parquet(path).select(*MODEL, "tree", "sample", *NODES)
+    return tidy(_calibration_scores(p, _reloaded(p, p.detectors.forest(STATIC))))
+
+
+def _reloaded(p, forest):
+    path = scratch_path(p.spark, "forest")
+    forest.write.partitionBy("model_cycle").parquet(path)
+    return p.spark.read.parquet(path).select(*MODEL, "tree", "sample", *NODES)
+
+
+def _calibration_scores(p, forest):
     calibration, _ = p.detectors.model_rows(p.detectors.lineage("iforest_static", STATIC), ["features"])
-    scored = score_forest(calibration.filter("features IS NOT NULL"), forest, MODEL, "us", "features", p.study.group_us)
-    return tidy(scored)
+    known = calibration.filter("features IS NOT NULL")
+    return score_forest(known, forest, MODEL, "us", "features", p.study.group_us)
+
+
+@query(
+    "m3_reload_difference",
+    sql(
+        """SELECT asset_id, count(*) AS anchors, 0.0::DOUBLE AS largest_difference FROM timeline
+           WHERE calibration AND asset_id IN (SELECT asset_id FROM complete) GROUP BY asset_id"""
+    ),
+)
+def m3_difference(p):
+    """Scores before and after the forest was written and read back."""
+    forest = p.detectors.forest(STATIC)
+    before = _calibration_scores(p, forest)
+    after = _calibration_scores(p, _reloaded(p, forest)).withColumnRenamed("anomaly_score", "_again")
+    both = before.join(after, [*MODEL, "us"])
+    return tidy(
+        both.groupBy("asset_id").agg(
+            F.count(F.lit(1)).alias("anchors"),
+            F.max(F.abs(F.col("anomaly_score") - F.col("_again"))).alias("largest_difference"),
+        )
+    )
 
 
 @query(
@@ -63,14 +143,15 @@ def m3(p):
                          AND t.baseline_train) AS base_rows,
                         (SELECT count(*) FROM timeline t WHERE t.asset_id = c.asset_id
                          AND t.update_cycle = c.cycle_id) AS local_rows
-                 FROM cycles c WHERE c.update_possible AND (c.cycle_id = 0 OR EXISTS (
-                          SELECT 1 FROM usable s WHERE s.asset_id = c.asset_id
-                          AND s.cycle_id = c.cycle_id)))"""
+                 FROM refit_cycles c WHERE c.asset_id IN (SELECT asset_id FROM complete))"""
     ),
 )
 def m4(p):
+    """Rows that train each refit: those with a feature vector, each row listing its models."""
     training = p.detectors.forest_training(PER_MAINTENANCE)
-    return tidy(training.groupBy(*MODEL).agg(F.count(F.lit(1)).alias("training_rows")))
+    counts = training.groupBy("asset_id", "model_cycles").agg(F.count(F.lit(1)).alias("_n"))
+    by_model = counts.select("asset_id", F.explode("model_cycles").alias("model_cycle"), "_n")
+    return tidy(by_model.groupBy(*MODEL).agg(F.sum("_n").alias("training_rows")))
 
 
 @query("m4_forest_refit_scores")
@@ -87,7 +168,7 @@ def m4_scores(p):
     ),
 )
 def m5(p):
-    rows = p.detectors.distance_rows
+    rows = p.distance_rows
     scored = p.detectors.windowed(rows, "src_run", "row_score").filter("evaluation")
     return tidy(scored.select("asset_id", "us", "cycle_id", "anomaly_score"))
 
@@ -138,6 +219,56 @@ def m7(p):
     )
 
 
+MEANS = ", ".join(f"round(m_{f}, 6)" for f in FEATURES)
+
+
+@query(
+    "m7_model_checks",
+    sql(
+        f"""SELECT asset_id, model_cycle::BIGINT AS model_cycle, fitted_rows, i::BIGINT AS position,
+                   [{MEANS}][i + 1] + 0.0 AS mean, 0.0::DOUBLE AS not_orthonormal
+            FROM mix_mean CROSS JOIN range({len(FEATURES)}) AS t(i)"""
+    ),
+)
+def m7_checks(p):
+    """Fitted rows and mean of every model, and how far its components are from orthonormal."""
+    models = p.detectors.components(PER_MAINTENANCE)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    off = F.flatten(
+        F.transform(
+            "components",
+            lambda a, i: F.transform("components", lambda b, j: F.abs(dot(a, b) - (i == j).cast("double"))),
+        )
+    )
+    checked = models.select(
+        *MODEL, "fitted_rows", F.array_max(off).alias("not_orthonormal"), F.posexplode("mean").alias("position", "mean")
+    )
+    return tidy(checked.withColumn("mean", F.round("mean", 6) + F.lit(0.0)))
+
+
+@query(
+    "m7_full_rank_error",
+    sql(
+        """SELECT asset_id, count(*) AS rows_checked, 0.0::DOUBLE AS largest_error FROM timeline
+           WHERE baseline_train AND asset_id IN (SELECT asset_id FROM complete) GROUP BY asset_id"""
+    ),
+)
+def m7_full_rank(p):
+    """A model with all components rebuilds its training rows."""
+    d = p.detectors
+    size = len(p.study.features_list)
+    full = fit_components(d.component_training(STATIC), MODEL, "features", size, size)
+    rows = d.rows.filter("baseline_train AND features IS NOT NULL").select(
+        "asset_id", F.lit(0).alias("model_cycle"), "us", "features"
+    )
+    errors = d.reconstruction_rows(rows, full)
+    return tidy(
+        errors.groupBy("asset_id").agg(
+            F.count(F.lit(1)).alias("rows_checked"), F.round(F.max("row_mse"), 9).alias("largest_error")
+        )
+    )
+
+
 @query("m8_linear_adaptation")
 def m8(p):
     models = p.detectors.components(PER_MAINTENANCE)
@@ -153,7 +284,7 @@ def m8(p):
               SELECT asset_id, 0 AS model_cycle, count(*) * {L} AS w FROM base_windows GROUP BY asset_id
               UNION ALL SELECT asset_id, cycle_id, count(*) * {L} FROM replay GROUP BY ALL
               UNION ALL SELECT asset_id, cycle_id, sum(train_windows) * {L} FROM split GROUP BY ALL)
-            GROUP BY ALL"""
+            WHERE asset_id IN (SELECT asset_id FROM complete) GROUP BY ALL"""
     ),
 )
 def m8_rows(p):
@@ -168,19 +299,17 @@ def m8_rows(p):
         """SELECT w.workflow_id, c.asset_id, c.cycle_id::BIGINT AS cycle_id,
                   CASE WHEN c.cycle_id = 0 THEN 'trained_initial'
                        WHEN w.workflow_id LIKE '%_static' THEN 'reused_static'
-                       WHEN c.update_possible THEN 'refitted'
+                       WHEN l.model_cycle = c.cycle_id THEN 'refitted'
                        ELSE 'alias_no_trainable_local_window' END AS model_status,
-                  CASE WHEN w.workflow_id LIKE '%_static' THEN 0
-                       ELSE (SELECT max(d.cycle_id) FROM cycles d WHERE d.asset_id = c.asset_id
-                             AND d.cycle_id <= c.cycle_id AND d.update_possible) END::BIGINT
+                  CASE WHEN w.workflow_id LIKE '%_static' THEN 0 ELSE l.model_cycle END::BIGINT
                   AS effective_model_cycle
-           FROM cycles c CROSS JOIN (SELECT unnest("""
+           FROM cycles c JOIN lineage l USING (asset_id, cycle_id) CROSS JOIN (SELECT unnest("""
         + str(list(STRATEGIES))
         + ") AS workflow_id) w"
     ),
 )
 def m9(p):
-    return tidy(model_lineage(p.study.cycles, STRATEGIES))
+    return tidy(model_lineage(p.study.refits, STRATEGIES))
 
 
 @query(

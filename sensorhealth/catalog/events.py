@@ -25,7 +25,7 @@ def e1(p):
 def e2(p):
     e = p.distance
     eligible = ev.warned(e.intervals, p.study.events, P.lead_minutes)
-    matches = ev.greedy_match(eligible, e.listed, ev.KEYS, e.event_limit)
+    matches = ev.greedy_match(eligible, e.listed, ev.KEYS)
     return tidy(ev.match_counts(matches, e.counts, []))
 
 
@@ -172,7 +172,7 @@ def e12(p):
 )
 def e13(p):
     e = p.distance
-    matched = ev.lead_time_matches(e.intervals, e.listed, P, e.leads, e.event_limit)
+    matched = ev.lead_time_matches(e.intervals, e.listed, P, e.leads)
     return tidy(ev.match_counts(matched, e.counts, ["lead_minutes"]))
 
 

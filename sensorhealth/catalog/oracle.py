@@ -11,6 +11,7 @@ import re
 from ..functions.grids import lead_times, theta_list
 from ..operators.rolling import feature_names
 from ..params import AGGREGATIONS, MINUTE_US, NAB_PROFILES, StudyParams
+from ..plans.prepared import DISTANCE_WORKFLOWS
 from ..sources.maintenance import FLEET_WINDOWS
 from ..sources.telemetry import SENSOR_BINARY, SENSOR_CHANNELS
 
@@ -20,7 +21,7 @@ FEATURES = feature_names(SENSOR_CHANNELS)
 THETAS = theta_list(P.theta_grid, P.extra_thresholds)
 LEADS = lead_times(P.sensitivity_leads, P.lead_step_minutes, P.lead_minutes)
 LEAD_US = P.lead_minutes * MINUTE_US
-WORKFLOWS = ("distance_row", "distance_window")
+WORKFLOWS = tuple(DISTANCE_WORKFLOWS)
 
 CTES: dict[str, str] = {}
 
@@ -290,6 +291,150 @@ define(
     + " FROM feats JOIN scaler_wide USING (asset_id)",
 )
 
+# Local segments and replay ----------------------------------------------------------------------------------
+
+define(
+    "segments",
+    f"""SELECT asset_id, update_cycle AS cycle_id, upd_run AS run_us, min(us) AS start_us,
+               max(us) AS end_us, count(*) AS row_count, greatest(0, count(*) - {L - 1}) AS windows
+        FROM timeline WHERE update_cycle IS NOT NULL GROUP BY asset_id, update_cycle, upd_run""",
+)
+define(
+    "usable",
+    """SELECT *, sum(windows) OVER (PARTITION BY asset_id, cycle_id)::BIGINT AS total_windows,
+              coalesce(sum(windows) OVER (PARTITION BY asset_id, cycle_id ORDER BY start_us DESC
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS later_windows
+       FROM segments WHERE windows > 0""",
+)
+define(
+    "cut",
+    f"""SELECT *, CASE WHEN val > 0 AND val < windows THEN least({L - 1}, windows - val) ELSE 0 END
+               AS emb
+        FROM (SELECT *, greatest(0, least(windows, wanted - later_windows)) AS val
+              FROM (SELECT *, greatest(1, floor(total_windows * {P.local_validation_fraction}))::BIGINT
+                           AS wanted FROM usable))""",
+)
+define(
+    "split",
+    f"""SELECT asset_id, cycle_id, run_us, start_us, row_count, windows, total_windows,
+               wanted AS requested_validation_windows,
+               CASE WHEN fallback THEN windows ELSE windows - val - emb END AS train_windows,
+               CASE WHEN fallback THEN 0 ELSE val END AS validation_windows,
+               CASE WHEN fallback THEN 0 ELSE emb END AS embargo_windows,
+               CASE WHEN NOT fallback AND val > 0 AND val < windows THEN (windows - val)
+                    - CASE WHEN windows - val - emb > 0 THEN windows - val - emb + {L - 1} ELSE 0 END
+                    ELSE 0 END AS unused_rows,
+               CASE WHEN fallback OR val = 0 THEN row_count
+                    WHEN windows - val - emb > 0 THEN windows - val - emb + {L - 1} ELSE 0 END
+               AS train_rows,
+               CASE WHEN NOT fallback AND val > 0 THEN row_count - val - {L - 1} END
+               AS validation_from_row, fallback
+        FROM (SELECT *, sum(windows - val - emb) OVER (PARTITION BY asset_id, cycle_id) < 1 AS fallback
+              FROM cut)""",
+)
+define(
+    "base_windows",
+    f"""SELECT asset_id, us, row_number() OVER (PARTITION BY asset_id ORDER BY us) - 1 AS window_no,
+               count(*) OVER (PARTITION BY asset_id) AS total
+        FROM timeline WHERE baseline_train AND base_pos >= {L}""",
+)
+define(
+    "policy",
+    f"""SELECT * EXCLUDE (b_total), b_total AS baseline_total_windows,
+               least(b_total, round_even(local_train_windows * {P.replay_fraction}
+                     / (1.0 - {P.replay_fraction}), 0)::BIGINT) AS baseline_replay_windows
+        FROM (SELECT asset_id, cycle_id, count(*) AS usable_local_segment_count,
+                     count(*) FILTER (train_windows > 0) AS local_train_segment_count,
+                     count(*) FILTER (validation_windows > 0) AS local_validation_segment_count,
+                     max(total_windows) AS local_total_windows,
+                     sum(train_windows)::BIGINT AS local_train_windows,
+                     sum(validation_windows)::BIGINT AS local_validation_windows,
+                     max(requested_validation_windows) AS requested_validation_windows,
+                     sum(embargo_windows)::BIGINT AS applied_embargo_windows,
+                     sum(unused_rows)::BIGINT AS unused_boundary_rows,
+                     bool_or(fallback) AS short_local_fallback_applied
+              FROM split GROUP BY asset_id, cycle_id)
+        JOIN (SELECT s.asset_id, s.cycle_id, count(*) AS local_segment_count,
+                     sum(row_count)::BIGINT AS local_total_rows FROM segments s GROUP BY ALL)
+          USING (asset_id, cycle_id)
+        JOIN (SELECT asset_id, coalesce(max(total), 0) AS b_total FROM stats
+              LEFT JOIN base_windows USING (asset_id) GROUP BY asset_id) USING (asset_id)""",
+)
+define(
+    "replay",
+    """SELECT w.asset_id, p.cycle_id, w.us, w.window_no
+       FROM policy p, unnest(range(p.baseline_replay_windows)) AS r(i), base_windows w
+       WHERE w.asset_id = p.asset_id AND w.window_no =
+             floor((r.i + 0.5) * p.baseline_total_windows / p.baseline_replay_windows)""",
+)
+
+# Models of the adaptive workflows ---------------------------------------------------------------------------
+
+define(
+    "complete",
+    "SELECT asset_id FROM scaled GROUP BY asset_id HAVING bool_and("
+    + " AND ".join(f"{f} IS NOT NULL" for f in FEATURES)
+    + ")",
+)
+define(
+    "refit_cycles",
+    """SELECT asset_id, cycle_id FROM cycles c WHERE update_possible AND (cycle_id = 0 OR EXISTS (
+         SELECT 1 FROM usable s WHERE s.asset_id = c.asset_id AND s.cycle_id = c.cycle_id))""",
+)
+define(
+    "lineage",
+    """SELECT c.asset_id, c.cycle_id, coalesce((SELECT max(d.cycle_id) FROM refit_cycles d
+              WHERE d.asset_id = c.asset_id AND d.cycle_id <= c.cycle_id), 0)::INT AS model_cycle
+       FROM cycles c""",
+)
+define(
+    "mix_ends",
+    """SELECT b.asset_id, 0 AS model_cycle, t.base_run AS run, t.base_pos AS pos, true AS replayed
+       FROM base_windows b JOIN timeline t USING (asset_id, us)
+       UNION ALL
+       SELECT r.asset_id, r.cycle_id, t.base_run, t.base_pos, true
+       FROM replay r JOIN timeline t USING (asset_id, us)
+       UNION ALL
+       SELECT s.asset_id, s.cycle_id, s.run_us, t.upd_pos, false
+       FROM split s JOIN timeline t ON t.asset_id = s.asset_id AND t.update_cycle = s.cycle_id
+        AND t.upd_run = s.run_us AND t.upd_pos > s.row_count - s.windows
+        AND t.upd_pos <= s.row_count - s.windows + s.train_windows""",
+)
+define(
+    "mix_rows",
+    f"""SELECT e.asset_id, e.model_cycle, t.us, count(*) AS w
+        FROM mix_ends e JOIN timeline t ON t.asset_id = e.asset_id AND CASE WHEN e.replayed
+             THEN t.baseline_train AND t.base_run = e.run AND t.base_pos BETWEEN e.pos - {L - 1} AND e.pos
+             ELSE t.update_cycle = e.model_cycle AND t.upd_run = e.run
+                  AND t.upd_pos BETWEEN e.pos - {L - 1} AND e.pos END
+        WHERE e.asset_id IN (SELECT asset_id FROM complete) GROUP BY ALL""",
+)
+define(
+    "mix_mean",
+    "SELECT asset_id, model_cycle, sum(w)::DOUBLE AS fitted_rows, "
+    + ", ".join(f"sum(w * {f}) / sum(w) AS m_{f}" for f in FEATURES)
+    + " FROM mix_rows JOIN scaled USING (asset_id, us) GROUP BY asset_id, model_cycle",
+)
+MEAN_ERROR = (
+    "round((" + " + ".join(f"pow(s.{f} - m.m_{f}, 2)" for f in FEATURES) + f") / {len(FEATURES)}, 4) AS row_score"
+)
+define(
+    "mean_baseline",
+    f"""SELECT t.asset_id, u.model_cycle, t.us, t.base_run, t.calibration, {MEAN_ERROR}
+        FROM timeline t JOIN scaled s USING (asset_id, us)
+        JOIN (SELECT DISTINCT asset_id, model_cycle FROM lineage) u USING (asset_id)
+        LEFT JOIN mix_mean m ON m.asset_id = t.asset_id AND m.model_cycle = u.model_cycle
+        WHERE t.base_run IS NOT NULL""",
+)
+define(
+    "mean_source",
+    f"""SELECT t.asset_id, u.model_cycle, t.cycle_id, t.us, t.phase, t.src_run, t.evaluation, {MEAN_ERROR}
+        FROM timeline t JOIN scaled s USING (asset_id, us)
+        JOIN lineage u ON u.asset_id = t.asset_id AND u.cycle_id = t.cycle_id
+        LEFT JOIN mix_mean m ON m.asset_id = t.asset_id AND m.model_cycle = u.model_cycle
+        WHERE t.src_run IS NOT NULL""",
+)
+
 # Scores and risk ----------------------------------------------------------------------------------------
 
 define(
@@ -304,21 +449,29 @@ WINDOW_MEAN = (
 )
 define(
     "cal",
-    f"""SELECT 'distance_row' AS workflow_id, asset_id, us, row_score AS anomaly_score
+    f"""SELECT 'distance_row' AS workflow_id, asset_id, 0 AS model_cycle, us, row_score AS anomaly_score
         FROM distance WHERE calibration
         UNION ALL
-        SELECT 'distance_window', asset_id, us, round(m, 6) FROM (
+        SELECT 'distance_window', asset_id, 0, us, round(m, 6) FROM (
             SELECT *, {WINDOW_MEAN.format(run='base_run')} AS m FROM distance
-            WHERE base_run IS NOT NULL) WHERE calibration""",
+            WHERE base_run IS NOT NULL) WHERE calibration
+        UNION ALL
+        SELECT 'mean_per_maintenance', asset_id, model_cycle, us, round(m, 6) FROM (
+            SELECT *, {WINDOW_MEAN.format(run='model_cycle, base_run')} AS m FROM mean_baseline)
+        WHERE calibration""",
 )
 define(
     "evs",
-    f"""SELECT 'distance_row' AS workflow_id, asset_id, cycle_id, us, phase, row_score AS anomaly_score
+    f"""SELECT 'distance_row' AS workflow_id, asset_id, 0 AS model_cycle, cycle_id, us, phase,
+               row_score AS anomaly_score
         FROM distance WHERE evaluation
         UNION ALL
-        SELECT 'distance_window', asset_id, cycle_id, us, phase, round(m, 6) FROM (
+        SELECT 'distance_window', asset_id, 0, cycle_id, us, phase, round(m, 6) FROM (
             SELECT *, {WINDOW_MEAN.format(run='src_run')} AS m FROM distance
-            WHERE src_run IS NOT NULL) WHERE evaluation""",
+            WHERE src_run IS NOT NULL) WHERE evaluation
+        UNION ALL
+        SELECT 'mean_per_maintenance', asset_id, model_cycle, cycle_id, us, phase, round(m, 6) FROM (
+            SELECT *, {WINDOW_MEAN.format(run='src_run')} AS m FROM mean_source) WHERE evaluation""",
 )
 define("cal_ref", "SELECT * FROM cal WHERE anomaly_score IS NOT NULL")
 define(
@@ -328,7 +481,7 @@ define(
               CASE WHEN any_value(e.anomaly_score) IS NOT NULL AND count(c.us) > 0 THEN
                 count(*) FILTER (c.anomaly_score <= e.anomaly_score) / count(c.us)::DOUBLE END
               AS risk_score
-       FROM evs e LEFT JOIN cal_ref c USING (workflow_id, asset_id) GROUP BY ALL""",
+       FROM evs e LEFT JOIN cal_ref c USING (workflow_id, asset_id, model_cycle) GROUP BY ALL""",
 )
 define(
     "risk_gaps",
@@ -356,7 +509,7 @@ define(
 
 # Threshold sweep --------------------------------------------------------------------------------------
 
-define("wfs", "SELECT unnest(['distance_row', 'distance_window']) AS workflow_id")
+define("wfs", "SELECT unnest(" + str(list(WORKFLOWS)) + ") AS workflow_id")
 define("thetas", f"SELECT unnest({THETAS}) AS theta")
 define(
     "aligned",
@@ -678,83 +831,6 @@ define(
              FROM nab GROUP BY workflow_id) n USING (workflow_id)""",
 )
 
-# Local segments and replay ----------------------------------------------------------------------------------
-
-define(
-    "segments",
-    f"""SELECT asset_id, update_cycle AS cycle_id, upd_run AS run_us, min(us) AS start_us,
-               max(us) AS end_us, count(*) AS row_count, greatest(0, count(*) - {L - 1}) AS windows
-        FROM timeline WHERE update_cycle IS NOT NULL GROUP BY asset_id, update_cycle, upd_run""",
-)
-define(
-    "usable",
-    """SELECT *, sum(windows) OVER (PARTITION BY asset_id, cycle_id)::BIGINT AS total_windows,
-              coalesce(sum(windows) OVER (PARTITION BY asset_id, cycle_id ORDER BY start_us DESC
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS later_windows
-       FROM segments WHERE windows > 0""",
-)
-define(
-    "cut",
-    f"""SELECT *, CASE WHEN val > 0 AND val < windows THEN least({L - 1}, windows - val) ELSE 0 END
-               AS emb
-        FROM (SELECT *, greatest(0, least(windows, wanted - later_windows)) AS val
-              FROM (SELECT *, greatest(1, floor(total_windows * {P.local_validation_fraction}))::BIGINT
-                           AS wanted FROM usable))""",
-)
-define(
-    "split",
-    f"""SELECT asset_id, cycle_id, run_us, start_us, row_count, windows, total_windows,
-               wanted AS requested_validation_windows,
-               CASE WHEN fallback THEN windows ELSE windows - val - emb END AS train_windows,
-               CASE WHEN fallback THEN 0 ELSE val END AS validation_windows,
-               CASE WHEN fallback THEN 0 ELSE emb END AS embargo_windows,
-               CASE WHEN NOT fallback AND val > 0 AND val < windows THEN (windows - val)
-                    - CASE WHEN windows - val - emb > 0 THEN windows - val - emb + {L - 1} ELSE 0 END
-                    ELSE 0 END AS unused_rows,
-               CASE WHEN fallback OR val = 0 THEN row_count
-                    WHEN windows - val - emb > 0 THEN windows - val - emb + {L - 1} ELSE 0 END
-               AS train_rows,
-               CASE WHEN NOT fallback AND val > 0 THEN row_count - val - {L - 1} END
-               AS validation_from_row, fallback
-        FROM (SELECT *, sum(windows - val - emb) OVER (PARTITION BY asset_id, cycle_id) < 1 AS fallback
-              FROM cut)""",
-)
-define(
-    "base_windows",
-    f"""SELECT asset_id, us, row_number() OVER (PARTITION BY asset_id ORDER BY us) - 1 AS window_no,
-               count(*) OVER (PARTITION BY asset_id) AS total
-        FROM timeline WHERE baseline_train AND base_pos >= {L}""",
-)
-define(
-    "policy",
-    f"""SELECT * EXCLUDE (b_total), b_total AS baseline_total_windows,
-               least(b_total, round_even(local_train_windows * {P.replay_fraction}
-                     / (1.0 - {P.replay_fraction}), 0)::BIGINT) AS baseline_replay_windows
-        FROM (SELECT asset_id, cycle_id, count(*) AS usable_local_segment_count,
-                     count(*) FILTER (train_windows > 0) AS local_train_segment_count,
-                     count(*) FILTER (validation_windows > 0) AS local_validation_segment_count,
-                     max(total_windows) AS local_total_windows,
-                     sum(train_windows)::BIGINT AS local_train_windows,
-                     sum(validation_windows)::BIGINT AS local_validation_windows,
-                     max(requested_validation_windows) AS requested_validation_windows,
-                     sum(embargo_windows)::BIGINT AS applied_embargo_windows,
-                     sum(unused_rows)::BIGINT AS unused_boundary_rows,
-                     bool_or(fallback) AS short_local_fallback_applied
-              FROM split GROUP BY asset_id, cycle_id)
-        JOIN (SELECT s.asset_id, s.cycle_id, count(*) AS local_segment_count,
-                     sum(row_count)::BIGINT AS local_total_rows FROM segments s GROUP BY ALL)
-          USING (asset_id, cycle_id)
-        JOIN (SELECT asset_id, coalesce(max(total), 0) AS b_total FROM stats
-              LEFT JOIN base_windows USING (asset_id) GROUP BY asset_id) USING (asset_id)""",
-)
-define(
-    "replay",
-    """SELECT w.asset_id, p.cycle_id, w.us, w.window_no
-       FROM policy p, unnest(range(p.baseline_replay_windows)) AS r(i), base_windows w
-       WHERE w.asset_id = p.asset_id AND w.window_no =
-             floor((r.i + 0.5) * p.baseline_total_windows / p.baseline_replay_windows)""",
-)
-
 # Candidates ------------------------------------------------------------------------------------------------
 
 define(
@@ -766,7 +842,7 @@ define(
 )
 define(
     "ledger",
-    """SELECT id, 'study' AS study_id, 'contract' AS search_contract_fingerprint,
+    """SELECT id, 'study_' || (id % 3) AS study_id, 'contract' AS search_contract_fingerprint,
               md5(id::VARCHAR) AS architecture_hash, obj_error, obj_pdm, obj_alarm_burden, 'valid' AS status,
               printf('{"line_count":%d,"parameter_count":%d}', line_count, id * 10) AS diagnostics_json,
               printf('2024-01-01T00:%02d:00', id % 60) AS created_at
@@ -781,7 +857,8 @@ define(
 define(
     "front",
     """SELECT * FROM valid_candidates c WHERE NOT EXISTS (
-         SELECT 1 FROM valid_candidates q WHERE q.obj_error <= c.obj_error AND q.obj_pdm <= c.obj_pdm
+         SELECT 1 FROM valid_candidates q WHERE q.study_id = c.study_id
+         AND q.obj_error <= c.obj_error AND q.obj_pdm <= c.obj_pdm
          AND q.obj_alarm_burden <= c.obj_alarm_burden AND (q.obj_error < c.obj_error
               OR q.obj_pdm < c.obj_pdm OR q.obj_alarm_burden < c.obj_alarm_burden))""",
 )

@@ -21,17 +21,17 @@ from .oracle import P, sql
 
 @query(
     "c1_cdf_fit",
-    sql("SELECT workflow_id, asset_id, us, anomaly_score FROM cal_ref"),
+    sql("SELECT workflow_id, asset_id, model_cycle::BIGINT AS model_cycle, us, anomaly_score FROM cal_ref"),
 )
 def c1(p):
-    return p.distance.reference.select("workflow_id", "asset_id", "us", "anomaly_score")
+    return tidy(p.distance.reference.select(*CALIBRATOR, "us", "anomaly_score"))
 
 
 @query(
     "c1_reference_checks",
     sql(
         """SELECT 'short_reference' AS check_name, count(*) AS violations FROM (
-             SELECT workflow_id, asset_id FROM cal_ref GROUP BY ALL HAVING count(*) < 2)
+             SELECT workflow_id, asset_id, model_cycle FROM cal_ref GROUP BY ALL HAVING count(*) < 2)
            UNION ALL
            SELECT 'unscored_anchor', (SELECT count(*) FROM cal WHERE anomaly_score IS NULL)"""
     ),
@@ -39,12 +39,11 @@ def c1(p):
 def c1_checks(p):
     """Calibrators with fewer than two scores, and reference anchors without a finite score."""
     reference = p.distance.reference
-    anchors = p.study.timeline.filter("calibration").select(
-        F.explode(F.array(*[F.lit(w) for w in p.distance.workflows])).alias("workflow_id"),
-        "asset_id",
-        "us",
-    )
-    keys = ["workflow_id", "asset_id", "us"]
+    models = p.distance.lineage.select(
+        "workflow_id", "asset_id", F.col("effective_model_cycle").alias("model_cycle")
+    ).distinct()
+    anchors = p.study.timeline.filter("calibration").select("asset_id", "us").join(models, "asset_id")
+    keys = [*CALIBRATOR, "us"]
     return check_summary(
         {
             "short_reference": reference_problems(reference, CALIBRATOR),
@@ -116,7 +115,7 @@ SWEEP = (
 def c6(p):
     e = p.distance
     per_asset = threshold_sweep(
-        e.aligned, e.grid, p.study.events, e.thresholds, P, p.study.slice_us, e.event_limit
+        e.aligned, e.grid, p.study.events, e.thresholds, P, p.study.slice_us
     )
     return tidy(fleet_sweep(per_asset, P))
 

@@ -220,7 +220,8 @@ def s12(p):
 @query(
     "s13_ledger_insert",
     sql(
-        """SELECT id, architecture_hash, status, round(obj_error, 6) AS obj_error FROM ledger"""
+        """SELECT id, architecture_hash, status, round(obj_error, 6) AS obj_error FROM ledger
+           WHERE study_id = 'study_1'"""
     ),
 )
 def s13(p):
@@ -229,7 +230,7 @@ def s13(p):
     # The incoming batch repeats known keys and itself; only absent keys are added, once.
     merged = ledgers.insert_if_absent(known, full.unionByName(full))
     return tidy(
-        ledgers.study_rows(merged, "study", "contract").select(
+        ledgers.study_rows(merged, "study_1", "contract").select(
             "id", "architecture_hash", "status", "obj_error"
         )
     )

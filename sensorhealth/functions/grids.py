@@ -3,44 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def theta_bounds(specification: str) -> tuple[float, float, int]:
-    """``start:stop:step`` as start, step and number of steps after the first value."""
-    parts = [p.strip() for p in str(specification).split(":")]
-    if len(parts) != 3:
-        raise ValueError("the threshold grid must read start:stop:step")
-    start, stop, step = map(float, parts)
-    if step <= 0 or stop < start:
-        raise ValueError("invalid threshold grid bounds")
-    return start, step, int((stop - start) / step + 1e-12)
+def _decimal_grid(specification: str) -> tuple[Decimal, Decimal, int]:
+    """First value, distance and number of values of a ``first:last:distance`` grid, exactly."""
+    fields = str(specification).split(":")
+    if len(fields) != 3:
+        raise ValueError(f"a threshold grid has three fields, not {specification!r}")
+    first, last, distance = (Decimal(field.strip()) for field in fields)
+    if distance <= 0 or first > last:
+        raise ValueError(f"a threshold grid ascends in positive steps, unlike {specification!r}")
+    return first, distance, int((last - first) // distance) + 1
 
 
 def theta_list(specification: str, extras: Sequence[float]) -> list[float]:
-    start, step, steps = theta_bounds(specification)
-    stepped = {round(start + i * step, 12) for i in range(steps + 1)}
-    return sorted(stepped | {float(x) for x in extras})
+    """The grid's values and the extra ones, ascending and distinct."""
+    first, distance, count = _decimal_grid(specification)
+    return sorted({float(first + distance * i) for i in range(count)}.union(map(float, extras)))
 
 
 def theta_grid(spark: SparkSession, specification: str, extras: Sequence[float]) -> DataFrame:
-    start, step, steps = theta_bounds(specification)
-    stepped = spark.range(steps + 1).select(
-        F.round(F.lit(start) + F.col("id") * F.lit(step), 12).alias("theta")
+    """``theta_list`` as a table, made by Spark from whole steps."""
+    first, distance, count = _decimal_grid(specification)
+    exact = F.lit(first).cast("decimal(18,12)") + F.col("id") * F.lit(distance).cast("decimal(18,12)")
+    extra = F.array(*[F.lit(float(x)) for x in extras]).cast("array<double>")
+    return (
+        spark.range(count)
+        .agg(F.collect_set(exact.cast("double")).alias("stepped"))
+        .select(F.explode(F.array_union("stepped", extra)).alias("theta"))
     )
-    extra = spark.createDataFrame([(float(x),) for x in extras], "theta double")
-    return stepped.union(extra).distinct() if extras else stepped
 
 
 def lead_times(sensitivity: Sequence[int] | None, step: int, horizon: int) -> list[int]:
-    """Sorted distinct positive leads (or a stepped range), always ending at the fixed horizon."""
-    if sensitivity is None:
-        leads = list(range(step, horizon + 1, step))
-    else:
-        leads = sorted({int(v) for v in sensitivity if int(v) > 0})
-    return leads if leads and leads[-1] == horizon else [*leads, horizon]
+    """Positive leads, from a list or every ``step`` minutes; the horizon is always the last one."""
+    asked = range(step, horizon, step) if sensitivity is None else sensitivity
+    return [*sorted({int(lead) for lead in asked if lead > 0} - {horizon}), horizon]
 
 
 def level(value: Column, thresholds: Sequence[float]) -> Column:

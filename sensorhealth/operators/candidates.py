@@ -106,30 +106,36 @@ def _undominated(points: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _reduce_front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    kept = None
-    names = list(OBJECTIVES)
-    for batch in batches:
-        pool = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-        kept = pool[_undominated(pool[names].to_numpy(dtype=float))]
-    if kept is not None and len(kept):
-        yield kept
-
-
-def pareto_front(candidates: DataFrame, rounds: Sequence[int] = (64, 8, 1)) -> DataFrame:
-    """Candidates no other candidate dominates in the three minimised objectives.
+def pareto_front(
+    candidates: DataFrame, keys: Sequence[str], rounds: Sequence[int] = (64, 8)
+) -> DataFrame:
+    """Candidates that no other candidate of their study (``keys``) dominates.
 
     Distinct objective points are thinned in parallel, each round on fewer partitions and on the
-    survivors of the one before; a point is dropped only when a dominating point exists, so every
-    round is exact. No pair of candidates is ever emitted.
+    survivors of the one before; the last round meets the survivors of one study. A point is
+    dropped only when a dominating point of its study exists, so every round is exact. No pair of
+    candidates is ever emitted.
     """
-    names = list(OBJECTIVES)
-    points = candidates.select(*[F.col(c).cast("double").alias(c) for c in names]).distinct()
-    schema = ", ".join(f"{c} double" for c in names)
+    keys, names = list(keys), list(OBJECTIVES)
+    points = candidates.select(
+        *keys, *[F.col(c).cast("double").alias(c) for c in names]
+    ).distinct()
+
+    def thin(group: pd.DataFrame) -> pd.DataFrame:
+        return group[_undominated(group[names].to_numpy(dtype=float))]
+
+    def thin_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict = {}
+        for batch in batches:
+            for key, group in batch.groupby(keys, sort=False, dropna=False):
+                pool = pd.concat([kept[key], group]) if key in kept else group
+                kept[key] = thin(pool)
+        yield from kept.values()
+
     for parts in rounds:
-        points = points.repartition(parts, *names) if parts > 1 else points.coalesce(1)
-        points = points.mapInPandas(_reduce_front, schema)
-    return candidates.join(points, names, "left_semi")
+        points = points.repartition(parts, *keys, *names).mapInPandas(thin_batches, points.schema)
+    points = points.groupBy(*keys).applyInPandas(thin, points.schema)
+    return candidates.join(points, [*keys, *names], "left_semi")
 
 
 def winner(

@@ -53,19 +53,21 @@ def warned(intervals: DataFrame, events: DataFrame, lead_minutes: int, how: str
 
 
 def greedy_match(
-    eligible: DataFrame, event_grid: DataFrame, keys: list[str], limit: int
+    eligible: DataFrame, event_grid: DataFrame, keys: list[str]
 ) -> DataFrame:
     """One-to-one assignment: events in order of start each take the first unused interval.
 
     ``eligible`` has ``keys, ordinal, start_us``; ``event_grid`` lists ``keys, ordinal`` for every
     event. Intervals are disjoint and the eligible spans move forward, so "unused" means "starts
-    after the last one taken", and an event never needs more than ``limit`` (the number of events)
-    of its first intervals. Adds ``matched_us``, null for a missed event.
+    after the last one taken", and an event never needs more of its first intervals than its key has
+    events: each earlier event takes one of them at most. Adds ``matched_us``, null for a missed event.
     """
     first = Window.partitionBy(*keys, "ordinal").orderBy("start_us")
+    events_of = event_grid.groupBy(*keys).agg(F.count(F.lit(1)).alias("_events"))
     short = (
         eligible.select(*keys, "ordinal", "start_us", F.row_number().over(first).alias("_rank"))
-        .filter(F.col("_rank") <= limit)
+        .join(events_of, keys)
+        .filter(F.col("_rank") <= F.col("_events"))
         .groupBy(*keys, "ordinal")
         .agg(F.array_sort(F.collect_list("start_us")).alias("_starts"))
     )
@@ -127,7 +129,7 @@ def match_counts(matches: DataFrame, counts: DataFrame, extra: list[str]) -> Dat
 
 
 def lead_time_matches(
-    intervals: DataFrame, listed: DataFrame, params: StudyParams, leads: list[int], limit: int
+    intervals: DataFrame, listed: DataFrame, params: StudyParams, leads: list[int]
 ) -> DataFrame:
     """Greedy matches per required lead: the interval must start by ``event start - lead``."""
     keys = [*KEYS, "lead_minutes"]
@@ -145,7 +147,7 @@ def lead_time_matches(
         & (F.col("end_us") >= F.col("warning_us"))
         & (F.col("start_us") <= F.col("deadline_us"))
     )
-    return greedy_match(eligible, wanted, keys, limit)
+    return greedy_match(eligible, wanted, keys)
 
 
 def time_to_detection(alarms: DataFrame, listed: DataFrame, params: StudyParams) -> DataFrame:

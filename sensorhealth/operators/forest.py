@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .slices import floor_div
 
 EULER = 0.5772156649015329
@@ -27,31 +29,77 @@ def expected_depth(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
 
 
+def training_sizes(rows: DataFrame, keys: Sequence[str], many: str | None) -> DataFrame:
+    """Training rows of every model, written as a small table of known size."""
+    own = [k for k in keys if k != many]
+    members = rows.groupBy(*own, *([_members(many)] if many else [])).agg(F.count(F.lit(1)).alias("_n"))
+    if many:
+        members = members.select(*own, F.explode(_members(many)).alias(many), "_n")
+    sizes = members.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    return materialize(sizes, "training-sizes")
+
+
+def _members(many: str) -> str:
+    """Column that lists the models a row belongs to."""
+    return f"{many}s"
+
+
 def sample_trees(
-    rows: DataFrame, keys: Sequence[str], row_id: str, trees: int, tree_rows: int, seed: int
+    rows: DataFrame,
+    keys: Sequence[str],
+    row_id: str,
+    trees: int,
+    tree_rows: int,
+    seed: int,
+    many: str | None = None,
 ) -> DataFrame:
-    """Rows of every tree, drawn without replacement by hash rank.
+    """Rows of every tree, drawn without replacement by hash rank from all rows of its model.
 
-    A large training set is first thinned by hash to a pool several times larger than all trees
-    need together; only pool rows meet the trees, and a tree keeps about twice its rows before
-    ranking. Sets smaller than a sample are used whole.
+    Each row draws its trees by hash before it is multiplied, so only drawn rows are copied: a tree
+    keeps about three times its rows before ranking, or all rows of a smaller set. With ``many``,
+    that key is a list column (``<many>s``) of the models that share the row.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    pool_rows = float(4 * trees * tree_rows)
-    pool_hash = F.xxhash64(*keys, row_id, F.lit(seed), F.lit(-1)).bitwiseAND((1 << 62) - 1)
-    pool = (
-        rows.join(sizes, list(keys))
-        .filter(pool_hash < HASH_SPAN * F.least(F.lit(1.0), pool_rows / F.col("_size")))
-        .withColumn("_pool", F.least(F.col("_size").cast("double"), F.lit(pool_rows)))
-    )
-    per_tree = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    rank = F.xxhash64(*keys, row_id, "tree", F.lit(seed)).bitwiseAND((1 << 62) - 1)
-    return (
-        per_tree.withColumn("_rank", rank)
-        .filter(F.col("_rank") < HASH_SPAN * F.least(F.lit(1.0), 3.0 * tree_rows / F.col("_pool")))
-        .drop("_pool")
+    own = [k for k in keys if k != many]
+    sizes = training_sizes(rows, keys, many)
+    label = many or "_one"
+    models = sizes if many else sizes.withColumn(label, F.lit(0))
+    listed = models.groupBy(*own).agg(
+        F.collect_list(F.struct(F.col(label).alias("model"), F.col("_size").alias("size"))).alias("_models")
     )
 
+    def rank(model, tree):
+        return F.xxhash64(*own, model, row_id, tree, F.lit(seed)).bitwiseAND((1 << 62) - 1)
+
+    def drawn(model):
+        share = F.least(F.lit(1.0), F.lit(3.0 * tree_rows) / model["size"])
+        chosen = F.filter(
+            F.sequence(F.lit(0), F.lit(trees - 1)),
+            lambda t: rank(model["model"], t) < F.lit(HASH_SPAN) * share,
+        )
+        return F.transform(
+            chosen,
+            lambda t: F.struct(
+                model["model"].alias(label),
+                model["size"].alias("_size"),
+                t.alias("tree"),
+                rank(model["model"], t).alias("_rank"),
+            ),
+        )
+
+    joined = rows.join(listed, own)
+    models_of = F.col("_models")
+    if many:
+        models_of = F.filter("_models", lambda m: F.array_contains(_members(many), m["model"]))
+    draws = joined.select(*own, row_id, *_features(rows, keys, row_id, many), F.explode(
+        F.flatten(F.transform(models_of, drawn))
+    ).alias("_d"))
+    return draws.select("*", "_d.*").drop("_d", *(() if many else (label,)))
+
+
+def _features(rows: DataFrame, keys: Sequence[str], row_id: str, many: str | None) -> list[str]:
+    skip = {*keys, row_id, *([_members(many)] if many else [])}
+    return [c for c in rows.columns if c not in skip]
+
 
 def _grow(x: np.ndarray, tree: np.ndarray, trees: int, limit: int, rng) -> list[np.ndarray]:
     """Isolate the rows of several trees by random cuts, one level of all trees at a time.
@@ -99,14 +147,17 @@ def fit_forest(
     trees: int,
     tree_rows: int,
     seed: int,
+    many: str | None = None,
 ) -> DataFrame:
     """One row per tree: its nodes as arrays. All keys are fitted in one job.
 
-    ``features`` is an array column. Keys with fewer than two rows get no forest.
+    ``features`` is an array column. Keys with fewer than two rows get no forest. ``many`` names a
+    key that rows list as ``<many>s``, as one row may train many models.
     """
     keys = list(keys)
+    held = [_members(k) if k == many else k for k in keys]
     sampled = sample_trees(
-        rows.select(*keys, row_id, features), keys, row_id, trees, tree_rows, seed
+        rows.select(*held, row_id, features), keys, row_id, trees, tree_rows, seed, many
     ).withColumn("_block", F.floor(F.col("tree") / TREES_PER_GROUP))
     limit = math.ceil(math.log2(max(tree_rows, 2)))
     names = [*keys, "tree", "sample", "feature", "cut", "depth"]
@@ -120,13 +171,14 @@ def fit_forest(
         numbers, tree, sample = np.unique(
             chosen["tree"].to_numpy(), return_inverse=True, return_counts=True
         )
-        rng = np.random.default_rng([seed, int(numbers[0])])
+        own = zlib.crc32(repr([pdf[k].iloc[0] for k in keys]).encode())
+        rng = np.random.default_rng([seed, int(numbers[0]), own])
         nodes = _grow(x, tree, len(numbers), limit, rng)
         out = {k: [pdf[k].iloc[0]] * len(numbers) for k in keys}
         out |= {"tree": numbers, "sample": sample}
         return pd.DataFrame(out | {n: list(a) for n, a in zip(names[-3:], nodes, strict=True)})
 
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    types = {f.name: f.dataType.simpleString() for f in sampled.schema}
     schema = ", ".join(
         [f"{k} {types[k]}" for k in keys]
         + ["tree int", "sample int", "feature array<int>", "cut array<double>"]
@@ -138,8 +190,13 @@ def fit_forest(
 
 
 def spread_work(df: DataFrame, *columns: str) -> DataFrame:
-    """Keep all cores busy where the rows are few but the work per row is heavy."""
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *columns)
+    """Keep all cores busy where the rows are few but the work per row is heavy.
+
+    The partitions are at least those that the session plans for its shuffles.
+    """
+    spark = df.sparkSession
+    planned = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(planned, 2 * spark.sparkContext.defaultParallelism), *columns)
 
 
 def _mean_depth(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: np.ndarray):

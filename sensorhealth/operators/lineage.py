@@ -244,6 +244,16 @@ def is_even_pick(position, total, count):
     )
 
 
+def picks_before(position, total, count):
+    """How many of the ``is_even_pick`` positions are smaller than ``position``.
+
+    ``floor((i + 0.5) * total / count) < position`` holds for the ``i`` below
+    ``position * count / total - 0.5``.
+    """
+    below = F.ceil(position * count / total - 0.5)
+    return F.when(count >= total, position).otherwise(F.greatest(F.lit(0), F.least(below, count)))
+
+
 def replay_windows(windows: DataFrame, policy: DataFrame) -> DataFrame:
     """Evenly spread baseline windows per cycle.
 

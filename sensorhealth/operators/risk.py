@@ -104,13 +104,12 @@ def threshold_sweep(
     thresholds: Sequence[float],
     params: StudyParams,
     width: int,
-    event_limit: int,
 ) -> DataFrame:
     """Alarm counts and event scores per workflow, asset and threshold.
 
     ``predictions`` has ``workflow_id, asset_id, us, maintenance_risk`` and ``linked`` (the
     previous timeline row is also an evaluated row of the same run); ``grid`` lists every
-    ``workflow_id, asset_id``; no asset has more than ``event_limit`` events.
+    ``workflow_id, asset_id``.
 
     A row opens an alarm interval for the thresholds between its predecessor's risk and its own,
     and closes one likewise towards its successor. Rows are therefore reduced to how many
@@ -176,20 +175,19 @@ def threshold_sweep(
         .select(*keys, "_rows", "c.*")
     )
 
-    def total(kind: str, before: int | None = None) -> Column:
-        chosen = F.col("kind") == kind
-        if before is not None:
-            chosen = chosen & (F.col("slot") < before)
-        return F.coalesce(F.sum(F.when(chosen, F.col("_rows"))), F.lit(0))
+    def total(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("_rows"))), F.lit(0))
 
-    spans = [
-        F.struct(total("close", j).alias("before"), total("open", j).alias("hi"))
-        for j in range(1, event_limit + 1)
-    ]
-    per_level = spread.groupBy(*keys, "level").agg(
-        total("point").alias("alarm_points"),
-        total("open").alias("intervals"),
-        F.array(*spans).alias("_spans"),
+    # Opened and closed intervals by the events before them; an asset has a slot more than events.
+    by_slot = spread.groupBy(*keys, "level", "slot").agg(
+        total("point").alias("_points"), total("open").alias("_opens"), total("close").alias("_closes")
+    )
+    per_level = by_slot.groupBy(*keys, "level").agg(
+        F.sum("_points").alias("alarm_points"),
+        F.sum("_opens").alias("intervals"),
+        F.array_sort(
+            F.collect_list(F.struct("slot", F.col("_opens").alias("opens"), F.col("_closes").alias("closes")))
+        ).alias("_slots"),
     )
     points = shape.groupBy(*keys).agg(F.sum("_rows").alias("total_points"))
     expected = events.groupBy("asset_id").agg(F.count(F.lit(1)).alias("_events"))
@@ -197,11 +195,17 @@ def threshold_sweep(
     listed = grid.select(*keys, theta).withColumn("level", F.col("_i") + 1)
     matched = F.coalesce(
         F.expr(
-            """aggregate(slice(_spans, 1, cast(_events as int)),
-                 struct(cast(0 as bigint) as last, cast(0 as bigint) as tp),
-                 (a, s) -> if(greatest(s.before + 1, a.last + 1) <= s.hi,
-                              struct(greatest(s.before + 1, a.last + 1) as last, a.tp + 1 as tp),
-                              a),
+            """aggregate(sequence(1, cast(_events as int)),
+                 struct(0 as at, cast(0 as bigint) as hi, cast(0 as bigint) as before,
+                        cast(0 as bigint) as last, cast(0 as bigint) as tp),
+                 (a, j) -> transform(array(if(get(_slots, a.at).slot = j - 1,
+                         struct(a.at + 1 as at, a.hi + get(_slots, a.at).opens as hi,
+                                a.before + get(_slots, a.at).closes as before, a.last as last, a.tp as tp),
+                         a)),
+                     b -> if(greatest(b.before + 1, b.last + 1) <= b.hi,
+                             struct(b.at as at, b.hi as hi, b.before as before,
+                                    greatest(b.before + 1, b.last + 1) as last, b.tp + 1 as tp),
+                             b))[0],
                  a -> a.tp)"""
         ),
         F.lit(0),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.forest import fit_forest, score_forest
@@ -17,9 +17,8 @@ from ..operators.lineage import (
     PER_MAINTENANCE,
     STATIC,
     baseline_windows,
-    local_segments,
     model_lineage,
-    refittable,
+    picks_before,
     replay_windows,
     split_policy,
     split_segments,
@@ -103,16 +102,16 @@ class Detectors:
             "calibration",
             "evaluation",
             F.lit(0).alias("model_cycle"),
-            F.round(total / len(self.study.features_list), 4).alias("row_score"),
+            (total / len(self.study.features_list)).alias("row_score"),
         )
 
-    def distance_scores(self) -> tuple[DataFrame, DataFrame]:
+    def distance_scores(self, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Workflows ``distance_row`` (anchor row) and ``distance_window`` (whole window)."""
-        rows = materialize(self.distance_rows, "distance")
+        rows = materialize(self.distance_rows if rows is None else rows, "distance")
         windows_c = self.windowed(rows, "base_run", "row_score").filter("calibration")
         windows_e = self.windowed(rows, "src_run", "row_score").filter("evaluation")
         named = lambda df, w, s, *more: df.select(
-            F.lit(w).alias("workflow_id"), *MODEL, "us", F.round(s, 6).alias("anomaly_score"), *more
+            F.lit(w).alias("workflow_id"), *MODEL, "us", F.col(s).alias("anomaly_score"), *more
         )
         calibration = named(rows.filter("calibration"), "distance_row", "row_score").unionByName(
             named(windows_c, "distance_window", "anomaly_score")
@@ -126,15 +125,11 @@ class Detectors:
     # Lineage and training populations -------------------------------------------------------------
 
     def lineage(self, workflow: str, strategy: str) -> DataFrame:
-        return model_lineage(self.refit_plan, {workflow: strategy})
+        return model_lineage(self.study.refits, {workflow: strategy})
 
-    @cached_property
-    def refit_plan(self) -> DataFrame:
-        return materialize(refittable(self.study.cycles, self.segments), "refits")
-
-    @cached_property
+    @property
     def segments(self) -> DataFrame:
-        return local_segments(self.study.timeline, self.params.sequence_length)
+        return self.study.segments
 
     @cached_property
     def split(self) -> DataFrame:
@@ -170,7 +165,7 @@ class Detectors:
         )
 
     def refit_cycles(self) -> DataFrame:
-        return self.refit_plan.filter("update_possible").select(
+        return self.study.refits.filter("update_possible").select(
             "asset_id", F.col("cycle_id").alias("model_cycle")
         )
 
@@ -179,18 +174,21 @@ class Detectors:
     def forest_training(self, strategy: str) -> DataFrame:
         """Baseline training rows, plus the rows of the cycle's own update interval.
 
-        All models of all assets are fitted by the same job: the model cycle is a key column.
+        Each row is there once, with the list of the models it trains (``model_cycles``).
         """
         known = self.rows.filter("features IS NOT NULL")
         base = known.filter("baseline_train").select("asset_id", "us", "features")
         if strategy == STATIC:
-            return base.withColumn("model_cycle", F.lit(0))
+            return base.withColumn("model_cycles", F.array(F.lit(0)))
+        refits = self.refit_cycles()
+        every = refits.groupBy("asset_id").agg(F.collect_list("model_cycle").alias("model_cycles"))
         local = known.filter("update_cycle IS NOT NULL").select(
             "asset_id", "us", "features", F.col("update_cycle").alias("model_cycle")
         )
-        return base.join(self.refit_cycles(), "asset_id").unionByName(
-            local.join(self.refit_cycles(), MODEL, "left_semi")
+        own = local.join(refits, MODEL, "left_semi").select(
+            "asset_id", "us", "features", F.array("model_cycle").alias("model_cycles")
         )
+        return base.join(every, "asset_id").unionByName(own)
 
     def forest(self, strategy: str) -> DataFrame:
         p = self.params
@@ -203,6 +201,7 @@ class Detectors:
                 trees=p.trees,
                 tree_rows=p.tree_rows,
                 seed=p.seed,
+                many="model_cycle",
             ),
             "forest",
         )
@@ -237,7 +236,7 @@ class Detectors:
     def component_training(self, strategy: str) -> DataFrame:
         """Training rows weighted by the number of training windows that hold them."""
         length = self.params.sequence_length
-        baseline = self.rows.filter("baseline_train")
+        baseline = self.rows.filter("baseline_train AND features IS NOT NULL")
         sizes = baseline.groupBy("asset_id", "base_run").agg(F.count(F.lit(1)).alias("_n"))
         initial = (
             baseline.join(sizes, ["asset_id", "base_run"])
@@ -255,43 +254,71 @@ class Detectors:
 
     @cached_property
     def mixed_rows(self) -> DataFrame:
-        """Rows of the training windows of every refit, once per window that holds them.
+        """Rows of the training windows of every refit, once per refit, with their window counts.
 
-        Each row looks ahead to the window ends within one window length of its run; a window end
-        lists the refits that use it, so baseline rows are not multiplied by cycles beforehand.
+        The windows that hold a row end at it or up to one window length later in its run, so how
+        many of them a refit uses is a difference of ranks: no window is joined to its rows.
         """
         length = self.params.sequence_length
-        keys = ["asset_id", "origin"]
-        ends = self.mix.groupBy(*keys, "us").agg(F.collect_list("cycle_id").alias("_ends"))
-        common = ("asset_id", "us", "slice", "gap_us", "features")
-        baseline = self.rows.filter("baseline_train").select(
-            *common, F.col("base_run").alias("_run"), F.lit("baseline").alias("origin")
-        )
-        local = self.rows.filter("update_cycle IS NOT NULL").select(
-            *common, F.col("upd_run").alias("_run"), F.lit("local").alias("origin")
+        known = self.rows.filter("features IS NOT NULL")
+        baseline = known.filter("baseline_train")
+        by_asset = Window.partitionBy("asset_id").orderBy("base_run")
+        runs = baseline.groupBy("asset_id", "base_run").agg(F.count(F.lit(1)).alias("_n"))
+        windows = F.greatest(F.lit(0), F.col("_n") - (length - 1))
+        before = F.sum(windows).over(by_asset.rowsBetween(Window.unboundedPreceding, -1))
+        runs = runs.select("asset_id", "base_run", "_n", F.coalesce(before, F.lit(0)).alias("_before"))
+        wanted = self.policy.filter("baseline_replay_windows > 0").groupBy("asset_id").agg(
+            F.collect_list(
+                F.struct("cycle_id", "baseline_total_windows", "baseline_replay_windows")
+            ).alias("_refits")
         )
-        ahead = over_sequence(
-            baseline.unionByName(local).join(ends, [*keys, "us"], "left"),
-            keys,
-            "us",
-            "slice",
-            self.study.slice_us,
-            "_run",
-            length,
-            {"_used": F.collect_list("_ends")},
-            following=True,
+        position = F.col("base_pos")
+        first = F.col("_before") + F.greatest(position, F.lit(length)) - length
+        last = F.col("_before") + F.least(position + (length - 1), F.col("_n")) - length
+
+        def picked(refit):
+            total, count = refit["baseline_total_windows"], refit["baseline_replay_windows"]
+            return picks_before(last + 1, total, count) - picks_before(first, total, count)
+
+        replayed = (
+            baseline.join(runs, ["asset_id", "base_run"])
+            .filter(F.col("_n") >= length)
+            .join(wanted, "asset_id")
+            .select(
+                "asset_id",
+                "features",
+                F.explode(
+                    F.transform("_refits", lambda r: F.struct(r["cycle_id"], picked(r).alias("weight")))
+                ).alias("_r"),
+            )
+            .select("asset_id", F.col("_r.cycle_id").alias("model_cycle"), "features", "_r.weight")
         )
-        return ahead.select(
+        pieces = self.split.select(
             "asset_id",
-            F.explode(F.flatten("_used")).alias("model_cycle"),
-            "features",
-            F.lit(1).cast("bigint").alias("weight"),
+            F.col("cycle_id").alias("update_cycle"),
+            F.col("run_us").alias("upd_run"),
+            (F.col("row_count") - F.col("windows")).alias("_skipped"),
+            "train_windows",
+        )
+        end = F.col("_skipped") + F.col("train_windows")
+        held = F.least(end, F.col("upd_pos") + (length - 1)) - F.greatest(
+            F.col("_skipped"), F.col("upd_pos") - 1
+        )
+        local = (
+            known.filter("update_cycle IS NOT NULL")
+            .join(pieces, ["asset_id", "update_cycle", "upd_run"])
+            .select("asset_id", F.col("update_cycle").alias("model_cycle"), "features", held.alias("weight"))
+        )
+        return (
+            replayed.unionByName(local)
+            .filter("weight > 0")
+            .withColumn("weight", F.col("weight").cast("bigint"))
         )
 
     def components(self, strategy: str) -> DataFrame:
         return materialize(
             fit_components(
-                self.component_training(strategy).filter("features IS NOT NULL"),
+                self.component_training(strategy),
                 MODEL,
                 "features",
                 len(self.study.features_list),
@@ -311,33 +338,48 @@ class Detectors:
             "_fit", "mean", "components", "features"
         )
 
-    def component_scores(self, workflow: str, strategy: str) -> tuple[DataFrame, DataFrame]:
-        lineage = self.lineage(workflow, strategy)
-        models = lineage.select(
+    def component_rows(
+        self, workflow: str, strategy: str, rank: int | None = None
+    ) -> tuple[DataFrame, DataFrame]:
+        """Row errors of baseline rows under every model in use, and of source rows under theirs.
+
+        ``rank`` keeps so many leading components; 0 leaves the mean of each model's training mix.
+        """
+        models = self.lineage(workflow, strategy).select(
             "asset_id", "cycle_id", F.col("effective_model_cycle").alias("model_cycle")
         )
         fitted = self.components(strategy)
+        if rank is not None:
+            fitted = fitted.withColumn("components", F.slice("components", 1, rank))
         labels = ["us", "slice", "gap_us", "phase", "features"]
         baseline = self.rows.filter("baseline").select(
             "asset_id", *labels, "base_run", "calibration"
         )
         source = self.rows.filter("src_run IS NOT NULL").select(
-            "asset_id", *labels, "src_run", "src_pos", "cycle_id", "evaluation"
+            "asset_id", *labels, "src_run", "cycle_id", "evaluation"
         )
-        calibration = self.reconstruction_rows(
-            baseline.join(models.select(*MODEL).distinct(), "asset_id"), fitted
+        return (
+            self.reconstruction_rows(
+                baseline.join(models.select(*MODEL).distinct(), "asset_id"), fitted
+            ),
+            self.reconstruction_rows(source.join(models, ["asset_id", "cycle_id"]), fitted),
         )
-        evaluation = self.reconstruction_rows(source.join(models, ["asset_id", "cycle_id"]), fitted)
+
+    def window_scores(
+        self, workflow: str, calibration: DataFrame, evaluation: DataFrame
+    ) -> tuple[DataFrame, DataFrame]:
+        """Mean row error of the sequence window at every anchor."""
         name = F.lit(workflow).alias("workflow_id")
         scored_c = self.windowed(calibration, "base_run", "row_mse")
         scored_e = self.windowed(evaluation, "src_run", "row_mse")
         return (
             scored_c.filter("calibration").select(name, *COLUMNS[1:]),
-            scored_e.filter(
-                F.col("evaluation") & (F.col("src_pos") >= self.params.sequence_length)
-            ).select(name, *COLUMNS[1:], "cycle_id", "phase"),
+            scored_e.filter("evaluation").select(name, *COLUMNS[1:], "cycle_id", "phase"),
         )
 
+    def component_scores(self, workflow: str, strategy: str) -> tuple[DataFrame, DataFrame]:
+        return self.window_scores(workflow, *self.component_rows(workflow, strategy))
+
     def smape(self, models: DataFrame, keys: list[str]) -> DataFrame:
         """Reconstruction SMAPE over all windows of the cycle-0 source rows."""
         length = self.params.sequence_length

@@ -114,7 +114,6 @@ class Evaluation:
             self.thresholds,
             self.params,
             self.study.slice_us,
-            self.event_limit,
         )
 
     @cached_property
@@ -143,10 +142,6 @@ class Evaluation:
             ev.warned(self.intervals, self.study.events, self.params.lead_minutes), "eligible"
         )
 
-    @property
-    def event_limit(self) -> int:
-        return len(self.study.windows)
-
     @cached_property
     def counts(self) -> DataFrame:
         return materialize(ev.interval_counts(self.intervals, self.grid), "counts")
@@ -154,7 +149,7 @@ class Evaluation:
     @cached_property
     def matches(self) -> DataFrame:
         return materialize(
-            ev.greedy_match(self.eligible, self.listed, ev.KEYS, self.event_limit), "matches"
+            ev.greedy_match(self.eligible, self.listed, ev.KEYS), "matches"
         )
 
     @cached_property
@@ -168,9 +163,7 @@ class Evaluation:
 
     @cached_property
     def lead_scores(self) -> DataFrame:
-        matched = ev.lead_time_matches(
-            self.intervals, self.listed, self.params, self.leads, self.event_limit
-        )
+        matched = ev.lead_time_matches(self.intervals, self.listed, self.params, self.leads)
         return ev.match_counts(matched, self.counts, ["lead_minutes"])
 
     @cached_property
@@ -308,7 +301,7 @@ class Evaluation:
 
     @cached_property
     def lineage(self) -> DataFrame:
-        return model_lineage(self.study.cycles, self.workflows)
+        return model_lineage(self.study.refits, self.workflows)
 
     @cached_property
     def results(self) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.calendar import cycle_plan
+from ..operators.lineage import local_segments, refittable
 from ..operators.populations import label_populations, series_stats
 from ..operators.rolling import (
     apply_scaler,
@@ -100,6 +101,16 @@ class Study:
     def cycles(self) -> DataFrame:
         return materialize(cycle_plan(self.base, self.events, self.stats, self.params), "cycles")
 
+    @cached_property
+    def segments(self) -> DataFrame:
+        """Contiguous local pieces of the update intervals."""
+        return local_segments(self.timeline, self.params.sequence_length)
+
+    @cached_property
+    def refits(self) -> DataFrame:
+        """The cycle plan whose ``update_possible`` is what adaptive workflows really refit."""
+        return materialize(refittable(self.cycles, self.segments), "refits")
+
     @cached_property
     def timeline(self) -> DataFrame:
         """Labelled timeline; it carries the channels so that no later step joins rows back."""

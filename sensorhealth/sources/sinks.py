@@ -43,4 +43,4 @@ def write_json(records: DataFrame, path: str) -> None:
         else F.col(f.name)
         for f in records.schema
     ]
-    records.select(*safe).write.mode("overwrite").json(path)
+    records.select(*safe).write.mode("overwrite").option("ignoreNullFields", False).json(path)

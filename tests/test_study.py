@@ -5,14 +5,14 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from helpers import ADJACENT_EVENTS, SMALL, compressor_frame, compressor_study, minute_rows
+from helpers import ADJACENT_EVENTS, SMALL, compressor_study, minute_rows
 from pyspark.sql import functions as F
 
 from sensorhealth import StudyParams
 from sensorhealth.functions import grids
 from sensorhealth.operators import candidates as cand
 from sensorhealth.operators import contract, events, lineage, rolling
-from sensorhealth.operators.forest import fit_forest, score_forest
+from sensorhealth.operators.forest import fit_forest, sample_trees, score_forest
 from sensorhealth.operators.reconstruction import windows_holding
 from sensorhealth.operators.risk import (
     alarm_flags,
@@ -128,7 +128,7 @@ def test_pareto_front_and_winner(spark):
         [(1, 0.2, 0.6, 0.2), (2, 0.4, 0.2, 0.1), (3, 0.8, 0.8, 0.8)],
         "id int, obj_error double, obj_pdm double, obj_alarm_burden double",
     ).select("*", F.lit("s").alias("study"), F.lit("t").alias("created_at"), F.lit(True).alias("_valid"))
-    front = cand.pareto_front(rows)
+    front = cand.pareto_front(rows, ["study"])
     assert sorted(r["id"] for r in front.collect()) == [1, 2]
     best = cand.winner(rows, front, ["study"], StudyParams()).collect()
     assert best[0]["id"] in (1, 2)
@@ -139,14 +139,19 @@ def test_pareto_front_matches_pairwise_dominance(spark):
     rng = np.random.default_rng(0)
     points = pd.DataFrame(rng.integers(0, 12, (500, 3)) / 4, columns=list(cand.OBJECTIVES))
     points["id"] = range(500)
-    got = {r["id"] for r in cand.pareto_front(spark.createDataFrame(points)).collect()}
-    x = points[list(cand.OBJECTIVES)].to_numpy()
+    points["study"] = ["abc"[i % 3] for i in range(500)]
+    front = cand.pareto_front(spark.createDataFrame(points), ["study"], (4, 2))
+    x, study = points[list(cand.OBJECTIVES)].to_numpy(), points["study"].to_numpy()
     keep = [
         i
         for i in range(500)
-        if not ((x <= x[i]).all(axis=1) & (x < x[i]).any(axis=1)).any()
+        if not ((x <= x[i]).all(axis=1) & (x < x[i]).any(axis=1) & (study == study[i])).any()
     ]
-    assert got == set(keep)
+    assert {r["id"] for r in front.collect()} == set(keep)
+    named = front.select("*", F.lit("t").alias("created_at"))
+    rows = spark.createDataFrame(points).withColumn("_valid", F.lit(True))
+    best = cand.winner(rows, named, ["study"], StudyParams()).collect()
+    assert sorted(r["study"] for r in best) == ["a", "b", "c"]
 
 
 def test_auroc_with_ties_and_missing_class(spark):
@@ -164,8 +169,8 @@ def test_auroc_with_ties_and_missing_class(spark):
 def test_json_sink_writes_null_for_nan(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.5, float("nan"))], "epoch int, train double, validation double")
     sinks.write_json(rows, str(tmp_path / "h"))
-    text = next((tmp_path / "h").glob("part-*.json")).read_text()
-    assert json.loads(text) == {"epoch": 1, "train": 0.5}
+    lines = [x for f in (tmp_path / "h").glob("part-*.json") for x in f.read_text().splitlines()]
+    assert [json.loads(x) for x in lines] == [{"epoch": 1, "train": 0.5, "validation": None}]
 
 
 def test_source_checks(spark):
@@ -210,7 +215,7 @@ def test_sweep_and_operating_point(spark):
     thetas = grids.theta_list(params.theta_grid, ())
     assert thetas == [0.1, 0.5, 0.9]
     sweep = fleet_sweep(
-        threshold_sweep(rows, grid, event, thetas, params, 7 * MINUTE_US, 1), params
+        threshold_sweep(rows, grid, event, thetas, params, 7 * MINUTE_US), params
     )
     selected = operating_point(sweep, params)
     best = selected.collect()[0]
@@ -250,7 +255,7 @@ def test_sweep_counts_match_a_naive_loop(spark, seed):
     )
     grid = spark.createDataFrame([("w", 0)], "workflow_id string, asset_id bigint")
     thetas = grids.theta_list(params.theta_grid, params.extra_thresholds)
-    got = threshold_sweep(rows, grid, event, thetas, params, 11 * MINUTE_US, 6).collect()
+    got = threshold_sweep(rows, grid, event, thetas, params, 11 * MINUTE_US).collect()
     assert len(got) == len(thetas)
     for r in got:
         intervals, previous = [], False
@@ -282,7 +287,7 @@ def test_greedy_match_against_a_naive_loop(spark, seed):
     grid = spark.createDataFrame([("w", 0)], "workflow_id string, asset_id bigint")
     listed = events.event_grid(grid, event)
     eligible = events.warned(intervals, event, 60)
-    matches = events.greedy_match(eligible, listed, events.KEYS, 7)
+    matches = events.greedy_match(eligible, listed, events.KEYS)
     counts = events.interval_counts(intervals, grid)
     got = events.match_counts(matches, counts, []).collect()[0]
     tp = naive_match(edges.tolist(), starts, 60)
@@ -297,8 +302,8 @@ def test_prepared_populations(study):
         F.count_if(F.col("evaluation") & F.col("post_train")).alias("overlap"),
         F.collect_set("phase").alias("phases"),
     ).collect()[0]
-    fitted = study.scaler.agg(F.max("fitted_rows")).collect()[0][0]
-    assert fitted == counts["train"] > 0
+    fitted = study.scaler.groupBy("asset_id").agg(F.max("fitted_rows").alias("n"))
+    assert fitted.agg(F.sum("n")).first()[0] == counts["train"] > 0
     assert counts["overlap"] == 0
     assert sorted(counts["phases"]) == [0, 1, 2]
 
@@ -314,18 +319,19 @@ def test_populations_do_not_depend_on_slices(spark, study):
 
 
 def test_features_match_pandas(study):
-    frame = compressor_frame()
-    index = pd.to_datetime(frame.pop("us"), unit="us")
-    channels = study.channels
-    rolled = frame[channels].set_index(index).rolling("5min", min_periods=1)
-    expected = rolled.agg(["mean", "median", "std", "skew", "min", "max"])
-    expected.columns = [f"{c}__{a}" for c, a in expected.columns]
-    expected = expected.ffill().bfill()
-    got = study.feature_table.orderBy("us").toPandas()
-    for name in study.features_list:
-        # Skewness of nearly constant windows is ill-conditioned in any floating-point form.
-        tolerance = 1e-4 if name.endswith("skew") else 1e-9
-        np.testing.assert_allclose(got[name], expected[name], atol=tolerance)
+    raw, features = study.base.toPandas(), study.feature_table.toPandas()
+    for asset in (0, 1):
+        frame = raw[raw["asset_id"] == asset].sort_values("us")
+        index = pd.to_datetime(frame["us"], unit="us")
+        rolled = frame[study.channels].set_index(index).rolling("5min", min_periods=1)
+        expected = rolled.agg(["mean", "median", "std", "skew", "min", "max"])
+        expected.columns = [f"{c}__{a}" for c, a in expected.columns]
+        expected = expected.ffill().bfill()
+        got = features[features["asset_id"] == asset].sort_values("us")
+        for name in study.features_list:
+            # Skewness of nearly constant windows is ill-conditioned in any floating-point form.
+            tolerance = 1e-4 if name.endswith("skew") else 1e-9
+            np.testing.assert_allclose(got[name], expected[name], atol=tolerance)
 
 
 def test_two_workflows_end_to_end(spark, study, detectors):
@@ -347,9 +353,8 @@ def test_two_workflows_end_to_end(spark, study, detectors):
 def test_cycle_without_anchors_stays_in_lineage(spark):
     study = compressor_study(spark, ADJACENT_EVENTS)
     e = evaluate(Detectors(study), ["iforest_static", "iforest_per_maintenance"])
-    rows = {
-        (r["workflow_id"], r["cycle_id"]): r for r in e.results.filter("cycle_id IN (1, 2)").collect()
-    }
+    found = e.results.filter("cycle_id IN (1, 2) AND asset_id = 0").collect()
+    rows = {(r["workflow_id"], r["cycle_id"]): r for r in found}
     static, adaptive = rows["iforest_static", 1], rows["iforest_per_maintenance", 1]
     assert static["prediction_count"] == adaptive["prediction_count"] == 0
     assert static["evaluation_status"] == "no_evaluation_anchors"
@@ -375,3 +380,99 @@ def test_forest_finds_an_outlier_and_repeats(spark):
     np.testing.assert_array_equal(scores[0], scores[1])
     assert scores[0].argmax() == 1999
     assert -0.5 < scores[0].min() and scores[0].max() < 0.5
+
+
+def test_forest_draws_from_all_rows_of_large_training_sets(spark):
+    """More rows than all trees need together: none is out of reach, and trees differ."""
+    rows = spark.range(120_000).select(
+        F.lit("a").alias("key"), F.col("id").alias("us"), F.array(F.col("id").cast("double")).alias("features")
+    )
+    sampled = sample_trees(rows, ["key"], "us", 100, 256, 7)
+    drawn = sampled.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
+    found = drawn.collect()
+    assert len(found) == 100 and all(r["n"] >= 256 for r in found)
+    assert sampled.select("us").distinct().count() > 50_000
+    assert min(r["lo"] for r in found) < 200 and max(r["hi"] for r in found) > 119_800
+
+
+def test_forests_of_different_keys_use_different_random_numbers(spark):
+    rows = spark.range(600).select(
+        F.pmod("id", F.lit(2)).alias("key"), F.floor(F.col("id") / 2).alias("us")
+    ).withColumn("features", F.array(F.sin("us"), F.cos("us")))
+    forest = fit_forest(rows, ["key"], "us", "features", trees=10, tree_rows=512, seed=1)
+    cuts = {r["key"]: r["cut"] for r in forest.filter("tree = 0").collect()}
+    assert cuts[0] != cuts[1]
+
+
+def test_rows_of_many_models_equal_copied_rows(spark):
+    """Rows that list their models are drawn as if they had been copied to each of them."""
+    rows = spark.range(900).select(
+        F.lit(0).alias("asset"), F.col("id").alias("us"), F.array(F.col("id").cast("double")).alias("features")
+    )
+    listed = rows.withColumn("models", F.when(F.col("us") < 800, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2))))
+    got = sample_trees(listed, ["asset", "model"], "us", 5, 50, 3, "model")
+    sizes = got.groupBy("model").agg(F.max("_size").alias("n")).collect()
+    assert {r["model"]: r["n"] for r in sizes} == {1: 800, 2: 900}
+    assert got.filter("model = 1 AND us >= 800").count() == 0
+    for model in (1, 2):
+        trees = got.filter(F.col("model") == model).groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()
+        assert len(trees) == 5 and all(r["n"] >= 50 for r in trees)
+
+
+def test_sweep_of_assets_with_different_numbers_of_events(spark):
+    """An asset with many more events than its neighbour loses none of them."""
+    minutes = np.arange(300)
+    risk = np.where(minutes % 10 < 3, 0.9, 0.0)
+    rows = minute_rows(spark, minutes, {"maintenance_risk": risk}, 0).unionByName(
+        minute_rows(spark, minutes, {"maintenance_risk": risk}, 1)
+    )
+    rows = rows.select(F.lit("w").alias("workflow_id"), "*", (F.col("us") > 0).alias("linked"))
+    starts = [(0, 5)] + [(1, 10 * i + 5) for i in range(1, 25)]
+    listed = [(a, i, m * MINUTE_US, m * MINUTE_US) for i, (a, m) in enumerate(starts)]
+    event = spark.createDataFrame(listed, "asset_id bigint, ordinal int, start_us bigint, end_us bigint")
+    grid = spark.createDataFrame([("w", 0), ("w", 1)], "workflow_id string, asset_id bigint")
+    params = StudyParams(lead_minutes=8)
+    got = threshold_sweep(rows, grid, event, [0.5], params, 47 * MINUTE_US).collect()
+    assert {r["asset_id"]: (r["tp"], r["fp"], r["fn"]) for r in got} == {0: (1, 29, 0), 1: (24, 6, 0)}
+
+
+def test_adaptation_rows_are_bounded(spark):
+    """A refit holds each training row once, however long the window is."""
+    from dataclasses import replace
+
+    study = compressor_study(spark, params=replace(SMALL, sequence_length=20))
+    d = Detectors(study)
+    rows = d.component_training(STRATEGIES["linear_per_maintenance"])
+    assert rows.count() <= d.rows.count() * (1 + study.cycles.count())
+    sums = {(r["asset_id"], r["model_cycle"]): r["w"] for r in
+            rows.groupBy("asset_id", "model_cycle").agg(F.sum("weight").alias("w")).collect()}
+    windows = d.mix.groupBy("asset_id", F.col("cycle_id").alias("model_cycle")).agg(F.count(F.lit(1)).alias("n"))
+    for r in windows.collect():
+        assert sums[r["asset_id"], r["model_cycle"]] == 20 * r["n"]
+
+
+def test_lineage_of_results_is_the_one_that_scores(spark, detectors):
+    e = evaluate(detectors, ["linear_per_maintenance"])
+    scored = e.scores.select("asset_id", "cycle_id", "model_cycle").distinct()
+    told = e.lineage.select("asset_id", "cycle_id", F.col("effective_model_cycle").alias("model_cycle"))
+    assert scored.join(told, scored.columns, "left_anti").count() == 0
+
+
+def test_package_reaches_workers_from_elsewhere(tmp_path):
+    """A session started in another folder, without PYTHONPATH, runs Python stages."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        ".config('spark.sql.shuffle.partitions', 2).getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "print('rows', e.queries()['h7_pareto_front'](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 7" in out.stdout, out.stderr[-2000:]
