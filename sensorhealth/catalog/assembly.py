@@ -139,6 +139,45 @@ def g7(p):
     return parts[0].unionByName(parts[1])
 
 
+@query(
+    "g7_contract_checks",
+    sql(
+        """SELECT * FROM (VALUES ('lineage', 0::BIGINT), ('row_cycle', 0::BIGINT), ('row_total', 0::BIGINT),
+             ('calibration', 0::BIGINT)) AS t(check_name, violations)
+           UNION ALL SELECT 'dropped_lineage', (SELECT count(*) FROM cycles WHERE cycle_id = 2)
+           UNION ALL SELECT 'moved_cycle', (SELECT count(*) FROM predictions WHERE cycle_id = 1)
+           UNION ALL SELECT 'doubled_rows', count(*) FROM (
+               SELECT DISTINCT workflow_id, asset_id FROM predictions)
+           UNION ALL SELECT 'short_calibration', (SELECT count(*) FROM cal
+               WHERE workflow_id = 'mean_per_maintenance' AND model_cycle > 0)"""
+    ),
+)
+def g7_checks(p):
+    """Lineage, row cycles, totals and calibration populations, as they are and tampered with."""
+    e, timeline, cycles = p.distance, p.study.timeline, p.study.cycles
+    adaptive = "mean_per_maintenance"
+    kept = e.lineage.filter(~((F.col("workflow_id") == adaptive) & (F.col("cycle_id") == 2)))
+    moved = e.predictions.withColumn(
+        "cycle_id", F.when(F.col("cycle_id") == 1, 0).otherwise(F.col("cycle_id"))
+    )
+    short = e.calibration.filter((F.col("workflow_id") != adaptive) | (F.col("model_cycle") == 0))
+    dropped = con.lineage_problems(kept, cycles, WORKFLOWS).filter("problem = 'lineage_rows'")
+    return con.check_summary(
+        {
+            "lineage": con.lineage_problems(e.lineage, cycles, WORKFLOWS),
+            "row_cycle": con.row_cycle_problems(e.predictions, timeline),
+            "row_total": con.row_total_problems(e.predictions, timeline, WORKFLOWS),
+            "calibration": con.calibration_problems(e.calibration, e.lineage, timeline),
+            "dropped_lineage": dropped,
+            "moved_cycle": con.row_cycle_problems(moved, timeline),
+            "doubled_rows": con.row_total_problems(
+                e.predictions.unionAll(e.predictions), timeline, WORKFLOWS
+            ),
+            "short_calibration": con.calibration_problems(short, e.lineage, timeline),
+        }
+    )
+
+
 @query(
     "g8_duplicate_predictions",
     sql(
@@ -172,7 +211,7 @@ def g9(p):
     """Expected workflows, metric families and scope, and one calibration population per asset."""
     e = p.distance
     summary = e.summary.select("workflow_id", "selection_scope")
-    families = p.spark.createDataFrame([(c,) for c in (*e.metrics.columns, "nab")], "family string")
+    families = p.spark.createDataFrame([(c,) for c in e.metrics.columns], "family string")
     checks = con.check_summary(
         {
             "missing_workflow": con.absent(WORKFLOWS, summary, "workflow_id"),

@@ -105,11 +105,9 @@ def f11(p):
     ),
 )
 def f12(p):
-    import uuid
+    from ..session import scratch_path
 
-    from ..session import checkpoint_root
-
-    path = f"{checkpoint_root(p.spark)}/sensorhealth/scaler-{uuid.uuid4().hex}"
+    path = scratch_path(p.spark, "scaler")
     rolling.save_scaler(p.study.scaler, path)
     back = rolling.load_scaler(p.spark, path)
     return tidy(back.select("asset_id", "feature", "mean", "scale", "schema_version"))

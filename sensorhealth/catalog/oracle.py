@@ -158,6 +158,29 @@ define(
        FROM uw_possible""",
 )
 
+# The same calendar over schedules that differ by asset: names end in _own.
+define(
+    "aev_own",
+    """SELECT asset_id, position, event_id, start_ts + to_hours(asset_id) AS start_ts,
+              end_ts + to_hours(asset_id) AS end_ts, start_us + asset_id * 3600000000 AS start_us,
+              end_us + asset_id * 3600000000 AS end_us, severity,
+              row_number() OVER (PARTITION BY asset_id ORDER BY start_us, end_us)::INT AS ordinal
+       FROM (SELECT DISTINCT asset_id FROM tl) CROSS JOIN mev
+       WHERE end_us >= start_us AND (asset_id + position) % 4 <> 0""",
+)
+OWN = ("aev", "phased", "uw", "uw_counts", "uw_possible", "cycles", "masked", "populated", "sourced")
+
+
+def define_own() -> None:
+    for name in OWN[1:]:
+        body = re.sub(rf"\b({'|'.join(OWN)})\b", r"\1_own", CTES[name])
+        define(
+            f"{name}_own",
+            body.replace("(SELECT max(cycle_id) FROM cycles_own)",
+                         "(SELECT max(d.cycle_id) FROM cycles_own d WHERE d.asset_id = p.asset_id)"),
+        )
+
+
 # Populations ------------------------------------------------------------------------------------------
 
 define(
@@ -187,6 +210,7 @@ define(
                        (SELECT max(cycle_id) FROM cycles)))) END AS cycle_id
        FROM populated p""",
 )
+define_own()
 labelled_runs("tl_base", "sourced", "CASE WHEN baseline THEN 0 END", "asset_id", "base")
 labelled_runs("tl_eval", "tl_base", "CASE WHEN evaluation_row THEN 0 END", "asset_id", "eval")
 labelled_runs("tl_src", "tl_eval", "cycle_id", "asset_id", "src")

@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import grids, scalars
+from ..operators.calendar import with_phase
 from ..operators.contract import check_summary, fingerprint
 from ..params import HOUR_US, MINUTE_US
-from ..session import checkpoint_root, materialize
+from ..plans.prepared import load_study, save_study
+from ..plans.study import Study
+from ..session import materialize, scratch_path
 from ..sources import ledger as ledgers
 from ..sources import sinks
 from ..sources import telemetry as tel
-from ..sources.maintenance import normalize_windows
+from ..sources.maintenance import FLEET_WINDOWS, every_asset, normalize_windows
 from . import query, tidy
 from .candidates import candidate_ledger
-from .oracle import LEADS, P, THETAS, sql
+from .oracle import FEATURES, LEADS, P, THETAS, sql
 
 CHANNELS = list(tel.SENSOR_CHANNELS)
 
 
 def scratch(p, name: str) -> str:
-    return f"{checkpoint_root(p.spark)}/sensorhealth/{name}-{uuid.uuid4().hex}"
+    return scratch_path(p.spark, name)
 
 
 def raw_text(p):
@@ -149,6 +150,81 @@ def s8(p):
     )
 
 
+def asset_schedule(p):
+    """A schedule table: the fleet's events shifted by hours for each asset, some of them left out."""
+    shared = every_asset(p.study.stats.select("asset_id"), FLEET_WINDOWS)
+    shift = F.make_dt_interval(hours=F.col("asset_id").cast("int"))
+    kept = F.pmod(F.col("asset_id") + F.col("position"), F.lit(4)) != 0
+    return shared.filter(kept).select(
+        "asset_id", (F.col("start_ts") + shift).alias("start"), (F.col("end_ts") + shift).alias("end"),
+        "event_id", "severity",
+    )
+
+
+def scheduled_study(p):
+    return Study(p.spark, p.study.base, asset_schedule(p), CHANNELS, tel.SENSOR_BINARY)
+
+
+OWN_EVENTS = "aev_own"
+
+
+@query(
+    "s8_schedule_table",
+    sql(f"SELECT asset_id, event_id, start_ts, end_ts, severity, ordinal FROM {OWN_EVENTS}"),
+)
+def s8_table(p):
+    return scheduled_study(p).events.select(
+        "asset_id", "event_id", "start_ts", "end_ts", "severity", "ordinal"
+    )
+
+
+@query("t1_phase_own_schedule", sql("SELECT asset_id, us, phase::BIGINT AS phase FROM phased_own"))
+def t1_own(p):
+    study = scheduled_study(p)
+    return tidy(with_phase(p.study.base.select("asset_id", "us"), study.events, P.pre_maintenance_minutes))
+
+
+@query("t2_baseline_own_schedule", sql("SELECT asset_id, us FROM masked_own WHERE baseline"))
+def t2_own(p):
+    return scheduled_study(p).timeline.filter("baseline").select("asset_id", "us")
+
+
+@query(
+    "t4_cycles_own_schedule",
+    sql(
+        """SELECT asset_id, cycle_id::BIGINT AS cycle_id, source_event_id, score_start_us, score_end_us,
+                  update_possible, alias_to_cycle::BIGINT AS alias_to_cycle, update_rows FROM cycles_own"""
+    ),
+)
+def t4_own(p):
+    return tidy(
+        scheduled_study(p).cycles.select(
+            "asset_id", "cycle_id", "source_event_id", "score_start_us", "score_end_us",
+            "update_possible", "alias_to_cycle", "update_rows",
+        )
+    )
+
+
+@query(
+    "t5_populations_own_schedule",
+    sql(
+        """SELECT asset_id, us, post_train, evaluation_row, update_cycle::BIGINT AS update_cycle,
+                  cycle_id::BIGINT AS cycle_id FROM sourced_own"""
+    ),
+)
+def t5_own(p):
+    rows = scheduled_study(p).timeline
+    return tidy(
+        rows.select(
+            "asset_id", "us", "post_train", "evaluation_row",
+            F.when(F.col("post_train") & F.col("phase").isin(*P.train_phases), F.col("update_cycle")).alias(
+                "update_cycle"
+            ),
+            F.when(F.col("evaluation_row"), F.col("cycle_id")).alias("cycle_id"),
+        )
+    )
+
+
 PREDICTION_KEYS = "workflow_id, asset_id, cycle_id, us"
 
 
@@ -217,6 +293,92 @@ def s12(p):
     )
 
 
+@query(
+    "s12_stored_study",
+    sql(
+        """SELECT 'same_input' AS study, true AS reused, count(*) AS row_count, sum(us)::BIGINT AS us_sum FROM timeline
+           UNION ALL SELECT 'changed_input', false, NULL, NULL"""
+    ),
+)
+def s12_stored(p):
+    """Prepared tables read back by path for the same input, and refused for a changed one."""
+    path = scratch(p, "study")
+    save_study(p.study, path)
+    again = Study.from_tables(p.spark, p.directory)
+    changed = Study.from_tables(p.spark, p.directory)
+    changed.base = changed.base.withColumn("value", F.col("value") + F.when(F.col("us") % 7 == 0, 1e-9).otherwise(0))
+    reused, refused = load_study(again, path), load_study(changed, path)
+    if not reused:
+        raise ValueError("the stored study was not taken")
+    return again.timeline.agg(F.count(F.lit(1)).alias("row_count"), F.sum("us").alias("us_sum")).select(
+        F.lit("same_input").alias("study"), F.lit(reused).alias("reused"), "row_count", "us_sum"
+    ).unionByName(
+        p.spark.range(1).select(
+            F.lit("changed_input").alias("study"), F.lit(refused).alias("reused"),
+            F.lit(None).cast("bigint").alias("row_count"), F.lit(None).cast("bigint").alias("us_sum"),
+        )
+    )
+
+
+@query(
+    "s5_input_problems",
+    sql(
+        f"""SELECT asset_id, 'short_baseline' AS problem, 1::BIGINT AS findings FROM split_rows
+            WHERE baseline_rows < {2 * P.sequence_length} OR val_start - {P.sequence_length - 1} < {P.sequence_length}
+            UNION ALL
+            SELECT asset_id, 'duplicate_timestamp', count(*) FROM (
+              SELECT asset_id, us FROM tl GROUP BY ALL HAVING count(*) > 1) GROUP BY asset_id
+            UNION ALL
+            SELECT asset_id, 'non_finite_scaler_fit', 1 FROM fit_rows GROUP BY asset_id
+            HAVING NOT bool_and("""
+        + " AND ".join(f"{f} IS NOT NULL" for f in FEATURES)
+        + """) UNION ALL
+            SELECT asset_id, 'empty_scaler_fit', 1 FROM stats
+            WHERE asset_id NOT IN (SELECT asset_id FROM timeline WHERE baseline_train)"""
+    ),
+)
+def s5_problems(p):
+    return p.study.problems
+
+
+@query("s13_ledger_append", sql("SELECT id, architecture_hash FROM ledger"))
+def s13_append(p):
+    """Three appends to ledger files, of which the second and third repeat known keys."""
+    path, full = scratch(p, "ledger"), candidate_ledger(p)
+    added = [
+        ledgers.append_new(p.spark, path, rows)
+        for rows in (full.filter("obj_error < 0.04"), full.unionByName(full), full)
+    ]
+    if added[2]:
+        raise ValueError("known candidates were appended again")
+    return p.spark.read.parquet(path).select("id", "architecture_hash")
+
+
+@query(
+    "s10_csv_sinks",
+    sql(
+        """SELECT 'sweep' AS table_name, count(*) AS row_count, round(sum(f1), 4) AS total FROM sweep
+           UNION ALL SELECT 'comparison', count(*), round(sum(f1), 4) FROM summary
+           UNION ALL SELECT 'islands', count(*), round(sum(duration_minutes), 4) FROM islands"""
+    ),
+)
+def s10_csv(p):
+    """Sweep, comparison and islands as CSV files and back."""
+    e, parts = p.distance, []
+    tables = {"sweep": (e.sweep, "f1"), "comparison": (e.comparison, "f1"), "islands": (e.islands, "duration_minutes")}
+    for name, (frame, column) in tables.items():
+        path = scratch(p, name)
+        sinks.write_csv(frame, path)
+        back = p.spark.read.option("header", True).csv(path)
+        total = F.round(F.coalesce(F.sum(F.col(column).cast("double")), F.lit(0.0)), 4)
+        parts.append(
+            back.agg(F.count(F.lit(1)).alias("row_count"), total.alias("total")).select(
+                F.lit(name).alias("table_name"), "row_count", "total"
+            )
+        )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "s13_ledger_insert",
     sql(

@@ -113,6 +113,61 @@ def cycle_problems(contract: DataFrame, results: DataFrame, workflows: Sequence[
     ).filter("problem IS NOT NULL")
 
 
+def lineage_problems(lineage: DataFrame, cycles: DataFrame, workflows: Sequence[str]) -> DataFrame:
+    """Cycles without exactly one lineage row, and models that lie after their cycle or were never fitted."""
+    keys = ["workflow_id", "asset_id", "cycle_id"]
+    listed = F.explode(F.array(*[F.lit(w) for w in workflows])).alias("workflow_id")
+    found = lineage.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    missing = (
+        cycles.select(listed, "asset_id", "cycle_id")
+        .join(found, keys, "full_outer")
+        .filter(F.coalesce("_rows", F.lit(0)) != 1)
+        .select(*keys, F.lit("lineage_rows").alias("problem"))
+    )
+    model = F.col("effective_model_cycle")
+    own = lineage.filter("model_status IN ('refitted', 'trained_initial')").select(
+        "workflow_id", "asset_id", F.col("cycle_id").alias("_fitted")
+    )
+    foreign = lineage.join(
+        own.withColumnsRenamed({"workflow_id": "_w", "asset_id": "_a"}),
+        (F.col("workflow_id") == F.col("_w")) & (F.col("asset_id") == F.col("_a")) & (model == F.col("_fitted")),
+        "left_anti",
+    )
+    later = lineage.filter(model > F.col("cycle_id")).unionByName(foreign).distinct()
+    return missing.unionByName(later.select(*keys, F.lit("foreign_model").alias("problem")))
+
+
+def row_cycle_problems(predictions: DataFrame, timeline: DataFrame) -> DataFrame:
+    """Predictions whose cycle is not the one that the timeline gives their row."""
+    told = timeline.filter("evaluation").select("asset_id", "us", F.col("cycle_id").alias("_cycle"))
+    return predictions.join(told, ["asset_id", "us"], "left").filter(
+        ~F.col("cycle_id").eqNullSafe(F.col("_cycle"))
+    )
+
+
+def row_total_problems(predictions: DataFrame, timeline: DataFrame, workflows: Sequence[str]) -> DataFrame:
+    """Workflows and assets whose number of predictions is not that of their anchors."""
+    listed = F.explode(F.array(*[F.lit(w) for w in workflows])).alias("workflow_id")
+    keys = ["workflow_id", "asset_id"]
+    wanted = timeline.groupBy("asset_id").agg(F.count_if("evaluation").alias("anchors"))
+    got = predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("predictions"))
+    return (
+        wanted.select(listed, "asset_id", "anchors")
+        .join(got, keys, "full_outer")
+        .filter(F.coalesce("anchors", F.lit(0)) != F.coalesce("predictions", F.lit(0)))
+    )
+
+
+def calibration_problems(calibration: DataFrame, lineage: DataFrame, timeline: DataFrame) -> DataFrame:
+    """Models in use whose calibration anchors are not the asset's."""
+    keys = ["workflow_id", "asset_id", "model_cycle"]
+    used = lineage.select(
+        "workflow_id", "asset_id", F.col("effective_model_cycle").alias("model_cycle")
+    ).distinct()
+    wanted = timeline.filter("calibration").select("asset_id", "us").join(used, "asset_id")
+    return population_differences(wanted, calibration, [*keys, "us"])
+
+
 def population_differences(expected: DataFrame, observed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of one population missing from the other, both ways."""
     keys = list(keys)

@@ -35,6 +35,40 @@ def input_fingerprint(study: Study) -> tuple:
     )
 
 
+#: Prepared tables that a stored study holds.
+STORED = ("stats", "cycles", "timeline", "refits", "feature_table", "scaler")
+
+
+def save_study(study: Study, path: str) -> None:
+    """Write a study's prepared tables, and last the fingerprint of the input they came from."""
+    for name in STORED:
+        getattr(study, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    rows, total, mixed = input_fingerprint(study)
+    mark = [(rows, str(total), mixed, repr(study.params), ",".join(study.channels))]
+    study.spark.createDataFrame(mark, MARK).write.mode("overwrite").parquet(f"{path}/mark")
+
+
+MARK = "row_count bigint, mark_sum string, mark_mix bigint, params string, channels string"
+
+
+def load_study(study: Study, path: str) -> bool:
+    """Take prepared tables from ``path`` if they fit this study's input and parameters.
+
+    A stored study is usable only once its mark is there; with another input, parameters or
+    channels nothing is taken and the study prepares itself as usual.
+    """
+    files = study.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/mark/_SUCCESS")
+    if not files.getFileSystem(study.spark._jsc.hadoopConfiguration()).exists(files):
+        return False
+    stored = study.spark.read.schema(MARK).parquet(f"{path}/mark").first()
+    rows, total, mixed = input_fingerprint(study)
+    if tuple(stored) != (rows, str(total), mixed, repr(study.params), ",".join(study.channels)):
+        return False
+    for name in STORED:
+        study.__dict__[name] = study.spark.read.parquet(f"{path}/{name}")
+    return True
+
+
 class Prepared:
     """One study with its detectors and the evaluation of the workflows with a closed form."""
 

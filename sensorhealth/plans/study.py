@@ -1,4 +1,8 @@
-"""A study: one telemetry table, one maintenance schedule, one set of parameters.
+"""A study: one telemetry table, its maintenance schedule, one set of parameters.
+
+The schedule is a list of events that all assets share, or a table with the events of each asset
+(``asset_id, start, end, event_id, severity``). An asset without events has no cycles and is not
+scored.
 
 Tables that several steps read are written once to the shared folder (``materialize``); nothing
 is collected and nothing is kept between studies.
@@ -7,27 +11,45 @@ is collected and nothing is kept between studies.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.calendar import cycle_plan
 from ..operators.lineage import local_segments, refittable
-from ..operators.populations import label_populations, series_stats
+from ..operators.populations import label_populations, series_stats, split_problems
 from ..operators.rolling import (
     apply_scaler,
     feature_names,
     fill_series,
     fit_scaler,
     rolling_features,
+    scaler_fit_problems,
 )
 from ..operators.runs import median_gap
 from ..operators.slices import floor_div, slice_width
 from ..params import DAY_US, StudyParams
 from ..session import configure, materialize
-from ..sources.maintenance import FLEET_WINDOWS, build_events, every_asset, normalize_windows
-from ..sources.telemetry import SENSOR_BINARY, SENSOR_CHANNELS, sensor_adapter
+from ..sources.maintenance import (
+    COMPRESSOR_WINDOWS,
+    FLEET_WINDOWS,
+    build_events,
+    every_asset,
+    normalize_windows,
+    schedule_problems,
+    table_events,
+)
+from ..sources.telemetry import (
+    COMPRESSOR_BINARY,
+    COMPRESSOR_CHANNELS,
+    SENSOR_BINARY,
+    SENSOR_CHANNELS,
+    duplicate_timestamps,
+    load_telemetry,
+    read_csv,
+    sensor_adapter,
+)
 
 ASSET = ["asset_id"]
 GROUP_ROWS = 200_000
@@ -55,7 +77,7 @@ class Study:
         self,
         spark: SparkSession,
         base: DataFrame,
-        windows: Sequence[tuple[str, str, str, str]],
+        windows: Sequence[tuple[str, str, str, str]] | DataFrame,
         channels: Sequence[str],
         binary: Sequence[str],
         params: StudyParams | None = None,
@@ -75,6 +97,20 @@ class Study:
         base = sensor_adapter(spark.read.parquet(f"{directory}/events.parquet"))
         return cls(spark, base, FLEET_WINDOWS, SENSOR_CHANNELS, SENSOR_BINARY, params)
 
+    @classmethod
+    def compressor(
+        cls,
+        spark: SparkSession,
+        path: str,
+        columns: Sequence[str],
+        asset_column: str | None = None,
+        params: StudyParams | None = None,
+    ):
+        """Study of compressor telemetry in CSV files (``columns`` in file order) and its known schedule."""
+        configure(spark)
+        base = load_telemetry(read_csv(spark, path, columns), COMPRESSOR_CHANNELS, asset_column=asset_column)
+        return cls(spark, base, COMPRESSOR_WINDOWS, COMPRESSOR_CHANNELS, COMPRESSOR_BINARY, params)
+
     @cached_property
     def slice_us(self) -> int:
         if self.params.slice_us:
@@ -94,9 +130,39 @@ class Study:
     @cached_property
     def events(self) -> DataFrame:
         """Maintenance events per asset (``ordinal`` by start)."""
+        if isinstance(self.windows, DataFrame):
+            known = self.scheduled.join(self.stats.select("asset_id"), "asset_id", "left_semi")
+            return materialize(normalize_windows(known, ASSET), "events")
         build_events(self.spark, self.windows)
         return normalize_windows(every_asset(self.stats.select("asset_id"), self.windows), ASSET)
 
+    @cached_property
+    def scheduled(self) -> DataFrame:
+        """Every event of a schedule table as it stands, valid or not."""
+        return table_events(self.windows)
+
+    @cached_property
+    def problems(self) -> DataFrame:
+        """Input problems per asset (``asset_id, problem, findings``); the study goes on without them."""
+        rows = self.timeline.groupBy("asset_id").agg(F.count_if("baseline").alias("baseline_rows"))
+        train = self.feature_table.filter("baseline_train")
+        found = {
+            "duplicate_timestamp": duplicate_timestamps(self.base, ASSET, "us"),
+            "short_baseline": split_problems(rows, self.params),
+            "non_finite_scaler_fit": scaler_fit_problems(train, ASSET, self.features_list),
+            "empty_scaler_fit": self.stats.join(train.select("asset_id"), "asset_id", "left_anti"),
+        }
+        if isinstance(self.windows, DataFrame):
+            found["invalid_event"] = schedule_problems(self.scheduled, ASSET)
+            found["no_event"] = self.stats.join(self.events, "asset_id", "left_anti")
+        parts = [
+            df.groupBy("asset_id").agg(F.count(F.lit(1)).alias("findings")).select(
+                "asset_id", F.lit(name).alias("problem"), "findings"
+            )
+            for name, df in found.items()
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
     @cached_property
     def cycles(self) -> DataFrame:
         return materialize(cycle_plan(self.base, self.events, self.stats, self.params), "cycles")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.candidates import LEDGER_KEY
+from ..session import materialize
 
 
 def new_candidates(ledger: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -28,6 +29,21 @@ def insert_if_absent(ledger: DataFrame, incoming: DataFrame) -> DataFrame:
     return ledger.unionByName(new_candidates(ledger, incoming))
 
 
+def append_new(spark: SparkSession, path: str, incoming: DataFrame) -> int:
+    """Append the incoming rows whose key the ledger files lack; how many there were.
+
+    The new rows are written once before they are appended, so a retried append adds the same.
+    """
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+        known = spark.read.schema(incoming.schema).parquet(path)
+    else:
+        known = incoming.limit(0)
+    fresh = materialize(new_candidates(known, incoming), "ledger-rows")
+    fresh.write.mode("append").parquet(path)
+    return fresh.count()
+
+
 def study_rows(ledger: DataFrame, study_id: str, contract: str) -> DataFrame:
     """Rows of one study and search contract, in insertion order."""
     return ledger.filter(

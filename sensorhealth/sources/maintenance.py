@@ -81,12 +81,45 @@ def every_asset(assets: DataFrame, rows: Sequence[tuple[str, str, str, str]]) ->
     )
 
 
-def schedule_problems(events: DataFrame) -> DataFrame:
-    """Events that start before their predecessor or end before they start."""
-    order = Window.orderBy("position")
+SCHEDULE = ("asset_id", "start", "end", "event_id", "severity")
+
+
+def table_events(schedule: DataFrame) -> DataFrame:
+    """A schedule table, one row per asset and event, as a typed table.
+
+    ``start`` and ``end`` are timestamps or texts that read as timestamps; others become null and
+    are reported by ``schedule_problems``. The stated order is a column ``position`` or, without
+    one, by start and end.
+    """
+    missing = [c for c in SCHEDULE if c not in schedule.columns]
+    if missing:
+        raise ValueError(f"the schedule table lacks {missing}")
+    told = schedule.select(
+        "asset_id",
+        *(["position"] if "position" in schedule.columns else []),
+        "event_id",
+        F.col("start").try_cast("timestamp_ntz").alias("start_ts"),
+        F.col("end").try_cast("timestamp_ntz").alias("end_ts"),
+        F.unix_micros(F.col("start").try_cast("timestamp")).alias("start_us"),
+        F.unix_micros(F.col("end").try_cast("timestamp")).alias("end_us"),
+        "severity",
+    )
+    if "position" in schedule.columns:
+        return told
+    order = Window.partitionBy("asset_id").orderBy("start_us", "end_us", "event_id")
+    return told.withColumn("position", F.row_number().over(order))
+
+
+def schedule_problems(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Events that start before their predecessor (of the same key) or end before they start.
+
+    Without ``keys`` the events are configuration rows of one schedule.
+    """
+    order = Window.partitionBy(*keys).orderBy("position") if keys else Window.orderBy("position")
     return events.select(
+        *keys,
         "event_id",
-        (F.col("end_us") < F.col("start_us")).alias("ends_before_start"),
+        F.coalesce(F.col("end_us") < F.col("start_us"), F.lit(True)).alias("ends_before_start"),
         F.coalesce(F.lag("start_us").over(order) > F.col("start_us"), F.lit(False)).alias(
             "out_of_order"
         ),
@@ -102,7 +135,7 @@ def build_events(spark: SparkSession, rows: Sequence[tuple[str, str, str, str]])
     return events
 
 
-def normalize_windows(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def normalize_windows(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Events that do not end before they start, numbered by (start, end) within a key."""
     by_start = Window.partitionBy(*keys).orderBy("start_us", "end_us")
     return events.filter("end_us >= start_us").withColumn(
