@@ -351,7 +351,8 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("_id"), row)
 
     def of(kept: DataFrame) -> DataFrame:
-        return rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi")
+        # ids grow with the documents: both sides are dealt by id at every size, none is broadcast
+        return rows.join(kept.hint("merge"), F.col("_id") == F.col("_kept"), "left_semi")
 
     once = of(firsts.filter("_rows = 1")).select("_row")
     if not firsts.filter("_rows > 1").isEmpty():
