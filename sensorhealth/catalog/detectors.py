@@ -169,7 +169,7 @@ def m4_scores(p):
 )
 def m5(p):
     rows = p.distance_rows
-    scored = p.detectors.windowed(rows, "src_run", "row_score").filter("evaluation")
+    scored = p.detectors.windowed(rows, "src", "row_score").filter("evaluation")
     return tidy(scored.select("asset_id", "us", "cycle_id", "anomaly_score"))
 
 

@@ -129,10 +129,8 @@ def t9(p):
     windows = runs.over_sequence(
         p.study.timeline,
         ["asset_id"],
-        "us",
-        "slice",
-        p.study.slice_us,
         "eval_run",
+        "eval_pos",
         L,
         {"window": F.collect_list(F.struct("us", *p.study.channels))},
     ).filter("evaluation")

@@ -15,15 +15,16 @@ from ..params import AGGREGATIONS
 from .slices import carried, floor_div
 
 
-PARTS = ("n", "s", "s1", "s2", "s3", "lo", "hi")
+PARTS = ("n", "s", "s1", "s2", "s3", "lo", "hi", "c")
 
 
-def channel_parts(channel: str, frame, centre: Column) -> list[Column]:
+def channel_parts(channel: str, frame) -> list[Column]:
     """Mergeable aggregates of one channel over a frame, in ``PARTS`` order.
 
-    Powers are taken around ``centre``, the mean of the series, to keep them from cancelling.
+    Powers are taken around the mean of the channel's block, which travels along as ``c``, so that
+    neither a far level nor a level that moves between blocks cancels them.
     """
-    x = F.col(channel)
+    x, centre = F.col(channel), F.col(f"_centre_{channel}")
     y = x - centre
     zero = F.lit(0.0)
     return [
@@ -34,15 +35,16 @@ def channel_parts(channel: str, frame, centre: Column) -> list[Column]:
         F.coalesce(F.sum(y * y * y).over(frame), zero),
         F.min(x).over(frame),
         F.max(x).over(frame),
+        centre,
     ]
 
 
 # Which parts each aggregation reads.
 NEEDS = {
     "mean": ("n", "s"),
-    "median": ("mid",),
-    "std": ("n", "s1", "s2", "lo", "hi"),
-    "skew": ("n", "s1", "s2", "s3", "lo", "hi"),
+    "median": (),
+    "std": ("n", "s1", "s2", "lo", "hi", "c"),
+    "skew": ("n", "s1", "s2", "s3", "lo", "hi", "c"),
     "min": ("lo",),
     "max": ("hi",),
 }
@@ -57,8 +59,6 @@ def rolling_aggregate(channel: str, aggregation: str) -> Column:
     part = lambda name: F.col(f"_{name}_{channel}")
     if aggregation == "mean":
         return F.when(part("n") > 0, part("s") / part("n"))
-    if aggregation == "median":
-        return part("mid")
     if aggregation == "min":
         return part("lo")
     if aggregation == "max":
@@ -102,35 +102,38 @@ def rolling_features(
     the latest mark before a row is the tail of its window. Heads and tails are merged, never
     subtracted, and no frame is evaluated row by row, however many rows a window holds.
 
-    Work is spread by ``slice_col``, a whole number of blocks close to ``width`` microseconds;
-    ``others`` are passed through.
+    Work is spread by ``slice_col``, a whole number of blocks close to ``width`` microseconds; the
+    raw rows of a slice's last block are copied to the next slice, which needs their tails, so one
+    shuffle of raw rows is all. ``others`` are passed through.
     """
     blocks = max(1, width // window_us)
     used = [p for p in PARTS if any(p in NEEDS[a] for a in aggregations)]
-    centres = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_centre_{c}") for c in channels])
+    own = floor_div(F.col("_block"), blocks)
+    following = floor_div(F.col("_block") + 1, blocks)
     rows = (
         df.select(*keys, us, *others, *channels)
         .withColumn("_block", floor_div(F.col(us), window_us))
-        .withColumn(slice_col, floor_div(F.col("_block"), blocks))
-        .join(centres, list(keys))
+        .withColumn(slice_col, F.explode(F.array_distinct(F.array(own, following))))
         .repartition(*keys, slice_col)
     )
     block = Window.partitionBy(*keys, slice_col, "_block")
     head = block.orderBy(us).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest = block.orderBy(F.col(us).desc())
     tail = rest.rowsBetween(Window.unboundedPreceding, -1)
+    centred = rows.select("*", *[F.avg(c).over(block).alias(f"_centre_{c}") for c in channels])
 
     def parts(frame) -> Column:
         chosen = [
             part
             for c in channels
-            for name, part in zip(PARTS, channel_parts(c, frame, F.col(f"_centre_{c}")), strict=True)
+            for name, part in zip(PARTS, channel_parts(c, frame), strict=True)
             if name in used
         ]
         return F.array(*chosen) if chosen else F.expr("cast(array() as array<double>)")
 
-    staged = rows.select(
+    staged = centred.select(
         *keys,
+        slice_col,
         us,
         *others,
         *channels,
@@ -149,19 +152,20 @@ def rolling_features(
         )
 
     opening = (F.col("_block") + 1) * window_us
+    here = following == F.col(slice_col)  # the next block is in this slice
     marks = F.array(
-        mark(0, F.col(us), ROW, "_head"),
-        mark(1, F.col(us) + window_us, LEAVES, "_tail"),
-        F.when(F.col("_closing"), mark(1, opening, OPENS, "_head")),
+        F.when(own == F.col(slice_col), mark(0, F.col(us), ROW, "_head")),
+        F.when(here, mark(1, F.col(us) + window_us, LEAVES, "_tail")),
+        F.when(here & F.col("_closing"), mark(1, opening, OPENS, "_head")),
     )
     placed = staged.select(
-        *keys, *others, *channels, F.explode(F.array_compact(marks)).alias("_m")
+        *keys, slice_col, *others, *channels, F.explode(F.array_compact(marks)).alias("_m")
     ).select(
         *keys,
+        slice_col,
         *[F.when(F.col("_m._kind") == ROW, F.col(c)).alias(c) for c in others],
         *[F.when(F.col("_m._kind") != OPENS, F.col(c)).alias(c) for c in channels],
         "_m.*",
-        floor_div(F.col("_m._block"), blocks).alias(slice_col),
     )
     so_far = (
         Window.partitionBy(*keys, slice_col, "_block")
@@ -169,35 +173,41 @@ def rolling_features(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     latest = F.last(F.when(F.col("_kind") != ROW, F.col("_part")), ignorenulls=True).over(so_far)
-    rolled = placed.repartition(*keys, slice_col).withColumn("_old", latest)
-    medians = []
-    if "median" in aggregations:
-        # Same grouping as the window above, so this adds no shuffle.
-        medians = [f"_mid_{c}" for c in channels]
-        schema = T.StructType([*rolled.schema, *[T.StructField(m, T.DoubleType()) for m in medians]])
-        rolled = rolled.groupBy(*keys, slice_col).applyInArrow(
-            rolling_medians(channels, window_us, blocks), schema
-        )
-    merged = rolled.filter(F.col("_kind") == ROW).select(
+    # What medians read: the rows, and the block before the slice as its leaving marks.
+    is_row = F.col("_kind") == ROW
+    before = (F.col("_kind") == LEAVES) & (floor_div(F.col("_block") - 1, blocks) != F.col(slice_col))
+    medians = "median" in aggregations
+    kept = placed.withColumn("_old", latest).filter(is_row | before if medians else is_row)
+    merged = kept.select(
         *keys,
-        F.col("_at").alias(us),
         slice_col,
+        "_at",
+        "_kind",
         *others,
-        *medians,
+        *(channels if medians else ()),
         *[
-            merge_part(name, F.get("_part", F.lit(i * len(used) + j)), F.get("_old", F.lit(i * len(used) + j))).alias(
-                f"_{name}_{c}"
-            )
+            value.alias(f"_{name}_{c}")
             for i, c in enumerate(channels)
-            for j, name in enumerate(used)
+            for name, value in merged_parts(used, i * len(used)).items()
         ],
     )
-    return merged.select(
+    made = [(c, a) for c in channels for a in aggregations if a != "median"]
+    out = merged.select(
         *keys,
-        us,
         slice_col,
+        "_at",
+        "_kind",
         *others,
-        *[rolling_aggregate(c, a).alias(f"{c}__{a}") for c in channels for a in aggregations],
+        *(channels if medians else ()),
+        *[F.when(is_row, rolling_aggregate(c, a)).alias(f"{c}__{a}") for c, a in made],
+    )
+    if medians:
+        names = [f"{c}__median" for c in channels]
+        schema = T.StructType([*out.schema, *[T.StructField(m, T.DoubleType()) for m in names]])
+        # Same grouping as the windows above, so this adds no shuffle.
+        out = out.groupBy(*keys, slice_col).applyInArrow(rolling_medians(channels, names, window_us), schema)
+    return out.filter(is_row).select(
+        *keys, F.col("_at").alias(us), slice_col, *others, *feature_names(channels, aggregations)
     )
 
 
@@ -205,15 +215,35 @@ def rolling_features(
 OPENS, LEAVES, ROW = -1, 0, 1
 
 
-def merge_part(name: str, head: Column, tail: Column) -> Column:
-    if name == "lo":
-        return F.least(head, tail)
-    if name == "hi":
-        return F.greatest(head, tail)
-    return head + F.coalesce(tail, F.lit(0.0))
-
+def merged_parts(used: Sequence[str], start: int) -> dict[str, Column]:
+    """Parts of a window from its head (``_part``) and tail (``_old``), of which either may be empty.
 
-def rolling_medians(channels: Sequence[str], window_us: int, blocks: int):
+    Powers of the tail are moved from its block's centre to that of the head's block.
+    """
+    place = {name: start + i for i, name in enumerate(used)}
+    head = {name: F.get("_part", F.lit(at)) for name, at in place.items()}
+    tail = {name: F.get("_old", F.lit(at)) for name, at in place.items()}
+    zero = F.lit(0.0)
+    old = {name: F.coalesce(tail[name], zero) for name in used if name not in ("lo", "hi", "c")}
+    out = {}
+    for name in used:
+        if name == "lo":
+            out[name] = F.least(head[name], tail[name])
+        elif name == "hi":
+            out[name] = F.greatest(head[name], tail[name])
+        elif name in ("n", "s"):
+            out[name] = head[name] + old[name]
+    if "c" in used:
+        d = F.coalesce(tail["c"] - head["c"], zero)
+        out["s1"] = head["s1"] + old["s1"] + old["n"] * d
+        out["s2"] = head["s2"] + old["s2"] + d * (2 * old["s1"] + old["n"] * d)
+        if "s3" in used:
+            moved = d * (3 * old["s2"] + d * (3 * old["s1"] + old["n"] * d))
+            out["s3"] = head["s3"] + old["s3"] + moved
+    return out
+
+
+def rolling_medians(channels: Sequence[str], names: Sequence[str], window_us: int):
     """Per slice: rolling medians of the channels as extra columns.
 
     A framed ``percentile`` sorts every frame anew; keeping the frame ordered while it moves makes
@@ -223,17 +253,15 @@ def rolling_medians(channels: Sequence[str], window_us: int, blocks: int):
 
     def add(table: pa.Table) -> pa.Table:
         kind = table["_kind"].to_numpy()
-        first_block = (table["_block"].to_numpy() // blocks) * blocks == table["_block"].to_numpy()
         entered = table["_at"].to_numpy() - np.where(kind == ROW, 0, window_us)
-        use = np.flatnonzero((kind == ROW) | ((kind == LEAVES) & first_block))
-        use = use[np.argsort(entered[use], kind="stable")]
-        values = table.select(list(channels)).take(use).to_pandas()
-        values.index = pd.to_datetime(entered[use], unit="us")
+        order = np.argsort(entered, kind="stable")
+        values = table.select(list(channels)).take(order).to_pandas()
+        values.index = pd.to_datetime(entered[order], unit="us")
         rolled = values.rolling(pd.Timedelta(window_us, "us"), min_periods=1).median()
-        for c in channels:
-            column = np.full(len(kind), np.nan)
-            column[use] = rolled[c].to_numpy()
-            table = table.append_column(f"_mid_{c}", pa.array(column, from_pandas=True))
+        for c, name in zip(channels, names, strict=True):
+            column = np.empty(len(kind))
+            column[order] = rolled[c].to_numpy()
+            table = table.append_column(name, pa.array(column, from_pandas=True))
         return table
 
     return add

@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import carried, grouped_median, with_halo, with_neighbour
+from .slices import carried, grouped_median, with_neighbour
 
 GAP_FACTOR = 1.5
+CHUNK_ROWS = 4096
 
 
 def median_gap(df: DataFrame, keys: Sequence[str], us: str, slice_col: str) -> DataFrame:
@@ -123,30 +124,79 @@ def run_segments(df: DataFrame, keys: Sequence[str], us: str, run: str) -> DataF
     )
 
 
+def run_chunks(df: DataFrame, keys: Sequence[str], run: str, position: str, block: int) -> DataFrame:
+    """Rows of runs dealt out by position: ``_chunk`` is a whole number of blocks of ``block`` rows.
+
+    The last block of a chunk is copied to the next chunk (``_copy``), so a row is there at most
+    twice, whatever the sampling of its series is. ``_block`` numbers the blocks of a run.
+    """
+    per_chunk = max(1, CHUNK_ROWS // block)
+    number = F.floor((F.col(position) - 1) / block)
+    own, following = (F.floor((number + shift) / per_chunk) for shift in (0, 1))
+    return (
+        df.filter(F.col(run).isNotNull())
+        .withColumn("_block", number)
+        .withColumn("_chunk", F.explode(F.array_distinct(F.array(own, following))))
+        .withColumn("_copy", F.col("_chunk") != own)
+        .repartition(*keys, run, "_chunk")
+    )
+
+
 def over_sequence(
     df: DataFrame,
     keys: Sequence[str],
-    us: str,
-    slice_col: str,
-    width: int,
     run: str,
+    position: str,
     length: int,
     expressions: Mapping[str, Column],
-    *,
-    following: bool = False,
 ) -> DataFrame:
-    """Aggregates over the last (or, with ``following``, next) ``length`` rows of a run.
+    """Aggregates over the last ``length`` rows of a run; ``position`` counts its rows from 1."""
+    frame = (
+        Window.partitionBy(*keys, run, "_chunk").orderBy(position).rowsBetween(-(length - 1), 0)
+    )
+    rows = run_chunks(df, keys, run, position, max(1, length - 1))
+    return (
+        rows.select("*", *[c.over(frame).alias(n) for n, c in expressions.items()])
+        .filter(~F.col("_copy"))
+        .drop("_copy", "_chunk", "_block")
+    )
+
+
+def mean_over_sequence(
+    df: DataFrame,
+    keys: Sequence[str],
+    run: str,
+    position: str,
+    length: int,
+    value: str,
+    output: str,
+) -> DataFrame:
+    """Mean of ``value`` over the last ``length`` rows of a run, linear in the rows.
 
-    Rows of one run are never further apart than the gap rule allows, so the copies a slice needs
-    from its neighbours are bounded by ``(length - 1)`` allowed steps.
+    A run is cut into blocks of ``length`` rows: a window is the head of one block and the rest of
+    the one before, which stands ``length - 1`` rows earlier. Nulls are skipped.
     """
-    chosen = df.filter(F.col(run).isNotNull())
-    reach = F.ceil(F.coalesce(F.col("gap_us"), F.lit(0)) * GAP_FACTOR * (length - 1)).cast("bigint")
-    copies = with_halo(chosen, us, slice_col, width, reach, following=following)
-    bounds = (0, length - 1) if following else (-(length - 1), 0)
-    frame = Window.partitionBy(*keys, slice_col, run).orderBy(us).rowsBetween(*bounds)
-    return (
-        copies.select("*", *[c.over(frame).alias(n) for n, c in expressions.items()])
-        .filter(~F.col("_halo"))
-        .drop("_halo")
+    in_block = Window.partitionBy(*keys, run, "_chunk", "_block")
+    head = in_block.orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = in_block.orderBy(F.col(position).desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    earlier = Window.partitionBy(*keys, run, "_chunk").orderBy(position)
+    whole = F.pmod(F.col(position), F.lit(length)) == 0
+    rows = run_chunks(df, keys, run, position, length)
+    staged = rows.select(
+        "*",
+        F.sum(value).over(head).alias("_hs"),
+        F.count(value).over(head).alias("_hn"),
+        F.sum(value).over(rest).alias("_rs"),
+        F.count(value).over(rest).alias("_rn"),
     )
+
+    def total(own: str, before: str) -> Column:
+        old = F.lag(before, length - 1).over(earlier) if length > 1 else F.lit(None)
+        return F.coalesce(own, F.lit(0)) + F.when(whole, F.lit(0)).otherwise(F.coalesce(old, F.lit(0)))
+
+    summed = staged.select("*", total("_hs", "_rs").alias("_s"), total("_hn", "_rn").alias("_n"))
+    mean = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))
+    helpers = ("_copy", "_chunk", "_block", "_hs", "_hn", "_rs", "_rn", "_s", "_n")
+    return summed.filter(~F.col("_copy")).withColumn(output, mean).drop(*helpers)

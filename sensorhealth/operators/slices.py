@@ -2,11 +2,8 @@
 
 One asset may own a third of all rows, so no operator here opens a window over a whole asset.
 A series is cut into time slices; windows run inside ``(keys, slice)`` and what has to cross a
-slice border travels in one of two ways:
-
-* *carry*: each slice is reduced to a few numbers, the numbers of earlier slices are combined
-  per key (one row per slice), and the result is joined back on ``(keys, slice)``;
-* *halo*: rows that later frames can still see are copied into the following slices.
+slice border is carried: each slice is reduced to a few numbers, the numbers of earlier slices are
+combined per key (one row per slice), and the result is joined back on ``(keys, slice)``.
 """
 
 from __future__ import annotations
@@ -92,33 +89,6 @@ def with_neighbour(
     return joined.select(*df.columns, *out)
 
 
-def with_halo(
-    df: DataFrame,
-    us: str,
-    slice_col: str,
-    width: int,
-    reach: Column,
-    *,
-    following: bool = False,
-) -> DataFrame:
-    """Copy each row into every slice whose frames reach it.
-
-    ``reach`` microseconds is how far frames look back; with ``following`` they look ahead and the
-    copies go to earlier slices. Copies carry ``_halo = true`` and the receiving slice.
-    """
-    own = F.col(slice_col)
-    if following:
-        target = F.sequence(F.least(own, floor_div(F.col(us) - reach, width)), own)
-    else:
-        target = F.sequence(own, F.greatest(own, floor_div(F.col(us) + reach, width)))
-    return (
-        df.withColumn("_own", own)
-        .withColumn(slice_col, F.explode(target))
-        .withColumn("_halo", F.col(slice_col) != F.col("_own"))
-        .drop("_own")
-    )
-
-
 def value_bin(value: Column) -> Column:
     """Monotone bin of a finite number: 4096 bins per power of two, zero in its own bin."""
     magnitude = F.floor(F.log2(F.abs(value)) * 4096) + F.lit(4_500_000)

@@ -31,7 +31,7 @@ from ..operators.reconstruction import (
     row_errors,
     windows_holding,
 )
-from ..operators.runs import label_runs, over_sequence
+from ..operators.runs import label_runs, mean_over_sequence
 from ..session import materialize
 from .study import LABELS, Study
 
@@ -68,20 +68,17 @@ class Detectors:
         return calibration, evaluation
 
     def windowed(self, rows: DataFrame, run: str, score: str) -> DataFrame:
-        """Mean of a row score over the sequence window that ends at each row."""
-        return self.windowed_by(rows, MODEL, run, score)
+        """Mean of a row score over the sequence window that ends at each row.
 
-    def windowed_by(self, rows: DataFrame, keys: list[str], run: str, score: str) -> DataFrame:
-        return over_sequence(
-            rows,
-            keys,
-            "us",
-            "slice",
-            self.study.slice_us,
-            run,
-            self.params.sequence_length,
-            {"anomaly_score": F.avg(score)},
-        )
+        ``run`` names a run; its position column is called likewise.
+        """
+        return self.windowed_by(rows, MODEL, f"{run}_run", f"{run}_pos", score)
+
+    def windowed_by(
+        self, rows: DataFrame, keys: list[str], run: str, position: str, score: str
+    ) -> DataFrame:
+        length = self.params.sequence_length
+        return mean_over_sequence(rows, keys, run, position, length, score, "anomaly_score")
 
     # Plain distance scores ----------------------------------------------------------------------
 
@@ -98,7 +95,9 @@ class Detectors:
             "phase",
             "cycle_id",
             "base_run",
+            "base_pos",
             "src_run",
+            "src_pos",
             "calibration",
             "evaluation",
             F.lit(0).alias("model_cycle"),
@@ -108,8 +107,8 @@ class Detectors:
     def distance_scores(self, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Workflows ``distance_row`` (anchor row) and ``distance_window`` (whole window)."""
         rows = materialize(self.distance_rows if rows is None else rows, "distance")
-        windows_c = self.windowed(rows, "base_run", "row_score").filter("calibration")
-        windows_e = self.windowed(rows, "src_run", "row_score").filter("evaluation")
+        windows_c = self.windowed(rows, "base", "row_score").filter("calibration")
+        windows_e = self.windowed(rows, "src", "row_score").filter("evaluation")
         named = lambda df, w, s, *more: df.select(
             F.lit(w).alias("workflow_id"), *MODEL, "us", F.col(s).alias("anomaly_score"), *more
         )
@@ -353,10 +352,10 @@ class Detectors:
             fitted = fitted.withColumn("components", F.slice("components", 1, rank))
         labels = ["us", "slice", "gap_us", "phase", "features"]
         baseline = self.rows.filter("baseline").select(
-            "asset_id", *labels, "base_run", "calibration"
+            "asset_id", *labels, "base_run", "base_pos", "calibration"
         )
         source = self.rows.filter("src_run IS NOT NULL").select(
-            "asset_id", *labels, "src_run", "cycle_id", "evaluation"
+            "asset_id", *labels, "src_run", "src_pos", "cycle_id", "evaluation"
         )
         return (
             self.reconstruction_rows(
@@ -370,8 +369,8 @@ class Detectors:
     ) -> tuple[DataFrame, DataFrame]:
         """Mean row error of the sequence window at every anchor."""
         name = F.lit(workflow).alias("workflow_id")
-        scored_c = self.windowed(calibration, "base_run", "row_mse")
-        scored_e = self.windowed(evaluation, "src_run", "row_mse")
+        scored_c = self.windowed(calibration, "base", "row_mse")
+        scored_e = self.windowed(evaluation, "src", "row_mse")
         return (
             scored_c.filter("calibration").select(name, *COLUMNS[1:]),
             scored_e.filter("evaluation").select(name, *COLUMNS[1:], "cycle_id", "phase"),

@@ -40,7 +40,7 @@ def evaluate_candidates(detectors: Detectors, ranks: Sequence[int]) -> DataFrame
 
     labels = ["us", "slice", "gap_us", "phase", "features"]
     baseline = detectors.rows.filter("baseline").select(
-        "asset_id", *labels, F.col("base_run").alias("run"), "calibration"
+        "asset_id", *labels, F.col("base_run").alias("run"), F.col("base_pos").alias("pos"), "calibration"
     )
     source = detectors.rows.filter("cycle_id = 0")
     sizes = source.groupBy("asset_id", "src_run").agg(F.count(F.lit(1)).alias("_n"))
@@ -48,6 +48,7 @@ def evaluate_candidates(detectors: Detectors, ranks: Sequence[int]) -> DataFrame
         "asset_id",
         *labels,
         F.col("src_run").alias("run"),
+        F.col("src_pos").alias("pos"),
         "evaluation",
         windows_holding(F.col("src_pos"), F.col("_n"), length).alias("holding"),
     )
@@ -57,8 +58,8 @@ def evaluate_candidates(detectors: Detectors, ranks: Sequence[int]) -> DataFrame
     smape = mean_smape(errors_e, ["workflow_id"], len(study.features_list)).select(
         "workflow_id", F.col("smape").alias("obj_error")
     )
-    calibration = detectors.windowed_by(errors_c, keys, "run", "row_mse").filter("calibration")
-    anchors = detectors.windowed_by(errors_e, keys, "run", "row_mse").filter("evaluation")
+    calibration = detectors.windowed_by(errors_c, keys, "run", "pos", "row_mse").filter("calibration")
+    anchors = detectors.windowed_by(errors_e, keys, "run", "pos", "row_mse").filter("evaluation")
     names = {f"linear_{r}": STATIC for r in ranks}
     evaluation = Evaluation(
         study,

@@ -192,33 +192,37 @@ def test_risk_restarts_after_a_gap(spark):
     assert values == [1.0, 1.0, 1.0, 0.0, 0.0]
 
 
-def test_sequence_windows_cross_slices(spark):
-    frame = random_series(9, assets=2)
-    rows = sliced(spark, frame, 5 * MINUTE_US)
+@pytest.mark.parametrize("length", [1, 4, 7])
+def test_sequence_windows_cross_chunks(spark, monkeypatch, length):
+    monkeypatch.setattr(runs, "CHUNK_ROWS", 10)
+    rows = sliced(spark, random_series(9, assets=2), 5 * MINUTE_US)
     gaps = runs.median_gap(rows, ["asset_id"], "us", "slice")
-    labelled = runs.label_runs(
-        rows.join(gaps, "asset_id").withColumn("sel", F.when(F.col("flag"), F.lit(0))),
-        ["asset_id"],
-        "us",
-        "slice",
-        {"r": "sel"},
+    chosen = rows.join(gaps, "asset_id").withColumn("sel", F.when(F.col("flag"), F.lit(0)))
+    chosen = chosen.withColumn("x", F.when(F.pmod(F.col("us"), F.lit(7)) != 0, F.col("x")))
+    labelled = runs.label_runs(chosen, ["asset_id"], "us", "slice", {"r": "sel"})
+    sums = runs.over_sequence(
+        labelled, ["asset_id"], "r_run", "r_pos", length, {"total": F.sum("x"), "n": F.count(F.lit(1))}
     )
-    for following in (False, True):
-        got = runs.over_sequence(
-            labelled, ["asset_id"], "us", "slice", 5 * MINUTE_US, "r_run", 4,
-            {"total": F.sum("x")}, following=following,
-        ).toPandas()
-        part = labelled.filter("r_run IS NOT NULL").toPandas().sort_values(["asset_id", "us"])
-        order = slice(None, None, -1) if following else slice(None)
-        expected = (
-            part.iloc[order]
-            .groupby(["asset_id", "r_run"])["x"]
-            .rolling(4, min_periods=1)
-            .sum()
-            .droplevel([0, 1])
-            .sort_index()
-        )
-        expected.index = part["us"].reindex(expected.index)
-        merged = got.sort_values(["asset_id", "us"])
-        keyed = pd.Series(merged["total"].to_numpy(), index=merged["us"])
-        np.testing.assert_allclose(keyed.sort_index(), expected.sort_index())
+    means = runs.mean_over_sequence(labelled, ["asset_id"], "r_run", "r_pos", length, "x", "mean")
+    part = labelled.filter("r_run IS NOT NULL").toPandas().sort_values(["asset_id", "us"])
+    rolled = part.groupby(["asset_id", "r_run"])["x"].rolling(length, min_periods=1)
+    both = sums.join(means.select("asset_id", "us", "mean"), ["asset_id", "us"]).toPandas()
+    both = both.sort_values(["asset_id", "us"])
+    assert len(both) == len(part)
+    np.testing.assert_allclose(both["total"], rolled.sum().to_numpy())
+    np.testing.assert_allclose(both["mean"], rolled.mean().to_numpy())
+    np.testing.assert_array_equal(both["n"], np.minimum(both["r_pos"], length))
+
+
+def test_rolling_spread_survives_a_moved_level(spark):
+    """A level that jumps between windows does not cancel the small spread on either side."""
+    minutes = np.arange(240)
+    x = np.where(minutes < 120, 0.0, 1e5) + 1e-3 * np.sin(minutes)
+    rows = minute_rows(spark, minutes, {"x": x})
+    got = rolling.rolling_features(
+        rows, ["asset_id"], "us", "slice", 40 * MINUTE_US, ["x"], 10 * MINUTE_US, ("std", "skew")
+    ).orderBy("us").toPandas()
+    for t in (*range(20, 120), *range(140, 240)):
+        window = x[t - 9 : t + 1] - x[t]
+        assert got["x__std"][t] == pytest.approx(window.std(ddof=1), rel=1e-5)
+        assert np.isfinite(got["x__skew"][t])

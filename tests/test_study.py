@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from helpers import ADJACENT_EVENTS, SMALL, compressor_study, minute_rows
+from helpers import ADJACENT_EVENTS, SMALL, compressor_study, fleet_rows, minute_rows
 from pyspark.sql import functions as F
 
 from sensorhealth import StudyParams
@@ -23,6 +23,8 @@ from sensorhealth.operators.risk import (
 from sensorhealth.params import MINUTE_US
 from sensorhealth.plans.detectors import STRATEGIES, Detectors, workflow_scores
 from sensorhealth.plans.evaluation import Evaluation
+from sensorhealth.plans.prepared import load_study, save_study
+from sensorhealth.sources import ledger as ledgers
 from sensorhealth.sources import maintenance, sinks, telemetry
 
 
@@ -476,3 +478,68 @@ def test_package_reaches_workers_from_elsewhere(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 7" in out.stdout, out.stderr[-2000:]
+
+
+def test_schedule_table_with_its_problems(spark):
+    table = spark.createDataFrame(
+        [
+            (0, "2020-01-01 04:00:00", "2020-01-01 04:10:00", "a", "high"),
+            (0, "2020-01-01 07:20:00", "2020-01-01 07:10:00", "b", "high"),
+            (0, "2020-01-01 07:10:00", "not a time", "c", "high"),
+            (0, "2020-01-01 07:12:00", "2020-01-01 07:20:00", "d", "high"),
+            (7, "2020-01-01 04:00:00", "2020-01-01 04:10:00", "a", "high"),
+        ],
+        "asset_id bigint, start string, end string, event_id string, severity string",
+    )
+    study = compressor_study(spark, windows=table)
+    listed = {(r["asset_id"], r["event_id"], r["ordinal"]) for r in study.events.collect()}
+    assert listed == {(0, "a", 1), (0, "d", 2)}
+    problems = {(r["asset_id"], r["problem"]): r["findings"] for r in study.problems.collect()}
+    assert problems[0, "invalid_event"] == 2 and problems[1, "no_event"] == 1
+    cycles = {(r["asset_id"], r["cycle_id"]) for r in study.cycles.collect()}
+    assert cycles == {(0, 0), (0, 1), (0, 2)}
+    with pytest.raises(ValueError):
+        maintenance.table_events(table.drop("severity"))
+
+
+def test_stored_study_is_taken_only_for_its_input(spark, study, tmp_path):
+    path = f"file://{tmp_path}/study"
+    assert not load_study(compressor_study(spark), path)
+    save_study(study, path)
+    again = compressor_study(spark)
+    assert load_study(again, path)
+    assert again.scaler.exceptAll(study.scaler).count() == 0
+    assert again.timeline.count() == study.timeline.count()
+    from dataclasses import replace
+
+    assert not load_study(compressor_study(spark, params=replace(SMALL, risk_window_minutes=11)), path)
+    other = compressor_study(spark)
+    other.base = other.base.filter("us % 60000000 = 0 AND asset_id = 0")
+    assert not load_study(other, path)
+
+
+def test_compressor_study_from_files(spark, tmp_path):
+    rows = fleet_rows(spark).select(
+        F.col("us").cast("string").alias("Unnamed: 0"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        F.col("asset_id").cast("string").alias("asset"),
+        *telemetry.COMPRESSOR_CHANNELS,
+    )
+    sinks.write_csv(rows, f"{tmp_path}/csv")
+    study = type(compressor_study(spark)).compressor(
+        spark, f"{tmp_path}/csv", rows.columns, asset_column="asset", params=SMALL
+    )
+    assert study.base.count() == fleet_rows(spark).count()
+    assert study.events.filter("asset_id = 0").count() == 21
+
+
+def test_ledger_append_adds_only_new_keys(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    rows = spark.createDataFrame(
+        [(i, "s", "c", f"h{i % 4}", "t") for i in range(8)],
+        "id int, study_id string, search_contract_fingerprint string, architecture_hash string, created_at string",
+    )
+    assert ledgers.append_new(spark, path, rows.filter("id < 2")) == 2
+    assert ledgers.append_new(spark, path, rows) == 2
+    assert ledgers.append_new(spark, path, rows) == 0
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3]
