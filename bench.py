@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 from sensorhealth import catalog
 from sensorhealth.plans import prepared as prep
+from sensorhealth.session import local_scratch, ship
 
 HEADLINES = (
     "f1_rolling_mean",
@@ -49,6 +50,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(local_scratch(spark))
     catalog.load()
     spark.read.parquet(f"{directory}/events.parquet").groupBy("event_type").count().collect()
     times = {}
