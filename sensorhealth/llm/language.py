@@ -109,8 +109,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     share = F.create_map(
         *(x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, per_language / counts[lang]))))
     )
-    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("fit")), F.lit(1_000_000))
-    sample = labelled.filter(drawn < share[F.col("lang")] * 1_000_000).select("lang", "text")
+    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("fit")), F.lit(10**12))
+    sample = labelled.filter(drawn < share[F.col("lang")] * 10**12).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -281,7 +281,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def keep_known(docs: DataFrame, least_score: float = 0.5, penalty: float = PENALTY, **options) -> DataFrame:
+def keep_known(docs: DataFrame, least_score: float = 0.25, penalty: float = PENALTY, **options) -> DataFrame:
     """The documents whose language is known and holds ``least_score`` of the letters, columns as they are."""
     model = fit(docs.filter(~held_out(F.col("doc_id"))), **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -118,8 +118,8 @@ def fit(vectors: DataFrame, size: int, settings: Settings) -> Geometry:
     told = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("bound")).first()
     n, bound = told["n"], told["bound"] or 1.0
     share = min(1.0, settings.sample_rows / max(1, n))
-    drawn = F.pmod(F.xxhash64("vec_id", F.lit(settings.seed)), F.lit(1_000_000))
-    drawn_rows = vectors.filter(drawn < share * 1_000_000).select("vec_id", "embedding")
+    drawn = F.pmod(F.xxhash64("vec_id", F.lit(settings.seed)), F.lit(10**12))
+    drawn_rows = vectors.filter(drawn < share * 10**12).select("vec_id", "embedding")
     found = drawn_rows.limit(2 * settings.sample_rows).toArrow().combine_chunks().sort_by("vec_id")
     ids = np.asarray(found.column("vec_id"))
     rows = stacked(found.column("embedding").combine_chunks(), size) if len(ids) else np.zeros((0, size))
