@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import contract as con
 from ..operators import report
 from ..operators.risk import operating_point
-from ..plans.evaluation import CYCLE
+from ..plans.detectors import STRATEGIES, workflow_scores
+from ..plans.evaluation import CYCLE, Evaluation
 from ..session import materialize
 from . import query, tidy
 from .oracle import WORKFLOWS, sql
@@ -74,6 +78,17 @@ def g4(p):
     return tidy(p.distance.summary)
 
 
+@query("g4_detector_summary")
+def g4_detectors(p):
+    """The summary of the study's own four workflows."""
+    scores = [workflow_scores(p.detectors, w) for w in STRATEGIES]
+    calibration, evaluation = (
+        materialize(reduce(DataFrame.unionByName, parts), "detector-scores")
+        for parts in zip(*scores, strict=True)
+    )
+    return tidy(Evaluation(p.study, calibration, evaluation, STRATEGIES).comparison)
+
+
 POSITION = f"list_position({list(WORKFLOWS)}, workflow_id)::BIGINT AS position"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.contract import check_summary, population_differences
-from ..operators.forest import fit_forest, score_forest
+from ..operators.forest import fit_forest
 from ..operators.lineage import PER_MAINTENANCE, STATIC, model_lineage
 from ..operators.reconstruction import (
     SMAPE_EPSILON,
@@ -109,8 +109,7 @@ def _reloaded(p, forest):
 
 def _calibration_scores(p, forest):
     calibration, _ = p.detectors.model_rows(p.detectors.lineage("iforest_static", STATIC), ["features"])
-    known = calibration.filter("features IS NOT NULL")
-    return score_forest(known, forest, MODEL, "us", "features", p.study.group_us)
+    return p.detectors.forest_anchor_scores(calibration, forest)
 
 
 @query(

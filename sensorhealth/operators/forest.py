@@ -226,40 +226,57 @@ def score_forest(
     features: str,
     width: int,
     output: str = "anomaly_score",
+    many: str | None = None,
 ) -> DataFrame:
     """Higher is more anomalous: ``2^(-E[depth]/c(sample)) - 0.5``.
 
-    Rows meet their forest in groups of one key and one time slice, so a group is bounded and the
-    forest is shipped once per slice instead of once per row.
+    Rows meet their forests in groups of one key and one time slice, so a group is bounded, and
+    with ``many`` (rows list the models that score them as ``<many>s``) a row is there once for all
+    of its models. A slice gets the forests that its rows ask for.
     """
     keys = list(keys)
-    sliced = rows.select(*keys, us, features).withColumn("_slice", floor_div(F.col(us), width))
-    needed = sliced.select(*keys, "_slice").distinct()
+    own_keys = [k for k in keys if k != many]
+    held = [*own_keys, *([_members(many)] if many else [])]
+    sliced = rows.select(*held, us, features).withColumn("_slice", floor_div(F.col(us), width))
+    asked = sliced.select(
+        *own_keys, "_slice", *([F.explode(_members(many)).alias(many)] if many else [])
+    ).distinct()
     # The cogroup needs distinct column names on its two sides.
-    own = [f"_m_{k}" for k in (*keys, "_slice")]
-    models = needed.join(forest, keys).select(
-        *[F.col(k).alias(o) for k, o in zip((*keys, "_slice"), own, strict=True)],
+    group = [*own_keys, "_slice"]
+    renamed = [f"_m_{k}" for k in group]
+    models = asked.join(forest, keys).select(
+        *[F.col(k).alias(o) for k, o in zip(group, renamed, strict=True)],
+        *([many] if many else []),
         "sample",
         "feature",
         "cut",
         "depth",
     )
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    types = {f.name: f.dataType.simpleString() for f in (*rows.schema, *forest.schema)}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{us} bigint", f"{output} double"])
+    names = [*keys, us, output]
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [*keys, us, output]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=names)
+    def of_model(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(left[features].to_numpy()).astype(float)
         nodes = [np.stack(right[c].to_numpy()) for c in ("feature", "cut", "depth")]
         scale = float(expected_depth(float(right["sample"].iloc[0])))
-        left[output] = 2.0 ** (-_mean_depth(x, *nodes) / scale) - 0.5
-        return left[names]
+        return left.assign(**{output: 2.0 ** (-_mean_depth(x, *nodes) / scale) - 0.5})
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names)
+        if many is None:
+            return of_model(left, right)[names]
+        out = []
+        for model, trees in right.groupby(many):
+            chosen = left[[model in listed for listed in left[_members(many)]]]
+            if len(chosen):
+                out.append(of_model(chosen.assign(**{many: model}), trees)[names])
+        return pd.concat(out) if out else pd.DataFrame(columns=names)
 
     return (
-        spread_work(sliced, *keys, "_slice")
-        .groupBy(*keys, "_slice")
-        .cogroup(spread_work(models, *own).groupBy(*own))
+        spread_work(sliced, *group)
+        .groupBy(*group)
+        .cogroup(spread_work(models, *renamed).groupBy(*renamed))
         .applyInPandas(score, schema)
     )

@@ -90,16 +90,21 @@ def reconstruct(features: Column, mean: Column, components: Column) -> Column:
     return F.aggregate(parts, mean, lambda s, p: F.zip_with(s, p, lambda a, b: a + b))
 
 
+def squared_error(rebuilt: Column, features: Column) -> Column:
+    """Mean squared error of one row."""
+    squares = F.zip_with(rebuilt, features, lambda r, x: (r - x) * (r - x))
+    return F.aggregate(squares, F.lit(0.0), lambda s, y: s + y) / F.size(features)
+
+
 def row_errors(rows: DataFrame, features: str) -> DataFrame:
     """Mean squared error and summed SMAPE of each row against ``_fit``."""
-    squared = F.zip_with("_fit", features, lambda r, x: (r - x) * (r - x))
     smape = F.zip_with(
         "_fit",
         features,
         lambda r, x: 2.0 * F.abs(r - x) / (F.abs(r) + F.abs(x) + F.lit(SMAPE_EPSILON)),
     )
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
-    return rows.withColumn("row_mse", total(squared) / F.size(features)).withColumn(
+    return rows.withColumn("row_mse", squared_error(F.col("_fit"), F.col(features))).withColumn(
         "row_smape", total(smape)
     )
 

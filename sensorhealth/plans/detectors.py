@@ -29,6 +29,7 @@ from ..operators.reconstruction import (
     mean_smape,
     reconstruct,
     row_errors,
+    squared_error,
     windows_holding,
 )
 from ..operators.runs import label_runs, mean_over_sequence
@@ -206,15 +207,16 @@ class Detectors:
         )
 
     def model_rows(self, lineage: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Anchors with the model that scores them; calibration anchors meet every model used."""
+        """Anchors, each once, with the models that score them (``model_cycles``).
+
+        Calibration anchors meet every model their asset uses, evaluation anchors the one of their
+        cycle.
+        """
         calibration, evaluation = self.anchor_rows(labels)
-        models = lineage.select(
-            "asset_id", "cycle_id", F.col("effective_model_cycle").alias("model_cycle")
-        )
-        return (
-            calibration.join(models.select(*MODEL).distinct(), "asset_id"),
-            evaluation.join(models, ["asset_id", "cycle_id"]),
-        )
+        model = F.col("effective_model_cycle")
+        used = lineage.groupBy("asset_id").agg(F.collect_set(model).alias("model_cycles"))
+        by_cycle = lineage.select("asset_id", "cycle_id", F.array(model).alias("model_cycles"))
+        return calibration.join(used, "asset_id"), evaluation.join(by_cycle, ["asset_id", "cycle_id"])
 
     def forest_scores(self, workflow: str, strategy: str) -> tuple[DataFrame, DataFrame]:
         lineage = self.lineage(workflow, strategy)
@@ -223,13 +225,18 @@ class Detectors:
         name = F.lit(workflow).alias("workflow_id")
 
         def score(anchors: DataFrame, *more: str) -> DataFrame:
-            known = anchors.filter("features IS NOT NULL")
-            scored = score_forest(known, forest, MODEL, "us", "features", self.study.group_us)
-            whole = anchors.select(*MODEL, "us", *more).join(scored, [*MODEL, "us"], "left")
-            return whole.select(name, *COLUMNS[1:], *more)
+            scored = self.forest_anchor_scores(anchors, forest)
+            listed = anchors.select("asset_id", F.explode("model_cycles").alias("model_cycle"), "us", *more)
+            return listed.join(scored, [*MODEL, "us"], "left").select(name, *COLUMNS[1:], *more)
 
         return score(calibration), score(evaluation, "cycle_id", "phase")
 
+    def forest_anchor_scores(self, anchors: DataFrame, forest: DataFrame) -> DataFrame:
+        known = anchors.filter("features IS NOT NULL")
+        return score_forest(
+            known, forest, MODEL, "us", "features", self.study.group_us, many="model_cycle"
+        )
+
     # Linear reconstruction ------------------------------------------------------------------------
 
     def component_training(self, strategy: str) -> DataFrame:
@@ -327,6 +334,7 @@ class Detectors:
         )
 
     def reconstruction_rows(self, rows: DataFrame, models: DataFrame) -> DataFrame:
+        """Errors of rows under the one model of their ``model_cycle``."""
         return self.row_errors_of(
             rows.join(models.select(*MODEL, "mean", "components"), MODEL, "left")
         )
@@ -337,6 +345,27 @@ class Detectors:
             "_fit", "mean", "components", "features"
         )
 
+    def errors_under_all(self, rows: DataFrame, used: DataFrame, models: DataFrame) -> DataFrame:
+        """``row_mse`` of rows under every model that their asset uses.
+
+        An asset's models are one row, so its rows meet them all at once and are copied afterwards,
+        without their features.
+        """
+        fitted = used.join(models.select(*MODEL, "mean", "components"), MODEL, "left")
+        listed = fitted.groupBy("asset_id").agg(
+            F.collect_list(F.struct("model_cycle", "mean", "components")).alias("_models")
+        )
+
+        def error(m):
+            rebuilt = reconstruct(F.col("features"), m["mean"], m["components"])
+            return F.struct(m["model_cycle"], squared_error(rebuilt, F.col("features")).alias("row_mse"))
+
+        return (
+            rows.join(listed, "asset_id")
+            .withColumn("_e", F.explode(F.transform("_models", error)))
+            .select(*[c for c in rows.columns if c != "features"], "_e.*")
+        )
+
     def component_rows(
         self, workflow: str, strategy: str, rank: int | None = None
     ) -> tuple[DataFrame, DataFrame]:
@@ -358,9 +387,7 @@ class Detectors:
             "asset_id", *labels, "src_run", "src_pos", "cycle_id", "evaluation"
         )
         return (
-            self.reconstruction_rows(
-                baseline.join(models.select(*MODEL).distinct(), "asset_id"), fitted
-            ),
+            self.errors_under_all(baseline, models.select(*MODEL).distinct(), fitted),
             self.reconstruction_rows(source.join(models, ["asset_id", "cycle_id"]), fitted),
         )
 

@@ -34,7 +34,7 @@ from ..session import configure, materialize
 from ..sources.maintenance import (
     COMPRESSOR_WINDOWS,
     FLEET_WINDOWS,
-    build_events,
+    check_schedule,
     every_asset,
     normalize_windows,
     schedule_problems,
@@ -133,7 +133,7 @@ class Study:
         if isinstance(self.windows, DataFrame):
             known = self.scheduled.join(self.stats.select("asset_id"), "asset_id", "left_semi")
             return materialize(normalize_windows(known, ASSET), "events")
-        build_events(self.spark, self.windows)
+        check_schedule(self.windows)
         return normalize_windows(every_asset(self.stats.select("asset_id"), self.windows), ASSET)
 
     @cached_property

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,6 +127,16 @@ def schedule_problems(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ).filter("ends_before_start OR out_of_order")
 
 
+def check_schedule(rows: Sequence[tuple[str, str, str, str]]) -> None:
+    """Refuse a configured schedule that is empty, out of order or has an event that ends before it starts."""
+    if not rows:
+        raise ValueError("at least one maintenance event is required")
+    times = [(datetime.fromisoformat(start), datetime.fromisoformat(end)) for start, end, *_ in rows]
+    for i, (start, end) in enumerate(times):
+        if end < start or i and start < times[i - 1][0]:
+            raise ValueError(f"invalid maintenance schedule: {rows[i]}")
+
+
 def build_events(spark: SparkSession, rows: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """Typed and validated event table; events are configuration, so the check is driver-sized."""
     events = typed_events(spark, rows)
