@@ -52,7 +52,7 @@ SCHEMA = (
 )
 HEADERS = ("warc_type", "record_id", "target_uri", "refers_to", "payload_digest")
 MANIFEST = "_manifest.json"
-_SAFE = ":/?&=%+,;@!$'()*~[]{}|^<>\"\\`"
+_SAFE = ":/?&=+,;@!$'()*~[]{}|^<>\"\\`"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 

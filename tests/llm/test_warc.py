@@ -33,8 +33,8 @@ def test_duplicates_become_revisits(spark, tmp_path):
         revisit = html == big and page != 5
         want.append((page or 0, "revisit" if revisit else "response", 5 if revisit else None, size, sha(html)))
     assert got == sorted(want, key=lambda r: r[:2])
-    urls = {r["record_id"]: r["target_uri"] for r in warc.read(spark, path).collect()}
-    assert urls["urn:page:1"] == rows[0][1] and None in urls.values()
+    urls = [r["target_uri"] for r in warc.read(spark, path, payload=False).collect()]
+    assert sorted(urls, key=str) == sorted((r[1] for r in rows), key=str)
 
 
 def test_predicates_reach_the_reader(spark, tmp_path):
