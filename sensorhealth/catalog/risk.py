@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.calibration import empirical_risk, reference_problems, reference_summary
+from ..operators.calibration import empirical_risk, reference_problems
 from ..operators.contract import check_summary, population_differences
 from ..operators.risk import (
     alarm_flags,
@@ -65,16 +65,14 @@ def c2(p):
 @query(
     "c3_calibration_summary",
     sql(
-        """SELECT workflow_id, asset_id, count(*) AS reference_count,
+        """SELECT workflow_id, asset_id, model_cycle::BIGINT AS model_cycle, count(*) AS reference_count,
                   round(min(anomaly_score), 6) AS minimum_score,
                   round(max(anomaly_score), 6) AS maximum_score
-           FROM cal_ref GROUP BY workflow_id, asset_id"""
+           FROM cal_ref GROUP BY workflow_id, asset_id, model_cycle"""
     ),
 )
 def c3(p):
-    return tidy(
-        reference_summary(p.distance.reference, CALIBRATOR, "anomaly_score").drop("model_cycle")
-    )
+    return tidy(p.distance.calibration_summary)
 
 
 @query(
