@@ -43,12 +43,13 @@ class Settings:
     k: int = 20
     recall: float = 0.97
     sample_rows: int = 20_000
-    bound_rows: int = 2000  # of the sample, for the first bound of a query
+    bound_rows: int = 8000  # of the sample, for the first bound of a query
+    batch_rows: int = 250  # queries that meet the sample at once
     list_rows: int = 2048
     most_lists: int = 2048
     column_block: int = 16
     confidence: float = 2.1
-    block_rows: int = 4096
+    block_rows: int = 2048
     chunk_rows: int = 1024
     sparse: float = 0.05  # share of candidates alive below which they are read one by one
     seed: int = 7
@@ -152,16 +153,19 @@ def probes_needed(geometry: Geometry, ids: np.ndarray, rows: np.ndarray, setting
     return int(ranks[math.ceil(settings.recall * len(ranks)) - 1]) + 1
 
 
-def placed(vectors: DataFrame, geometry: Geometry, size: int, k: int, query: bool) -> DataFrame:
+def placed(
+    vectors: DataFrame, geometry: Geometry, size: int, settings: Settings, query: bool
+) -> DataFrame:
     """Rows with their list; queries once for each list that they probe, with their first bound."""
+    k, batch_rows = settings.k, settings.batch_rows
     shared = vectors.sparkSession.sparkContext.broadcast(geometry)
     probes = geometry.probes if query else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(at, batch_rows)
                 rows = stacked(part.column(1), size)
                 lists = own.nearest_lists(own.extended(rows, query), probes)
                 least = first_bounds(own, np.asarray(part.column(0)), rows, k) if query else np.zeros(len(rows))
@@ -191,21 +195,24 @@ def first_bounds(geometry: Geometry, ids: np.ndarray, rows: np.ndarray, k: int)
     return -np.partition(-sample_scores(geometry, ids, rows), k - 1, axis=1)[:, k - 1]
 
 
-def sample_best(queries: DataFrame, geometry: Geometry, size: int, k: int) -> DataFrame:
+def sample_best(queries: DataFrame, geometry: Geometry, size: int, settings: Settings) -> DataFrame:
     """The k best of the shared sample per query: what sets the first bound is found itself."""
+    k, batch_rows = settings.k, settings.batch_rows
     shared = queries.sparkSession.sparkContext.broadcast(geometry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            rows = stacked(batch.column(1), size)
-            found = Best.of(len(rows), k)
-            i, j = np.nonzero(sample_scores(own, ids, rows) >= first_bounds(own, ids, rows, k)[:, None] - 1e-12)
-            keep = ids[i] != own.sample_ids[j]
-            i, j = i[keep], j[keep]
-            found.add(i, (rows[i] * own.sample[j]).sum(axis=1), own.sample_ids[j])
-            yield found.batch(ids)
+            for at in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(at, batch_rows)
+                ids, rows = np.asarray(part.column(0)), stacked(part.column(1), size)
+                found = Best.of(len(rows), k)
+                least = first_bounds(own, ids, rows, k)
+                i, j = np.nonzero(sample_scores(own, ids, rows) >= least[:, None] - 1e-12)
+                keep = ids[i] != own.sample_ids[j]
+                i, j = i[keep], j[keep]
+                found.add(i, (rows[i] * own.sample[j]).sum(axis=1), own.sample_ids[j])
+                yield found.batch(ids)
 
     return queries.select("vec_id", "embedding").mapInArrow(run, FOUND)
 
@@ -296,9 +303,9 @@ def nearest(vectors: DataFrame, is_query: Column, settings: Settings = Settings(
         F.coalesce(is_query, F.lit(False)).alias("_query"),
     )
     geometry = fit(own, size, settings)
-    base = settle(placed(own, geometry, size, settings.k, False), "vector_lists")
+    base = settle(placed(own, geometry, size, settings, False), "vector_lists")
     asked = own.filter("_query").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    queries = settle(placed(asked, geometry, size, settings.k, True), "vector_probes")
+    queries = settle(placed(asked, geometry, size, settings, True), "vector_probes")
     parts = lambda n: F.ceil(n / settings.block_rows).cast("int")
     lists = base.groupBy("list").agg(F.count(F.lit(1)).alias("n")).join(
         queries.groupBy(F.col("list").alias("_list")).agg(F.count(F.lit(1)).alias("q")), F.col("list") == F.col("_list")
@@ -334,7 +341,7 @@ def nearest(vectors: DataFrame, is_query: Column, settings: Settings = Settings(
     best = candidates.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInPandas(meet, FOUND)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = (
-        best.unionAll(sample_best(asked, geometry, size, settings.k))
+        best.unionAll(sample_best(asked, geometry, size, settings))
         .distinct()
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= settings.k)
