@@ -202,7 +202,11 @@ def probes(fp: Column, parts: list[Part]) -> Column:
 
 def _links_in(rows: np.ndarray, others: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links between two blocks or, where they are dense, each row with the first row they reach."""
-    near = np.bitwise_count(rows[:, None] ^ others[None, :]) <= radius
+    return connections(np.bitwise_count(rows[:, None] ^ others[None, :]) <= radius, rows, others)
+
+
+def connections(near: np.ndarray, rows: np.ndarray, others: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect what the links of ``near`` connect: all links or, where they are dense, a star."""
     if near.sum() <= len(rows) + len(others):
         i, j = np.nonzero(near)
         keep = rows[i] != others[j]
