@@ -11,6 +11,11 @@ else covers all rows and whole texts.
 A text is decoded only if a switch can pay: if no stretch of words favours another language over the
 overall best one by more than half the penalty, no labelling with a switch scores higher.
 
+A word is evidence for a language if the language uses its scripts and its trigrams are together likelier
+there, by ``EVIDENCE`` a letter, than in text of evenly frequent trigrams. A text's score is the share of its
+letters in words that are labelled with its language and are evidence for it. Texts in other scripts or
+languages still get the learned language that fits least badly, with a score of or near 0.
+
 Defined results: null, empty and letterless texts are ``und`` with score 0 and no spans; ties go to the
 language that sorts first; rows without a language are not learned from; with no labelled rows every
 text is ``und``; repeated rows get equal results; other columns are ignored. Each text is held by one
@@ -34,6 +39,8 @@ BUCKETS = 1 << 16
 PER_LANGUAGE = 3000
 #: Cost of a switch between languages, in units of the words' log odds.
 PENALTY = 24.0
+#: Log odds a letter, against evenly frequent trigrams, from which a word is evidence for a language.
+EVIDENCE = 1.0
 UNKNOWN = "und"
 
 #: First code points of script blocks (public Unicode ranges); 0 marks blocks common to scripts.
@@ -80,11 +87,13 @@ class Model:
     languages: tuple[str, ...]
     scores: np.ndarray  # bucket x language: log odds against the languages' mean
     allowed: np.ndarray  # script x language: the language uses the script
+    odds: np.ndarray | None = None  # bucket x language: log odds against evenly frequent trigrams
 
-    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores per language (0 is neutral) and letter counts of words as they stand in a text."""
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores per language (0 is neutral), letter counts and evidence of words as they stand in a text."""
         own = [letters(w) for w in words]
         out = np.zeros((len(words), len(self.languages)), np.float32)
+        proof = np.zeros(out.shape, bool)
         filled = [i for i, w in enumerate(own) if w]
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         if filled:
@@ -96,7 +105,9 @@ class Model:
             total = np.where(usable, total, -30.0 * n[:, None])
             total[~some] = 0
             out[filled] = total - total.max(axis=1, keepdims=True)
-        return out, sizes
+            likely = np.add.reduceat(self.odds[buckets], starts, axis=0) >= EVIDENCE * n[:, None]
+            proof[filled] = usable & likely
+        return out, sizes, proof
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
@@ -142,7 +153,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     centred[grams.sum(axis=1) == 0] = 0
     used = scripts >= 0.01 * np.maximum(1, scripts.sum(axis=0))
     used[SCRIPT_NAMES.index("common")] = True
-    return Model(languages, centred.astype(np.float32), used)
+    odds = rates + np.log(BUCKETS)
+    return Model(languages, centred.astype(np.float32), used, odds.astype(np.float32))
 
 
 def viterbi(rows: list[np.ndarray], penalty: float) -> list[np.ndarray]:
@@ -194,6 +206,7 @@ class Labeller:
         self.index: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.model.languages)), np.float32)
         self.letters = np.zeros(0, np.int64)
+        self.proof = np.zeros((0, len(self.model.languages)), bool)
 
     def learn(self, split: list[list[str]]) -> None:
         if len(self.index) > self.most:
@@ -203,10 +216,11 @@ class Labeller:
             met.update(words)
         new = [w for w in met if w not in self.index]
         if new:
-            scores, sizes = self.model.word_scores(new)
+            scores, sizes, proof = self.model.word_scores(new)
             self.index.update(zip(new, range(len(self.letters), len(self.letters) + len(new))))
             self.scores = np.concatenate([self.scores, scores])
             self.letters = np.concatenate([self.letters, sizes])
+            self.proof = np.concatenate([self.proof, proof])
 
     def can_switch(self, rows: np.ndarray, best: int) -> bool:
         """Some stretch favours another language by over half the penalty."""
@@ -216,14 +230,17 @@ class Labeller:
         return bool((ahead - before).max() > self.penalty / 2)
 
     def label(self, texts: list[str]) -> list[dict]:
-        """Per text: language, score, and spans of words [start, stop) with their language."""
+        """Per text: language, score, spans of words [start, stop) with their language, and known.
+
+        ``known`` is the share of letters in words that are evidence for their span's language.
+        """
         split = [t.split() for t in texts]
-        nothing = {"lang_pred": UNKNOWN, "score": 0.0, "spans": []}
+        nothing = {"lang_pred": UNKNOWN, "score": 0.0, "spans": [], "known": 0.0}
         out = [nothing] * len(texts)
         if not self.model.languages:
             return out
         self.learn(split)
-        mixed: list[tuple[int, np.ndarray, np.ndarray]] = []
+        mixed: list[tuple[int, np.ndarray, np.ndarray]] = []  # text, its words' rows and scores
         for i, words in enumerate(split):
             rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
             sizes = self.letters[rows]
@@ -232,18 +249,22 @@ class Labeller:
             scores = self.scores[rows]
             best = int(scores.sum(axis=0, dtype=np.float64).argmax())
             if self.can_switch(scores, best):
-                mixed.append((i, scores, sizes))
+                mixed.append((i, rows, scores))
             else:
                 name = self.model.languages[best]
                 span = {"start": 0, "stop": len(words), "lang": name}
-                out[i] = {"lang_pred": name, "score": 1.0, "spans": [span]}
-        for (i, _, sizes), labels in zip(mixed, viterbi([m[1] for m in mixed], self.penalty), strict=True):
+                share = float(sizes[self.proof[rows, best]].sum() / sizes.sum())
+                out[i] = {"lang_pred": name, "score": share, "spans": [span], "known": share}
+        for (i, rows, _), labels in zip(mixed, viterbi([m[2] for m in mixed], self.penalty), strict=True):
+            sizes = self.letters[rows]
             by_language = np.bincount(labels, weights=sizes, minlength=len(self.model.languages))
             best = int(by_language.argmax())
+            proven = np.bincount(labels, weights=sizes * self.proof[rows, labels], minlength=len(by_language))
             cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
             out[i] = {
                 "lang_pred": self.model.languages[best],
-                "score": float(by_language[best] / by_language.sum()),
+                "score": float(proven[best] / sizes.sum()),
+                "known": float(proven.sum() / sizes.sum()),
                 "spans": [
                     {"start": a, "stop": b, "lang": self.model.languages[labels[a]]}
                     for a, b in zip(cuts[:-1], cuts[1:], strict=True)
@@ -282,7 +303,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def keep_known(docs: DataFrame, least_score: float = 0.25, penalty: float = PENALTY, **options) -> DataFrame:
-    """The documents whose language is known and holds ``least_score`` of the letters, columns as they are."""
+    """The documents with ``least_score`` of the letters in words of learned languages, columns as they are.
+
+    The languages of a mixed text count together.
+    """
     model = fit(docs.filter(~held_out(F.col("doc_id"))), **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -291,7 +315,7 @@ def keep_known(docs: DataFrame, least_score: float = 0.25, penalty: float = PENA
         for batch in batches:
             text = batch.schema.get_field_index("text")
             for at, texts in bytebpe.blocks(batch.column(text)):
-                keep = [r["lang_pred"] != UNKNOWN and r["score"] >= least_score for r in labeller.label(texts)]
+                keep = [r["lang_pred"] != UNKNOWN and r["known"] >= least_score for r in labeller.label(texts)]
                 yield batch.slice(at, len(texts)).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -79,3 +79,23 @@ def test_nothing_to_learn_from(spark, docs):
     none = language.fit(docs([(1, None)]))
     assert language.label(docs([(1, "text")]), none).first()["lang_pred"] == "und"
     assert language.label(docs([]), none).collect() == []
+
+
+def test_texts_in_unknown_languages_are_rejected(spark, model, docs):
+    others = [
+        "Все люди рождаются свободными и равными в своём достоинстве и правах",
+        "人人生而自由 在尊严和权利上一律平等",
+        "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+    ]
+    told = language.label(docs(list(enumerate(others))), model).collect()
+    assert all(r["lang_pred"] in model.languages and r["score"] < 0.25 for r in told)
+    assert [r["score"] for r in told if r["doc_id"] < 3] == [0, 0, 0]
+    known = {r["lang"]: r["text"] for r in spark.read.parquet(DATA).filter("n_chars > 2000").collect()}
+    mixed = " ".join(w for lang in sorted(known) for w in known[lang].split()[:60])
+    texts = [*others, *known.values(), mixed]
+    labelled = spark.read.parquet(DATA).withColumn("source", F.lit("given"))
+    asked = docs(list(enumerate(texts, 10**6))).select(*labelled.columns).withColumn("lang", F.lit(None).cast("string"))
+    kept = language.keep_known(labelled.unionByName(asked)).filter("source = 'src'")
+    assert sorted(r["doc_id"] - 10**6 for r in kept.collect()) == list(range(len(others), len(texts)))
