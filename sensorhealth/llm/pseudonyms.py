@@ -32,7 +32,11 @@ KEY = "pseudonyms-1"
 EMAIL = r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
 IP = r"\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
 DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\p{L}\p{N}])"
-PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)"
+#: An area or trunk group of one to four digits, then two to four groups; four only up to 14 digits in all.
+PHONE = (
+    r"\+\d{1,3}[ .-]?\(?(?:"
+    r"(?:\d{1,2}\)?(?:[ .-]?\d{2,3}){4}|\d{3,4}\)?(?:[ .-]?\d{2}){4}|\d{1,4}\)?(?:[ .-]?\d{2,4}){2,3})(?!\d))"
+)
 CARD = r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])"
 FOUND = rf"(?<![\p{{L}}\p{{N}}._%+-])(?:{EMAIL}|{IP}|{DATE}|{PHONE}|{CARD})"
 KINDS = ("card", "phone", "ip", "date", "email")

@@ -73,6 +73,15 @@ def test_values_keep_their_formats(spark, docs):
     assert told == {"card": 3, "phone": 2, "ip": 1, "date": 4, "email": 1}
 
 
+def test_phones_of_one_digit_areas_and_many_groups(spark, docs):
+    numbers = ["+33 6 12 34 56 78", "+33 1 42 68 53 00", "+61 2 9374 4000", "+33 6 123 45 67 89", "+49 30 12 34 56 78"]
+    got = swapped(spark, docs, [f"call {n}, today" for n in numbers])
+    for r, n in zip(got, numbers):
+        lead, rest = n[:3], n[3:]
+        new = iter(digits(re.sub(r"\D", "", rest), "phone"))
+        assert r["text"] == f"call {lead}{re.sub(r'[0-9]', lambda _: next(new), rest)}, today" and r["n_phone"] == 1
+
+
 def test_odd_rows_and_columns(spark, docs, odd_rows):
     rows = [*odd_rows, (30, "1.2.3.4 " * 3000), (31, "a@b " + "1" * 50000), (32, "@" * 20000 + "+")]
     table = docs(rows)
