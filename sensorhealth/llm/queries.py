@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship
-from . import chat, language, lexicon, packing, pseudonyms, quality, simhash, urls, vectors, warc
+from . import chat, infill, language, lexicon, licenses, packing, pseudonyms, quality, simhash, turns, urls, vectors, warc
 from .tables import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,19 @@ def _op10(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, directory, "documents")).select(
         "doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op11_license_scan", licenses.summary_sql())
+def _op11(spark: SparkSession, directory: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, directory, "documents")))
+
+
+@query("op12_turn_repair")
+def _op12(spark: SparkSession, directory: str) -> DataFrame:
+    rows = table(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
+    return turns.read_back(turns.repair(turns.damage(rows)))
+
+
+@query("op13_infill", infill.INFILL_SQL)
+def _op13(spark: SparkSession, directory: str) -> DataFrame:
+    return infill.transform(table(spark, directory, "documents"))
