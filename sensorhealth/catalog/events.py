@@ -24,7 +24,7 @@ def e1(p):
 @query("e2_event_scores", sql(f"SELECT workflow_id, {RATIOS} FROM event_scores"))
 def e2(p):
     e = p.distance
-    eligible = ev.warned(e.intervals, p.study.events, P.lead_minutes)
+    eligible = ev.warned(e.intervals, p.study.events, P.lead_minutes, p.study.slice_us)
     matches = ev.greedy_match(eligible, e.listed, ev.KEYS)
     return tidy(ev.match_counts(matches, e.counts, []))
 
@@ -71,7 +71,7 @@ def e5(p):
 )
 def e6(p):
     e = p.distance
-    return tidy(ev.ttd_summary(ev.time_to_detection(e.alarms, e.listed, P)))
+    return tidy(ev.ttd_summary(ev.time_to_detection(e.alarms, e.listed, P, p.study.slice_us)))
 
 
 @query(
@@ -83,7 +83,7 @@ def e6(p):
 )
 def e6_events(p):
     e = p.distance
-    return tidy(ev.time_to_detection(e.alarms, e.listed, P))
+    return tidy(ev.time_to_detection(e.alarms, e.listed, P, p.study.slice_us))
 
 
 @query(
@@ -125,7 +125,7 @@ def e8(p):
 def e9(p):
     e = p.distance
     minutes = ev.evaluated_minutes(p.study.timeline, p.study.stats)
-    return tidy(ev.false_alarm_rate(e.intervals, p.study.events, e.grid, minutes, P))
+    return tidy(ev.false_alarm_rate(e.intervals, p.study.events, e.grid, minutes, P, p.study.slice_us))
 
 
 @query(
@@ -172,8 +172,8 @@ def e12(p):
 )
 def e13(p):
     e = p.distance
-    matched = ev.lead_time_matches(e.intervals, e.listed, P, e.leads)
-    return tidy(ev.match_counts(matched, e.counts, ["lead_minutes"]))
+    matched = ev.lead_time_matches(e.intervals, e.listed, P, e.leads, p.study.slice_us)
+    return tidy(ev.match_counts(matched, e.counts, ["lead_minutes"], "matched_no"))
 
 
 @query(

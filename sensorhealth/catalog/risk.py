@@ -113,7 +113,7 @@ SWEEP = (
 def c6(p):
     e = p.distance
     per_asset = threshold_sweep(
-        e.aligned, e.grid, p.study.events, e.thresholds, P, p.study.slice_us
+        e.aligned, e.grid, p.study.events, e.thresholds, P, p.study.slice_us, p.study.stats
     )
     return tidy(fleet_sweep(per_asset, P))
 

@@ -1,31 +1,48 @@
 """Maintenance calendar: disjoint labelled intervals per asset and their interval joins.
 
 Every interval table here is disjoint per asset, so a left interval join keeps one row per
-timeline row and needs no aggregation afterwards. The tables hold a few rows per event; they are
-joined on ``asset_id`` plus a range, and the planner broadcasts them only below its threshold.
+timeline row and needs no aggregation afterwards. Intervals are listed once for every time bucket
+they touch, and rows meet those of their own bucket: the join key is (asset, bucket), so neither an
+asset with many events nor one with many rows is compared as a whole. Disjoint intervals touch at
+most as many buckets as their span holds, and one more each. The planner broadcasts the intervals
+only below its threshold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import MINUTE_US, StudyParams
+from ..params import DAY_US, MINUTE_US, StudyParams
+from .slices import floor_div
 
 NORMAL, PRE_MAINTENANCE, MAINTENANCE = 0, 1, 2
 
 
+def buckets(start: Column, end: Column, width: int) -> Column:
+    """Every time bucket that ``[start, end]`` touches; none for a null or empty interval."""
+    touched = F.sequence(floor_div(start, width), floor_div(end, width))
+    return F.explode(F.when(start <= end, touched))
+
+
 def interval_join(
-    rows: DataFrame, intervals: DataFrame, columns: list[str], how: str = "left"
+    rows: DataFrame, intervals: DataFrame, columns: list[str], how: str = "left", width: int = DAY_US
 ) -> DataFrame:
     """Attach ``columns`` of the interval ``[from_us, to_us]`` of the same asset holding ``us``."""
     right = intervals.select(
-        F.col("asset_id").alias("_asset"), "from_us", "to_us", *columns
+        F.col("asset_id").alias("_asset"),
+        "from_us",
+        "to_us",
+        *columns,
+        buckets(F.col("from_us"), F.col("to_us"), width).alias("_touched"),
     )
-    condition = (F.col("asset_id") == F.col("_asset")) & F.col("us").between(
-        F.col("from_us"), F.col("to_us")
+    left = rows.withColumn("_bucket", floor_div(F.col("us"), width))
+    condition = (
+        (F.col("asset_id") == F.col("_asset"))
+        & (F.col("_bucket") == F.col("_touched"))
+        & F.col("us").between(F.col("from_us"), F.col("to_us"))
     )
-    return rows.join(right, condition, how).drop("_asset", "from_us", "to_us")
+    return left.join(right, condition, how).drop("_asset", "from_us", "to_us", "_bucket", "_touched")
 
 
 def phase_intervals(events: DataFrame, pre_minutes: int) -> DataFrame:
@@ -57,8 +74,10 @@ def phase_intervals(events: DataFrame, pre_minutes: int) -> DataFrame:
     return pieces.select("asset_id", "p.*").filter("from_us <= to_us")
 
 
-def with_phase(rows: DataFrame, events: DataFrame, pre_minutes: int) -> DataFrame:
-    joined = interval_join(rows, phase_intervals(events, pre_minutes), ["phase"])
+def with_phase(
+    rows: DataFrame, events: DataFrame, pre_minutes: int, width: int = DAY_US
+) -> DataFrame:
+    joined = interval_join(rows, phase_intervals(events, pre_minutes), ["phase"], width=width)
     return joined.withColumn("phase", F.coalesce("phase", F.lit(NORMAL)))
 
 
@@ -83,7 +102,7 @@ def update_windows(events: DataFrame, stats: DataFrame, post_train_minutes: int)
 
 
 def cycle_plan(
-    rows: DataFrame, events: DataFrame, stats: DataFrame, params: StudyParams
+    rows: DataFrame, events: DataFrame, stats: DataFrame, params: StudyParams, width: int = DAY_US
 ) -> DataFrame:
     """One row per asset and cycle; cycle 0 precedes the first event.
 
@@ -99,7 +118,7 @@ def cycle_plan(
         F.col("update_end_us").alias("to_us"),
     )
     counts = (
-        interval_join(rows.select("asset_id", "us"), intervals, ["cycle_id"], "inner")
+        interval_join(rows.select("asset_id", "us"), intervals, ["cycle_id"], "inner", width)
         .groupBy("asset_id", "cycle_id")
         .agg(F.count(F.lit(1)).alias("update_rows"))
     )

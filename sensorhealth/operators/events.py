@@ -6,11 +6,12 @@ assets before ratios are formed, so a single asset gives the single-series metri
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import minutes_between, share
-from ..params import MINUTE_US, NAB_PROFILES, StudyParams
+from ..params import DAY_US, MINUTE_US, NAB_PROFILES, StudyParams
+from .calendar import buckets
 from .risk import with_ratios
 from .runs import label_runs, run_segments
 from .slices import carried, floor_div, grouped_median
@@ -35,21 +36,33 @@ def alarm_intervals(alarms: DataFrame, width: int) -> DataFrame:
     return run_segments(labelled, KEYS, "us", "alarm_run").drop("alarm_run")
 
 
-def warned(intervals: DataFrame, events: DataFrame, lead_minutes: int, how: str = "inner"):
-    """Interval join: an interval may warn of an event it reaches within the lead time."""
+def warned(
+    intervals: DataFrame, events: DataFrame, lead_minutes: int, width: int = DAY_US
+) -> DataFrame:
+    """Overlap join: an interval may warn of an event it reaches within the lead time.
+
+    Intervals and warning windows are listed for every time bucket they touch and meet in the first
+    bucket that both of them touch, so a pair is found once and no asset is compared as a whole.
+    """
+    warning = F.col("start_us") - lead_minutes * MINUTE_US
     right = events.select(
         F.col("asset_id").alias("_asset"),
         "ordinal",
         F.col("start_us").alias("event_start_us"),
         F.col("end_us").alias("event_end_us"),
-        (F.col("start_us") - lead_minutes * MINUTE_US).alias("warning_us"),
+        warning.alias("warning_us"),
+        buckets(warning, F.col("start_us"), width).alias("_touched"),
     )
+    left = intervals.withColumn("_bucket", buckets(F.col("start_us"), F.col("end_us"), width))
+    first = floor_div(F.greatest("start_us", "warning_us"), width)
     condition = (
         (F.col("asset_id") == F.col("_asset"))
+        & (F.col("_bucket") == F.col("_touched"))
         & (F.col("start_us") <= F.col("event_start_us"))
         & (F.col("end_us") >= F.col("warning_us"))
+        & (F.col("_bucket") == first)
     )
-    return intervals.join(right, condition, how).drop("_asset")
+    return left.join(right, condition).drop("_asset", "_bucket", "_touched")
 
 
 def greedy_match(
@@ -111,10 +124,12 @@ def event_grid(grid: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def match_counts(matches: DataFrame, counts: DataFrame, extra: list[str]) -> DataFrame:
+def match_counts(
+    matches: DataFrame, counts: DataFrame, extra: list[str], matched: str = "matched_us"
+) -> DataFrame:
     """Fleet ``tp, fp, fn`` and ratios per workflow (and ``extra`` keys)."""
     per_asset = matches.groupBy(*KEYS, *extra).agg(
-        F.count("matched_us").alias("tp"), F.count(F.lit(1)).alias("_events")
+        F.count(matched).alias("tp"), F.count(F.lit(1)).alias("_events")
     )
     summed = (
         per_asset.join(counts, KEYS)
@@ -129,45 +144,123 @@ def match_counts(matches: DataFrame, counts: DataFrame, extra: list[str]) -> Dat
 
 
 def lead_time_matches(
-    intervals: DataFrame, listed: DataFrame, params: StudyParams, leads: list[int]
+    intervals: DataFrame,
+    listed: DataFrame,
+    params: StudyParams,
+    leads: list[int],
+    width: int = DAY_US,
 ) -> DataFrame:
-    """Greedy matches per required lead: the interval must start by ``event start - lead``."""
+    """Greedy matches per required lead: the interval must start by ``event start - lead``.
+
+    Intervals are disjoint and in order, so those an event may take are a span of their numbers:
+    it starts after the intervals that end before the warning time and ends with the last one that
+    starts by the deadline. Both numbers are running counts over interval borders, event times and
+    deadlines, merged once in time slices; intervals and events are never paired. ``matched_no`` is
+    the number of the interval an event takes, null for a missed event.
+    """
     keys = [*KEYS, "lead_minutes"]
-    lead = F.explode(F.array(*[F.lit(v) for v in leads])).alias("lead_minutes")
-    wanted = listed.select(*KEYS, "ordinal", "start_us", "end_us", lead)
-    right = wanted.select(
-        *keys,
-        "ordinal",
-        F.col("end_us").alias("event_end_us"),
-        (F.col("start_us") - params.lead_minutes * MINUTE_US).alias("warning_us"),
-        (F.col("start_us") - F.col("lead_minutes").cast("bigint") * MINUTE_US).alias("deadline_us"),
+    none = F.lit(None)
+    start, end = F.col("start_us"), F.col("end_us")
+
+    def mark(at: Column, opened: int, closed: int, ordinal: Column, lead: Column) -> Column:
+        return F.struct(
+            at.alias("_at"),
+            F.lit(opened).alias("_opened"),
+            F.lit(closed).alias("_closed"),
+            ordinal.cast("int").alias("ordinal"),
+            lead.cast("int").alias("lead_minutes"),
+        )
+
+    # An interval that ends at the warning time still counts: its end takes effect just after.
+    borders = intervals.select(
+        *KEYS, F.explode(F.array(mark(start, 1, 0, none, none), mark(end + 1, 0, 1, none, none))).alias("_m")
     )
-    eligible = intervals.join(right, KEYS).filter(
-        (F.col("start_us") <= F.col("event_end_us"))
-        & (F.col("end_us") >= F.col("warning_us"))
-        & (F.col("start_us") <= F.col("deadline_us"))
+    # An interval that starts after the event's end is too late whatever the lead is.
+    asked = listed.select(
+        *KEYS,
+        F.explode(
+            F.array(
+                mark(start - params.lead_minutes * MINUTE_US, 0, 0, F.col("ordinal"), none),
+                *[
+                    mark(F.least(start - v * MINUTE_US, end), 0, 0, F.col("ordinal"), F.lit(v))
+                    for v in leads
+                ],
+            )
+        ).alias("_m"),
+    )
+    marks = borders.unionByName(asked).select(*KEYS, "_m.*").withColumn("_slice", floor_div(F.col("_at"), width))
+    upto = (
+        Window.partitionBy(*KEYS, "_slice")
+        .orderBy("_at")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    counts = ("_opened", "_closed")
+    border = carried(
+        marks,
+        KEYS,
+        "_slice",
+        {f"_b{c}": F.sum(c) for c in counts},
+        {f"_b{c}": (lambda w, e, c=c: F.coalesce(F.sum(f"_b{c}").over(e), F.lit(0))) for c in counts},
     )
-    return greedy_match(eligible, wanted, keys)
+    counted = (
+        marks.select("*", *[F.sum(c).over(upto).alias(f"_n{c}") for c in counts])
+        .filter("ordinal IS NOT NULL")
+        .join(border, [*KEYS, "_slice"], "left")
+        .select(*KEYS, "ordinal", "lead_minutes", *[(F.col(f"_n{c}") + F.col(f"_b{c}")).alias(c) for c in counts])
+    )
+    spans = counted.groupBy(*KEYS, "ordinal").agg(
+        F.max(F.when(F.col("lead_minutes").isNull(), F.col("_closed"))).alias("_low"),
+        F.collect_list(
+            F.when(F.col("lead_minutes").isNotNull(), F.struct("lead_minutes", F.col("_opened").alias("high")))
+        ).alias("_highs"),
+    )
+    per_lead = spans.select(*KEYS, "ordinal", "_low", F.explode("_highs").alias("_h")).select(
+        *KEYS, "_h.lead_minutes", "ordinal", (F.col("_low") + 1).alias("low"), "_h.high"
+    )
+    folded = per_lead.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "low", "high"))).alias("_events")
+    )
+
+    def take(state: Column, event: Column) -> Column:
+        number = F.greatest(event["low"], state["last"] + 1)
+        fits = number <= event["high"]
+        one = F.struct(event["ordinal"].alias("ordinal"), F.when(fits, number).alias("matched_no"))
+        return F.struct(
+            F.when(fits, number).otherwise(state["last"]).alias("last"),
+            F.concat(state["taken"], F.array(one)).alias("taken"),
+        )
 
+    empty = F.expr("cast(array() as array<struct<ordinal:int,matched_no:bigint>>)")
+    state = F.struct(F.lit(0).cast("bigint").alias("last"), empty.alias("taken"))
+    taken = F.aggregate("_events", state, take, lambda s: s["taken"])
+    return folded.select(*keys, F.explode(taken).alias("t")).select(*keys, "t.*")
 
-def time_to_detection(alarms: DataFrame, listed: DataFrame, params: StudyParams) -> DataFrame:
-    """Per event: minutes from the first alarm row in the closed warning window to its start."""
+
+def time_to_detection(
+    alarms: DataFrame, listed: DataFrame, params: StudyParams, width: int = DAY_US
+) -> DataFrame:
+    """Per event: minutes from the first alarm row in the closed warning window to its start.
+
+    Warning windows are listed for every time bucket they touch; alarm rows meet those of theirs.
+    """
+    warning = F.col("start_us") - params.lead_minutes * MINUTE_US
     right = listed.select(
         F.col("workflow_id").alias("_workflow"),
         F.col("asset_id").alias("_asset"),
         "ordinal",
-        F.col("start_us").alias("event_start_us"),
+        warning.alias("_warning_us"),
+        F.col("start_us").alias("_event_us"),
+        buckets(warning, F.col("start_us"), width).alias("_touched"),
     )
     hits = (
         alarms.filter("alarm")
-        .select(*KEYS, "us")
+        .select(*KEYS, "us", floor_div(F.col("us"), width).alias("_bucket"))
         .join(
             right,
             (F.col("workflow_id") == F.col("_workflow"))
             & (F.col("asset_id") == F.col("_asset"))
-            & F.col("us").between(
-                F.col("event_start_us") - params.lead_minutes * MINUTE_US, F.col("event_start_us")
-            ),
+            & (F.col("_bucket") == F.col("_touched"))
+            & F.col("us").between(F.col("_warning_us"), F.col("_event_us")),
         )
         .groupBy(*KEYS, "ordinal")
         .agg(F.min("us").alias("first_alarm_us"))
@@ -273,10 +366,16 @@ def evaluated_minutes(timeline: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def false_alarm_rate(
-    intervals: DataFrame, events: DataFrame, grid: DataFrame, minutes: DataFrame, params: StudyParams
+    intervals: DataFrame,
+    events: DataFrame,
+    grid: DataFrame,
+    minutes: DataFrame,
+    params: StudyParams,
+    width: int = DAY_US,
 ) -> DataFrame:
     """Intervals that warn of no event, per day and per week of evaluated time."""
-    false = warned(intervals, events, params.lead_minutes, "left_anti")
+    warning = warned(intervals, events, params.lead_minutes, width).select(*KEYS, "start_us")
+    false = intervals.join(warning, [*KEYS, "start_us"], "left_anti")
     per_asset = (
         interval_counts(intervals, grid)
         .join(false.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_false")), KEYS, "left")

@@ -65,7 +65,7 @@ def label_populations(
     rows = base.select(
         "asset_id", "ts", "us", *channels, floor_div(F.col("us"), slice_us).alias("slice")
     ).join(stats.select("asset_id", "data_start_us", "gap_us"), "asset_id")
-    phased = with_phase(rows, events, params.pre_maintenance_minutes).withColumn(
+    phased = with_phase(rows, events, params.pre_maintenance_minutes, slice_us).withColumn(
         "baseline", in_baseline(params)
     )
     baseline = materialize(
@@ -76,8 +76,8 @@ def label_populations(
     )
     # Without any baseline row cycle 0 has no start, as a null start matches no row.
     intervals = score_intervals(cycles, baseline.select("asset_id", "baseline_end_us"))
-    flagged = interval_join(phased, update_intervals(cycles), ["update_cycle"])
-    flagged = interval_join(flagged, intervals, ["cycle_id"])
+    flagged = interval_join(phased, update_intervals(cycles), ["update_cycle"], width=slice_us)
+    flagged = interval_join(flagged, intervals, ["cycle_id"], width=slice_us)
     post_train = F.col("update_cycle").isNotNull()
     evaluation_row = (
         ~F.col("baseline")

@@ -80,19 +80,21 @@ def segmented_risk(
     return labelled.join(rolled, [*series, us], "left").drop("risk_run", "risk_pos", "risk_ord")
 
 
-def event_slots(events: DataFrame, boundary: Column, inclusive: bool, name: str) -> DataFrame:
+def event_slots(
+    events: DataFrame, ends: DataFrame, boundary: Column, inclusive: bool, name: str
+) -> DataFrame:
     """Disjoint intervals telling how many event boundaries lie before a row.
 
     With ``inclusive`` a boundary at the row itself counts, otherwise only strictly earlier ones.
+    ``ends`` has the last row of every asset (``asset_id, data_end_us``), where its slots end.
     """
     order = Window.partitionBy("asset_id").orderBy("start_us", "end_us")
     shift = 0 if inclusive else 1
-    return events.select(
+    following = F.lead(boundary).over(order) + (shift - 1)
+    return events.join(ends.select("asset_id", "data_end_us"), "asset_id").select(
         "asset_id",
         (boundary + shift).alias("from_us"),
-        (
-            F.coalesce(F.lead(boundary).over(order), F.lit(1 << 62)) + (shift - 1)
-        ).alias("to_us"),
+        F.least(following, "data_end_us").alias("to_us"),
         F.row_number().over(order).cast("int").alias(name),
     )
 
@@ -104,12 +106,14 @@ def threshold_sweep(
     thresholds: Sequence[float],
     params: StudyParams,
     width: int,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """Alarm counts and event scores per workflow, asset and threshold.
 
     ``predictions`` has ``workflow_id, asset_id, us, maintenance_risk`` and ``linked`` (the
     previous timeline row is also an evaluated row of the same run); ``grid`` lists every
-    ``workflow_id, asset_id``.
+    ``workflow_id, asset_id``; ``ends`` has the last row of every asset (``data_end_us``) and is
+    taken from the predictions if it is not given.
 
     A row opens an alarm interval for the thresholds between its predecessor's risk and its own,
     and closes one likewise towards its successor. Rows are therefore reduced to how many
@@ -131,12 +135,12 @@ def threshold_sweep(
     both = with_neighbour(
         back, keys, "us", "_slice", {"_k": "_kn", "linked": "_ln"}, following=True
     )
-    placed = interval_join(
-        both, event_slots(events, F.col("start_us"), False, "_opened"), ["_opened"]
-    )
-    placed = interval_join(
-        placed, event_slots(events, F.col("start_us") - lead, True, "_closed"), ["_closed"]
-    )
+    if ends is None:
+        ends = predictions.groupBy("asset_id").agg(F.max("us").alias("data_end_us"))
+    starts = event_slots(events, ends, F.col("start_us"), False, "_opened")
+    warnings = event_slots(events, ends, F.col("start_us") - lead, True, "_closed")
+    placed = interval_join(both, starts, ["_opened"], width=width)
+    placed = interval_join(placed, warnings, ["_closed"], width=width)
     shape = (
         placed.groupBy(
             *keys,

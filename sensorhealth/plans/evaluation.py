@@ -114,6 +114,7 @@ class Evaluation:
             self.thresholds,
             self.params,
             self.study.slice_us,
+            self.study.stats,
         )
 
     @cached_property
@@ -139,7 +140,10 @@ class Evaluation:
     @cached_property
     def eligible(self) -> DataFrame:
         return materialize(
-            ev.warned(self.intervals, self.study.events, self.params.lead_minutes), "eligible"
+            ev.warned(
+                self.intervals, self.study.events, self.params.lead_minutes, self.study.slice_us
+            ),
+            "eligible",
         )
 
     @cached_property
@@ -163,12 +167,16 @@ class Evaluation:
 
     @cached_property
     def lead_scores(self) -> DataFrame:
-        matched = ev.lead_time_matches(self.intervals, self.listed, self.params, self.leads)
-        return ev.match_counts(matched, self.counts, ["lead_minutes"])
+        matched = ev.lead_time_matches(
+            self.intervals, self.listed, self.params, self.leads, self.study.slice_us
+        )
+        return ev.match_counts(matched, self.counts, ["lead_minutes"], "matched_no")
 
     @cached_property
     def ttd(self) -> DataFrame:
-        return materialize(ev.time_to_detection(self.alarms, self.listed, self.params), "ttd")
+        return materialize(
+            ev.time_to_detection(self.alarms, self.listed, self.params, self.study.slice_us), "ttd"
+        )
 
     @cached_property
     def ttd_summary(self) -> DataFrame:
@@ -186,7 +194,7 @@ class Evaluation:
     def far(self) -> DataFrame:
         minutes = ev.evaluated_minutes(self.study.timeline, self.study.stats)
         return ev.false_alarm_rate(
-            self.intervals, self.study.events, self.grid, minutes, self.params
+            self.intervals, self.study.events, self.grid, minutes, self.params, self.study.slice_us
         )
 
     @cached_property

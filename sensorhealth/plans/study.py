@@ -165,7 +165,7 @@ class Study:
 
     @cached_property
     def cycles(self) -> DataFrame:
-        return materialize(cycle_plan(self.base, self.events, self.stats, self.params), "cycles")
+        return materialize(cycle_plan(self.base, self.events, self.stats, self.params, self.slice_us), "cycles")
 
     @cached_property
     def segments(self) -> DataFrame:
