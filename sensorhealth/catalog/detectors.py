@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.contract import check_summary, population_differences
@@ -9,6 +10,7 @@ from ..operators.forest import fit_forest
 from ..operators.lineage import PER_MAINTENANCE, STATIC, model_lineage
 from ..operators.reconstruction import (
     SMAPE_EPSILON,
+    decomposed,
     fit_components,
     mean_smape,
     row_errors,
@@ -268,6 +270,134 @@ def m7_full_rank(p):
     )
 
 
+MEAN_LIST = ", ".join(f"round(m_{f}, 6)" for f in FEATURES)
+
+
+@query(
+    "m8_chained_models",
+    sql(
+        """SELECT asset_id, model_cycle::BIGINT AS model_cycle, step::BIGINT AS step,
+                  lag(model_cycle) OVER (PARTITION BY asset_id ORDER BY model_cycle)::BIGINT AS predecessor,
+                  own_rows, fitted_rows, round(1 - own_rows / fitted_rows, 6) AS carried_share
+           FROM mix_mean"""
+    ),
+)
+def m8_chain(p):
+    """What every refitted model takes from its own training mix and from the model before it."""
+    d = p.detectors
+    own = d.component_training(PER_MAINTENANCE).groupBy(*MODEL).agg(F.sum("weight").cast("double").alias("own_rows"))
+    order = Window.partitionBy("asset_id").orderBy("model_cycle")
+    models = d.components(PER_MAINTENANCE).join(own, MODEL)
+    return tidy(
+        models.select(
+            *MODEL,
+            F.row_number().over(order).alias("step"),
+            F.lag("model_cycle").over(order).alias("predecessor"),
+            "own_rows",
+            "fitted_rows",
+            F.round(1 - F.col("own_rows") / F.col("fitted_rows"), 6).alias("carried_share"),
+        )
+    )
+
+
+@query(
+    "m8_cycle_models",
+    sql(
+        f"""SELECT w.workflow_id, c.asset_id, c.cycle_id::BIGINT AS cycle_id, m.model_cycle::BIGINT AS model_cycle,
+                   m.fitted_rows, i::BIGINT AS position, [{MEAN_LIST}][i + 1] + 0.0 AS mean
+            FROM lineage c CROSS JOIN (SELECT unnest(['linear_static', 'linear_per_maintenance']) AS workflow_id) w
+            JOIN mix_mean m ON m.asset_id = c.asset_id
+             AND m.model_cycle = CASE WHEN w.workflow_id = 'linear_static' THEN 0 ELSE c.model_cycle END
+            CROSS JOIN range({len(FEATURES)}) AS t(i)"""
+    ),
+)
+def m8_cycles(p):
+    """Weight and mean of the model that each cycle is scored with: static, refitted or aliased."""
+    parts = []
+    for workflow in ("linear_static", "linear_per_maintenance"):
+        d, strategy = p.detectors, STRATEGIES[workflow]
+        used = d.lineage(workflow, strategy).withColumnRenamed("effective_model_cycle", "model_cycle")
+        fitted = used.join(d.components(strategy), MODEL)
+        parts.append(
+            fitted.select("workflow_id", "asset_id", "cycle_id", "model_cycle", "fitted_rows", F.posexplode("mean").alias("position", "mean"))
+        )
+    both = parts[0].unionByName(parts[1])
+    return tidy(both.withColumn("mean", F.round("mean", 6) + F.lit(0.0)))
+
+
+@query("m5_sequence_score")
+def m5_sequence(p):
+    _, evaluation = workflow_scores(p.detectors, "sequence_static")
+    return tidy(evaluation)
+
+
+@query(
+    "m5_sequence_population",
+    sql(
+        """SELECT t.asset_id, t.us, t.cycle_id::BIGINT AS cycle_id, t.phase::BIGINT AS phase,
+                  l.model_cycle::BIGINT AS model_cycle, c.asset_id IS NOT NULL AS scored
+           FROM timeline t JOIN lineage l USING (asset_id, cycle_id) LEFT JOIN complete c USING (asset_id)
+           WHERE t.evaluation"""
+    ),
+)
+def m5_sequence_population(p):
+    """Every anchor once under the model of its cycle; a score where there are feature vectors."""
+    _, evaluation = workflow_scores(p.detectors, "sequence_per_maintenance")
+    return tidy(
+        evaluation.select(
+            "asset_id", "us", "cycle_id", "phase", "model_cycle", F.col("anomaly_score").isNotNull().alias("scored")
+        )
+    )
+
+
+@query(
+    "m7_lagged_products",
+    sql(
+        """SELECT a.asset_id, a.model_cycle::BIGINT AS model_cycle, a.i::BIGINT AS older, b.i::BIGINT AS newer,
+                  count(*)::DOUBLE AS windows, round(avg(a.x * b.x), 6) + 0.0 AS mean_product
+           FROM mix_held a JOIN mix_held b ON a.asset_id = b.asset_id AND a.model_cycle = b.model_cycle
+            AND a.run = b.run AND a.pos = b.pos AND a.replayed = b.replayed
+           WHERE a.i <= b.i GROUP BY a.asset_id, a.model_cycle, a.i, b.i"""
+    ),
+)
+def m7_lagged(p):
+    """Mean lagged product of the first feature over the training windows of every model."""
+    size = len(FEATURES)
+    moments = p.detectors.sequence_moments(PER_MAINTENANCE)
+    windows = moments.filter("cell = 0").select(*MODEL, F.col("amount").alias("windows"))
+    place = F.col("cell") - (1 + L * size)
+    lag = lambda c: F.floor(c / size).cast("int")
+    older, newer = F.floor(place / (L * size)).cast("int"), F.pmod(place, F.lit(L * size))
+    products = moments.filter((place >= 0) & (F.pmod(older, F.lit(size)) == 0) & (F.pmod(newer, F.lit(size)) == 0)).select(
+        *MODEL, lag(older).alias("older"), lag(newer).alias("newer"), "amount"
+    )
+    mean = F.round(F.col("amount") / F.col("windows"), 6) + F.lit(0.0)
+    return tidy(
+        products.filter("older <= newer").join(windows, MODEL).select(*MODEL, "older", "newer", "windows", mean.alias("mean_product"))
+    )
+
+
+@query(
+    "m7_full_rank_windows",
+    sql(
+        f"""SELECT asset_id, count(*) AS windows_checked, 0.0::DOUBLE AS largest_error FROM timeline
+            WHERE baseline_train AND base_pos >= {L} AND asset_id IN (SELECT asset_id FROM complete)
+            GROUP BY asset_id"""
+    ),
+)
+def m7_full_rank_windows(p):
+    """A window model with all components rebuilds its training windows."""
+    d, size = p.detectors, len(FEATURES) * L
+    full = decomposed(d.sequence_moments(STATIC), MODEL, size, size)
+    rows = d.rows.filter("baseline_train").withColumn("model_cycles", F.array(F.lit(0)))
+    errors = d.sequence_errors(rows, "base_run", "base_pos", full)
+    return tidy(
+        errors.filter("anomaly_score IS NOT NULL").groupBy("asset_id").agg(
+            F.count(F.lit(1)).alias("windows_checked"), F.round(F.max("anomaly_score"), 9).alias("largest_error")
+        )
+    )
+
+
 @query("m8_linear_adaptation")
 def m8(p):
     models = p.detectors.components(PER_MAINTENANCE)

@@ -24,6 +24,8 @@ LEAD_US = P.lead_minutes * MINUTE_US
 WORKFLOWS = tuple(DISTANCE_WORKFLOWS)
 
 CTES: dict[str, str] = {}
+#: Small results that are computed once, so that their text columns are plain strings from there on.
+MATERIALIZED = ("sweep", "selected")
 
 
 def define(name: str, body: str) -> None:
@@ -41,7 +43,11 @@ def sql(final: str) -> str:
                 visit(CTES[name])
 
     visit(final)
-    parts = [f"{name} AS ({body})" for name, body in CTES.items() if name in needed]
+    parts = [
+        f"{name} AS {'MATERIALIZED ' if name in MATERIALIZED else ''}({body})"
+        for name, body in CTES.items()
+        if name in needed
+    ]
     return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + final
 
 
@@ -434,11 +440,33 @@ define(
         WHERE e.asset_id IN (SELECT asset_id FROM complete) GROUP BY ALL""",
 )
 define(
-    "mix_mean",
-    "SELECT asset_id, model_cycle, sum(w)::DOUBLE AS fitted_rows, "
-    + ", ".join(f"sum(w * {f}) / sum(w) AS m_{f}" for f in FEATURES)
+    "mix_held",
+    f"""SELECT e.*, s.{FEATURES[0]} AS x,
+               CASE WHEN e.replayed THEN t.base_pos ELSE t.upd_pos END - e.pos + {L - 1} AS i
+        FROM mix_ends e JOIN timeline t ON t.asset_id = e.asset_id AND CASE WHEN e.replayed
+             THEN t.baseline_train AND t.base_run = e.run AND t.base_pos BETWEEN e.pos - {L - 1} AND e.pos
+             ELSE t.update_cycle = e.model_cycle AND t.upd_run = e.run
+                  AND t.upd_pos BETWEEN e.pos - {L - 1} AND e.pos END
+        JOIN scaled s ON s.asset_id = t.asset_id AND s.us = t.us
+        WHERE e.asset_id IN (SELECT asset_id FROM complete)""",
+)
+define(
+    "mix_own",
+    "SELECT asset_id, model_cycle, row_number() OVER (PARTITION BY asset_id ORDER BY model_cycle) AS step, "
+    "sum(w)::DOUBLE AS own_rows, "
+    + ", ".join(f"sum(w * {f}) AS t_{f}" for f in FEATURES)
     + " FROM mix_rows JOIN scaled USING (asset_id, us) GROUP BY asset_id, model_cycle",
 )
+# A model is its own mix and every earlier one, halved (by the memory) at each step between.
+KEPT = f"pow({P.adaptation_memory}, a.step - b.step)"
+define(
+    "mix_mean",
+    f"SELECT a.asset_id, a.model_cycle, any_value(a.step) AS step, any_value(a.own_rows) AS own_rows, "
+    f"sum(b.own_rows * {KEPT}) AS fitted_rows, "
+    + ", ".join(f"sum(b.t_{f} * {KEPT}) / sum(b.own_rows * {KEPT}) AS m_{f}" for f in FEATURES)
+    + " FROM mix_own a JOIN mix_own b ON b.asset_id = a.asset_id AND b.step <= a.step"
+    " GROUP BY a.asset_id, a.model_cycle",
+)
 MEAN_ERROR = (
     "round((" + " + ".join(f"pow(s.{f} - m.m_{f}, 2)" for f in FEATURES) + f") / {len(FEATURES)}, 4) AS row_score"
 )

@@ -12,19 +12,18 @@ from pyspark.sql import functions as F
 SMAPE_EPSILON = 1e-8
 
 
-def fit_components(
-    rows: DataFrame, keys: Sequence[str], features: str, size: int, components: int
-) -> DataFrame:
-    """Mean and leading principal components per key (``mean``, ``components``).
+#: Cells of a model that one group folds over the cycles of its key.
+CELLS_PER_GROUP = 4096
+
+
+def row_moments(rows: DataFrame, keys: Sequence[str], features: str, size: int) -> DataFrame:
+    """(keys, cell, amount): weight, weighted sums and cross products of the rows of every key.
 
-    Each task reduces its rows to sums and cross products per key; only those ``size**2`` numbers
-    are shuffled and summed, and each key's small matrix is then decomposed on its own. A column
-    ``weight`` counts a row several times.
+    Each task reduces its rows to these ``size**2 + size + 1`` numbers per key; only they are shuffled
+    and summed. A column ``weight`` counts a row several times.
     """
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    key_schema = [f"{k} {types[k]}" for k in keys]
-    cells = size * size + size + 1
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
@@ -46,6 +45,53 @@ def fit_components(
         out["cells"] = [v.tolist() for v in sums.values()]
         return out
 
+    parts = rows.select(*keys, features, "weight").mapInPandas(
+        partial, ", ".join([*(f"{k} {types[k]}" for k in keys), "cells array<double>"])
+    )
+    return summed_cells(parts, keys)
+
+
+def summed_cells(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, cell, amount) from arrays of numbers that tasks have summed."""
+    return (
+        parts.select(*keys, F.posexplode("cells").alias("cell", "amount"))
+        .groupBy(*keys, "cell")
+        .agg(F.sum("amount").alias("amount"))
+    )
+
+
+def chained(moments: DataFrame, keys: Sequence[str], step: str, memory: float) -> DataFrame:
+    """Moments of models that each start from the one before: ``own + memory * predecessor``.
+
+    ``step`` orders the models of the other keys. A model forgets earlier rows at the rate
+    ``1 - memory`` a step; moments add up, so no earlier row is read again. Groups hold a block of cells of one key.
+    """
+    keys = list(keys)
+    others = [k for k in keys if k != step]
+    types = {f.name: f.dataType.simpleString() for f in moments.schema}
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        steps, row = np.unique(pdf[step].to_numpy(), return_inverse=True)
+        cells, column = np.unique(pdf["cell"].to_numpy(), return_inverse=True)
+        table = np.zeros((len(steps), len(cells)))
+        table[row, column] = pdf["amount"].to_numpy()
+        for i in range(1, len(steps)):
+            table[i] += memory * table[i - 1]
+        out = {k: pdf[k].iloc[0] for k in others}
+        out |= {step: np.repeat(steps, len(cells)), "cell": np.tile(cells, len(steps)), "amount": table.ravel()}
+        return pd.DataFrame(out)[[*keys, "cell", "amount"]]
+
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["cell int", "amount double"])
+    block = F.floor(F.col("cell") / CELLS_PER_GROUP)
+    return moments.withColumn("_block", block).groupBy(*others, "_block").applyInPandas(fold, schema)
+
+
+def decomposed(moments: DataFrame, keys: Sequence[str], size: int, components: int) -> DataFrame:
+    """Weight, mean and leading principal components of every key's small matrix."""
+    keys = list(keys)
+    types = {f.name: f.dataType.simpleString() for f in moments.schema}
+    cells = size * size + size + 1
+
     def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(cells)
         total[pdf["cell"].to_numpy()] = pdf["amount"].to_numpy()
@@ -61,22 +107,20 @@ def fit_components(
             out | {"fitted_rows": [float(n)], "mean": [mean.tolist()], "components": [top.tolist()]}
         )
 
-    parts = rows.select(*keys, features, "weight").mapInPandas(
-        partial, ", ".join([*key_schema, "cells array<double>"])
-    )
-    summed = (
-        parts.select(*keys, F.posexplode("cells").alias("cell", "amount"))
-        .groupBy(*keys, "cell")
-        .agg(F.sum("amount").alias("amount"))
-    )
-    return summed.groupBy(*keys).applyInPandas(
+    schema = [f"{k} {types[k]}" for k in keys]
+    return moments.groupBy(*keys).applyInPandas(
         decompose,
-        ", ".join(
-            [*key_schema, "fitted_rows double", "mean array<double>", "components array<array<double>>"]
-        ),
+        ", ".join([*schema, "fitted_rows double", "mean array<double>", "components array<array<double>>"]),
     )
 
 
+def fit_components(
+    rows: DataFrame, keys: Sequence[str], features: str, size: int, components: int
+) -> DataFrame:
+    """Mean and leading principal components per key (``mean``, ``components``)."""
+    return decomposed(row_moments(rows, keys, features, size), keys, size, components)
+
+
 def reconstruct(features: Column, mean: Column, components: Column) -> Column:
     """Projection of a row on the fitted components, as an array."""
     centred = F.zip_with(features, mean, lambda x, m: x - m)

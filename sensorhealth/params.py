@@ -53,6 +53,8 @@ class StudyParams:
     tree_rows: int = 256
     seed: int = 42
     components: int = 3
+    # Weight of the predecessor's training moments in an adapted model; 0 forgets it.
+    adaptation_memory: float = 0.5
     # Rows one time slice of one asset should hold; see operators/slices.py.
     slice_rows: int = 1_000_000
     slice_us: int | None = None

@@ -17,6 +17,7 @@ from ..operators.lineage import (
     PER_MAINTENANCE,
     STATIC,
     baseline_windows,
+    is_even_pick,
     model_lineage,
     picks_before,
     replay_windows,
@@ -25,14 +26,17 @@ from ..operators.lineage import (
     training_mix,
 )
 from ..operators.reconstruction import (
-    fit_components,
+    chained,
+    decomposed,
     mean_smape,
     reconstruct,
     row_errors,
+    row_moments,
     squared_error,
     windows_holding,
 )
 from ..operators.runs import label_runs, mean_over_sequence
+from ..operators.sequences import score_windows, window_moments
 from ..session import materialize
 from .study import LABELS, Study
 
@@ -258,26 +262,44 @@ class Detectors:
             return initial
         return initial.unionByName(self.mixed_rows)
 
-    @cached_property
-    def mixed_rows(self) -> DataFrame:
-        """Rows of the training windows of every refit, once per refit, with their window counts.
-
-        The windows that hold a row end at it or up to one window length later in its run, so how
-        many of them a refit uses is a difference of ranks: no window is joined to its rows.
-        """
+    @property
+    def baseline_runs(self) -> tuple[DataFrame, DataFrame]:
+        """Runs of baseline training rows with the windows before them, and each asset's refits."""
         length = self.params.sequence_length
-        known = self.rows.filter("features IS NOT NULL")
-        baseline = known.filter("baseline_train")
+        baseline = self.rows.filter("baseline_train AND features IS NOT NULL")
         by_asset = Window.partitionBy("asset_id").orderBy("base_run")
         runs = baseline.groupBy("asset_id", "base_run").agg(F.count(F.lit(1)).alias("_n"))
         windows = F.greatest(F.lit(0), F.col("_n") - (length - 1))
         before = F.sum(windows).over(by_asset.rowsBetween(Window.unboundedPreceding, -1))
-        runs = runs.select("asset_id", "base_run", "_n", F.coalesce(before, F.lit(0)).alias("_before"))
         wanted = self.policy.filter("baseline_replay_windows > 0").groupBy("asset_id").agg(
             F.collect_list(
                 F.struct("cycle_id", "baseline_total_windows", "baseline_replay_windows")
             ).alias("_refits")
         )
+        return runs.select("asset_id", "base_run", "_n", F.coalesce(before, F.lit(0)).alias("_before")), wanted
+
+    @property
+    def local_pieces(self) -> DataFrame:
+        """Runs of update rows with the rows before their first window and their training windows."""
+        return self.split.select(
+            "asset_id",
+            F.col("cycle_id").alias("update_cycle"),
+            F.col("run_us").alias("upd_run"),
+            (F.col("row_count") - F.col("windows")).alias("_skipped"),
+            "train_windows",
+        )
+
+    @cached_property
+    def mixed_rows(self) -> DataFrame:
+        """Rows of the training windows of every refit, once per refit, with their window counts.
+
+        The windows that hold a row end at it or up to one window length later in its run, so how
+        many of them a refit uses is a difference of ranks: no window is joined to its rows.
+        """
+        length = self.params.sequence_length
+        known = self.rows.filter("features IS NOT NULL")
+        baseline = known.filter("baseline_train")
+        runs, wanted = self.baseline_runs
         position = F.col("base_pos")
         first = F.col("_before") + F.greatest(position, F.lit(length)) - length
         last = F.col("_before") + F.least(position + (length - 1), F.col("_n")) - length
@@ -299,20 +321,13 @@ class Detectors:
             )
             .select("asset_id", F.col("_r.cycle_id").alias("model_cycle"), "features", "_r.weight")
         )
-        pieces = self.split.select(
-            "asset_id",
-            F.col("cycle_id").alias("update_cycle"),
-            F.col("run_us").alias("upd_run"),
-            (F.col("row_count") - F.col("windows")).alias("_skipped"),
-            "train_windows",
-        )
         end = F.col("_skipped") + F.col("train_windows")
         held = F.least(end, F.col("upd_pos") + (length - 1)) - F.greatest(
             F.col("_skipped"), F.col("upd_pos") - 1
         )
         local = (
             known.filter("update_cycle IS NOT NULL")
-            .join(pieces, ["asset_id", "update_cycle", "upd_run"])
+            .join(self.local_pieces, ["asset_id", "update_cycle", "upd_run"])
             .select("asset_id", F.col("update_cycle").alias("model_cycle"), "features", held.alias("weight"))
         )
         return (
@@ -321,16 +336,100 @@ class Detectors:
             .withColumn("weight", F.col("weight").cast("bigint"))
         )
 
+    def adapted(self, moments: DataFrame, strategy: str) -> DataFrame:
+        """Moments of adaptive models, each of which starts from the model refitted before it."""
+        if strategy == STATIC:
+            return moments
+        return chained(moments, MODEL, "model_cycle", self.params.adaptation_memory)
+
     def components(self, strategy: str) -> DataFrame:
-        return materialize(
-            fit_components(
-                self.component_training(strategy),
-                MODEL,
-                "features",
-                len(self.study.features_list),
-                self.params.components,
-            ),
-            "components",
+        size = len(self.study.features_list)
+        moments = row_moments(self.component_training(strategy), MODEL, "features", size)
+        fitted = decomposed(self.adapted(moments, strategy), MODEL, size, self.params.components)
+        return materialize(fitted, "components")
+
+    # Linear reconstruction of whole windows --------------------------------------------------------
+
+    def sequence_moments(self, strategy: str) -> DataFrame:
+        """Moments of the training windows of every model, before any adaptation.
+
+        Baseline windows train model 0 and the refits that replay them, local windows their refit.
+        """
+        length = self.params.sequence_length
+        known = self.rows.filter("features IS NOT NULL")
+        baseline = known.filter("baseline_train")
+        zero = F.array(F.lit(0))
+        if strategy == STATIC:
+            listed = baseline.withColumn("model_cycles", zero)
+        else:
+            runs, wanted = self.baseline_runs
+            number = F.col("_before") + F.col("base_pos") - length
+            picks = F.filter(
+                "_refits",
+                lambda r: is_even_pick(number, r["baseline_total_windows"], r["baseline_replay_windows"]),
+            )
+            replayed = F.coalesce(F.concat(zero, F.transform(picks, lambda r: r["cycle_id"])), zero)
+            listed = (
+                baseline.join(runs, ["asset_id", "base_run"])
+                .join(wanted, "asset_id", "left")
+                .withColumn("model_cycles", replayed)
+            )
+        of = lambda rows, run, position: window_moments(
+            rows, ["asset_id"], run, position, "features", "model_cycles", "model_cycle", length
+        )
+        moments = of(listed, "base_run", "base_pos")
+        if strategy == STATIC:
+            return moments
+        place = F.col("upd_pos") - F.col("_skipped")
+        trains = (place >= 1) & (place <= F.col("train_windows"))
+        local = (
+            known.filter("update_cycle IS NOT NULL")
+            .join(self.local_pieces, ["asset_id", "update_cycle", "upd_run"])
+            .withColumn("model_cycles", F.when(trains, F.array("update_cycle")))
+        )
+        both = moments.unionByName(of(local, "upd_run", "upd_pos"))
+        return both.groupBy(*MODEL, "cell").agg(F.sum("amount").alias("amount"))
+
+    def sequence_components(self, strategy: str) -> DataFrame:
+        size = len(self.study.features_list) * self.params.sequence_length
+        moments = self.adapted(self.sequence_moments(strategy), strategy)
+        return materialize(decomposed(moments, MODEL, size, self.params.components), "sequence-components")
+
+    def sequence_errors(
+        self, rows: DataFrame, run: str, position: str, models: DataFrame, *others: str
+    ) -> DataFrame:
+        """Error of the window at every row under each of its ``model_cycles``."""
+        return score_windows(
+            rows,
+            models,
+            ["asset_id"],
+            "us",
+            run,
+            position,
+            "features",
+            "model_cycles",
+            "model_cycle",
+            self.params.sequence_length,
+            self.study.group_us,
+            others,
+        )
+
+    def sequence_scores(self, workflow: str, strategy: str) -> tuple[DataFrame, DataFrame]:
+        """Scores of windows as ordered sequences at every anchor."""
+        lineage = self.lineage(workflow, strategy)
+        models = self.sequence_components(strategy)
+        model = F.col("effective_model_cycle")
+        used = lineage.groupBy("asset_id").agg(F.collect_set(model).alias("_used"))
+        by_cycle = lineage.select("asset_id", "cycle_id", F.array(model).alias("_used"))
+        listed = lambda flag: F.when(F.col(flag), F.col("_used"))
+        baseline = self.rows.filter("baseline").join(used, "asset_id").withColumn("model_cycles", listed("calibration"))
+        source = self.rows.filter("src_run IS NOT NULL").join(by_cycle, ["asset_id", "cycle_id"])
+        source = source.withColumn("model_cycles", listed("evaluation"))
+        name = F.lit(workflow).alias("workflow_id")
+        extra = ("cycle_id", "phase")
+        return (
+            self.sequence_errors(baseline, "base_run", "base_pos", models).select(name, *COLUMNS[1:]),
+            self.sequence_errors(source, "src_run", "src_pos", models, *extra).select(name, *COLUMNS[1:], *extra),
         )
 
     def reconstruction_rows(self, rows: DataFrame, models: DataFrame) -> DataFrame:
@@ -427,6 +526,8 @@ STRATEGIES = {
     "iforest_per_maintenance": PER_MAINTENANCE,
     "linear_static": STATIC,
     "linear_per_maintenance": PER_MAINTENANCE,
+    "sequence_static": STATIC,
+    "sequence_per_maintenance": PER_MAINTENANCE,
 }
 
 
@@ -435,4 +536,6 @@ def workflow_scores(detectors: Detectors, workflow: str) -> tuple[DataFrame, Dat
     strategy = STRATEGIES[workflow]
     if workflow.startswith("iforest"):
         return detectors.forest_scores(workflow, strategy)
+    if workflow.startswith("sequence"):
+        return detectors.sequence_scores(workflow, strategy)
     return detectors.component_scores(workflow, strategy)
