@@ -2,10 +2,11 @@
 
 *Write*: Arrow batches become records, one gzip member each, in files that roll at a size. The
 member's extra field ``sl`` holds its compressed and plain length, as the format's annex allows, so
-a reader can step over it. Files count only when the driver has listed them in the manifest, so a
-task that is repeated or lost leaves nothing behind that is read.
+a reader can step over it. Files count only when the driver has listed them in a manifest, so a
+task that is repeated or lost leaves nothing behind that is read. Every write adds a manifest of its own,
+and a reader takes the files of all of them; an overwriting one names the manifests that it replaces.
 
-*Read*: the plan lists the files and deals them out to partitions by size. Record-type and header
+*Read*: the plan lists the files (``.warc.gz`` and uncompressed ``.warc`` where there is no manifest) and deals them out to partitions by size. Record-type and header
 predicates are pushed down; a record's header is decoded first, and the payload of a record that
 the predicates or ``payload=false`` don't want is stepped over without being decoded.
 
@@ -15,7 +16,9 @@ Payloads that are equal (same SHA-1) and at least ``least_bytes`` long are store
 Defined results: null html is an empty payload; null ids are stored without number and come back
 null; rows that repeat the largest id of a group are all responses; a null or odd url is stored
 percent-encoded and comes back as it was (null as null); an empty table gives an archive without
-files, which reads as no rows; other columns are ignored. One record must fit a task's memory.
+files, which reads as no rows, as do empty files; a SHA-1 digest may be written in base 32 or hexadecimal,
+any other reads as null; other columns are ignored. One record must fit a task's memory, and one file is
+read by one task, so large archives should come in several files, as the writer rolls them.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ SCHEMA = (
     "payload_digest string, payload_bytes bigint, payload binary"
 )
 HEADERS = ("warc_type", "record_id", "target_uri", "refers_to", "payload_digest")
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 _SAFE = ":/?&=+,;@!$'()*~[]{}|^<>\"\\`"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -61,13 +64,16 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _member(record: bytes, level: int) -> bytes:
-    """One gzip member with its lengths in the extra field ``sl``."""
+    """One gzip member with its lengths in the extra field ``sl``, where they fit its 32 bits."""
     packer = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = packer.compress(record) + packer.flush()
     total = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, total & 0xFFFFFFFF, len(record) & 0xFFFFFFFF)
+    tail = struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    if max(total, len(record)) > 0xFFFFFFFF:
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + tail
+    extra = b"sl" + struct.pack("<HII", 8, total, len(record))
     head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra
-    return head + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    return head + body + tail
 
 
 def _record(row: dict) -> bytes:
@@ -97,8 +103,20 @@ class Written(WriterCommitMessage):
         self.files = files
 
 
+def _manifests(fs: pafs.FileSystem, root: str) -> dict[str, dict]:
+    """Manifests of a folder that no other replaces, by name."""
+    told = {}
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.startswith(MANIFEST) and f.base_name.endswith(".json"):
+            with fs.open_input_stream(f.path) as stream:
+                told[f.base_name] = json.loads(stream.read())
+    gone = {name for m in told.values() for name in m["replaces"]}
+    return {name: m for name, m in sorted(told.items()) if name not in gone}
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.overwrite = overwrite
         self.path = options["path"].rstrip("/")
         self.level = int(options.get("level", 1))
         self.roll = int(options.get("rollbytes", 64 << 20))
@@ -130,9 +148,15 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        listed = sorted(f for m in messages if m is not None for f in m.files)
-        with fs.open_output_stream(posixpath.join(root, MANIFEST)) as out:
-            out.write(json.dumps(listed).encode())
+        earlier = _manifests(fs, root) if self.overwrite else {}
+        told = {"files": sorted(f for m in messages if m is not None for f in m.files), "replaces": sorted(earlier)}
+        name = f"{MANIFEST}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(posixpath.join(root, name)) as out:
+            out.write(json.dumps(told).encode())
+        fs.move(posixpath.join(root, name), posixpath.join(root, f"{name}.json"))  # whole or not at all
+        for old in (f for m in earlier.values() for f, _ in m["files"]):
+            if fs.get_file_info(path := posixpath.join(root, old)).type == pafs.FileType.File:
+                fs.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = _filesystem(self.path)
@@ -148,6 +172,18 @@ class Share(InputPartition):
         self.names = names
 
 
+def _hex_digest(value: str) -> str | None:
+    """Bare hexadecimal SHA-1 of a digest field in either of its usual spellings, else null."""
+    kind, _, text = value.partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        raw = bytes.fromhex(text) if len(text) == 40 else base64.b32decode(text.upper())
+    except ValueError:
+        return None
+    return raw.hex() if len(raw) == 20 else None
+
+
 def _header(lines: list[str]) -> dict:
     """Columns that come from a record's header, and its block length under ``length``."""
     fields = {}
@@ -155,21 +191,55 @@ def _header(lines: list[str]) -> dict:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
     bare = lambda name: fields[name][1:-1] if name in fields else None
-    digest = fields.get("warc-payload-digest", "")
     uri = fields.get("warc-target-uri")
     return {
         "warc_type": fields.get("warc-type"),
         "record_id": bare("warc-record-id"),
         "target_uri": None if uri is None else unquote(uri),
         "refers_to": bare("warc-refers-to"),
-        "payload_digest": base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None,
+        "payload_digest": _hex_digest(fields.get("warc-payload-digest", "")),
         "length": int(fields.get("content-length", 0)),
     }
 
 
+def _told(row: dict, block: bytes, payload: bool) -> dict:
+    """A kept record's columns from its header and block."""
+    told, _, body = block[: row.pop("length")].partition(b"\r\n\r\n")
+    sizes = [x for x in told.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    row["payload_bytes"] = int(sizes[0].split(b":")[1]) if sizes else len(body)
+    row["payload"] = body if payload and row["warc_type"] == "response" else None
+    return row
+
+
+def _plain_records(source, wanted, payload: bool) -> Iterator[dict]:
+    """Records of an uncompressed archive."""
+    at, size = 0, source.size()
+    while at < size:
+        source.seek(at)
+        head = b""
+        while b"\r\n\r\n" not in head:
+            got = source.read(4096)
+            if not got:
+                if head.strip():
+                    raise ValueError("the archive ends inside a record")
+                return
+            head += got
+        head = head.partition(b"\r\n\r\n")[0]
+        start = at + len(head) + 4
+        row = _header(head.decode("utf-8", "replace").split("\r\n")[1:])
+        at = start + row["length"] + 4
+        if wanted(row):
+            source.seek(start)
+            http = payload or row["warc_type"] != "response"
+            yield _told(row, source.read(row["length"] if http else min(row["length"], 65536)), payload)
+
+
 def records(source, wanted, payload: bool) -> Iterator[dict]:
     """Records of an open archive whose header ``wanted`` accepts; others are stepped over."""
     at, size = 0, source.size()
+    if source.read(5) == b"WARC/":
+        yield from _plain_records(source, wanted, payload)
+        return
     while at < size:
         source.seek(at)
         raw = source.read(16384)
@@ -205,11 +275,7 @@ def records(source, wanted, payload: bool) -> Iterator[dict]:
             while b"\r\n\r\n" not in block and not unpack.eof:
                 block += more(4096)
         if keep:
-            told, _, body = block[: row.pop("length")].partition(b"\r\n\r\n")
-            sizes = [x for x in told.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-            row["payload_bytes"] = int(sizes[0].split(b":")[1]) if sizes else len(body)
-            row["payload"] = body if payload and row["warc_type"] == "response" else None
-            yield row
+            yield _told(row, block, payload)
         at = end
 
 
@@ -241,15 +307,14 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Share]:
         fs, root = _filesystem(self.path)
-        if fs.get_file_info(posixpath.join(root, MANIFEST)).type == pafs.FileType.File:
-            with fs.open_input_stream(posixpath.join(root, MANIFEST)) as f:
-                listed = [(n, s) for n, s in json.loads(f.read())]
+        if told := _manifests(fs, root):
+            listed = [(n, s) for m in told.values() for n, s in m["files"]]
         else:
             found = fs.get_file_info(pafs.FileSelector(root))
-            listed = [(f.base_name, f.size) for f in found if f.base_name.endswith(".warc.gz")]
+            listed = [(f.base_name, f.size) for f in found if f.base_name.endswith((".warc.gz", ".warc"))]
         shares, size = [], self.share
         for name, own in sorted(listed, key=lambda x: (-x[1], x[0])):
-            if size + own > self.share:
+            if not shares or size + own > self.share:
                 shares.append(Share([]))
                 size = 0
             shares[-1].names.append(name)
@@ -287,7 +352,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> SparkSession:
@@ -329,10 +394,10 @@ def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     )
 
 
-def archive(pages: DataFrame, path: str, least_bytes: int = 1000) -> None:
-    """Write an archive of the pages."""
+def archive(pages: DataFrame, path: str, least_bytes: int = 1000, mode: str = "append") -> None:
+    """Write the pages as records, beside those that the path has (``append``) or in their place."""
     register(pages.sparkSession)
-    plan_records(pages, least_bytes).write.format("warc").mode("append").save(path)
+    plan_records(pages, least_bytes).write.format("warc").mode(mode).save(path)
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

@@ -65,3 +65,50 @@ def test_step_over_members_without_lengths(tmp_path):
     with pafs.LocalFileSystem().open_input_file(str(tmp_path / "x.warc.gz")) as f:
         found = list(warc.records(f, lambda r: r["record_id"] == "s", True))
     assert [r["payload"] for r in found] == [b"b"]
+
+
+def test_appends_and_overwrites(spark, tmp_path):
+    pages = lambda *ids: spark.createDataFrame([(i, f"u{i}", f"t{i}", None, None) for i in ids], PAGES)
+    path = f"file://{tmp_path}/grown"
+    told = lambda: sorted(r["page_id"] for r in warc.inventory(spark, path).collect())
+    warc.archive(pages(1), path)
+    warc.archive(pages(2, 3), path)
+    assert told() == [1, 2, 3]
+    warc.archive(pages(4), path, mode="overwrite")
+    assert told() == [4]
+    warc.archive(pages(5), path)
+    assert told() == [4, 5]
+    assert len([f for f in (tmp_path / "grown").iterdir() if f.name.endswith(".warc.gz")]) == 2
+
+
+def test_foreign_archives(spark, tmp_path):
+    import gzip
+
+    row = {"warc_type": "response", "record_id": "r", "target_uri": "u", "refers_to": None, "payload_digest": "ab" * 20}
+    one = warc._record(row | {"payload": b"x" * 9000 + b"\r\n\r\n", "payload_bytes": None})
+    digest = one[one.index(b"sha1:") : one.index(b"sha1:") + 37]
+    hexed, odd = one.replace(digest, b"SHA1:" + b"AB" * 20), one.replace(digest, b"md5:00")
+    folder = tmp_path / "foreign"
+    folder.mkdir()
+    (folder / "a.warc").write_bytes(one + hexed)
+    (folder / "b.warc.gz").write_bytes(gzip.compress(odd))
+    (folder / "c.warc.gz").write_bytes(b"")
+    (folder / "d.warc").write_bytes(b"")
+    got = [(r["payload_digest"], len(r["payload"])) for r in warc.read(spark, f"file://{folder}").collect()]
+    assert sorted(got, key=str) == sorted([("ab" * 20, 9004), ("ab" * 20, 9004), (None, 9004)], key=str)
+    sizes = warc.read(spark, f"file://{folder}", payload=False).select("payload_bytes", "payload").distinct().collect()
+    assert [tuple(r) for r in sizes] == [(9004, None)]
+    for name in ("a.warc", "b.warc.gz"):
+        (folder / name).unlink()
+    assert warc.read(spark, f"file://{folder}").collect() == []
+
+
+def test_lengths_beyond_32_bits_are_left_out(monkeypatch):
+    import zlib
+
+    class Huge(bytes):
+        def __len__(self):
+            return 1 << 32
+
+    member = warc._member(Huge(b"abc"), 1)
+    assert member[3] == 0 and zlib.decompressobj(-15).decompress(member[10:]) == b"abc"
