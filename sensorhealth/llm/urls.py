@@ -1,11 +1,11 @@
 """URL filters: host and path rules, and trust spread over the host graph for all other hosts.
 
-Rules name a host (with its subdomains) and a path prefix; the longest that fits decides. A host
-most of whose pages an allow rule covers is a trusted seed, one most of whose pages a block rule
-covers a blocked seed. Two personalised PageRanks run over the host edges in one job per step:
+Rules name a host (with its subdomains) and a path prefix; the longest that fits decides. A host is a
+trusted seed by the share of its pages that allow rules cover, and a blocked seed by the share that block
+rules cover: both are masses, so a host may be either in part. Two personalised PageRanks run over the host edges in one job per step:
 trust flows from the trusted seeds along links, distrust from the blocked seeds against them (who
 links to a blocked host is suspect). A page without a rule is blocked if its host's distrust exceeds
-``ratio`` times its trust, and allowed otherwise.
+``ratio`` times its trust (by more than rounding of sums), and allowed otherwise.
 
 Host edges are absolute links (href, src, action), attribution lines naming another host, and links
 between a host and its parent domain where both have pages; they are counted per pair of hosts
@@ -47,6 +47,9 @@ RULES = (
     UrlRule("com", "/de/", "block"),
 )
 
+#: Sums of the same masses in another order differ by less than this share of them.
+ROUNDING = 1e-12
+
 LINK = (
     r"(?:href|src|action)=[\"'](?:https?:)?//([^/?#\"'\s<>]+)"
     r"|&copy;\s*((?:[a-z0-9-]+\.)+[a-z]{2,24})"
@@ -105,8 +108,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def seeds(ruled: DataFrame, share: float) -> DataFrame:
-    """(kind, host, mass): hosts most of whose pages rules allow (trust) or block (distrust)."""
+def seeds(ruled: DataFrame) -> DataFrame:
+    """(kind, host, mass): the shares of a host's pages that rules allow (trust) and block (distrust)."""
     by_host = (
         ruled.filter("host != ''")
         .groupBy("host")
@@ -127,7 +130,7 @@ def seeds(ruled: DataFrame, share: float) -> DataFrame:
             )
         ).alias("_s"),
     ).select("_s.kind", "host", "_s.mass")
-    return long.filter(F.col("mass") >= share)
+    return long.filter("mass > 0")
 
 
 def spread(edges: DataFrame, starts: DataFrame, damping: float, steps: int, per_table: int = 5) -> DataFrame:
@@ -148,9 +151,7 @@ def spread(edges: DataFrame, starts: DataFrame, damping: float, steps: int, per_
         moved = score.join(moves, (score["kind"] == moves["_kind"]) & (score["host"] == moves["_from"])).select(
             "kind", F.col("_to").alias("host"), (F.col("score") * F.col("_share") * damping).alias("score")
         )
-        score = (
-            restart.unionAll(moved).groupBy("kind", "host").agg(F.round(F.sum("score"), 12).alias("score"))
-        )
+        score = restart.unionAll(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if step % per_table == 0 or step == steps:
             score = settle(score, "host_scores")
             if written is not None:
@@ -163,7 +164,8 @@ def spread(edges: DataFrame, starts: DataFrame, damping: float, steps: int, per_
 def host_verdicts(scores: DataFrame, ratio: float) -> DataFrame:
     """(host, trust, distrust, verdict) of the hosts that any mass reached."""
     of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k)
-    judged = F.when(F.col("distrust") > F.col("trust") * ratio, "block").otherwise("allow")
+    ahead = F.col("distrust") - F.col("trust") * ratio
+    judged = F.when(ahead > ROUNDING * (F.col("distrust") + F.col("trust")), "block").otherwise("allow")
     return scores.groupBy("host").agg(of("trust"), of("distrust")).withColumn("verdict", judged)
 
 
@@ -172,12 +174,11 @@ def judge(
     rules: tuple[UrlRule, ...] = RULES,
     damping: float = 0.85,
     steps: int = 15,
-    seed_share: float = 0.5,
     ratio: float = 1.0,
 ) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     ruled = parsed(pages, rules)
-    starts = settle(seeds(ruled, seed_share), "host_seeds")
+    starts = settle(seeds(ruled), "host_seeds")
     edges = settle(host_edges(pages), "host_edges")
     hosts = host_verdicts(spread(edges, starts, damping, steps), ratio).select(
         F.col("host").alias("_host"), "trust", "distrust", F.col("verdict").alias("_verdict")
@@ -192,9 +193,8 @@ def judge(
 
 
 def judge_sql(
-    rules: tuple[UrlRule, ...] = RULES, damping: float = 0.85, steps: int = 15,
-    seed_share: float = 0.5, ratio: float = 1.0,
-) -> str:
+    rules: tuple[UrlRule, ...] = RULES, damping: float = 0.85, steps: int = 15, ratio: float = 1.0
+) -> str:
     """DuckDB SQL for ``judge`` over the table ``pages``, one pair of CTEs for each step."""
     by_length = sorted(rules, key=lambda r: (len(r.text), r.text), reverse=True)
 
@@ -213,7 +213,7 @@ def judge_sql(
 
     def step(i: int) -> str:
         return (
-            f"s{i} AS (SELECT kind, host, round(sum(score), 12) AS score FROM (SELECT * FROM restart UNION ALL "
+            f"s{i} AS (SELECT kind, host, sum(score) AS score FROM (SELECT * FROM restart UNION ALL "
             f"SELECT s.kind, m.dst, s.score * m.share * {damping} FROM s{i - 1} s JOIN moves m "
             f"ON s.kind = m.kind AND s.host = m.src) GROUP BY kind, host)"
         )
@@ -240,12 +240,13 @@ moves AS (SELECT 'trust' AS kind, src, dst, w / sum(w) OVER (PARTITION BY src) A
     UNION ALL SELECT 'distrust', dst, src, w / sum(w) OVER (PARTITION BY dst) FROM edges),
 shares AS (SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') / count(*) AS trust,
     count(*) FILTER (ruled = 'block') / count(*) AS distrust FROM ruled WHERE host <> '' GROUP BY host),
-restart AS (SELECT 'trust' AS kind, host, trust * {1 - damping} AS score FROM shares WHERE trust >= {seed_share}
-    UNION ALL SELECT 'distrust', host, distrust * {1 - damping} FROM shares WHERE distrust >= {seed_share}),
+restart AS (SELECT 'trust' AS kind, host, trust * {1 - damping} AS score FROM shares WHERE trust > 0
+    UNION ALL SELECT 'distrust', host, distrust * {1 - damping} FROM shares WHERE distrust > 0),
 s0 AS (SELECT * FROM restart),
 {steps_sql},
-judged AS (SELECT host, CASE WHEN sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END)
-    > sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END) * {ratio} THEN 'block' ELSE 'allow' END AS verdict
-    FROM s{steps} GROUP BY host)
+mass AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END) AS trust,
+    sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) AS distrust FROM s{steps} GROUP BY host),
+judged AS (SELECT host, CASE WHEN distrust - trust * {ratio} > {ROUNDING} * (distrust + trust)
+    THEN 'block' ELSE 'allow' END AS verdict FROM mass)
 SELECT page_id, host, path, rule, coalesce(ruled, verdict, 'allow') AS verdict
 FROM ruled LEFT JOIN judged USING (host)"""

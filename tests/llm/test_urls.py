@@ -67,3 +67,19 @@ def test_distrust_runs_against_links_and_trust_along_them(spark):
 def test_repeated_rows_each_get_a_verdict(spark):
     rows = [page(1, "http://x.com/fr/")] * 3
     assert urls.judge(spark.createDataFrame(rows, PAGES)).count() == 3
+
+
+def test_hosts_of_mixed_shares_are_judged_by_mass(spark):
+    rules = (urls.UrlRule("net", "/good/", "allow"), urls.UrlRule("net", "/bad/", "block"))
+    rows = [page(i, f"http://{host}.net/{path}") for i, (host, path) in enumerate(
+        [("a", "good/"), ("a", "bad/"), ("a", "bad/"), ("a", "x"), ("b", "good/"), ("b", "bad/"), ("b", "x"),
+         ("c", "good/"), ("c", "good/"), ("c", "bad/"), ("c", "x"), ("d", "bad/"), *[("d", "x")] * 9, ("e", "x")]
+    )]
+    rows.append(page(50, "http://f.net/x", "http://d.net/"))
+    got = judged(spark, rows, rules=rules)
+    told = {}
+    for r in got.values():
+        if r["rule"] is None:
+            told.setdefault(r["host"][0], set()).add(r["verdict"])
+    assert told == {"a": {"block"}, "b": {"allow"}, "c": {"allow"}, "d": {"block"}, "e": {"allow"}, "f": {"block"}}
+    assert abs(got[0]["distrust"] - 0.5 * 0.15) < 1e-12 and abs(got[0]["trust"] - 0.25 * 0.15) < 1e-12
