@@ -8,12 +8,14 @@ that hold ``recall`` of the sample's own neighbours, which lie further off than
 
 Within a list, columns are read block by block; a candidate whose partial distance already exceeds
 what the running k-th best distance allows (a hypothesis test at ``confidence`` deviations) is abandoned.
-The k-th best of the sample bounds the distance from the start. Survivors are ranked by their exact
-inner products on the original vectors in double precision.
+Sample rows in the probed lists bound the distance from the start, by a rank of ``spare * k``, so that a
+wrongly abandoned one leaves enough others. Every result comes out of the scan. Survivors are ranked by
+their exact inner products on the original vectors in double precision.
 
 Lists and their queries are dealt into blocks of bounded rows, so a list that holds a third of all
 rows is many groups. The best k of each block are merged per query. Broadcast are the centroids, the
-sample and a table with one row for each list (``most_lists`` at most).
+sample and a table with one row for each list (``most_lists`` at most; with more rows lists grow, and are
+more blocks each).
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part; ties go to the smaller id; rows that repeat an id and a score count once,
@@ -41,15 +43,16 @@ from .tables import settle
 @dataclass(frozen=True)
 class Settings:
     k: int = 20
-    recall: float = 0.97
+    recall: float = 0.95
     sample_rows: int = 20_000
     bound_rows: int = 8000  # of the sample, for the first bound of a query
+    spare: int = 2
     batch_rows: int = 250  # queries that meet the sample at once
-    list_rows: int = 2048
+    list_rows: int = 512
     most_lists: int = 2048
     column_block: int = 16
     confidence: float = 2.1
-    block_rows: int = 2048
+    block_rows: int = 4096
     chunk_rows: int = 1024
     sparse: float = 0.05  # share of candidates alive below which they are read one by one
     seed: int = 7
@@ -84,6 +87,7 @@ class Geometry:
     sample_ids: np.ndarray
     sample: np.ndarray
     probes: int
+    sample_lists: np.ndarray | None = None
 
     def extended(self, rows: np.ndarray, query: bool = False) -> np.ndarray:
         """Rows scaled to at most unit length with the component that makes candidates unit long."""
@@ -121,7 +125,9 @@ def fit(vectors: DataFrame, size: int, settings: Settings) -> Geometry:
     share = min(1.0, settings.sample_rows / max(1, n))
     drawn = F.pmod(F.xxhash64("vec_id", F.lit(settings.seed)), F.lit(10**12))
     drawn_rows = vectors.filter(drawn < share * 10**12).select("vec_id", "embedding")
-    found = drawn_rows.limit(2 * settings.sample_rows).toArrow().combine_chunks().sort_by("vec_id")
+    # ids that repeat are drawn together: of a sample that came out too large the least by hash stay
+    small = drawn_rows.orderBy(drawn, "vec_id", "embedding").limit(2 * settings.sample_rows)
+    found = small.toArrow().combine_chunks().sort_by("vec_id")
     ids = np.asarray(found.column("vec_id"))
     rows = stacked(found.column("embedding").combine_chunks(), size) if len(ids) else np.zeros((0, size))
     rng = np.random.default_rng(settings.seed)
@@ -132,7 +138,8 @@ def fit(vectors: DataFrame, size: int, settings: Settings) -> Geometry:
         return plain
     lists = max(1, min(settings.most_lists, round(n / settings.list_rows), len(ids) // 8))
     fitted = replace(plain, centroids=centroids_of(plain.extended(rows), lists, settings.seed))
-    return replace(fitted, probes=probes_needed(fitted, ids, rows, settings))
+    own = fitted.nearest_lists(fitted.extended(fitted.sample), 1)[:, 0]
+    return replace(fitted, probes=probes_needed(fitted, ids, rows, settings), sample_lists=own)
 
 
 def probes_needed(geometry: Geometry, ids: np.ndarray, rows: np.ndarray, settings: Settings, asked: int = 300) -> int:
@@ -157,7 +164,7 @@ def placed(
     vectors: DataFrame, geometry: Geometry, size: int, settings: Settings, query: bool
 ) -> DataFrame:
     """Rows with their list; queries once for each list that they probe, with their first bound."""
-    k, batch_rows = settings.k, settings.batch_rows
+    rank, batch_rows = settings.spare * settings.k, settings.batch_rows
     shared = vectors.sparkSession.sparkContext.broadcast(geometry)
     probes = geometry.probes if query else 1
 
@@ -168,7 +175,9 @@ def placed(
                 part = batch.slice(at, batch_rows)
                 rows = stacked(part.column(1), size)
                 lists = own.nearest_lists(own.extended(rows, query), probes)
-                least = first_bounds(own, np.asarray(part.column(0)), rows, k) if query else np.zeros(len(rows))
+                least = np.zeros(len(rows))
+                if query:
+                    least = first_bounds(own, np.asarray(part.column(0)), rows, lists, rank)
                 out = part.take(pa.array(np.repeat(np.arange(len(rows)), lists.shape[1])))
                 yield pa.RecordBatch.from_arrays(
                     [out.column(0), out.column(1), pa.array(lists.ravel().astype(np.int32)),
@@ -181,40 +190,21 @@ def placed(
     )
 
 
-def sample_scores(geometry: Geometry, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Scores of queries (rows) against the shared sample; -inf for a query's own id."""
-    scores = rows @ geometry.sample.T
-    scores[ids[:, None] == geometry.sample_ids[None, :]] = -np.inf
-    return scores
+def first_bounds(
+    geometry: Geometry, ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, rank: int
+) -> np.ndarray:
+    """The ``rank``-th best score of queries within the sample rows of the lists they probe.
 
-
-def first_bounds(geometry: Geometry, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """The k-th best score within the sample: the k-th best of all rows is no less."""
-    if len(geometry.sample_ids) <= k:
+    So many rows that score no less are there to be found, whatever else the lists hold.
+    """
+    if len(geometry.sample_ids) <= rank:
         return np.full(len(rows), -np.inf)
-    return -np.partition(-sample_scores(geometry, ids, rows), k - 1, axis=1)[:, k - 1]
-
-
-def sample_best(queries: DataFrame, geometry: Geometry, size: int, settings: Settings) -> DataFrame:
-    """The k best of the shared sample per query: what sets the first bound is found itself."""
-    k, batch_rows = settings.k, settings.batch_rows
-    shared = queries.sparkSession.sparkContext.broadcast(geometry)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, batch_rows):
-                part = batch.slice(at, batch_rows)
-                ids, rows = np.asarray(part.column(0)), stacked(part.column(1), size)
-                found = Best.of(len(rows), k)
-                least = first_bounds(own, ids, rows, k)
-                i, j = np.nonzero(sample_scores(own, ids, rows) >= least[:, None] - 1e-12)
-                keep = ids[i] != own.sample_ids[j]
-                i, j = i[keep], j[keep]
-                found.add(i, (rows[i] * own.sample[j]).sum(axis=1), own.sample_ids[j])
-                yield found.batch(ids)
-
-    return queries.select("vec_id", "embedding").mapInArrow(run, FOUND)
+    probed = np.zeros((len(rows), len(geometry.centroids)), bool)
+    np.put_along_axis(probed, lists, True, 1)
+    scores = rows @ geometry.sample.T
+    scores[~probed[:, geometry.sample_lists]] = -np.inf
+    scores[ids[:, None] == geometry.sample_ids[None, :]] = -np.inf
+    return -np.partition(-scores, rank - 1, axis=1)[:, rank - 1]
 
 
 FOUND = "query_id bigint, vec_id bigint, score double"
@@ -341,8 +331,7 @@ def nearest(vectors: DataFrame, is_query: Column, settings: Settings = Settings(
     best = candidates.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInPandas(meet, FOUND)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = (
-        best.unionAll(sample_best(asked, geometry, size, settings))
-        .distinct()
+        best.distinct()
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= settings.k)
     )
