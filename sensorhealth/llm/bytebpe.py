@@ -1,10 +1,9 @@
 """Byte-level BPE from a tokenizer file: splitting into pieces, merging a piece, decoding ids.
 
-A text is split where the file's pattern must have a boundary in any context: before a space that
-follows a character other than white space. What stands between two such places (a *unit*) is encoded
-once and looked up from then on, so most of a text costs one dictionary access per unit. Texts with
-white space before a space, or with special tokens, are merged whole. The lookup table is cleared at a
-size, which changes speed only.
+A text is split where the file's pattern must have a boundary in any context: before white space that
+follows a character other than white space, and around special tokens. What stands between two such
+places (a *unit*) is encoded once and looked up from then on, so most of a text costs one dictionary
+access per unit. The lookup tables are cleared at a size, which changes speed only.
 """
 
 from __future__ import annotations
@@ -23,7 +22,9 @@ import pyarrow.compute as pc
 #: The file's pattern (public, fixed): contractions, letters, numbers, other signs, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WIDE = re.compile(r"\s ")
-#: Longer texts, and characters from here on (whose classes differ between Unicode versions), are left
+#: Where every text may be cut: ASCII white space after anything but white space.
+_CUT = re.compile(r"(?<=\S)(?=[\t-\r ])")
+#: Longer units, and characters from here on (whose classes differ between Unicode versions), are left
 #: to the library itself.
 _LONG, _LATER = 500_000, re.compile("[^\x00-\u052f]")
 #: Units that can't be merged in one go with others: no space first, other white space, later characters.
@@ -130,7 +131,25 @@ class Encoder:
     ):
         self.vocab, self.most = vocab, most
         self.resolve = resolve or vocab.merge_units
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by unit without its one space before it
+        self.units: dict[str, bytes] = {}  # by whole unit
+
+    def _cut(self, text: str) -> list[str | bytes]:
+        """Units of a text with other white space or special tokens; a special token is its id's bytes."""
+        special, at, out = self.vocab.special, 0, []
+        for m in special.finditer(text) if special else ():
+            out += [u for u in _CUT.split(text[at : m.start()]) if u]
+            out.append(array("i", [self.vocab.specials[m.group()]]).tobytes())
+            at = m.end()
+        return out + [u for u in _CUT.split(text[at:]) if u]
+
+    def _uncommon(self, texts: list[str]) -> Iterator[bytes]:
+        cut = [self._cut(t) for t in texts]
+        if len(self.units) > self.most:
+            self.units.clear()
+        new = list({u for c in cut for u in c if isinstance(u, str) and u not in self.units})
+        self.units.update(zip(new, self.resolve(new), strict=True))
+        return iter([b"".join([u if isinstance(u, bytes) else self.units[u] for u in c]) for c in cut])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -147,12 +166,9 @@ class Encoder:
         new = [u for u in units if u not in known]
         known.update(zip(new, self.resolve([" " + u for u in new]), strict=True))
         heads = self.resolve([s[0] for s in split if s is not None])
-        first = iter(heads)
+        first, others = iter(heads), self._uncommon([t for t, s in zip(texts, split, strict=True) if s is None])
         return [
-            self.vocab.encode(t)
-            if s is None
-            else b"".join([next(first), *map(known.__getitem__, s[1:])])
-            for t, s in zip(texts, split, strict=True)
+            next(others) if s is None else b"".join([next(first), *map(known.__getitem__, s[1:])]) for s in split
         ]
 
 

@@ -184,17 +184,27 @@ def word_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, size: int = LEXICON_WORDS) -> list[str]:
-    """At most ``size`` words: all with at least the lowest count that fits that many."""
-    counts = settle(word_counts(docs).filter(F.length("word") <= LONGEST), "word_counts")
-    histogram = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("words"))
-    room, least = size, None
-    for n, words in sorted(((r["n"], r["words"]) for r in histogram.collect()), reverse=True):
+    """The ``size`` words of the largest counts; of equally frequent ones those that sort first.
+
+    A histogram over levels of counts (a few hundred, whatever the counts) tells which levels are taken
+    whole; only words of the one level that is taken in part are ordered.
+    """
+    level = F.floor(F.log2("n") * 8).cast("int").alias("level")
+    counts = settle(word_counts(docs).filter(F.length("word") <= LONGEST).select("*", level), "word_counts")
+    histogram = counts.groupBy("level").agg(F.count(F.lit(1)).alias("words")).collect()
+    room, whole, part = size, [], None
+    for at, words in sorted(((r["level"], r["words"]) for r in histogram), reverse=True):
         if words > room:
+            part = at
             break
-        room, least = room - words, n
-    chosen = [] if least is None else [r["word"] for r in counts.filter(F.col("n") >= least).select("word").collect()]
+        room -= words
+        whole.append(at)
+    chosen = counts.filter(F.col("level").isin(whole)) if whole else counts.limit(0)
+    if part is not None and room:
+        chosen = chosen.unionAll(counts.filter(F.col("level") == part).orderBy(F.desc("n"), "word").limit(room))
+    words = [r["word"] for r in chosen.select("word").collect()]
     discard(counts)
-    return chosen
+    return words
 
 
 def compile_lexicon(words: list[str], vocab: bytebpe.Vocabulary, path: str) -> None:

@@ -36,6 +36,28 @@ def test_encoder_equals_the_library(texts):
     assert [vocab.decode(w).decode() for w in want] == texts
 
 
+def test_every_text_goes_through_the_units():
+    vocab, met = bytebpe.vocabulary(PATH), []
+
+    def resolve(units):
+        met.extend(units)
+        return vocab.merge_units(units)
+
+    texts = ["a  b\n\n  c<|endoftext|> d\t\te <|endoftext|><|endoftext|>", " x" * 300_000 + "  y", "\n", " \t ", "中文  中文\u3000 中"]
+    got = bytebpe.Encoder(vocab, resolve).encode(texts)
+    want = [vocab.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<i4").tolist() for b in got] == want
+    assert max(map(len, met)) < 12 and {"  b", "\n\n  c", "\t\te", " d", "  y", " x"} <= set(met)
+
+
+def test_the_most_frequent_words_are_chosen(spark, docs):
+    rows = [(i, " ".join(f"w{k:02}" for k in range(40) for _ in range(60 if k < 12 else 1 + k % 4))) for i in range(3)]
+    counts = {f"w{k:02}": 3 * (60 if k < 12 else 1 + k % 4) for k in range(40)}
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    for size in (0, 5, 12, 17, 40, 100):
+        assert sorted(lexicon.frequent_words(docs(rows), size)) == sorted(ranked[:size])
+
+
 def test_classes_of_all_characters():
     vocab = bytebpe.vocabulary(PATH)
     rows = [f"a{c}b {c}{c} 1{c} .{c}'s {c}  {c} x" for c in map(chr, range(0, 0x30000, 3)) if not "\ud800" <= c <= "\udfff"]
