@@ -37,6 +37,8 @@ from . import bytebpe
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 3000
+#: A model holds a number for each bucket and language; more languages than this are an error.
+MOST_LANGUAGES = 2000
 #: Cost of a switch between languages, in units of the words' log odds.
 PENALTY = 24.0
 #: Log odds a letter, against evenly frequent trigrams, from which a word is evidence for a language.
@@ -113,15 +115,17 @@ class Model:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from (doc_id, lang, text) rows; about ``per_language`` of each language."""
     labelled = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = tuple(sorted(counts))
+    counts = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    languages = tuple(sorted(r["_lang"] for r in counts.limit(MOST_LANGUAGES + 1).collect()))
     if not languages:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
-    share = F.create_map(
-        *(x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, per_language / counts[lang]))))
-    )
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: is the language column free text?")
+    shares = counts.select("_lang", F.least(F.lit(1.0), F.lit(per_language) / F.col("_n")).alias("_share"))
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("fit")), F.lit(10**12))
-    sample = labelled.filter(drawn < share[F.col("lang")] * 10**12).select("lang", "text")
+    chances = F.broadcast(shares)  # a row for each language, MOST_LANGUAGES at most
+    met = labelled.join(chances, labelled["lang"] == chances["_lang"])
+    sample = met.filter(drawn < F.col("_share") * 10**12).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
