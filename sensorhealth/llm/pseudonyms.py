@@ -13,6 +13,9 @@ result has the format of the original (separators, digit count, a valid check di
   1800, permuted over 189 x 773 = 146,097 days
 * email: an address has no bounded domain, so its local part becomes a keyed digest; the domain stays
 
+The key is a secret that the caller gives: whoever knows it can undo the permutations. IBANs and national
+numbers with check digits of their own are not recognised.
+
 What fails validation is left as it is. Only built-in expressions run; there is no shuffle.
 
 Defined results: null text stays null, empty text stays empty; texts of any length are scanned whole;
@@ -21,13 +24,15 @@ repeated rows give equal results; other columns are untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import let
 
 ROUNDS = 8
-KEY = "pseudonyms-1"
+KEY_SETTING = "spark.sensorhealth.pseudonyms.key"
 
 EMAIL = r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
 IP = r"\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
@@ -200,7 +205,7 @@ def replacement(found: Column, key: str) -> Column:
     return let(kind_of(found), of)
 
 
-def scan(text: Column, key: str = KEY) -> Column:
+def scan(text: Column, key: str) -> Column:
     """(text, counts by kind) of a text with its personal data replaced, as one struct."""
     none = F.struct(text.alias("text"), *(F.lit(0).cast("bigint").alias(f"n_{k}") for k in KINDS))
 
@@ -220,12 +225,24 @@ def scan(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike("[0-9@]"), let(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), of)).otherwise(none)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+_KEYS: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that ``spark.sensorhealth.pseudonyms.key`` names, else a random one for this application.
+
+    Name one where pseudonyms of several applications have to agree.
+    """
+    named = spark.conf.get(KEY_SETTING, None)
+    return named or _KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """One row per document: text with pseudonyms, and how many of each kind were replaced."""
     return docs.select("doc_id", scan(F.col("text"), key).alias("_s")).select("doc_id", "_s.*")
 
 
-def protect(docs: DataFrame, key: str = KEY) -> DataFrame:
+def protect(docs: DataFrame, key: str) -> DataFrame:
     """The documents with their columns, texts pseudonymised."""
     return docs.select(
         *(scan(F.col("text"), key)["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns)

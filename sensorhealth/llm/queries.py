@@ -147,7 +147,7 @@ def _op6(spark: SparkSession, directory: str) -> DataFrame:
 
 @query("op7_pseudonyms")
 def _op7(spark: SparkSession, directory: str) -> DataFrame:
-    return pseudonyms.pseudonymise(table(spark, directory, "documents"))
+    return pseudonyms.pseudonymise(table(spark, directory, "documents"), pseudonyms.session_key(spark))
 
 
 @query("op8_language_id")

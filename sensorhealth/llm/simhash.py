@@ -276,7 +276,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node that links reach, by alternating star contraction.
 
     A round points every node at the smallest node it knows, first the larger neighbours and then
-    the smaller ones, until no link changes; paths halve, so rounds grow with their logarithm.
+    the smaller ones, until no link changes; paths halve, so rounds grow with their logarithm and
+    ``most_rounds`` of them, beyond which this raises, are enough for 2 ** 60 nodes.
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
         e.select(F.col("b").alias("u"), F.col("a").alias("v"))
@@ -337,29 +338,3 @@ def near_duplicates(
 
 def hex_print(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component stays, that of the smallest id, with its columns as they are.
-
-    Rows that repeat an id are one document, of which the least row stays; rows without an id stay.
-    """
-    firsts = settle(
-        near_duplicates(docs, **options)
-        .filter("doc_id = component_id")
-        .groupBy(F.col("doc_id").alias("_kept"))
-        .agg(F.count(F.lit(1)).alias("_rows")),
-        "fingerprint_firsts",
-    )
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    rows = docs.select(F.col("doc_id").alias("_id"), row)
-
-    def of(kept: DataFrame) -> DataFrame:
-        # ids grow with the documents: both sides are dealt by id at every size, none is broadcast
-        return rows.join(kept.hint("merge"), F.col("_id") == F.col("_kept"), "left_semi")
-
-    once = of(firsts.filter("_rows = 1")).select("_row")
-    if not firsts.filter("_rows > 1").isEmpty():
-        again = of(firsts.filter("_rows > 1")).groupBy("_id").agg(F.min("_row").alias("_row"))
-        once = once.unionAll(again.select("_row"))
-    return once.unionAll(rows.filter("_id is null").select("_row")).select("_row.*")

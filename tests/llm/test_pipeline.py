@@ -5,8 +5,8 @@ from sensorhealth.llm.tables import settle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .test_copies import brute
 from .test_quality import plain
-from .test_simhash import classes, slow_print
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -20,15 +20,13 @@ def test_stages_against_brute_force(spark):
         frames.append(docs)
     rows = [{r["doc_id"]: r["text"] for r in f.collect()} for f in frames]
     model = language.fit(frames[0].filter(~language.held_out(F.col("doc_id"))))
-    told = {r["doc_id"]: r for r in language.label(frames[0], model).collect()}
-    assert set(rows[1]) == {i for i, r in told.items() if r["lang_pred"] != "und" and r["score"] >= 0.25}
+    ids = sorted(rows[0])
+    told = dict(zip(ids, language.Labeller(model, language.PENALTY).label([rows[0][i] or "" for i in ids])))
+    assert set(rows[1]) == {i for i, r in told.items() if r["lang_pred"] != "und" and r["known"] >= 0.25}
     assert set(rows[2]) == {i for i, t in rows[1].items() if plain(t)["kept"]}
     ids = sorted(rows[2])
-    group = dict(zip(ids, classes([slow_print(rows[2][i]) for i in ids])))
-    firsts = {}
-    for i in ids:
-        firsts.setdefault(group[i], i)
-    assert set(rows[3]) == set(firsts.values())
+    group = brute([rows[2][i].encode().lower() for i in ids])
+    assert set(rows[3]) == {ids[k] for k in group}
     assert set(rows[4]) == set(rows[3]) and rows[4] != rows[3]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
     tokens = Tokenizer.from_file(tokenizer_path())

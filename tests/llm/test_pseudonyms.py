@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from sensorhealth.llm import pseudonyms as p
 
+KEY = "a test's key"
+
 
 def digest(key, tag, *parts):
     return int(hashlib.sha256("|".join([key, tag, *map(str, parts)]).encode()).hexdigest()[:15], 16)
 
 
-def permuted(value, a, b, tag, key=p.KEY):
+def permuted(value, a, b, tag, key=KEY):
     left, right = divmod(value, b)
     for i in range(p.ROUNDS):
         if i % 2 == 0:
@@ -35,7 +37,7 @@ def luhn(text):
 
 
 def swapped(spark, docs, texts):
-    rows = p.pseudonymise(docs(list(enumerate(texts)))).collect()
+    rows = p.pseudonymise(docs(list(enumerate(texts))), KEY).collect()
     return [r for _, r in sorted((r["doc_id"], r) for r in rows)]
 
 
@@ -85,13 +87,25 @@ def test_phones_of_one_digit_areas_and_many_groups(spark, docs):
 def test_odd_rows_and_columns(spark, docs, odd_rows):
     rows = [*odd_rows, (30, "1.2.3.4 " * 3000), (31, "a@b " + "1" * 50000), (32, "@" * 20000 + "+")]
     table = docs(rows)
-    out = p.protect(table)
+    out = p.protect(table, KEY)
     assert out.columns == table.columns
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     changed = {i for i, t in rows if got[i] != t}
     assert changed == {30} and len(set(got[30].split())) == 1
-    assert p.pseudonymise(docs([])).collect() == []
+    assert p.pseudonymise(docs([]), KEY).collect() == []
 
 
 def test_no_python_in_the_plan(docs, odd_rows):
-    assert "Python" not in p.protect(docs(odd_rows))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in p.protect(docs(odd_rows), KEY)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_key_is_the_sessions(spark, docs):
+    own = p.session_key(spark)
+    assert len(own) == 64 and p.session_key(spark) == own
+    spark.conf.set(p.KEY_SETTING, "named")
+    try:
+        assert p.session_key(spark) == "named"
+    finally:
+        spark.conf.unset(p.KEY_SETTING)
+    texts = [p.pseudonymise(docs([(1, "ip 97.51.17.173")]), k).first()["text"] for k in ("a", "b", "a")]
+    assert texts[0] == texts[2] != texts[1]
