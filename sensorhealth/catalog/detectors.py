@@ -111,7 +111,7 @@ def _reloaded(p, forest):
 
 def _calibration_scores(p, forest):
     calibration, _ = p.detectors.model_rows(p.detectors.lineage("iforest_static", STATIC), ["features"])
-    return p.detectors.forest_anchor_scores(calibration, forest)
+    return p.detectors.forest_anchor_scores(calibration.filter("features IS NOT NULL"), forest)
 
 
 @query(

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -18,6 +18,10 @@ EULER = 0.5772156649015329
 MIN_ROWS = 2
 HASH_SPAN = float(1 << 62)
 TREES_PER_GROUP = 10
+#: Rows a tree draws before ranking, as a multiple of the rows it keeps.
+DRAWN = 3.0
+#: Share of drawn cells from which testing each cell costs no more than leaping.
+DENSE = 0.05
 ROWS_PER_BLOCK = 4096
 
 
@@ -55,7 +59,8 @@ def sample_trees(
 ) -> DataFrame:
     """Rows of every tree, drawn without replacement by hash rank from all rows of its model.
 
-    Each row draws its trees by hash before it is multiplied, so only drawn rows are copied: a tree
+    A row's chances are one sequence of cells, one for each of its models and trees. It leaps from one
+    drawn cell to the next by hashed gaps, so most rows cost a single hash and are never copied: a tree
     keeps about three times its rows before ranking, or all rows of a smaller set. With ``many``,
     that key is a list column (``<many>s``) of the models that share the row.
     """
@@ -64,35 +69,74 @@ def sample_trees(
     label = many or "_one"
     models = sizes if many else sizes.withColumn(label, F.lit(0))
     listed = models.groupBy(*own).agg(
-        F.collect_list(F.struct(F.col(label).alias("model"), F.col("_size").alias("size"))).alias("_models")
+        F.array_sort(
+            F.collect_list(F.struct(F.col(label).alias("model"), F.col("_size").alias("size")))
+        ).alias("_models")
+    )
+    joined = rows.join(listed, own)
+    if many:
+        members = _members(many)
+        mine = F.filter("_models", lambda m: F.array_contains(members, m["model"]))
+        whole = F.size(members) == F.size("_models")
+        joined = joined.withColumn("_models", F.when(whole, F.col("_models")).otherwise(mine))
+
+    def chance(size: Column) -> Column:
+        """Share of a model's rows that each of its trees draws before ranking."""
+        return F.least(F.lit(1.0), F.lit(DRAWN * tree_rows) / size)
+
+    smallest = F.array_min(F.transform("_models", lambda m: m["size"]))
+    placed = joined.withColumn("_share", chance(smallest)).withColumn("_cells", F.size("_models") * trees)
+
+    def uniform(*parts: Column) -> Column:
+        """A number between 0 and 1 that only the row and the parts decide."""
+        bits = F.xxhash64(*own, row_id, *parts, F.lit(seed)).bitwiseAND((1 << 62) - 1)
+        return (bits + F.lit(0.5)) / F.lit(HASH_SPAN)
+
+    def gap(i: Column) -> Column:
+        return F.floor(F.log(uniform(i)) / F.log1p(-F.col("_share")))
+
+    def leap(state: Column, i: Column) -> Column:
+        to = state["at"] + 1 + gap(i)
+        on = F.struct(to.alias("at"), F.concat(state["cells"], F.array(to)).alias("cells"))
+        return F.when(state["at"] >= F.col("_cells"), state).otherwise(on)
+
+    expected = F.col("_share") * F.col("_cells")
+    most = F.ceil(expected + 10 * F.sqrt(expected) + 20)  # leaps that suffice but once in 10 ** 20
+    first = gap(F.lit(0).cast("bigint"))
+    walked = F.aggregate(
+        F.sequence(F.lit(1).cast("bigint"), most),
+        F.struct(first.alias("at"), F.array(first).alias("cells")),
+        leap,
+        lambda s: F.filter(s["cells"], lambda c: c < F.col("_cells")),
+    )
+    every = F.sequence(F.lit(0).cast("bigint"), (F.col("_cells") - 1).cast("bigint"))
+    tested = F.filter(every, lambda c: uniform(c) < F.col("_share"))
+    none = F.expr("cast(array() as array<bigint>)")
+    chosen = (
+        F.when(F.col("_share") >= DENSE, tested)
+        .when(first >= F.col("_cells"), none)
+        .otherwise(walked)
     )
 
-    def rank(model, tree):
-        return F.xxhash64(*own, model, row_id, tree, F.lit(seed)).bitwiseAND((1 << 62) - 1)
-
-    def drawn(model):
-        share = F.least(F.lit(1.0), F.lit(3.0 * tree_rows) / model["size"])
-        chosen = F.filter(
-            F.sequence(F.lit(0), F.lit(trees - 1)),
-            lambda t: rank(model["model"], t) < F.lit(HASH_SPAN) * share,
-        )
-        return F.transform(
-            chosen,
-            lambda t: F.struct(
-                model["model"].alias(label),
-                model["size"].alias("_size"),
-                t.alias("tree"),
-                rank(model["model"], t).alias("_rank"),
+    def drawn(cell: Column) -> Column:
+        model = F.get("_models", F.floor(cell / trees).cast("int"))
+        tree = F.pmod(cell, F.lit(trees)).cast("int")
+        rank = F.xxhash64(*own, model["model"], row_id, tree, F.lit(seed)).bitwiseAND((1 << 62) - 1)
+        # models with more rows than the smallest one keep fewer of the cells
+        kept = uniform(cell, F.lit("kept")) * F.col("_share") < chance(model["size"])
+        return F.when(
+            kept,
+            F.struct(
+                model["model"].alias(label), model["size"].alias("_size"), tree.alias("tree"), rank.alias("_rank")
             ),
         )
 
-    joined = rows.join(listed, own)
-    models_of = F.col("_models")
-    if many:
-        models_of = F.filter("_models", lambda m: F.array_contains(_members(many), m["model"]))
-    draws = joined.select(*own, row_id, *_features(rows, keys, row_id, many), F.explode(
-        F.flatten(F.transform(models_of, drawn))
-    ).alias("_d"))
+    draws = placed.select(
+        *own,
+        row_id,
+        *_features(rows, keys, row_id, many),
+        F.explode(F.array_compact(F.transform(chosen, drawn))).alias("_d"),
+    )
     return draws.select("*", "_d.*").drop("_d", *(() if many else (label,)))
 
 
@@ -184,19 +228,7 @@ def fit_forest(
         + ["tree int", "sample int", "feature array<int>", "cut array<double>"]
         + ["depth array<double>"]
     )
-    return (
-        spread_work(sampled, *keys, "_block").groupBy(*keys, "_block").applyInPandas(grow, schema)
-    )
-
-
-def spread_work(df: DataFrame, *columns: str) -> DataFrame:
-    """Keep all cores busy where the rows are few but the work per row is heavy.
-
-    The partitions are at least those that the session plans for its shuffles.
-    """
-    spark = df.sparkSession
-    planned = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(planned, 2 * spark.sparkContext.defaultParallelism), *columns)
+    return sampled.groupBy(*keys, "_block").applyInPandas(grow, schema)
 
 
 def _mean_depth(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: np.ndarray):
@@ -227,17 +259,19 @@ def score_forest(
     width: int,
     output: str = "anomaly_score",
     many: str | None = None,
+    others: Sequence[str] = (),
 ) -> DataFrame:
     """Higher is more anomalous: ``2^(-E[depth]/c(sample)) - 0.5``.
 
     Rows meet their forests in groups of one key and one time slice, so a group is bounded, and
     with ``many`` (rows list the models that score them as ``<many>s``) a row is there once for all
-    of its models. A slice gets the forests that its rows ask for.
+    of its models. A slice gets the forests that its rows ask for. Every row is returned, with its
+    columns ``others``, once for each of its models; without features or forest its score is null.
     """
     keys = list(keys)
     own_keys = [k for k in keys if k != many]
     held = [*own_keys, *([_members(many)] if many else [])]
-    sliced = rows.select(*held, us, features).withColumn("_slice", floor_div(F.col(us), width))
+    sliced = rows.select(*held, us, features, *others).withColumn("_slice", floor_div(F.col(us), width))
     asked = sliced.select(
         *own_keys, "_slice", *([F.explode(_members(many)).alias(many)] if many else [])
     ).distinct()
@@ -253,30 +287,32 @@ def score_forest(
         "depth",
     )
     types = {f.name: f.dataType.simpleString() for f in (*rows.schema, *forest.schema)}
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{us} bigint", f"{output} double"])
-    names = [*keys, us, output]
-
-    def of_model(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(left[features].to_numpy()).astype(float)
-        nodes = [np.stack(right[c].to_numpy()) for c in ("feature", "cut", "depth")]
-        scale = float(expected_depth(float(right["sample"].iloc[0])))
-        return left.assign(**{output: 2.0 ** (-_mean_depth(x, *nodes) / scale) - 0.5})
+    names = [*keys, us, *others, output]
+    schema = ", ".join([f"{c} {types[c]}" for c in names[:-1]] + [f"{output} double"])
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
+        if left.empty:
             return pd.DataFrame(columns=names)
-        if many is None:
-            return of_model(left, right)[names]
-        out = []
-        for model, trees in right.groupby(many):
-            chosen = left[[model in listed for listed in left[_members(many)]]]
-            if len(chosen):
-                out.append(of_model(chosen.assign(**{many: model}), trees)[names])
-        return pd.concat(out) if out else pd.DataFrame(columns=names)
-
-    return (
-        spread_work(sliced, *group)
-        .groupBy(*group)
-        .cogroup(spread_work(models, *renamed).groupBy(*renamed))
-        .applyInPandas(score, schema)
-    )
+        at, asked_for = np.arange(len(left)), np.zeros(len(left), np.int64)
+        if many:
+            lists = left[_members(many)].to_numpy()
+            at = np.repeat(at, [len(x) for x in lists])
+            asked_for = np.concatenate([np.zeros(0, np.int64), *lists])
+        known = left[features].notna().to_numpy()
+        place = np.cumsum(known) - 1
+        found = np.full(len(at), np.nan)
+        if known.any():
+            x = np.stack(left[features].to_numpy()[known]).astype(float)
+            for model, trees in right.groupby(many) if many else [(0, right)] if len(right) else ():
+                chosen = np.flatnonzero((asked_for == model) & known[at])
+                nodes = [np.stack(trees[c].to_numpy()) for c in ("feature", "cut", "depth")]
+                scale = float(expected_depth(float(trees["sample"].iloc[0])))
+                depth = _mean_depth(x[place[at[chosen]]], *nodes)
+                found[chosen] = 2.0 ** (-depth / scale) - 0.5
+        out = left[[*own_keys, us, *others]].iloc[at].reset_index(drop=True)
+        if many:
+            out[many] = asked_for
+        out[output] = pd.Series(found, dtype=object).where(~np.isnan(found), None)
+        return out[names]
+
+    return sliced.groupBy(*group).cogroup(models.groupBy(*renamed)).applyInPandas(score, schema)

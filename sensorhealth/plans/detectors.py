@@ -33,6 +33,7 @@ from ..operators.reconstruction import (
     row_errors,
     row_moments,
     squared_error,
+    summed_smape,
     windows_holding,
 )
 from ..operators.runs import label_runs, mean_over_sequence
@@ -229,16 +230,15 @@ class Detectors:
         name = F.lit(workflow).alias("workflow_id")
 
         def score(anchors: DataFrame, *more: str) -> DataFrame:
-            scored = self.forest_anchor_scores(anchors, forest)
-            listed = anchors.select("asset_id", F.explode("model_cycles").alias("model_cycle"), "us", *more)
-            return listed.join(scored, [*MODEL, "us"], "left").select(name, *COLUMNS[1:], *more)
+            return self.forest_anchor_scores(anchors, forest, *more).select(name, *COLUMNS[1:], *more)
 
         return score(calibration), score(evaluation, "cycle_id", "phase")
 
-    def forest_anchor_scores(self, anchors: DataFrame, forest: DataFrame) -> DataFrame:
-        known = anchors.filter("features IS NOT NULL")
+    def forest_anchor_scores(self, anchors: DataFrame, forest: DataFrame, *more: str) -> DataFrame:
+        """Scores of anchors under each of their models, null without a feature vector."""
+        width = self.study.group_us
         return score_forest(
-            known, forest, MODEL, "us", "features", self.study.group_us, many="model_cycle"
+            anchors, forest, MODEL, "us", "features", width, many="model_cycle", others=more
         )
 
     # Linear reconstruction ------------------------------------------------------------------------
@@ -444,20 +444,29 @@ class Detectors:
             "_fit", "mean", "components", "features"
         )
 
-    def errors_under_all(self, rows: DataFrame, used: DataFrame, models: DataFrame) -> DataFrame:
-        """``row_mse`` of rows under every model that their asset uses.
+    def errors_under_all(
+        self, rows: DataFrame, models: DataFrame, names: tuple[str, ...] = ("model_cycle",)
+    ) -> DataFrame:
+        """``row_mse`` and ``row_smape`` of rows under every model of their asset.
 
-        An asset's models are one row, so its rows meet them all at once and are copied afterwards,
-        without their features.
+        An asset's models (told apart by ``names``) are one row, so its rows meet them all at once and
+        are copied afterwards, without their features.
         """
-        fitted = used.join(models.select(*MODEL, "mean", "components"), MODEL, "left")
-        listed = fitted.groupBy("asset_id").agg(
-            F.collect_list(F.struct("model_cycle", "mean", "components")).alias("_models")
+        listed = models.groupBy("asset_id").agg(
+            F.collect_list(F.struct(*names, "mean", "components")).alias("_models")
         )
 
         def error(m):
-            rebuilt = reconstruct(F.col("features"), m["mean"], m["components"])
-            return F.struct(m["model_cycle"], squared_error(rebuilt, F.col("features")).alias("row_mse"))
+            own = F.col("features")
+            rebuilt = reconstruct(own, m["mean"], m["components"])
+            return F.transform(
+                F.array(rebuilt),
+                lambda r: F.struct(
+                    *[m[n].alias(n) for n in names],
+                    squared_error(r, own).alias("row_mse"),
+                    summed_smape(r, own).alias("row_smape"),
+                ),
+            )[0]
 
         return (
             rows.join(listed, "asset_id")
@@ -486,7 +495,10 @@ class Detectors:
             "asset_id", *labels, "src_run", "src_pos", "cycle_id", "evaluation"
         )
         return (
-            self.errors_under_all(baseline, models.select(*MODEL).distinct(), fitted),
+            self.errors_under_all(
+                baseline,
+                models.select(*MODEL).distinct().join(fitted.select(*MODEL, "mean", "components"), MODEL, "left"),
+            ),
             self.reconstruction_rows(source.join(models, ["asset_id", "cycle_id"]), fitted),
         )
 
