@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import clip_unit, is_finite
 from ..params import StudyParams
+from ..session import materialize
 from .slices import running_totals
 
 OBJECTIVES = ("obj_error", "obj_pdm", "obj_alarm_burden")
@@ -90,52 +94,79 @@ def valid_candidates(candidates: DataFrame, penalty: float) -> DataFrame:
 
 
 def _undominated(points: np.ndarray) -> np.ndarray:
-    """Mask of points no other point dominates (all columns minimised).
+    """Mask of points no other point dominates (three columns, all minimised), in n log n.
 
-    Points are visited in ascending order, so whatever dominates a point has been visited before
-    it, and comparing with the front so far is enough. Equal points keep each other.
+    Points are visited in ascending order, so whatever dominates a point has been visited before it and
+    only has to be no larger in the last two columns. A Fenwick tree over the ranks of the second keeps
+    the least third column so far. Equal points keep each other.
     """
     keep = np.zeros(len(points), dtype=bool)
-    front = np.empty((0, points.shape[1]))
-    for i in np.lexsort(points.T[::-1]):
-        p = points[i]
-        beaten = (front <= p).all(axis=1) & (front < p).any(axis=1)
-        if not beaten.any():
-            keep[i] = True
-            front = np.vstack([front, p])
+    values, ranks = np.unique(points[:, 1], return_inverse=True)
+    least = [np.inf] * (len(values) + 1)
+    order = np.lexsort(points.T[::-1])
+    last, kept = None, False
+    for i, point, rank in zip(order.tolist(), points[order].tolist(), (ranks[order] + 1).tolist(), strict=True):
+        if point != last:
+            last, z, at = point, point[2], rank
+            while at and least[at] > z:
+                at &= at - 1
+            kept = not at
+            if kept:
+                while rank < len(least):
+                    if z < least[rank]:
+                        least[rank] = z
+                    rank += rank & -rank
+        keep[i] = kept
     return keep
 
 
-def pareto_front(
-    candidates: DataFrame, keys: Sequence[str], rounds: Sequence[int] = (64, 8)
-) -> DataFrame:
+def pareto_front(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Candidates that no other candidate of their study (``keys``) dominates.
 
-    Distinct objective points are thinned in parallel, each round on fewer partitions and on the
-    survivors of the one before; the last round meets the survivors of one study. A point is
-    dropped only when a dominating point of its study exists, so every round is exact. No pair of
-    candidates is ever emitted.
+    Distinct points are dealt into ranges of the first objective and thinned there, then the rest into
+    ranges of the second; ties are broken by the other objectives, so no value is too frequent to be
+    cut. What could still dominate a point lies in an earlier range of both: it does if the least third
+    objective of those ranges, a small grid for each study, is no larger. No task holds a whole front,
+    and no pair of candidates is ever emitted.
     """
     keys, names = list(keys), list(OBJECTIVES)
     points = candidates.select(
         *keys, *[F.col(c).cast("double").alias(c) for c in names]
     ).distinct()
 
-    def thin(group: pd.DataFrame) -> pd.DataFrame:
-        return group[_undominated(group[names].to_numpy(dtype=float))]
-
-    def thin_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict = {}
-        for batch in batches:
-            for key, group in batch.groupby(keys, sort=False, dropna=False):
-                pool = pd.concat([kept[key], group]) if key in kept else group
-                kept[key] = thin(pool)
-        yield from kept.values()
-
-    for parts in rounds:
-        points = points.repartition(parts, *keys, *names).mapInPandas(thin_batches, points.schema)
-    points = points.groupBy(*keys).applyInPandas(thin, points.schema)
-    return candidates.join(points, [*keys, *names], "left_semi")
+    def thinned(df: DataFrame, order: list[str], place: str) -> DataFrame:
+        schema = T.StructType([*df.schema.fields, T.StructField(place, T.IntegerType())])
+
+        def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            number = TaskContext.get().partitionId()
+            rows = [b for b in batches if len(b)]
+            for _, group in pd.concat(rows).groupby(keys, sort=False, dropna=False) if rows else ():
+                found = group[_undominated(group[names].to_numpy(dtype=float))]
+                yield found.assign(**{place: number})
+
+        return df.repartitionByRange(*keys, *order).mapInPandas(thin, schema)
+
+    first = materialize(thinned(points, names, "_i"), "front-first")
+    both = materialize(thinned(first, [*names[1:], names[0]], "_j"), "front-second")
+    cells = both.groupBy(*keys, "_i", "_j").agg(F.min(names[2]).alias("_least"))
+    types = {f.name: f.dataType.simpleString() for f in cells.schema}
+
+    def before(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The least value of strictly earlier ranges of both kinds, for every cell in use."""
+        i, row = np.unique(pdf["_i"].to_numpy(), return_inverse=True)
+        j, column = np.unique(pdf["_j"].to_numpy(), return_inverse=True)
+        grid = np.full((len(i) + 1, len(j) + 1), np.inf)
+        grid[row + 1, column + 1] = pdf["_least"].to_numpy()
+        grid = np.minimum.accumulate(np.minimum.accumulate(grid, axis=0), axis=1)
+        return pdf.assign(_least=grid[row, column])
+
+    limits = cells.groupBy(*keys).applyInPandas(before, ", ".join(f"{c} {types[c]}" for c in cells.columns))
+    renamed = limits.select(*[F.col(c).alias(f"_l{c}") for c in limits.columns])
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_l{c}")) for c in (*keys, "_i", "_j")))
+    front = both.join(renamed, same).filter(F.col(names[2]) < F.col("_l_least")).select(*points.columns)
+    return candidates.join(front, [*keys, *names], "left_semi")
 
 
 def winner(
