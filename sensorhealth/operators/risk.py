@@ -48,12 +48,21 @@ def segmented_risk(
     series = [*keys, "risk_run"]
     hit = (F.col(risk) >= params.exceedance_quantile).cast("bigint")
     reach = params.risk_window_minutes * MINUTE_US
-    chosen = labelled.filter(F.col("risk_run").isNotNull())
-    enter = chosen.select(*series, F.col(us).alias("_at"), F.lit(1).alias("_n"), hit.alias("_x"))
-    leave = chosen.select(
-        *series, (F.col(us) + reach).alias("_at"), F.lit(-1).alias("_n"), (-hit).alias("_x")
+    others = [c for c in rows.columns if c not in (*keys, us)]
+    row = F.struct(*others)
+
+    def mark(at: Column, n: int, x: Column, kept: Column) -> Column:
+        return F.struct(at.alias("_at"), F.lit(n).alias("_n"), x.alias("_x"), kept.alias("_row"))
+
+    # The entering mark carries its row, so that no row is fetched again by its result.
+    none = F.lit(None).cast(labelled.select(row.alias("r")).schema["r"].dataType)
+    at = F.col(us)
+    marks = (
+        labelled.filter(F.col("risk_run").isNotNull())
+        .select(*series, F.explode(F.array(mark(at, 1, hit, row), mark(at + reach, -1, -hit, none))).alias("_m"))
+        .select(*series, "_m.*")
+        .withColumn("_slice", floor_div(F.col("_at"), width))
     )
-    marks = enter.unionByName(leave).withColumn("_slice", floor_div(F.col("_at"), width))
     upto = (
         Window.partitionBy(*series, "_slice")
         .orderBy("_at")
@@ -73,11 +82,13 @@ def segmented_risk(
         "*", F.sum("_n").over(upto).alias("_sn"), F.sum("_x").over(upto).alias("_sx")
     ).filter("_n > 0")
     rolled = sums.join(border, [*series, "_slice"], "left").select(
-        *series,
+        *keys,
         F.col("_at").alias(us),
+        "_row.*",
         ((F.col("_sx") + F.col("_bx")) / (F.col("_sn") + F.col("_bn"))).alias(output),
     )
-    return labelled.join(rolled, [*series, us], "left").drop("risk_run", "risk_pos", "risk_ord")
+    unrisked = labelled.filter(F.col("risk_run").isNull()).withColumn(output, F.lit(None).cast("double"))
+    return rolled.unionByName(unrisked.select(rolled.columns)).select(*rows.columns, output)
 
 
 def event_slots(
