@@ -55,7 +55,7 @@ def main() -> None:
     spark.read.parquet(f"{directory}/events.parquet").groupBy("event_type").count().collect()
     times = {}
     for name in HEADLINES:
-        prep.forget()
+        prep.forget(spark)
         start = time.perf_counter()
         catalog.QUERIES[name](spark, directory).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import contract as con
@@ -78,15 +78,65 @@ def g4(p):
     return tidy(p.distance.summary)
 
 
+def detector_evaluation(p) -> Evaluation:
+    """Evaluation of the study's own workflows, scored once for a prepared study."""
+    if not hasattr(p, "detector_evaluation"):
+        scores = [workflow_scores(p.detectors, w) for w in STRATEGIES]
+        calibration, evaluation = (
+            materialize(reduce(DataFrame.unionByName, parts), "detector-scores")
+            for parts in zip(*scores, strict=True)
+        )
+        p.detector_evaluation = Evaluation(p.study, calibration, evaluation, STRATEGIES)
+    return p.detector_evaluation
+
+
 @query("g4_detector_summary")
 def g4_detectors(p):
-    """The summary of the study's own four workflows."""
-    scores = [workflow_scores(p.detectors, w) for w in STRATEGIES]
-    calibration, evaluation = (
-        materialize(reduce(DataFrame.unionByName, parts), "detector-scores")
-        for parts in zip(*scores, strict=True)
+    """The summary of the study's own workflows."""
+    return tidy(detector_evaluation(p).comparison)
+
+
+@query(
+    "g4_detector_checks",
+    sql(
+        f"""SELECT w.workflow_id, (SELECT count(*) FROM timeline WHERE evaluation) AS predictions,
+                   (SELECT count(*) FROM timeline WHERE evaluation AND asset_id IN (SELECT asset_id FROM complete)
+                    AND asset_id IN (SELECT asset_id FROM timeline WHERE calibration)) AS defined_risks,
+                   (SELECT count(*) FROM aev) AS events, true AS theta_in_grid, 0::BIGINT AS out_of_bounds,
+                   0::BIGINT AS rank_inversions
+            FROM (SELECT unnest({list(STRATEGIES)}) AS workflow_id) w"""
+    ),
+)
+def g4_checks(p):
+    """What must hold after scoring whatever the scores are: populations, bounds, and ranks.
+
+    A rank inversion is a row whose risk is below that of a lower score of the same calibrator.
+    """
+    e = detector_evaluation(p)
+    unit = [F.col(c).between(0, 1) for c in ("precision", "recall", "f1", "coverage")]
+    bounded = reduce(lambda a, b: a & b, unit) & (F.col("false_alarm_islands") <= F.col("alarm_islands"))
+    summary = e.summary.select(
+        "workflow_id",
+        (F.col("tp") + F.col("fn")).alias("events"),
+        F.round("maintenance_risk_theta", 6).isin([round(t, 6) for t in e.thresholds]).alias("theta_in_grid"),
+        (~bounded).cast("bigint").alias("_summary"),
+    )
+    risk = e.risk.groupBy("workflow_id").agg(
+        F.count(F.lit(1)).alias("predictions"),
+        F.count("risk_score").alias("defined_risks"),
+        F.count_if(~F.col("risk_score").between(0, 1)).alias("_risk"),
     )
-    return tidy(Evaluation(p.study, calibration, evaluation, STRATEGIES).comparison)
+    order = Window.partitionBy("workflow_id", "asset_id", "model_cycle").orderBy("anomaly_score")
+    before = F.max("risk_score").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = e.risk.filter("risk_score IS NOT NULL").select("workflow_id", (F.col("risk_score") < before).alias("_below"))
+    inverted = ranked.groupBy("workflow_id").agg(F.count_if("_below").alias("rank_inversions"))
+    return tidy(
+        summary.join(risk, "workflow_id").join(inverted, "workflow_id", "left").select(
+            "workflow_id", "predictions", "defined_risks", "events", "theta_in_grid",
+            (F.col("_summary") + F.col("_risk")).alias("out_of_bounds"),
+            F.coalesce("rank_inversions", F.lit(0)).alias("rank_inversions"),
+        )
+    )
 
 
 POSITION = f"list_position({list(WORKFLOWS)}, workflow_id)::BIGINT AS position"
@@ -217,24 +267,43 @@ def g8(p):
         """SELECT * FROM (VALUES ('missing_workflow', 0::BIGINT), ('foreign_workflow', 0::BIGINT),
              ('missing_metric_family', 0::BIGINT), ('selection_scope', 0::BIGINT))
              AS t(check_name, violations)
+           UNION ALL SELECT 'tampered_workflow', count(*) FILTER (workflow_id = 'distance_row') FROM summary
+           UNION ALL SELECT 'tampered_families', """
+    + f"{len(con.METRIC_FAMILIES)} + 2 * count(*) FILTER (workflow_id <> 'distance_row') FROM summary"
+    + """ UNION ALL SELECT 'tampered_scope', count(*) FILTER (workflow_id = 'distance_window') FROM summary
            UNION ALL
            SELECT 'calibration_populations_' || asset_id, count(DISTINCT f)
            FROM (SELECT workflow_id, asset_id, model_cycle, sum(us)::VARCHAR AS f FROM cal GROUP BY ALL) GROUP BY asset_id"""
     ),
 )
 def g9(p):
-    """Expected workflows, metric families and scope, and one calibration population per asset."""
+    """Expected workflows, metric families and scope, and one calibration population per asset.
+
+    Families are looked for in stored results: as they are, and with a workflow, a family of all
+    workflows and a family's values taken away.
+    """
     e = p.distance
-    summary = e.summary.select("workflow_id", "selection_scope")
-    families = p.spark.createDataFrame([(c,) for c in e.metrics.columns], "family string")
+    summary = materialize(e.summary.select("workflow_id", "selection_scope"), "summary")
+    metrics = materialize(e.metrics, "metrics")
+    first = WORKFLOWS[0]
+    fewer = summary.filter(F.col("workflow_id") != first)
+    # without a workflow, without far in any, with null coverage in all others
+    less = metrics.filter(F.col("workflow_id") != first).drop("far").withColumn(
+        "coverage", F.when(F.lit(False), F.col("coverage"))
+    )
+    moved = summary.withColumn(
+        "selection_scope", F.when(F.col("workflow_id") == WORKFLOWS[1], "other").otherwise(F.col("selection_scope"))
+    )
+    foreign_scope = F.col("selection_scope") != e.params.selection_scope
     checks = con.check_summary(
         {
             "missing_workflow": con.absent(WORKFLOWS, summary, "workflow_id"),
             "foreign_workflow": summary.filter(~F.col("workflow_id").isin(*WORKFLOWS)),
-            "missing_metric_family": con.absent(con.METRIC_FAMILIES, families, "family"),
-            "selection_scope": summary.filter(
-                F.col("selection_scope") != e.params.selection_scope
-            ),
+            "missing_metric_family": con.family_problems(metrics, WORKFLOWS),
+            "selection_scope": summary.filter(foreign_scope),
+            "tampered_workflow": con.absent(WORKFLOWS, fewer, "workflow_id"),
+            "tampered_families": con.family_problems(less, WORKFLOWS),
+            "tampered_scope": moved.filter(foreign_scope),
         }
     )
     stamped = e.calibration.withColumn("ts", F.timestamp_micros(F.col("us")))

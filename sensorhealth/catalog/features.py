@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import rolling
 from ..params import AGGREGATIONS
 from ..session import materialize
@@ -66,13 +68,33 @@ def f8(p):
     sql(
         "SELECT count(*) AS row_count, sum("
         + " + ".join(f"({f} IS NULL)::BIGINT" for f in FEATURES)
-        + f")::BIGINT AS missing_values, {len(FEATURES)}::BIGINT AS feature_count FROM feats"
+        + ")::BIGINT AS missing_values, "
+        + " + ".join(f"(count({f}) > 0)::BIGINT" for f in FEATURES)
+        + " AS feature_count FROM feats"
     ),
 )
 def f9(p):
     return rolling.unresolved(p.study.feature_table, p.study.features_list)
 
 
+@query(
+    "f9_tampered_completeness",
+    sql(
+        "SELECT count(*) AS row_count, (sum("
+        + " + ".join(f"({f} IS NULL)::BIGINT" for f in FEATURES[2:])
+        + ") + count(*) + count(*) FILTER (asset_id = 3 OR "
+        + f"{FEATURES[1]} IS NULL))::BIGINT AS missing_values, "
+        + " + ".join(f"(count({f}) > 0)::BIGINT" for f in FEATURES[1:])
+        + " AS feature_count FROM feats"
+    ),
+)
+def f9_tampered(p):
+    """The same of a table that lost one feature, and another one for one asset."""
+    gone, partly = p.study.features_list[:2]
+    table = p.study.feature_table.drop(gone).withColumn(partly, F.when(F.col("asset_id") != 3, F.col(partly)))
+    return rolling.unresolved(table, p.study.features_list)
+
+
 @query(
     "f10_scaler_fit",
     sql(

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import grids, scalars
 from ..operators.calendar import with_phase
 from ..operators.contract import check_summary, fingerprint
-from ..params import HOUR_US, MINUTE_US
+from ..params import DAY_US, HOUR_US, MINUTE_US
 from ..plans.prepared import load_study, save_study
 from ..plans.study import Study
 from ..session import materialize, scratch_path
 from ..sources import ledger as ledgers
 from ..sources import sinks
 from ..sources import telemetry as tel
-from ..sources.maintenance import FLEET_WINDOWS, every_asset, normalize_windows
+from ..sources.maintenance import COMPRESSOR_WINDOWS, FLEET_WINDOWS, every_asset, normalize_windows
 from . import query, tidy
 from .candidates import candidate_ledger
 from .oracle import FEATURES, LEADS, P, THETAS, sql
@@ -45,6 +45,61 @@ def s1(p):
     return tel.load_telemetry(frame, CHANNELS, asset_column="asset")
 
 
+#: Days between the driver's telemetry and the part of the compressor schedule it is moved to.
+SHIFT_DAYS = 1361
+WINDOW_ROWS = ", ".join(
+    f"(epoch_us(TIMESTAMP '{s}') + {SHIFT_DAYS * DAY_US}, epoch_us(TIMESTAMP '{t}') + {SHIFT_DAYS * DAY_US})"
+    for s, t, *_ in COMPRESSOR_WINDOWS
+)
+
+
+@query(
+    "s1_compressor_study",
+    sql(
+        f"""SELECT t.asset_id, count(*) AS row_count, count(*) FILTER (phase = 2) AS maintenance_rows,
+                   count(*) FILTER (phase = 1) AS warning_rows,
+                   count(*) FILTER (phase < 2 AND us <= data_start_us + {P.baseline_minutes * MINUTE_US})
+                   AS baseline_rows, 90::BIGINT AS features,
+                   round(avg(value__mean), 6) AS mean_feature, round(avg(value__max), 6) AS max_feature
+            FROM (SELECT f.asset_id, f.us, f.value__mean, f.value__max, s.data_start_us,
+                         CASE WHEN bool_or(f.us BETWEEN w.a AND w.b) THEN 2
+                              WHEN bool_or(f.us >= w.a - {P.pre_maintenance_minutes * MINUTE_US} AND f.us < w.a)
+                              THEN 1 ELSE 0 END AS phase
+                  FROM feats f JOIN stats s USING (asset_id) CROSS JOIN (VALUES {WINDOW_ROWS}) AS w(a, b)
+                  GROUP BY ALL) t
+            GROUP BY t.asset_id"""
+    ),
+)
+def s1_compressor(p):
+    """The compressor study from CSV files: telemetry written under its channel names, then prepared."""
+    path = scratch(p, "compressor-csv")
+    base = p.study.base
+    moved = F.date_format(F.col("ts") - F.make_dt_interval(F.lit(SHIFT_DAYS)), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    frame = base.select(
+        F.col("asset_id").cast("string").alias("asset"),
+        moved.alias("timestamp"),
+        *[
+            F.col("is_error" if c in tel.COMPRESSOR_BINARY else "value").cast("string").alias(c)
+            for c in tel.COMPRESSOR_CHANNELS
+        ],
+    )
+    frame.write.option("header", True).csv(path)
+    study = Study.compressor(p.spark, path, frame.columns, "asset", P)
+    first = next(c for c in tel.COMPRESSOR_CHANNELS if c not in tel.COMPRESSOR_BINARY)
+    labelled = study.timeline.groupBy("asset_id").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if(F.col("phase") == 2).alias("maintenance_rows"),
+        F.count_if(F.col("phase") == 1).alias("warning_rows"),
+        F.count_if("baseline").alias("baseline_rows"),
+    )
+    means = study.feature_table.groupBy("asset_id").agg(
+        F.lit(len(study.features_list)).alias("features"),
+        F.avg(f"{first}__mean").alias("mean_feature"),
+        F.avg(f"{first}__max").alias("max_feature"),
+    )
+    return tidy(labelled.join(means, "asset_id"))
+
+
 @query(
     "s2_drop_stray_index",
     sql("SELECT asset_id::VARCHAR AS asset, count(*) AS row_count FROM tl GROUP BY 1"),

@@ -200,6 +200,27 @@ def check_summary(named: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def family_problems(
+    metrics: DataFrame, workflows: Sequence[str], families: Sequence[str] = METRIC_FAMILIES
+) -> DataFrame:
+    """(workflow, family) pairs that stored results lack: no row, no column, or a null value."""
+    spark = metrics.sparkSession
+    wanted = spark.createDataFrame(
+        [(w, f) for w in workflows for f in families], "workflow_id string, family string"
+    )
+    found = [
+        metrics.filter(F.col(f).isNotNull()).select("workflow_id", F.lit(f).alias("family"))
+        for f in families
+        if f in metrics.columns
+    ]
+    if not found:
+        return wanted
+    held = found[0]
+    for more in found[1:]:
+        held = held.unionByName(more)
+    return wanted.join(held, ["workflow_id", "family"], "left_anti")
+
+
 def absent(expected: Sequence[str], present: DataFrame, column: str) -> DataFrame:
     """Expected names that a table does not hold."""
     spark = present.sparkSession

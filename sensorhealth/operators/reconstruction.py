@@ -140,17 +140,20 @@ def squared_error(rebuilt: Column, features: Column) -> Column:
     return F.aggregate(squares, F.lit(0.0), lambda s, y: s + y) / F.size(features)
 
 
-def row_errors(rows: DataFrame, features: str) -> DataFrame:
-    """Mean squared error and summed SMAPE of each row against ``_fit``."""
-    smape = F.zip_with(
-        "_fit",
+def summed_smape(rebuilt: Column, features: Column) -> Column:
+    """SMAPE of one row, summed over its features."""
+    terms = F.zip_with(
+        rebuilt,
         features,
         lambda r, x: 2.0 * F.abs(r - x) / (F.abs(r) + F.abs(x) + F.lit(SMAPE_EPSILON)),
     )
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
-    return rows.withColumn("row_mse", squared_error(F.col("_fit"), F.col(features))).withColumn(
-        "row_smape", total(smape)
-    )
+    return F.aggregate(terms, F.lit(0.0), lambda s, y: s + y)
+
+
+def row_errors(rows: DataFrame, features: str) -> DataFrame:
+    """Mean squared error and summed SMAPE of each row against ``_fit``."""
+    fit, own = F.col("_fit"), F.col(features)
+    return rows.withColumn("row_mse", squared_error(fit, own)).withColumn("row_smape", summed_smape(fit, own))
 
 
 def windows_holding(position: Column, rows: Column, length: int) -> Column:

@@ -267,25 +267,34 @@ def rolling_medians(channels: Sequence[str], names: Sequence[str], window_us: in
     return add
 
 
-def fill_series(
+def fill_inside(
+    df: DataFrame, keys: Sequence[str], us: str, slice_col: str, columns: Sequence[str]
+) -> DataFrame:
+    """Forward fill inside each slice."""
+    local = (
+        Window.partitionBy(*keys, slice_col)
+        .orderBy(us)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return df.select(
+        *[F.last(c, ignorenulls=True).over(local).alias(c) if c in columns else F.col(c) for c in df.columns]
+    )
+
+
+def fill_borders(
     df: DataFrame,
     keys: Sequence[str],
     us: str,
     slice_col: str,
     columns: Sequence[str],
-    *,
     backward: bool = True,
 ) -> DataFrame:
-    """Forward fill across slices, then (with ``backward``) back fill.
+    """One row per slice: the last value before it and (``backward``) the first value of its series.
 
     After a forward fill only rows before the first known value of a series are still empty, so
-    back filling needs that one value per series and no reversed window.
+    back filling needs that one value per series and no reversed window. ``df`` may be filled inside
+    its slices or not.
     """
-    local = (
-        Window.partitionBy(*keys, slice_col)
-        .orderBy(us)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
     known = {c: F.when(F.col(c).isNotNull(), F.col(us)) for c in columns}
     summary = {f"_l_{c}": F.max_by(c, known[c]) for c in columns}
     carry = {
@@ -301,24 +310,51 @@ def fill_series(
             )
             for c in columns
         }
-    border = carried(df, keys, slice_col, summary, carry)
-    filled = df.select(
-        *[c for c in df.columns if c not in columns],
-        *[F.last(c, ignorenulls=True).over(local).alias(c) for c in columns],
-    )
+    return carried(df, keys, slice_col, summary, carry)
+
+
+def fill_across(
+    filled: DataFrame,
+    borders: DataFrame,
+    keys: Sequence[str],
+    slice_col: str,
+    columns: Sequence[str],
+    backward: bool = True,
+) -> DataFrame:
+    """Rows filled inside their slices, with what ``fill_borders`` carries over from other slices."""
     sources = lambda c: [c, f"_l_{c}", *([f"_f_{c}"] if backward else [])]
-    return filled.join(border, [*keys, slice_col], "left").select(
-        *[F.coalesce(*sources(c)).alias(c) if c in columns else F.col(c) for c in df.columns]
+    return filled.join(borders, [*keys, slice_col], "left").select(
+        *[F.coalesce(*sources(c)).alias(c) if c in columns else F.col(c) for c in filled.columns]
     )
 
 
+def fill_series(
+    df: DataFrame,
+    keys: Sequence[str],
+    us: str,
+    slice_col: str,
+    columns: Sequence[str],
+    *,
+    backward: bool = True,
+) -> DataFrame:
+    """Forward fill across slices, then (with ``backward``) back fill."""
+    borders = fill_borders(df, keys, us, slice_col, columns, backward)
+    filled = fill_inside(df, keys, us, slice_col, columns)
+    return fill_across(filled, borders, keys, slice_col, columns, backward)
+
+
 def unresolved(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Completeness of the feature table: row count, missing values, feature count."""
-    missing = sum((F.col(c).isNull().cast("bigint") for c in columns), F.lit(0))
+    """Completeness of the feature table: row count, missing values, features with any value.
+
+    A column that the table lacks counts as missing in every row.
+    """
+    told = [F.col(c) if c in df.columns else F.lit(None) for c in columns]
+    missing = sum((c.isNull().cast("bigint") for c in told), F.lit(0))
+    filled = sum(((F.count(c) > 0).cast("bigint") for c in told), F.lit(0))
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum(missing), F.lit(0)).alias("missing_values"),
-        F.lit(len(columns)).cast("bigint").alias("feature_count"),
+        filled.cast("bigint").alias("feature_count"),
     )
 
 

@@ -21,18 +21,9 @@ def floor_div(value: Column, width: int) -> Column:
     return ((value - F.pmod(value, F.lit(width))) / F.lit(width)).cast("bigint")
 
 
-def slice_width(
-    df: DataFrame, keys: Sequence[str], us: str, target_rows: int, cap: int = DAY_US
-) -> int:
-    """Widest slice, at most ``cap``, whose densest hour keeps it near ``target_rows``."""
-    busiest = (
-        df.groupBy(*keys, floor_div(F.col(us), HOUR_US).alias("_hour"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .agg(F.max("_n"))
-        .first()[0]
-        or 1
-    )
-    return int(max(1, min(cap, HOUR_US * target_rows // busiest)))
+def slice_width(busiest: int, target_rows: int, cap: int = DAY_US) -> int:
+    """Widest slice, at most ``cap``, that holds about ``target_rows`` in a densest hour of ``busiest`` rows."""
+    return int(max(1, min(cap, HOUR_US * target_rows // max(1, busiest))))
 
 
 def carried(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import PER_MAINTENANCE, STATIC
-from ..session import materialize
+from ..session import delete_tables, materialize
 from .detectors import Detectors
 from .evaluation import Evaluation
 from .study import Study
@@ -26,13 +26,8 @@ DISTANCE_WORKFLOWS = {
 
 
 def input_fingerprint(study: Study) -> tuple:
-    """Row count and order-free sum of row hashes; one aggregate over the input."""
-    mark = F.xxhash64("asset_id", "us", *study.channels)
-    return tuple(
-        study.base.agg(
-            F.count(F.lit(1)), F.sum(mark.cast("decimal(38,0)")), F.bit_xor(mark)
-        ).first()
-    )
+    """Row count and order-free sums of row hashes; read in the same pass as the study's density."""
+    return tuple(study.profile[c] for c in ("row_count", "mark_sum", "mark_mix"))
 
 
 #: Prepared tables that a stored study holds.
@@ -118,6 +113,11 @@ def prepared(spark: SparkSession, directory: str) -> Prepared:
     return _known[key][1]
 
 
-def forget() -> None:
-    """Drop every prepared study, so that the next query starts from the input tables."""
+def forget(spark: SparkSession | None = None) -> None:
+    """Drop every prepared study, so that the next query starts from the input tables.
+
+    With the session, the tables that its studies have written are deleted too.
+    """
     _known.clear()
+    if spark is not None:
+        delete_tables(spark)

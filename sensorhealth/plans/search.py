@@ -36,7 +36,7 @@ def evaluate_candidates(detectors: Detectors, ranks: Sequence[int]) -> DataFrame
     study, params = detectors.study, detectors.params
     length = params.sequence_length
     models = materialize(candidate_models(detectors, ranks), "candidates")
-    keys = ["workflow_id", *MODEL]
+    keys, names = ["workflow_id", *MODEL], ("workflow_id", "model_cycle")
 
     labels = ["us", "slice", "gap_us", "phase", "features"]
     baseline = detectors.rows.filter("baseline").select(
@@ -52,25 +52,21 @@ def evaluate_candidates(detectors: Detectors, ranks: Sequence[int]) -> DataFrame
         "evaluation",
         windows_holding(F.col("src_pos"), F.col("_n"), length).alias("holding"),
     )
-    errors_c = materialize(_errors(detectors, baseline, models), "candidate-calibration")
-    errors_e = materialize(_errors(detectors, source, models), "candidate-source")
+    errors_c = materialize(detectors.errors_under_all(baseline, models, names), "candidate-calibration")
+    errors_e = materialize(detectors.errors_under_all(source, models, names), "candidate-source")
 
     smape = mean_smape(errors_e, ["workflow_id"], len(study.features_list)).select(
         "workflow_id", F.col("smape").alias("obj_error")
     )
     calibration = detectors.windowed_by(errors_c, keys, "run", "pos", "row_mse").filter("calibration")
     anchors = detectors.windowed_by(errors_e, keys, "run", "pos", "row_mse").filter("evaluation")
-    names = {f"linear_{r}": STATIC for r in ranks}
+    workflows = {f"linear_{r}": STATIC for r in ranks}
     evaluation = Evaluation(
         study,
         calibration.select(*keys, "us", "anomaly_score"),
         anchors.select(*keys, "us", "anomaly_score", F.lit(0).alias("cycle_id"), "phase"),
-        names,
+        workflows,
     )
     labelled = evaluation.predictions.withColumn("_positive", F.col("phase") == 1)
     searched = diagnostics(labelled, ["workflow_id"], "maintenance_risk", "_positive", params)
     return with_status(searched.join(smape, "workflow_id", "left"), params.invalid_penalty)
-
-
-def _errors(detectors: Detectors, rows: DataFrame, models: DataFrame) -> DataFrame:
-    return detectors.row_errors_of(rows.join(models, "asset_id"))

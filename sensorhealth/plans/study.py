@@ -4,8 +4,9 @@ The schedule is a list of events that all assets share, or a table with the even
 (``asset_id, start, end, event_id, severity``). An asset without events has no cycles and is not
 scored.
 
-Tables that several steps read are written once to the shared folder (``materialize``); nothing
-is collected and nothing is kept between studies.
+Tables that several steps read are written once to the shared folder (``materialize``) and stay
+there until ``session.delete_tables``, or the end of a ``session.temporary_tables`` block; nothing is
+collected and nothing is kept between studies.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.calendar import cycle_plan
@@ -22,14 +23,16 @@ from ..operators.populations import label_populations, series_stats, split_probl
 from ..operators.rolling import (
     apply_scaler,
     feature_names,
-    fill_series,
+    fill_across,
+    fill_borders,
+    fill_inside,
     fit_scaler,
     rolling_features,
     scaler_fit_problems,
 )
 from ..operators.runs import median_gap
 from ..operators.slices import floor_div, slice_width
-from ..params import DAY_US, StudyParams
+from ..params import DAY_US, HOUR_US, StudyParams
 from ..session import configure, materialize
 from ..sources.maintenance import (
     COMPRESSOR_WINDOWS,
@@ -111,11 +114,30 @@ class Study:
         base = load_telemetry(read_csv(spark, path, columns), COMPRESSOR_CHANNELS, asset_column=asset_column)
         return cls(spark, base, COMPRESSOR_WINDOWS, COMPRESSOR_CHANNELS, COMPRESSOR_BINARY, params)
 
+    @cached_property
+    def profile(self) -> Row:
+        """Rows of the densest hour of an asset, and a fingerprint of every input row, in one pass.
+
+        The fingerprint is a row count and two order-free sums of row hashes.
+        """
+        mark = F.xxhash64("asset_id", "us", *self.channels)
+        hours = self.base.groupBy("asset_id", floor_div(F.col("us"), HOUR_US).alias("_hour")).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.sum(mark.cast("decimal(38,0)")).alias("_sum"),
+            F.bit_xor(mark).alias("_mix"),
+        )
+        return hours.agg(
+            F.coalesce(F.max("_n"), F.lit(0)).alias("busiest"),
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
+            F.sum("_sum").alias("mark_sum"),
+            F.bit_xor("_mix").alias("mark_mix"),
+        ).first()
+
     @cached_property
     def slice_us(self) -> int:
         if self.params.slice_us:
             return self.params.slice_us
-        return slice_width(self.base, ASSET, "us", self.params.slice_rows)
+        return slice_width(self.profile["busiest"], self.params.slice_rows)
 
     @cached_property
     def sliced(self) -> DataFrame:
@@ -192,22 +214,26 @@ class Study:
         return materialize(labelled, "timeline")
 
     def with_features(self, rows: DataFrame) -> DataFrame:
-        """Filled rolling features next to every other column of ``rows``."""
+        """Filled rolling features next to every other column of ``rows``.
+
+        Features are filled inside the slices that they are computed in, and written once; what a
+        slice takes from others is a small table that every read joins.
+        """
         others = [c for c in rows.columns if c not in ("slice", *ASSET, "us", *self.channels)]
-        rolled = materialize(
-            rolling_features(
-                rows,
-                ASSET,
-                "us",
-                "slice",
-                self.slice_us,
-                self.channels,
-                self.params.rolling_us,
-                others=others,
-            ),
-            "rolled",
+        rolled = rolling_features(
+            rows,
+            ASSET,
+            "us",
+            "_filled",
+            self.slice_us,
+            self.channels,
+            self.params.rolling_us,
+            others=others,
         )
-        filled = fill_series(rolled, ASSET, "us", "slice", self.features_list).drop("slice")
+        names = self.features_list
+        written = materialize(fill_inside(rolled, ASSET, "us", "_filled", names), "features")
+        borders = materialize(fill_borders(written, ASSET, "us", "_filled", names), "feature-borders")
+        filled = fill_across(written, borders, ASSET, "_filled", names).drop("_filled")
         return filled.withColumn("slice", floor_div(F.col("us"), self.slice_us))
 
     @cached_property
@@ -218,8 +244,7 @@ class Study:
     @cached_property
     def feature_table(self) -> DataFrame:
         """Labelled timeline with features."""
-        rows = self.timeline.select(*ASSET, "us", *LABELS, *self.channels)
-        return materialize(self.with_features(rows), "features")
+        return self.with_features(self.timeline.select(*ASSET, "us", *LABELS, *self.channels))
 
     @cached_property
     def scaler(self) -> DataFrame:
@@ -233,4 +258,4 @@ class Study:
     @cached_property
     def group_us(self) -> int:
         """Time span of one Python group: as wide as its row target allows."""
-        return slice_width(self.base, ASSET, "us", GROUP_ROWS, cap=10 * 366 * DAY_US)
+        return slice_width(self.profile["busiest"], GROUP_ROWS, cap=10 * 366 * DAY_US)

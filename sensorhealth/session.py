@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +36,7 @@ def local_scratch(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named and context.master.startswith("local[") or not named and context.master == "local":
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sensorhealth-"))
+        context.setCheckpointDir(_own_folder("sensorhealth-"))
     return spark
 
 
@@ -41,18 +45,55 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/sensorhealth/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written below the shared folder, by application.
+_written: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing a columnar table to the shared folder and reading it back.
 
     The copy survives executor loss, and its known size lets the planner choose a broadcast
-    only for tables that really are below the session's threshold.
+    only for tables that really are below the session's threshold. It stays until
+    ``delete_tables`` or the end of a ``temporary_tables`` block.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_tables(spark: SparkSession, after: int = 0) -> int:
+    """Delete what ``materialize`` has written, but for the first ``after`` tables; how many were deleted.
+
+    Frames that still read them can't be used any more.
+    """
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    gone = paths[after:]
+    del paths[after:]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(gone)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end; write or collect results before."""
+    before = len(_written.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        delete_tables(spark, before)
+
+
+def _own_folder(prefix: str) -> str:
+    """A folder of this driver that goes when it ends."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 _shipped: set[str] = set()
 
 
@@ -69,7 +110,7 @@ def ship(spark: SparkSession) -> SparkSession:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     z.write(path, os.path.relpath(path, top))
-    target = os.path.join(tempfile.mkdtemp(prefix="ship-"), "sensorhealth_package.zip")
+    target = os.path.join(_own_folder("ship-"), "sensorhealth_package.zip")
     with open(target, "wb") as f:
         f.write(data.getvalue())
     context.addPyFile(target)

@@ -142,7 +142,7 @@ def test_pareto_front_matches_pairwise_dominance(spark):
     points = pd.DataFrame(rng.integers(0, 12, (500, 3)) / 4, columns=list(cand.OBJECTIVES))
     points["id"] = range(500)
     points["study"] = ["abc"[i % 3] for i in range(500)]
-    front = cand.pareto_front(spark.createDataFrame(points), ["study"], (4, 2))
+    front = cand.pareto_front(spark.createDataFrame(points), ["study"])
     x, study = points[list(cand.OBJECTIVES)].to_numpy(), points["study"].to_numpy()
     keep = [
         i
