@@ -283,9 +283,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         e.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
 
+    def least_of(e: DataFrame) -> DataFrame:
+        # written, so that the join below reads two plain shuffles: only then is a node that many
+        # links name split by adaptive execution
+        least = settle(e.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m")), "component_least")
+        scratch.append(least)
+        return least
+
     def large_star(e: DataFrame) -> DataFrame:
         near = both(e)
-        least = near.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
+        least = least_of(near)
         m = F.least("_m", "u")
         return (
             near.join(least, near["u"] == least["_u"])
@@ -295,7 +302,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     def small_star(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
-        least = down.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
+        least = least_of(down)
         rows = down.join(least, down["u"] == least["_u"])
         return rows.select(F.col("v").alias("a"), F.col("_m").alias("b")).unionAll(
             least.select(F.col("_u").alias("a"), F.col("_m").alias("b"))
@@ -304,11 +311,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def told(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    scratch: list[DataFrame] = []
     now = settle(edges.select("a", "b").filter("a != b").distinct(), "component_links")
     before = told(now)
     for _ in range(most_rounds):
-        after = settle(small_star(large_star(now)).filter("a != b").distinct(), "component_links")
-        discard(now)
+        wide = settle(large_star(now), "component_wide")
+        after = settle(small_star(wide).filter("a != b").distinct(), "component_links")
+        for done in (now, wide, *scratch):
+            discard(done)
+        scratch.clear()
         now, state = after, told(after)
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
