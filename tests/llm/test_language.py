@@ -99,3 +99,106 @@ def test_texts_in_unknown_languages_are_rejected(spark, model, docs):
     asked = docs(list(enumerate(texts, 10**6))).select(*labelled.columns).withColumn("lang", F.lit(None).cast("string"))
     kept = language.keep_known(labelled.unionByName(asked)).filter("source = 'src'")
     assert sorted(r["doc_id"] - 10**6 for r in kept.collect()) == list(range(len(others), len(texts)))
+
+
+def plain_bucket(a, b, c):
+    mixed = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) % 2**32
+    mixed ^= mixed >> 15
+    return (mixed * 0x2C1B3C6D % 2**32) >> 16
+
+
+def plain_script(char):
+    return [name for first, name in language.SCRIPTS if first <= ord(char)][-1]
+
+
+def plain_words(text):
+    """Letters of each word, in lower case."""
+    return ["".join(c for c in w if c.isalpha()).lower() for w in (text or "").split()]
+
+
+def plain_grams(word):
+    told = f" {word} "
+    return [plain_bucket(*map(ord, told[i : i + 3])) for i in range(len(word))]
+
+
+def plain_model(rows):
+    """(languages, log rates by trigram bucket, scripts in use) from (lang, text) rows."""
+    grams, scripts = {}, {}
+    for lang, text in rows:
+        for w in plain_words(text):
+            for g, c in zip(plain_grams(w), w):
+                grams.setdefault(lang, {}).setdefault(g, 0)
+                grams[lang][g] += 1
+                scripts.setdefault(lang, {}).setdefault(plain_script(c), 0)
+                scripts[lang][plain_script(c)] += 1
+    languages = sorted(grams)
+    total = {x: sum(grams[x].values()) for x in languages}
+    met = {g for x in languages for g in grams[x]}
+    rate = {x: {g: np.log((grams[x].get(g, 0) + 0.5) / (total[x] + 0.5 * language.BUCKETS)) for g in met} for x in languages}
+    none = {x: np.log(0.5 / (total[x] + 0.5 * language.BUCKETS)) for x in languages}
+    used = {x: {s for s, n in scripts[x].items() if n >= 0.01 * total[x]} | {"common"} for x in languages}
+    return languages, rate, none, used, met
+
+
+def plain_label(text, model):
+    """(language, score) by decoding every text word by word."""
+    languages, rate, none, used, met = model
+    words = plain_words(text)
+    if not any(words):
+        return "und", 0.0
+    scores, proof = [], []
+    for w in words:
+        fits = [all(plain_script(c) in used[x] for c in w) for x in languages]
+        if not w:
+            scores.append([0.0] * len(languages))
+            proof.append([False] * len(languages))
+            continue
+        own, likely = [], []
+        for x in languages:
+            known = [g for g in plain_grams(w) if g in met]
+            mean = [np.mean([rate[y][g] for y in languages]) for g in known]
+            own.append(sum(rate[x][g] - m for g, m in zip(known, mean)))
+            odds = sum((rate[x][g] if g in met else none[x]) + np.log(language.BUCKETS) for g in plain_grams(w))
+            likely.append(odds >= language.EVIDENCE * len(w))
+        own = [s if f else -30.0 * len(w) for s, f in zip(own, fits)] if any(fits) else [0.0] * len(own)
+        scores.append([s - max(own) for s in own])
+        proof.append([f and p for f, p in zip(fits, likely)])
+    best, back = list(scores[0]), []
+    for row in scores[1:]:
+        top = max(range(len(best)), key=lambda i: (best[i], -i))
+        back.append([i if best[i] >= best[top] - language.PENALTY else top for i in range(len(best))])
+        best = [max(v, best[top] - language.PENALTY) + s for v, s in zip(best, row)]
+    at = max(range(len(best)), key=lambda i: (best[i], -i))
+    labels = [at]
+    for step in reversed(back):
+        at = step[at]
+        labels.append(at)
+    labels.reverse()
+    held, proven = [0] * len(languages), [0] * len(languages)
+    for w, k, p in zip(words, labels, proof):
+        held[k] += len(w)
+        proven[k] += len(w) * p[k]
+    k = max(range(len(held)), key=lambda i: (held[i], -i))
+    return languages[k], proven[k] / sum(map(len, words))
+
+
+def test_fit_score_and_label_against_plain_code(spark):
+    docs = spark.read.parquet(DATA.replace("sf0.01", "sf0.001"))
+    rows = docs.select("doc_id", "lang", "text").collect()
+    learned = docs.filter(~language.held_out(F.col("doc_id")))
+    ids = {r["doc_id"] for r in learned.collect()}
+    model = plain_model([(r["lang"], r["text"]) for r in rows if r["doc_id"] in ids and r["lang"] and r["text"]])
+    got = {r["doc_id"]: r for r in language.label(docs, language.fit(learned)).collect()}
+    for r in rows:
+        lang, score = plain_label(r["text"], model)
+        told = got[r["doc_id"]]
+        assert told["lang_pred"] == lang and told["score"] == pytest.approx(score, abs=1e-9), r["doc_id"]
+    assert len(rows) == 200
+
+
+def test_free_text_is_no_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    rows = spark.createDataFrame([(i, f"l{i}", "some text") for i in range(4)], "doc_id bigint, lang string, text string")
+    assert len(language.fit(rows.filter("doc_id < 3")).languages) == 3
+    with pytest.raises(ValueError):
+        language.fit(rows)
