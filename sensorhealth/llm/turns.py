@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -51,105 +52,125 @@ class Costs:
 
 @dataclass
 class Lattice:
-    """The edits of one conversation from its rows' role initials and faults."""
+    """The edits of one conversation from its rows' role initials and faults.
+
+    Node ``4 * at + role`` stands for ``at`` rows consumed and the last role so far.
+    """
 
     initials: list[str]
     faults: bytearray
     costs: Costs = field(default_factory=Costs)
 
-    def after(self, at: int, role: int) -> list[tuple[str, int, tuple[int, int]]]:
+    def after(self, node: int) -> list[tuple[str, int, int]]:
         """(edit, cost, node) that lead on from a node."""
-        c = self.costs
-        out = [("I", c.insert, (at, _NEXT[role]))]
+        c, (at, role) = self.costs, divmod(node, 4)
+        out = [("I", c.insert, 4 * at + _NEXT[role])]
         if at < len(self.faults):
-            out.append(("D", c.delete, (at + 1, role)))
+            out.append(("D", c.delete, node + 4))
             if (fault := self.faults[at]) != REMOVE:
                 more = c.keep_truncated * (fault == TRUNCATED)
                 own = _INITIAL.get(self.initials[at])
                 if own is not None and role in _BEFORE[own]:
-                    out.append(("K", more, (at + 1, own)))
-                out.append(("R", c.rerole + more, (at + 1, _NEXT[role])))
+                    out.append(("K", more, 4 * at + 4 + own))
+                out.append(("R", c.rerole + more, 4 * at + 4 + _NEXT[role]))
         return out
 
-    def before(self, at: int, role: int) -> list[tuple[str, int, tuple[int, int]]]:
+    def before(self, node: int) -> list[tuple[str, int, int]]:
         """(edit, cost, node) that lead to a node."""
-        c, out = self.costs, []
+        c, (at, role), out = self.costs, divmod(node, 4), []
         if role in _NAMES:
-            out += [("I", c.insert, (at, b)) for b in _BEFORE[role]]
+            out += [("I", c.insert, 4 * at + b) for b in _BEFORE[role]]
         if at:
-            out.append(("D", c.delete, (at - 1, role)))
+            out.append(("D", c.delete, node - 4))
             if (fault := self.faults[at - 1]) != REMOVE:
                 more = c.keep_truncated * (fault == TRUNCATED)
                 if _INITIAL.get(self.initials[at - 1]) == role:
-                    out += [("K", more, (at - 1, b)) for b in _BEFORE[role]]
+                    out += [("K", more, 4 * at - 4 + b) for b in _BEFORE[role]]
                 if role in _NAMES:
-                    out += [("R", c.rerole + more, (at - 1, b)) for b in _BEFORE[role]]
+                    out += [("R", c.rerole + more, 4 * at - 4 + b) for b in _BEFORE[role]]
         return out
 
 
-class _Side:
-    """One of the two searches; nodes of equal cost leave the heap in the order of the rows."""
+_FAR = 1 << 60
 
-    def __init__(self, starts: list[tuple[int, int]], sign: int):
-        self.sign = sign
-        self.best = dict.fromkeys(starts, 0)
-        self.heap = [(0, sign * at, role) for at, role in starts]
-        self.settled: dict[tuple[int, int], int] = {}
 
-    def least(self) -> float:
-        heap = self.heap
-        while heap and (heap[0][1] * self.sign, heap[0][2]) in self.settled:
-            heapq.heappop(heap)
-        return heap[0][0] if heap else float("inf")
+class _Side:
+    """One of the two searches, on flat arrays; nodes of equal cost leave the heap in the order of the rows.
+
+    A heap entry is one number: the cost, then how many rows the search has passed, then the role.
+    """
 
-    def settle(self, edges, other: _Side, bound: float) -> float:
+    def __init__(self, rows: int, starts: list[int], reverse: bool):
+        self.turn = 4 * rows if reverse else 0
+        self.best = array("q", [_FAR]) * (4 * rows + 4)
+        self.settled = bytearray(4 * rows + 4)
+        self.order = array("q")
+        self.heap: list[int] = []
+        for node in starts:
+            self._reach(node, 0)
+
+    def _reach(self, node: int, cost: int) -> None:
+        self.best[node] = cost
+        role = node & 3
+        passed = self.turn - (node - role) if self.turn else node - role
+        heapq.heappush(self.heap, cost << 44 | passed | role)
+
+    def _node(self, entry: int) -> int:
+        role, passed = entry & 3, entry & ((1 << 44) - 4)
+        return (self.turn - passed if self.turn else passed) + role
+
+    def least(self) -> int:
+        while self.heap and self.settled[self._node(self.heap[0])]:
+            heapq.heappop(self.heap)
+        return self.heap[0] >> 44 if self.heap else _FAR
+
+    def settle(self, edges, other: _Side, bound: int) -> int:
         """Settle the nearest node; the cost of the best crossing so far."""
-        cost, at, role = heapq.heappop(self.heap)
-        node = (at * self.sign, role)
-        self.settled[node] = cost
-        bound = min(bound, cost + other.best.get(node, float("inf")))
-        for _, more, to in edges(*node):
-            if cost + more < self.best.get(to, float("inf")):
-                self.best[to] = cost + more
-                heapq.heappush(self.heap, (cost + more, to[0] * self.sign, to[1]))
-            bound = min(bound, cost + more + other.best.get(to, float("inf")))
+        node = self._node(heapq.heappop(self.heap))
+        cost = self.best[node]
+        self.settled[node] = 1
+        self.order.append(node)
+        bound = min(bound, cost + other.best[node])
+        for _, more, to in edges(node):
+            if cost + more < self.best[to]:
+                self._reach(to, cost + more)
+            bound = min(bound, cost + more + other.best[to])
         return bound
 
 
 def cheapest(lattice: Lattice) -> tuple[int, str]:
     """Cost and audit of the cheapest edits; of several the audit that sorts first."""
     n = len(lattice.faults)
-    ends = [(n, NONE), (n, ASSISTANT)]
-    forward, reverse = _Side([(0, NONE)], 1), _Side(ends, -1)
-    bound = float("inf")
+    ends = (4 * n + NONE, 4 * n + ASSISTANT)
+    forward, reverse = _Side(n, [NONE], False), _Side(n, list(ends), True)
+    bound = _FAR
     # every node of every path of cost ``bound`` is settled by one side when the two heads exceed it
-    while (a := forward.least()) + (b := reverse.least()) <= bound and a + b < float("inf"):
+    while (a := forward.least()) + (b := reverse.least()) <= bound and max(a, b) < _FAR:
         if a <= b:
             bound = forward.settle(lattice.after, reverse, bound)
         else:
             bound = reverse.settle(lattice.before, forward, bound)
-    far = dict.fromkeys(ends, 0) | reverse.settled
-
-    def crosses(node: tuple[int, int], cost: int) -> bool:
-        return node in far and cost + far[node] == bound
-
-    useful: set[tuple[int, int]] = set()  # settled forward and on a cheapest path
-    for node, cost in reversed(forward.settled.items()):
-        if crosses(node, cost) or any(
-            crosses(to, cost + more) or to in useful and forward.settled[to] == cost + more
-            for _, more, to in lattice.after(*node)
-        ):
-            useful.add(node)
-    audit, node, cost = [], (0, NONE), 0
+    far = reverse.settled
+    for end in ends:  # known from the start, though the search may never have come to them
+        far[end] = 1
+
+    def crosses(node: int, cost: int) -> bool:
+        return far[node] and cost + reverse.best[node] == bound
+
+    useful = bytearray(4 * n + 4)  # settled forward and on a cheapest path
+
+    def leads(node: int, cost: int) -> bool:
+        return crosses(node, cost) or useful[node] and forward.best[node] == cost
+
+    for node in reversed(forward.order):
+        cost = forward.best[node]
+        useful[node] = crosses(node, cost) or any(leads(to, cost + more) for _, more, to in lattice.after(node))
+    audit, node, cost = [], NONE, 0
     while not (node in ends and cost == bound):
-        edit, more, node = min(
-            (edit, more, to)
-            for edit, more, to in lattice.after(*node)
-            if crosses(to, cost + more) or to in useful and forward.settled[to] == cost + more
-        )
+        edit, more, node = min(e for e in lattice.after(node) if leads(e[2], cost + e[1]))
         audit.append(edit)
         cost += more
-    return int(bound), "".join(audit)
+    return bound, "".join(audit)
 
 
 def text_rows(rows: DataFrame) -> DataFrame:
