@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 
 from ..plans.prepared import Prepared, prepared
 
+
+class Compared(Prepared):
+    """Scores with few digits, so that another engine's sums give the same ranks."""
+
+    row_digits, score_digits = 4, 6
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -17,7 +24,7 @@ def query(name: str, oracle: str | None = None):
     """Register ``fn(prepared) -> DataFrame`` under ``name``."""
 
     def register(fn: Callable[[Prepared], DataFrame]):
-        QUERIES[name] = lambda spark, directory: fn(prepared(spark, directory))
+        QUERIES[name] = lambda spark, directory: fn(prepared(spark, directory, Compared))
         if oracle is not None:
             ORACLES[name] = oracle
         return fn

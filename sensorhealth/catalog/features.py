@@ -109,14 +109,12 @@ def f10(p):
 
 @query("f11_scaler_apply", sql(rounded(FEATURES, "scaled")))
 def f11(p):
+    names = p.study.features_list
+    wide = rolling.wide_scaler(p.study.scaler, ["asset_id"], names)
     scaled = rolling.apply_scaler(
-        p.study.feature_table,
-        p.study.scaler,
-        ["asset_id"],
-        p.study.features_list,
-        rolling.feature_names(SENSOR_CHANNELS),
+        p.study.feature_table, materialize(wide, "wide-scaler"), ["asset_id"], names, rolling.feature_names(SENSOR_CHANNELS)
     )
-    return tidy(scaled.select("asset_id", "us", *p.study.features_list))
+    return tidy(scaled.select("asset_id", "us", *names))
 
 
 @query(

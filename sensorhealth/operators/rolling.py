@@ -402,6 +402,14 @@ def scaler_fit_problems(df: DataFrame, keys: Sequence[str], columns: Sequence[st
     return df.groupBy(*keys).agg(F.sum(bad).alias("non_finite")).filter("non_finite > 0")
 
 
+def wide_scaler(scaler: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row per key with the mean and scale of every feature."""
+    return scaler.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("feature") == c, F.col("mean"))).alias(f"_m_{c}") for c in columns],
+        *[F.max(F.when(F.col("feature") == c, F.col("scale"))).alias(f"_s_{c}") for c in columns],
+    )
+
+
 def apply_scaler(
     df: DataFrame,
     scaler: DataFrame,
@@ -409,13 +417,14 @@ def apply_scaler(
     columns: Sequence[str],
     fitted_columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``(x - mean) / scale`` with frozen parameters; names and order must match the fit."""
+    """``(x - mean) / scale`` with frozen parameters; names and order must match the fit.
+
+    ``scaler`` may be wide already. Written as such it has a known size, so the planner knows whether
+    to broadcast it, and a key with many rows can be split by adaptive execution where it does not.
+    """
     if fitted_columns is not None and list(fitted_columns) != list(columns):
         raise ValueError("feature names or order differ from the frozen scaler")
-    wide = scaler.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("feature") == c, F.col("mean"))).alias(f"_m_{c}") for c in columns],
-        *[F.max(F.when(F.col("feature") == c, F.col("scale"))).alias(f"_s_{c}") for c in columns],
-    )
+    wide = wide_scaler(scaler, keys, columns) if "feature" in scaler.columns else scaler
     scaled = [
         ((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(c) if c in columns else F.col(c)
         for c in df.columns

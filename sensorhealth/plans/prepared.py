@@ -67,27 +67,34 @@ def load_study(study: Study, path: str) -> bool:
 class Prepared:
     """One study with its detectors and the evaluation of the workflows with a closed form."""
 
+    #: Digits of row scores and anomaly scores; None keeps them as they are.
+    row_digits: int | None = None
+    score_digits: int | None = None
+
     def __init__(self, spark: SparkSession, directory: str) -> None:
         self.spark = spark
         self.directory = directory
         self.study = Study.from_tables(spark, directory)
         self.detectors = Detectors(self.study)
 
+    @staticmethod
+    def _with_digits(df: DataFrame, column: str, digits: int | None) -> DataFrame:
+        return df if digits is None else df.withColumn(column, F.round(column, digits))
+
     @property
     def distance_rows(self) -> DataFrame:
-        """Row scores with four digits, so that another engine's sums give the same ranks."""
-        return self.detectors.distance_rows.withColumn("row_score", F.round("row_score", 4))
+        return self._with_digits(self.detectors.distance_rows, "row_score", self.row_digits)
 
     @cached_property
     def distance(self) -> Evaluation:
         adaptive = "mean_per_maintenance"
         rows = self.detectors.component_rows(adaptive, PER_MAINTENANCE, rank=0)
         means = self.detectors.window_scores(
-            adaptive, *(r.withColumn("row_mse", F.round("row_mse", 4)) for r in rows)
+            adaptive, *(self._with_digits(r, "row_mse", self.row_digits) for r in rows)
         )
         static = self.detectors.distance_scores(self.distance_rows)
         calibration, evaluation = (
-            a.unionByName(b).withColumn("anomaly_score", F.round("anomaly_score", 6))
+            self._with_digits(a.unionByName(b), "anomaly_score", self.score_digits)
             for a, b in zip(static, means, strict=True)
         )
         return Evaluation(
@@ -101,12 +108,12 @@ class Prepared:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
 
-_known: dict[tuple[str, str], tuple[tuple, Prepared]] = {}
+_known: dict[tuple[str, str, type], tuple[tuple, Prepared]] = {}
 
 
-def prepared(spark: SparkSession, directory: str) -> Prepared:
-    key = (spark.sparkContext.applicationId, directory)
-    fresh = Prepared(spark, directory)
+def prepared(spark: SparkSession, directory: str, kind: type[Prepared] = Prepared) -> Prepared:
+    key = (spark.sparkContext.applicationId, directory, kind)
+    fresh = kind(spark, directory)
     mark = input_fingerprint(fresh.study)
     if key not in _known or _known[key][0] != mark:
         _known[key] = (mark, fresh)

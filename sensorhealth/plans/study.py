@@ -29,6 +29,7 @@ from ..operators.rolling import (
     fit_scaler,
     rolling_features,
     scaler_fit_problems,
+    wide_scaler,
 )
 from ..operators.runs import median_gap
 from ..operators.slices import floor_div, slice_width
@@ -253,7 +254,9 @@ class Study:
 
     @cached_property
     def scaled(self) -> DataFrame:
-        return apply_scaler(self.feature_table, self.scaler, ASSET, self.features_list)
+        names = self.features_list
+        wide = materialize(wide_scaler(self.scaler, ASSET, names), "wide-scaler")
+        return apply_scaler(self.feature_table, wide, ASSET, names)
 
     @cached_property
     def group_us(self) -> int:
