@@ -104,7 +104,9 @@ def rolling_features(
 
     Work is spread by ``slice_col``, a whole number of blocks close to ``width`` microseconds; the
     raw rows of a slice's last block are copied to the next slice, which needs their tails, so one
-    shuffle of raw rows is all. ``others`` are passed through.
+    shuffle of raw rows is all. Only medians leave the JVM: they are taken first, from channels
+    alone, at the price of one more shuffle of raw rows; features never travel. The result stays
+    partitioned by ``keys`` and ``slice_col``. ``others`` are passed through.
     """
     blocks = max(1, width // window_us)
     used = [p for p in PARTS if any(p in NEEDS[a] for a in aggregations)]
@@ -114,8 +116,13 @@ def rolling_features(
         df.select(*keys, us, *others, *channels)
         .withColumn("_block", floor_div(F.col(us), window_us))
         .withColumn(slice_col, F.explode(F.array_distinct(F.array(own, following))))
-        .repartition(*keys, slice_col)
     )
+    medians = [f"{c}__median" for c in channels] if "median" in aggregations else []
+    if medians:
+        schema = T.StructType([*rows.schema, *[T.StructField(m, T.DoubleType()) for m in medians]])
+        add = rolling_medians(channels, medians, us, window_us)
+        rows = rows.groupBy(*keys, slice_col).applyInArrow(add, schema)
+    rows = rows.repartition(*keys, slice_col)
     block = Window.partitionBy(*keys, slice_col, "_block")
     head = block.orderBy(us).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest = block.orderBy(F.col(us).desc())
@@ -136,7 +143,7 @@ def rolling_features(
         slice_col,
         us,
         *others,
-        *channels,
+        *medians,
         "_block",
         parts(head).alias("_head"),
         parts(tail).alias("_tail"),
@@ -159,12 +166,11 @@ def rolling_features(
         F.when(here & F.col("_closing"), mark(1, opening, OPENS, "_head")),
     )
     placed = staged.select(
-        *keys, slice_col, *others, *channels, F.explode(F.array_compact(marks)).alias("_m")
+        *keys, slice_col, *others, *medians, F.explode(F.array_compact(marks)).alias("_m")
     ).select(
         *keys,
         slice_col,
-        *[F.when(F.col("_m._kind") == ROW, F.col(c)).alias(c) for c in others],
-        *[F.when(F.col("_m._kind") != OPENS, F.col(c)).alias(c) for c in channels],
+        *[F.when(F.col("_m._kind") == ROW, F.col(c)).alias(c) for c in (*others, *medians)],
         "_m.*",
     )
     so_far = (
@@ -173,42 +179,25 @@ def rolling_features(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     latest = F.last(F.when(F.col("_kind") != ROW, F.col("_part")), ignorenulls=True).over(so_far)
-    # What medians read: the rows, and the block before the slice as its leaving marks.
-    is_row = F.col("_kind") == ROW
-    before = (F.col("_kind") == LEAVES) & (floor_div(F.col("_block") - 1, blocks) != F.col(slice_col))
-    medians = "median" in aggregations
-    kept = placed.withColumn("_old", latest).filter(is_row | before if medians else is_row)
+    kept = placed.withColumn("_old", latest).filter(F.col("_kind") == ROW)
     merged = kept.select(
         *keys,
         slice_col,
-        "_at",
-        "_kind",
+        F.col("_at").alias(us),
         *others,
-        *(channels if medians else ()),
+        *medians,
         *[
             value.alias(f"_{name}_{c}")
             for i, c in enumerate(channels)
             for name, value in merged_parts(used, i * len(used)).items()
         ],
     )
-    made = [(c, a) for c in channels for a in aggregations if a != "median"]
-    out = merged.select(
-        *keys,
-        slice_col,
-        "_at",
-        "_kind",
-        *others,
-        *(channels if medians else ()),
-        *[F.when(is_row, rolling_aggregate(c, a)).alias(f"{c}__{a}") for c, a in made],
-    )
-    if medians:
-        names = [f"{c}__median" for c in channels]
-        schema = T.StructType([*out.schema, *[T.StructField(m, T.DoubleType()) for m in names]])
-        # Same grouping as the windows above, so this adds no shuffle.
-        out = out.groupBy(*keys, slice_col).applyInArrow(rolling_medians(channels, names, window_us), schema)
-    return out.filter(is_row).select(
-        *keys, F.col("_at").alias(us), slice_col, *others, *feature_names(channels, aggregations)
-    )
+    made = [
+        F.col(f"{c}__median") if a == "median" else rolling_aggregate(c, a).alias(f"{c}__{a}")
+        for c in channels
+        for a in aggregations
+    ]
+    return merged.select(*keys, us, slice_col, *others, *made)
 
 
 # Order of marks at the same instant: the opening of a block, rows that leave, rows that enter.
@@ -243,23 +232,22 @@ def merged_parts(used: Sequence[str], start: int) -> dict[str, Column]:
     return out
 
 
-def rolling_medians(channels: Sequence[str], names: Sequence[str], window_us: int):
+def rolling_medians(channels: Sequence[str], names: Sequence[str], us: str, window_us: int):
     """Per slice: rolling medians of the channels as extra columns.
 
     A framed ``percentile`` sorts every frame anew; keeping the frame ordered while it moves makes
-    the cost per row logarithmic in the rows of a window. Rows of the block before the slice are
-    present as their leaving marks.
+    the cost per row logarithmic in the rows of a window. The block before the slice is present;
+    the medians of its own rows are not used here.
     """
 
     def add(table: pa.Table) -> pa.Table:
-        kind = table["_kind"].to_numpy()
-        entered = table["_at"].to_numpy() - np.where(kind == ROW, 0, window_us)
-        order = np.argsort(entered, kind="stable")
+        at = table[us].to_numpy()
+        order = np.argsort(at, kind="stable")
         values = table.select(list(channels)).take(order).to_pandas()
-        values.index = pd.to_datetime(entered[order], unit="us")
+        values.index = pd.to_datetime(at[order], unit="us")
         rolled = values.rolling(pd.Timedelta(window_us, "us"), min_periods=1).median()
         for c, name in zip(channels, names, strict=True):
-            column = np.empty(len(kind))
+            column = np.empty(len(at))
             column[order] = rolled[c].to_numpy()
             table = table.append_column(name, pa.array(column, from_pandas=True))
         return table

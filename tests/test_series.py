@@ -135,6 +135,20 @@ def test_rolling_features_match_pandas(spark, width):
         np.testing.assert_allclose(got[f"x__{a}"], expected[a], atol=1e-8)
 
 
+def test_only_raw_rows_travel_for_features(spark):
+    rows = sliced(spark, random_series(6), 40 * MINUTE_US)
+    rolled = rolling.rolling_features(
+        rows, ["asset_id"], "us", "_filled", 40 * MINUTE_US, ["x"], 7 * MINUTE_US, others=["flag"]
+    )
+    names = rolling.feature_names(["x"])
+    filled = rolling.fill_inside(rolled, ["asset_id"], "us", "_filled", names)
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    steps = [next((s for s in ("Exchange", "FlatMapGroups") if s in line), None) for line in plan.splitlines()]
+    assert [s for s in steps if s] == ["Exchange", "FlatMapGroups", "Exchange"]
+    python = next(line for line in plan.splitlines() if "FlatMapGroups" in line)
+    assert "x__median" in python and not any(n in python for n in names if n != "x__median")
+
+
 @pytest.mark.parametrize("width", WIDTHS)
 def test_fills_cross_slices(spark, width):
     frame = random_series(7).drop(columns="flag")
