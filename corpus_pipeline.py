@@ -4,8 +4,8 @@ Language ID, quality rules and near-duplicate removal drop documents and keep th
 that stay; personal data is replaced in the texts; packing ends with one row for each piece of a
 sequence. Nulls, empty texts, repeated rows, empty tables and further columns are handled as each
 operator's docstring states: texts without letters go at the first stage, texts that fail the base rule
-at the second, and one document of each group of near-duplicates (a similarity of 0.8 or more of their
-five-word shingles) stays at the third.
+at the second, and one document of each group of near-duplicates stays at the third: SimHash proposes
+them, MinHash what SimHash leaves, and a similarity of 0.8 or more of their five-word shingles decides.
 """
 
 from __future__ import annotations

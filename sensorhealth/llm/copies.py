@@ -1,9 +1,12 @@
 """Near copies by the similarity of word shingles: texts whose sets have a Jaccard similarity of 0.8 or more.
 
 A text is the set of hashes of its shingles of five words. Equal sets are one row from then on, so copies
-cost nothing. MinHash values in bands propose candidates: texts of a similarity s share one of ``BANDS``
-bands of ``ROWS`` values with probability ``1 - (1 - s ** ROWS) ** BANDS``, so that at 0.8 less than one
-pair of ten million is not proposed. Every candidate is verified on the whole sets.
+cost nothing. SimHash goes first: sets whose fingerprints ``simhash.grouped`` brings into one component are
+compared with the component's least set, and those that are similar are one class from then on. Replaced
+words move more bits than fingerprints may differ in, so MinHash values in bands propose the rest, between
+classes only: texts of a similarity s share one of ``BANDS`` bands of ``ROWS`` values with probability
+``1 - (1 - s ** ROWS) ** BANDS``, so that at 0.8 less than one pair of ten million is not proposed. Every
+candidate of either is verified on the whole sets.
 
 Buckets of up to ``bucket_rows`` texts are joined with themselves. In larger ones every text first meets
 its buckets' hubs: the text that shares most buckets with others, then, round by round, texts drawn by hash.
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytebpe
-from .simhash import SEED, components
+from .simhash import SEED, components, fingerprint, grouped
 from .tables import discard, settle
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -85,17 +88,19 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, set, keys) of every row."""
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("set bigint, keys array<bigint>")])
+    """(doc_id, set, keys, fp) of every row."""
+    own = T._parse_datatype_string("set bigint, keys array<bigint>, fp bigint")
+    schema = T.StructType([docs.schema["doc_id"], *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in bytebpe.blocks(batch.column(1)):
                 sets = [shingles(t) for t in texts]
                 keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+                prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array([set_hash(s) for s in sets], pa.int64()), keys],
-                    names=["doc_id", "set", "keys"],
+                    [batch.column(0).slice(at, len(texts)), pa.array([set_hash(s) for s in sets], pa.int64()), keys, pa.array(prints)],
+                    names=["doc_id", "set", "keys", "fp"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -209,6 +214,13 @@ def _as_pairs(stars: DataFrame) -> DataFrame:
     return apart.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
 
 
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) that ``labels`` (node, label) do not put into one class."""
+    of = lambda k: labels.select(F.col("node").alias(f"_n{k}"), F.col("label").alias(f"_l{k}"))
+    told = pairs.join(of("a"), F.col("a") == F.col("_na"), "left").join(of("b"), F.col("b") == F.col("_nb"), "left")
+    return told.filter(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).select("a", "b")
+
+
 def _classes(crowds: DataFrame, found: DataFrame) -> DataFrame:
     """(set, group, label, few): the class of each member of a crowd, and whether it is not the largest."""
     linked = components(found)
@@ -226,7 +238,10 @@ def _classes(crowds: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, similarity: float, bucket_rows: int, block_rows: int) -> DataFrame:
-    """(a, b): links and connections of similar sets among the (set, keys) of ``classes``."""
+    """(a, b): links and connections of similar sets among the (set, keys, fp) of ``classes``."""
+    prints = settle(classes.select(F.col("set").alias("doc_id"), "fp"), "copy_fingerprints")
+    near = grouped(prints).select(F.col("doc_id").alias("set"), F.col("component_id").alias("hub"))
+    near = settle(_as_pairs(near), "copy_near")
     bands = classes.select("set", F.explode("keys").alias("key"))
     met = bands.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = settle(bands.join(met, bands["key"] == met["_key"]).select("set", "key", "n"), "copy_buckets")
@@ -245,16 +260,18 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float, bucket_rows: i
 
     stars = settle(stars_of(ranked, F.col("weight")), "copy_stars")
     pairs = settle(pairs.unionAll(_as_pairs(stars)).distinct(), "copy_pairs")
-    wanted = pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct()
+    both = near.unionAll(pairs)
+    wanted = both.select(F.col("a").alias("set")).unionAll(both.select("b")).distinct()
     wanted = settle(wanted, "copy_wanted")
     sets = settle(hashes_of(docs, wanted), "copy_sets")
-    found = settle(verified(pairs, sets, similarity), "copy_links")
-    done = [shared, ranked, stars, pairs, wanted, sets]
+    alike = settle(verified(near, sets, similarity), "copy_alike")
+    found = settle(alike.unionAll(verified(_between(pairs, components(alike)), sets, similarity)), "copy_links")
+    done = [prints, near, shared, ranked, stars, pairs, wanted, sets, alike]
     if not stars.isEmpty():
-        grouped = components(stars.select(F.col("set").alias("a"), F.col("hub").alias("b")))
+        crowded = components(stars.select(F.col("set").alias("a"), F.col("hub").alias("b")))
         own = stars.select("set").distinct()
         crowds = settle(
-            own.join(grouped, own["set"] == grouped["node"], "left").select("set", F.coalesce("label", "set").alias("group")),
+            own.join(crowded, own["set"] == crowded["node"], "left").select("set", F.coalesce("label", "set").alias("group")),
             "copy_crowds",
         )
         members = _classes(crowds, found)
@@ -284,7 +301,7 @@ def keep_first(
     """One row of each component of near copies stays, with its columns as they are."""
     own = settle(signatures(docs), "copy_signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    classes = settle(own.groupBy("set").agg(F.min(order).alias("first"), F.any_value("keys").alias("keys")), "copy_classes")
+    classes = settle(own.groupBy("set").agg(F.min(order).alias("first"), F.any_value("keys").alias("keys"), F.min("fp").alias("fp")), "copy_classes")
     labels = components(links(docs, classes, similarity, bucket_rows, block_rows))
     named = classes.join(labels, classes["set"] == labels["node"], "left").select(
         F.coalesce("label", "set").alias("label"), F.struct("first", "set").alias("first")

@@ -331,7 +331,11 @@ def near_duplicates(
     docs: DataFrame, shingle: int = 3, radius: int = 3, bucket_rows: int = 512, block_rows: int = 2048
 ) -> DataFrame:
     """(doc_id, fp, component_id) of every row; the component's id is its smallest document."""
-    own = settle(fingerprints(docs, shingle), "fingerprints")
+    return grouped(settle(fingerprints(docs, shingle), "fingerprints"), radius, bucket_rows, block_rows)
+
+
+def grouped(own: DataFrame, radius: int = 3, bucket_rows: int = 512, block_rows: int = 2048) -> DataFrame:
+    """(doc_id, fp, component_id) of written rows (doc_id, fp); see ``near_duplicates``."""
     prints = settle(own.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fingerprint_classes")
     distinct = prints.select("fp")
     labels = components(links(distinct, plan(distinct, radius), radius, bucket_rows, block_rows))

@@ -2,6 +2,8 @@ import numpy as np
 import corpus_pipeline
 import pytest
 
+from pyspark.sql import functions as F
+
 from sensorhealth.llm import copies
 
 from .test_simhash import classes, slow_print
@@ -54,6 +56,26 @@ def test_ids_that_repeat_clash_or_are_null(spark, docs, odd_rows):
     assert copies.keep_first(docs([])).collect() == []
 
 
+def test_simhash_alone_proposes_what_its_bits_allow(spark, docs):
+    """Without bands, sets are linked through fingerprints, and only if they are similar."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(4000)])
+    base = rng.choice(words, 3000)
+    near, far = base.copy(), rng.choice(words, 3000)
+    near[7] = "other"
+    made = docs(list(enumerate([" ".join(base), " ".join(near), " ".join(far), "a b", "a b c"])))
+    own = copies.signatures(made)
+    sets = {r["doc_id"]: r["set"] for r in own.collect()}
+    classes = own.select("set", F.expr("cast(array() as array<bigint>)").alias("keys"), "fp")
+    found = {(r["a"], r["b"]) for r in copies.links(made, classes, 0.8, 32, 256).collect()}
+    assert found == {tuple(sorted((sets[0], sets[1])))}
+    # fingerprints that agree do not make texts alike: the exact check decides
+    forced = classes.withColumn("fp", F.lit(0).cast("bigint"))
+    found = {(r["a"], r["b"]) for r in copies.links(made, forced, 0.8, 32, 256).collect()}
+    least = min(sets.values())
+    assert found <= {tuple(sorted((sets[0], sets[1])))} and (least not in (sets[0], sets[1]) or found)
+
+
 def test_the_pipelines_stage_on_given_texts(spark):
     given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("n_chars > 100")
     rows = sorted((r["doc_id"], r["text"]) for r in given.select("doc_id", "text").collect())
