@@ -14,7 +14,7 @@ from .oracle import FEATURES, P, SENSOR_BINARY, SENSOR_CHANNELS, sql
 def one_aggregation(p, aggregation: str):
     s = p.study
     rolled = rolling.rolling_features(
-        s.base, ["asset_id"], "us", "slice", s.slice_us, s.channels, P.rolling_us, [aggregation]
+        s.base, ["asset_id"], "us", "slice", s.feature_us, s.channels, P.rolling_us, [aggregation], parts=s.feature_parts
     )
     return tidy(rolled.drop("slice"))
 
@@ -39,7 +39,7 @@ def rolled_spreads(p):
     s = p.study
     return materialize(
         rolling.rolling_features(
-            s.base, ["asset_id"], "us", "slice", s.slice_us, s.channels, P.rolling_us, ["std", "skew"]
+            s.base, ["asset_id"], "us", "slice", s.feature_us, s.channels, P.rolling_us, ["std", "skew"], parts=s.feature_parts
         ),
         "spreads",
     )
