@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import MINUTE_US
-from .slices import floor_div
+from .slices import counted, floor_div
 
 BUCKET_US = 30 * MINUTE_US
 
@@ -14,12 +14,15 @@ BUCKET_US = 30 * MINUTE_US
 def bucketed_timeline(alarms: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     """Mean risk and alarm flag per 30-minute bucket, with empty buckets kept.
 
-    The spine is generated per asset from its first and last bucket.
+    The spine is generated per asset from its first and last bucket. A column ``weight`` counts a row
+    several times.
     """
+    risk, weight = F.col("maintenance_risk"), counted(alarms)
+    known = F.sum(F.when(risk.isNotNull(), weight))
     keys = ["workflow_id", "asset_id"]
     bucket = (floor_div(F.col("us"), bucket_us) * bucket_us).alias("bucket_us")
     filled = alarms.groupBy(*keys, bucket).agg(
-        F.avg("maintenance_risk").alias("mean_risk"), F.max("alarm").alias("alarm")
+        (F.sum(risk * weight) / known).alias("mean_risk"), F.max("alarm").alias("alarm")
     )
     spine = (
         alarms.groupBy(*keys)
