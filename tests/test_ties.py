@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorhealth import StudyParams
-from sensorhealth.operators import events, report
+from sensorhealth.operators import contract, events, report
 from sensorhealth.operators.risk import alarm_flags, threshold_sweep
 from sensorhealth.params import MINUTE_US
 from sensorhealth.plans.evaluation import Evaluation
@@ -66,3 +66,16 @@ def test_metrics_of_merged_rows(spark, evaluation):
 
     # Rows that begin a run have no order among others of their instant, so only linked rows are compared.
     assert measured(evaluation.merged.filter("linked")) == measured(evaluation.aligned.filter("linked"))
+
+
+def test_row_cycles_of_shared_instants(spark, evaluation):
+    timeline, predictions = evaluation.study.timeline, evaluation.predictions
+    moved = predictions.withColumn("cycle_id", F.lit(0))
+    problems = contract.row_cycle_problems(moved, timeline)
+    assert problems.count() == predictions.count()
+    pairs = predictions.join(timeline.filter("evaluation"), ["asset_id", "us"]).count()
+    assert pairs > 4 * predictions.count()
+    found = contract.check_summary(
+        {"moved": problems, "right": contract.row_cycle_problems(predictions, timeline)}
+    )
+    assert {r["check_name"]: r["violations"] for r in found.collect()} == {"moved": pairs, "right": 0}
